@@ -141,3 +141,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ratings", "movies", "tags", "links", "genome_scores", "genome_tags", "second_movies",
            "second_ratings", "expand_votes", "genre_pairs", "events", "table", "split_genres"]
+
+
+def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings before cleaning: every rating, plus a duplicate of each 5.0 rating, an
+    out-of-range copy (+5.0) of each 0.5 rating and a null-rating copy of each 1.0 rating."""
+    r = ratings(spark, sf_dir)
+    dup = r.where(F.col("rating") == 5.0)
+    high = r.where(F.col("rating") == 0.5).withColumn("rating", (F.col("rating") + 5.0).cast("float"))
+    null = r.where(F.col("rating") == 1.0).withColumn("rating", F.lit(None).cast("float"))
+    return r.unionByName(dup).unionByName(high).unionByName(null)
+
+
+def raw_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movies before cleaning: every movie plus a duplicate of each whose first genre is red."""
+    m = movies(spark, sf_dir)
+    return m.unionByName(m.where(F.col("genres").startswith("red|")))

@@ -66,7 +66,7 @@ def quality_profile(df: DataFrame, name: str) -> DataFrame:
         n=len(metrics), body=", ".join(f"'{m}', cast(`{m}` as bigint)" for m in metrics))
     long = counts.selectExpr(stack)
     dups = duplicate_count(df).select(F.lit("duplicate_rows").alias("metric"), "value")
-    return long.unionByName(dups).select(F.lit(name).alias("table"), "metric", "value")
+    return long.unionByName(dups).select(F.lit(name).alias("table_name"), "metric", "value")
 
 
 def entities_below_min(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -77,7 +77,7 @@ def entities_below_min(df: DataFrame, key: str, k: int) -> DataFrame:
 
 def _metric(df: DataFrame, table: str, metric: str, value) -> DataFrame:
     return df.agg(value.cast("long").alias("value")).select(
-        F.lit(table).alias("table"), F.lit(metric).alias("metric"), "value")
+        F.lit(table).alias("table_name"), F.lit(metric).alias("metric"), "value")
 
 
 def quality_report(ratings: DataFrame, movies: DataFrame, tags: DataFrame, links: DataFrame,
@@ -94,9 +94,9 @@ def quality_report(ratings: DataFrame, movies: DataFrame, tags: DataFrame, links
     ub = entities_below_min(ratings, "userId", min_user)
     mb = entities_below_min(ratings, "movieId", min_movie)
     for tag, d in (("users", ub), ("movies", mb)):
-        parts.append(d.select(F.lit("ratings").alias("table"), F.lit(f"{tag}_below_min").alias("metric"),
+        parts.append(d.select(F.lit("ratings").alias("table_name"), F.lit(f"{tag}_below_min").alias("metric"),
                               F.col("below").cast("long").alias("value")))
-        parts.append(d.select(F.lit("ratings").alias("table"), F.lit(f"{tag}_total").alias("metric"),
+        parts.append(d.select(F.lit("ratings").alias("table_name"), F.lit(f"{tag}_total").alias("metric"),
                               F.col("total").cast("long").alias("value")))
     parts.append(_metric(movies, "movies", "titles_to_fix", F.count_if(needs_article_fix("title"))))
     parts.append(_metric(links, "links", "tmdb_missing", F.count_if(F.col("tmdbId").isNull())))
@@ -156,12 +156,12 @@ def before_after_report(steps: dict[str, list[tuple[str, DataFrame]]]) -> DataFr
         prev = None
         for i, (step, d) in enumerate(seq):
             n = d.agg(F.count(F.lit(1)).alias("rows"))
-            parts.append(n.select(F.lit(table).alias("table"), F.lit(i).alias("step_no"),
+            parts.append(n.select(F.lit(table).alias("table_name"), F.lit(i).alias("step_no"),
                                   F.lit(step).alias("step"), F.col("rows")))
     out = reduce(DataFrame.unionByName, parts)
     from pyspark.sql import Window
-    w = Window.partitionBy("table").orderBy("step_no")
+    w = Window.partitionBy("table_name").orderBy("step_no")
     first = F.first("rows").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return out.select("table", "step_no", "step", "rows",
+    return out.select("table_name", "step_no", "step", "rows",
                       F.coalesce(F.lag("rows").over(w) - F.col("rows"), F.lit(0)).alias("dropped"),
                       F.round(F.try_divide(F.col("rows") * 100.0, first), 6).alias("pct_of_start"))

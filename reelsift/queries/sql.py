@@ -55,17 +55,27 @@ RATINGS2 = """ratings2 AS (
   FROM movies2 m, LATERAL generate_series(1, m.vote_count) AS g(v)
   WHERE m.vote_count > 0 AND try_strptime(m.release_date, '%Y-%m-%d') IS NOT NULL)"""
 
+RAW_RATINGS = """raw_ratings AS (
+  SELECT * FROM ratings
+  UNION ALL SELECT * FROM ratings WHERE rating = 5.0
+  UNION ALL SELECT userId, movieId, CAST(rating + 5.0 AS FLOAT) AS rating, "timestamp" FROM ratings WHERE rating = 0.5
+  UNION ALL SELECT userId, movieId, CAST(NULL AS FLOAT) AS rating, "timestamp" FROM ratings WHERE rating = 1.0)"""
+
+RAW_MOVIES = """raw_movies AS (
+  SELECT * FROM movies UNION ALL SELECT * FROM movies WHERE starts_with(genres, 'red|'))"""
+
 EVENTS = """ev AS (SELECT event_id, ts, user_id, event_type, value FROM events)"""
 
 # Domain-table dependencies so a query can ask for what it uses.
 _DEPS = {
     "ratings": [], "movies": [], "genre_pairs": ["movies"], "tags": [], "links": [],
     "genome_scores": [], "genome_tags": ["genome_scores"], "movies2": [], "ratings2": ["movies2"],
-    "ev": [],
+    "ev": [], "raw_ratings": ["ratings"], "raw_movies": ["movies"],
 }
 _TEXT = {"ratings": RATINGS, "movies": MOVIES, "genre_pairs": GENRE_PAIRS, "tags": TAGS, "links": LINKS,
          "genome_scores": GENOME_SCORES, "genome_tags": GENOME_TAGS, "movies2": MOVIES2,
-         "ratings2": RATINGS2, "ev": EVENTS}
+         "ratings2": RATINGS2, "ev": EVENTS,
+         "raw_ratings": RAW_RATINGS, "raw_movies": RAW_MOVIES}
 
 
 def with_tables(*names: str, extra: str = "") -> str:

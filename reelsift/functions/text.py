@@ -74,10 +74,12 @@ def title_norm_strict(c) -> Column:
     """FN-11: base of ``"<base> (YYYY)"`` lower-cased, non ``[a-z0-9\\s]`` removed, spaces
     collapsed, stripped; null when the title has no ``(YYYY)`` suffix."""
     base = F.regexp_extract(_c(c), STRICT_TITLE_PATTERN, 1)
-    has = _c(c).rlike(STRICT_TITLE_PATTERN)
-    norm = ustrip(F.regexp_replace(F.regexp_replace(F.lower(base), NON_ALNUM_PATTERN, ""),
-                                   r"(?U)\s+", " "))
-    return F.when(has, norm)
+    return F.when(_c(c).rlike(STRICT_TITLE_PATTERN), norm_strict(base))
+
+
+def norm_strict(c) -> Column:
+    """Strict key of a plain string: lower, drop non ``[a-z0-9\\s]``, collapse spaces, strip."""
+    return ustrip(F.regexp_replace(F.regexp_replace(F.lower(_c(c)), NON_ALNUM_PATTERN, ""), r"(?U)\s+", " "))
 
 
 def title_year_strict(c) -> Column:
@@ -109,7 +111,7 @@ def title_append_year(title, year) -> Column:
 
 def release_year(c) -> Column:
     """FN-16: lenient ``yyyy-MM-dd`` parse (bad or empty -> null), then the year."""
-    return F.year(F.try_to_date(_c(c), F.lit("yyyy-MM-dd")))
+    return F.year(F.try_to_date(_c(c), "yyyy-MM-dd"))
 
 
 def normalize_tag(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # A side is broadcast only when its row count is proven below this bound; otherwise the
 # join stays a shuffle join (AQE may still pick broadcast from runtime statistics).
@@ -41,24 +41,10 @@ def remap_ids(df: DataFrame, id_map: DataFrame, col: str, old: str = "old_id",
               .drop("_old", "_new")
 
 
-def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id",
-                 new: str = "new_id") -> DataFrame:
-    """JN-12: sorted distinct ids -> start, start+1, ... without a single-partition window.
-
-    Distinct ids are range-partitioned and sorted; each partition's size is counted
-    (one small row per partition), a running sum over those counts gives each partition's
-    offset, and ids are numbered within their partition. ``start`` may be a literal or a
-    scalar Column (e.g. ``df.agg(max) .scalar() + 1``)."""
-    ids = df.select(F.col(id_col).alias(old)).where(F.col(old).isNotNull()).distinct()
-    ranged = ids.repartitionByRange(old).sortWithinPartitions(old) \
-                .withColumn("_pid", F.spark_partition_id())
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n"))
-                           .alias("_off"))
-    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(old)))
-    start_col = start if not isinstance(start, (int, float)) else F.lit(start)
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .select(F.col(old), (start_col + F.col("_off") + F.col("_rn") - 1).cast("long").alias(new)))
+def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id", new: str = "new_id") -> DataFrame:
+    """JN-12 (see ``reelsift.operators.ranking.dense_id_map``)."""
+    from reelsift.operators.ranking import dense_id_map as _dense
+    return _dense(df, id_col, start, old, new)
 
 
 def week_grid(keys: DataFrame, key: str, lo, hi, step: str = "7 days",

@@ -5,29 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reelsift.operators.joins import filter_min_count
-from reelsift.session import cut_lineage
+from reelsift.operators.ranking import global_rank  # noqa: F401
 
 SEED = 42
 LEAVE_OUT_TEST = 5
 LEAVE_OUT_VAL = 5
 
 
-def global_rank(df: DataFrame, order_cols, out: str = "_rank") -> DataFrame:
-    """0-based rank of every row in the total order ``order_cols`` (must be unique), with no
-    single-partition window: range-partition + sort within partitions, checkpoint (so the
-    partitioning cannot change between the size job and the numbering), count per partition,
-    prefix-sum the (few) partition sizes, and number rows inside each partition."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    ranged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()))
-    # monotonically_increasing_id = (partition index << 33) + position within the partition
-    numbered = ranged.withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off"))
-
-
 def _round_half_even(x: float) -> int:
     return int(round(x))
 

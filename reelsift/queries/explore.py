@@ -110,7 +110,7 @@ def q_monthly_volume(spark, sf):
 
 
 @register("yearly_avg_rating", with_tables("ratings") +
-          f"SELECT year({_TS}) AS year, round(avg(CAST(rating AS DOUBLE)), 6) AS avg_rating FROM ratings GROUP BY 1")
+          f"SELECT CAST(year({_TS}) AS INTEGER) AS year, round(avg(CAST(rating AS DOUBLE)), 6) AS avg_rating FROM ratings GROUP BY 1")
 def q_yearly_avg_rating(spark, sf):
     """AG-15."""
     return ex.yearly_avg_rating(_r(spark, sf))
@@ -138,7 +138,7 @@ def q_period_comparison(spark, sf):
     return ex.period_comparison(_r(spark, sf), PERIODS)
 
 
-_GY = f"""my AS (SELECT movieId, year({_TS}) AS year, count(*) AS n FROM ratings GROUP BY ALL),
+_GY = f"""my AS (SELECT movieId, CAST(year({_TS}) AS INTEGER) AS year, count(*) AS n FROM ratings GROUP BY ALL),
 gy AS (SELECT year, genre, CAST(sum(n) AS BIGINT) AS "count" FROM my JOIN genre_pairs USING (movieId) GROUP BY ALL)"""
 
 

@@ -93,4 +93,4 @@ def with_tables(*names: str, extra: str = "") -> str:
     ctes = [_TEXT[n] for n in order]
     if extra.strip():
         ctes.append(extra.strip())
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return ("WITH " + ",\n".join(ctes) + "\n") if ctes else ""

@@ -1,0 +1 @@
+"""Structured Streaming twins (see ``reelsift.streaming.jobs``)."""

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from reelsift.queries import (features, quality, explore, splits, reconcile, ml,  # noqa: F401
-                                  streams)
+                                  streams, io)
 
 
 def queries() -> dict[str, Callable]:

@@ -7,8 +7,13 @@ correctness gate.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reelsift.session import ensure_checkpoint_dir
+
 from reelsift.functions.text import split_genres
 from reelsift.functions.labels import rescale_vote
 
@@ -25,7 +30,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived domain table once per session as parquet under the shared checkpoint
+    folder and read it back (the "processed" stage every later job consumes), so a join
+    that derives it is not repeated by every branch and query. ``REELSIFT_STAGE=0`` turns
+    it off (each use re-derives the table)."""
+    if os.environ.get("REELSIFT_STAGE", "1") == "0":
+        return build(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _STAGED.get(key)
+    if path is None:
+        digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{digest}"
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(path)
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings table (staged once per session; see ``derive_ratings``)."""
+    return staged(spark, sf_dir, "ratings", derive_ratings)
+
+
+def derive_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """userId = o_custkey, movieId = l_partkey, rating = ceil(q/5)/2 in 0.5..5.0,
     timestamp = epoch seconds of l_shipdate (UTC)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")

@@ -10,6 +10,7 @@ from reelsift.operators.aggregates import (favorite_genre, genre_week_counts, mo
 from reelsift.operators.explore import explode_genres
 from reelsift.operators.joins import week_grid
 from reelsift.operators.windows import lag_features, recent_items, rolling_features
+from reelsift.session import cut_lineage
 
 RECENT_HISTORY_LEN = 5
 
@@ -22,8 +23,10 @@ def forecast_grid(counts: DataFrame, lags=(1, 2, 3), rolls=(3, 6), include_curre
     aggregate, the bounds are scalar subqueries, and each genre row expands its own week
     sequence (no cross join). The aggregate is genres x weeks in size, independent of the
     number of ratings, so the per-genre window is cheap at any scale."""
-    gw = counts.select("genre", "week_start", "rating_count",
-                       (F.col("rating_sum") / F.col("rating_count")).alias("avg_rating"))
+    # the aggregate has genres x weeks rows; checkpoint it so the genre list, the week
+    # bounds and the join read it instead of re-running the pass over the ratings
+    gw = cut_lineage(counts.select("genre", "week_start", "rating_count",
+                                   (F.col("rating_sum") / F.col("rating_count")).alias("avg_rating")))
     lo = gw.agg(F.min("week_start")).scalar()
     hi = gw.agg(F.max("week_start")).scalar()
     grid = week_grid(gw.select("genre").distinct(), "genre", lo, hi)

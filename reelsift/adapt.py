@@ -24,6 +24,7 @@ TAG_EPOCH0 = 946684800      # 2000-01-01 00:00:00 UTC; one tag per day of doc_id
 SECOND_SOURCE_VARIANTS = 5  # title variant = p_partkey mod 5
 VOTER_POOL = 50000          # synthetic voter pool of the second source
 VOTER_SEED = 42
+VOTE_CHUNK = 100_000        # votes generated per task and movie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,14 +140,22 @@ def voter_id(movie_id, vote_no, pool: int = VOTER_POOL, seed: int = VOTER_SEED):
     return (F.pmod(mix, F.lit(pool)) + 1).cast("int")
 
 
-def expand_votes(movies2: DataFrame, pool: int = VOTER_POOL, seed: int = VOTER_SEED) -> DataFrame:
+def expand_votes(movies2: DataFrame, pool: int = VOTER_POOL, seed: int = VOTER_SEED,
+                 spread: bool = False) -> DataFrame:
     """PL-6: one rating row per vote; rating = rescaled vote average, timestamp = release
     date; movies with no votes or an unparsable release date produce nothing."""
     ts = F.unix_seconds(F.try_to_timestamp(F.col("release_date"), F.lit("yyyy-MM-dd")))
     base = (movies2.select("movieId", "vote_count", "vote_average", ts.alias("timestamp"))
             .where((F.col("vote_count") > 0) & F.col("timestamp").isNotNull()))
-    return (base.select("movieId", "vote_average", "timestamp",
-                        F.explode(F.sequence(F.lit(1), F.col("vote_count"))).alias("vote_no"))
+    # a movie with a huge vote count is expanded in chunks of VOTE_CHUNK votes, spread over
+    # tasks by (movie, chunk), so no single task generates all of its rows
+    chunks = base.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("vote_count") - 1) / VOTE_CHUNK)))
+                         .alias("chunk"))
+    lo = F.col("chunk") * VOTE_CHUNK + 1
+    hi = F.least(F.col("vote_count"), (F.col("chunk") + 1) * VOTE_CHUNK)
+    chunks = chunks.repartition("movieId", "chunk") if spread else chunks
+    return (chunks.select("movieId", "vote_average", "timestamp",
+                          F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("vote_no"))
             .select(voter_id("movieId", "vote_no", pool, seed).alias("userId"),
                     F.col("movieId"),
                     rescale_vote("vote_average").cast("float").alias("rating"),

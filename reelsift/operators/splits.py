@@ -64,13 +64,19 @@ def temporal_split_periods(df: DataFrame, col: str = "week_start", val: float =
 def leave_last_n_out(df: DataFrame, n_test: int = LEAVE_OUT_TEST, n_val: int = LEAVE_OUT_VAL,
                      user: str = "userId", ts: str = "timestamp", tie=("movieId", "rating")):
     """WN-4: users with >= n_test + n_val + 1 rows; per user newest n_test -> test, next
-    n_val -> val, rest train (ties on ts broken by ``tie`` ascending)."""
-    eligible = filter_min_count(df, user, n_test + n_val + 1)
+    n_val -> val, rest train (ties on ts broken by ``tie`` ascending).
+
+    Only the newest n_test + n_val rows of each user are ranked: ``row_number <= n`` is
+    planned with a partial WindowGroupLimit, so at most n rows per user and map task are
+    shuffled even for a user holding a large share of all rows. The labels go back to the
+    rows with a join on the whole row key (unique), which spreads a heavy user's rows."""
+    n = n_test + n_val
+    eligible = filter_min_count(df, user, n + 1)
+    key = [user, ts, *tie]
     w = Window.partitionBy(user).orderBy(F.col(ts).desc(), *[F.col(c) for c in tie])
-    r = F.row_number().over(w) - 1
-    return eligible.withColumn("_r", r).withColumn(
-        "split", F.when(F.col("_r") < n_test, "test").when(F.col("_r") < n_test + n_val, "val")
-        .otherwise("train")).drop("_r")
+    top = (eligible.select(*key).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+           .select(*key, F.when(F.col("_r") <= n_test, "test").otherwise("val").alias("split")))
+    return eligible.join(top, key, "left").withColumn("split", F.coalesce(F.col("split"), F.lit("train")))
 
 
 def leave_out_counts(df: DataFrame, n_test: int = LEAVE_OUT_TEST, n_val: int = LEAVE_OUT_VAL,

@@ -240,7 +240,8 @@ def q_strict_title_pairs(spark, sf):
 def catalog_pages(spark, sf, page_size: int = 20):
     """Catalogue API pages as JSON text built from ``part``: one result per part (genre ids
     from its name's words, an unknown id 999 for size 2), pages of ``page_size`` results,
-    and the size-1 parts repeated on an extra page (duplicate hits)."""
+    and the size-1 parts repeated on extra pages (duplicate hits); every page holds at most
+    ``page_size`` results."""
     p = adapt.table(spark, sf, "part")
     words = p.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
     genre_list = words.select((F.row_number().over(Window.orderBy("name")) + 10).cast("int").alias("id"), "name")
@@ -256,7 +257,7 @@ def catalog_pages(spark, sf, page_size: int = 20):
                  (F.pmod(F.col("p_size"), F.lit(21)) / 2.0).alias("vote_average"),
                  F.pmod(F.col("p_size"), F.lit(7)).cast("int").alias("vote_count")).alias("r"),
         F.col("p_size"), F.col("p_partkey"))
-    res = res.unionByName(res.where(F.col("p_size") == 1).withColumn("page", F.lit(-1).cast("long")))
+    res = res.unionByName(res.where(F.col("p_size") == 1).withColumn("page", -F.col("page") - 1))
     pages = res.groupBy("page").agg(F.to_json(F.struct(
         F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "r"))), lambda s: s["r"]).alias("results")))
         .alias("value"))

@@ -98,9 +98,11 @@ def _recent_state_fn(n: int):
             prev = pd.DataFrame(state.get[0], columns=["timestamp", "movieId"])
         else:
             prev = pd.DataFrame({"timestamp": pd.Series([], dtype="int64"), "movieId": pd.Series([], dtype="int32")})
-        frames = [prev] + [p[["timestamp", "movieId"]] for p in pdfs]
-        allr = pd.concat(frames, ignore_index=True)
-        top = allr.sort_values(["timestamp", "movieId"], ascending=[False, False]).head(n)
+        top = prev
+        for p in pdfs:  # fold Arrow batches one at a time: memory stays O(batch + n)
+            both = pd.concat([top, p[["timestamp", "movieId"]]], ignore_index=True)
+            top = both.nlargest(n, ["timestamp", "movieId"])
+        top = top.sort_values(["timestamp", "movieId"], ascending=[False, False])
         state.update(([(int(t), int(m)) for t, m in zip(top["timestamp"], top["movieId"])],))
         ids = [int(m) for m in top["movieId"]] + [None] * (n - len(top))
         row = {"userId": [int(key[0])]}

@@ -287,6 +287,12 @@ def top_k(df: DataFrame, by, k: int, tie=None) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def preview(df: DataFrame, order, n: int = 5) -> DataFrame:
+    """TK-5: the first n rows in a stated order (a deterministic ``head``)."""
+    order = [order] if isinstance(order, str) else list(order)
+    return df.orderBy(*order).limit(n)
+
+
 def most_rated(ratings: DataFrame, movies: DataFrame, k: int = TOP_K) -> DataFrame:
     """TK-2: k most-rated movies (ties by movieId) with titles and mean rating."""
     t = movie_totals(ratings)

@@ -62,6 +62,21 @@ def feature_importance(model: PipelineModel) -> DataFrame:
                 .orderBy(F.col("importance").desc())
 
 
+def training_history(model: PipelineModel, train: DataFrame, val: DataFrame) -> DataFrame:
+    """ML-17: squared-error loss after each boosting round on the training and validation
+    weeks (the data behind the loss curve)."""
+    from pyspark.sql import SparkSession
+    gbt = model.stages[-1]
+    prep = PipelineModel(stages=model.stages[:-1])
+    tr = gbt.evaluateEachIteration(prep.transform(_fill(train.withColumn("is_val", F.lit(False)))
+                                                  .withColumn(TARGET, F.col(TARGET).cast("double"))), "squared")
+    va = gbt.evaluateEachIteration(prep.transform(_fill(val.withColumn("is_val", F.lit(True)))
+                                                  .withColumn(TARGET, F.col(TARGET).cast("double"))), "squared")
+    spark = SparkSession.getActiveSession()
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]
+    return spark.createDataFrame(rows, "round int, train_loss double, val_loss double")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """ML-10: encoder + assembler + trees saved as one bundle."""
     model.write().overwrite().save(path)

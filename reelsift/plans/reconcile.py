@@ -13,6 +13,7 @@ from reelsift.functions.text import (GENRE_SENTINEL, norm_strict, normalize_spac
 from reelsift.operators.joins import drop_known, remap_ids
 from reelsift.operators.ranking import dense_id_map
 from reelsift.operators.explore import sample_n
+from reelsift.session import cut_lineage
 
 FIRST, SECOND = "movielens", "tmdb"  # fixed source labels of the reference
 
@@ -51,7 +52,7 @@ def flag_cross_source_duplicates(movies1: DataFrame, movies2_std: DataFrame):
     m2 = movies2_std.withColumn("year", release_year("release_date")).withColumn("title_norm", title_norm_plain("title"))
     k1 = m1.where(F.col("year").isNotNull()).select("title_norm", "year").distinct()
     k2 = m2.where(F.col("year").isNotNull()).select("title_norm", "year").distinct()
-    dup = k1.join(k2, ["title_norm", "year"]).withColumn("is_duplicate_title_year", F.lit(True))
+    dup = cut_lineage(k1.join(k2, ["title_norm", "year"]).withColumn("is_duplicate_title_year", F.lit(True)))
 
     def flag(m):
         return (m.join(dup, ["title_norm", "year"], "left")
@@ -105,7 +106,8 @@ def standardize_sources(combined_movies: DataFrame, combined_ratings: DataFrame,
     second = second.select("movieId", title_append_year(F.col("title"), yr).alias("title"), "genres")
     unified = first.unionByName(second)
     ratings = combined_ratings.select("userId", "movieId", "rating", "timestamp")
-    dup_map = canonical_map(unified, max_first, min_norm_len)
+    # the map is catalogue-sized; checkpointing it keeps the plans of every consumer short
+    dup_map = cut_lineage(canonical_map(unified, max_first, min_norm_len))
     ratings = remap_ids(ratings, dup_map, "movieId")
     movies = drop_known(unified, dup_map.select(F.col("old_id").alias("movieId")), "movieId")
     return movies, ratings, dup_map
@@ -174,21 +176,50 @@ def audit_sample(keys: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
     return sample_n(keys, ["title_norm", "year"], n, seed)
 
 
+def _metrics(df: DataFrame, exprs: dict, dtype: str = "long") -> DataFrame:
+    """One aggregation pass computing several named metrics, unpivoted to (metric, value)."""
+    names = list(exprs)
+    wide = df.agg(*[e.cast(dtype).alias(n) for n, e in exprs.items()])
+    return wide.unpivot([], names, "metric", "value")
+
+
 def merge_report(movies1: DataFrame, ratings1: DataFrame, movies2: DataFrame, ratings2: DataFrame) -> DataFrame:
     """AG-31: before/after rows, flagged rows per source, duplicate keys, new id ranges."""
     movies, ratings, dup, movie_map, user_map = merge_sources(movies1, ratings1, movies2, ratings2)
 
-    def m(name, df, expr):
-        return df.agg(expr.cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
     n = F.count(F.lit(1))
-    parts = [m("first_ratings_rows", ratings1, n), m("first_movies_rows", movies1, n),
-             m("second_ratings_rows", ratings2, n), m("second_movies_rows", movies2, n),
-             m("combined_ratings_rows", ratings, n), m("combined_movies_rows", movies, n),
-             m("duplicate_keys", dup, n),
-             m("first_flagged", movies.where(F.col("source") == FIRST), F.count_if("is_duplicate_title_year")),
-             m("second_flagged", movies.where(F.col("source") == SECOND), F.count_if("is_duplicate_title_year")),
-             m("second_movie_id_min", movie_map, F.min("new_id")), m("second_movie_id_max", movie_map, F.max("new_id")),
-             m("second_user_id_min", user_map, F.min("new_id")), m("second_user_id_max", user_map, F.max("new_id"))]
+    first = F.col("source") == FIRST
+    parts = [_metrics(ratings1, {"first_ratings_rows": n}), _metrics(movies1, {"first_movies_rows": n}),
+             _metrics(ratings2, {"second_ratings_rows": n}), _metrics(movies2, {"second_movies_rows": n}),
+             _metrics(ratings, {"combined_ratings_rows": n}),
+             _metrics(movies, {"combined_movies_rows": n,
+                               "first_flagged": F.count_if(first & F.col("is_duplicate_title_year")),
+                               "second_flagged": F.count_if(~first & F.col("is_duplicate_title_year"))}),
+             _metrics(dup, {"duplicate_keys": n}),
+             _metrics(movie_map, {"second_movie_id_min": F.min("new_id"), "second_movie_id_max": F.max("new_id")}),
+             _metrics(user_map, {"second_user_id_min": F.min("new_id"), "second_user_id_max": F.max("new_id")})]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def standardize_report(combined_movies: DataFrame, combined_ratings: DataFrame, std_movies: DataFrame,
+                       std_ratings: DataFrame, dup_map: DataFrame, lo: float = RATING_MIN,
+                       hi: float = RATING_MAX) -> DataFrame:
+    """AG-31 (standardise side): movie rows before/after, duplicate keys and dropped rows,
+    rating rows (unchanged) and how many were remapped, rating range and out-of-range rows."""
+    n = F.count(F.lit(1))
+    remapped = combined_ratings.join(dup_map.select(F.col("old_id").alias("movieId")), "movieId", "left_semi")
+    r = F.col("rating")
+    parts = [_metrics(combined_movies, {"movies_before": n}, "double"),
+             _metrics(std_movies, {"movies_after": n}, "double"),
+             _metrics(dup_map, {"duplicate_keys": F.count_distinct("title_norm", "year"), "second_rows_dropped": n},
+                      "double"),
+             _metrics(combined_ratings, {"ratings_before": n}, "double"),
+             _metrics(std_ratings, {"ratings_after": n, "rating_min": F.min(r), "rating_max": F.max(r),
+                                    "ratings_out_of_range": F.count_if((r < lo) | (r > hi))}, "double"),
+             _metrics(remapped, {"ratings_remapped": n}, "double")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -96,6 +96,15 @@ def q_forecast_feature_importance(spark, sf):
     return fc.feature_importance(model)
 
 
+@register("forecast_training_history")
+def q_forecast_training_history(spark, sf):
+    """ML-17: per-round training / validation loss of the boosted trees."""
+    s = _forecast_split(spark, sf)
+    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+    model = fc.train_forecaster(train, val, max_iter=40)
+    return fc.training_history(model, train, val)
+
+
 def _rec_split(spark, sf):
     log = pf.interaction_log_from_ratings(adapt.ratings(spark, sf), casual_max=SEG_CASUAL, regular_max=SEG_REGULAR)
     return sp.leave_last_n_out(log)

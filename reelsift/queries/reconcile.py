@@ -164,6 +164,34 @@ def q_canonical_map(spark, sf):
     return _standardized(spark, sf)[2]
 
 
+@register("standardize_report", _STD_SQL + """,
+sm AS (SELECT * FROM uni WHERE movieId NOT IN (SELECT old_id FROM dmap)),
+sr AS (SELECT userId, coalesce(dmap.new_id, cr.movieId) AS movieId, rating FROM cr LEFT JOIN dmap ON cr.movieId = dmap.old_id)
+SELECT 'movies_before' AS metric, CAST(count(*) AS DOUBLE) AS value FROM cm
+UNION ALL SELECT 'movies_after', count(*) FROM sm
+UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT DISTINCT title_norm, year FROM dmap)
+UNION ALL SELECT 'second_rows_dropped', count(*) FROM dmap
+UNION ALL SELECT 'ratings_before', count(*) FROM cr
+UNION ALL SELECT 'ratings_after', count(*) FROM sr
+UNION ALL SELECT 'ratings_remapped', count(*) FROM cr WHERE movieId IN (SELECT old_id FROM dmap)
+UNION ALL SELECT 'rating_min', min(rating) FROM sr
+UNION ALL SELECT 'rating_max', max(rating) FROM sr
+UNION ALL SELECT 'ratings_out_of_range', count(*) FILTER (WHERE rating < 0.5 OR rating > 5.0) FROM sr""")
+def q_standardize_report(spark, sf):
+    """AG-31 (standardise): before/after rows, duplicates, remapped ratings, rating range."""
+    m1, r1, m2, r2 = _sources(spark, sf)
+    movies, ratings, _, movie_map, _ = rc.merge_sources(m1, r1, m2, r2)
+    sm, sr, dmap = rc.standardize_sources(movies, ratings, movie_map, m2.select("movieId", "release_date"))
+    return rc.standardize_report(movies, ratings, sm, sr, dmap)
+
+
+@register("merged_movies_preview", _MERGE_SQL + "SELECT * FROM cm ORDER BY movieId, source LIMIT 5")
+def q_merged_movies_preview(spark, sf):
+    """TK-5: head(5) of the merged catalogue in a stated order."""
+    from reelsift.operators.explore import preview
+    return preview(rc.merge_sources(*_sources(spark, sf))[0], ["movieId", "source"], 5)
+
+
 def _classify_sql(a: str, b: str) -> str:
     aa = f"trim(regexp_replace({a}, '{_STRIP_YEAR_RE}', ''))"
     bb = f"trim({b})"

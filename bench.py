@@ -37,12 +37,19 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = get_session(f"local[{cpus}]", int(cpus) * 2, app="reelsift-bench",
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = get_session(f"local[{cpus}]", parts, app="reelsift-bench",
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "6g")})
     spark.sparkContext.setLogLevel("ERROR")
     qs = queries()
     qs["forecast_features"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
+    # the ratings table is derived (lineitem x orders) and staged once per session; its
+    # cost is reported as its own entry and included in the total
+    from reelsift import adapt
+    t0 = time.perf_counter()
+    adapt.ratings(spark, sf_dir)
+    times["stage_ratings"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -143,11 +143,11 @@ def classify_title_pair(first_title, second_title) -> Column:
 
 def audit_duplicates(combined_movies: DataFrame, movies2: DataFrame, strict: bool = False) -> DataFrame:
     """PL-4: flagged rows of both sources are paired again on (title key, year), one pair
-    per key (smallest ids), and classified. ``strict=True`` pairs on the strict
-    normalisation instead of the lower-cased title (only then can the looser classes occur)."""
+    per key (smallest ids), and classified. ``strict=True`` pairs all rows of both sources
+    on the strict normalisation instead (the looser classes can then occur)."""
     src = movies2.select("movieId", "title", "release_date")
     src = (src.groupBy("title").agg(F.min_by("release_date", "movieId").alias("release_date")))  # DQ-2
-    flagged = combined_movies.where(F.col("is_duplicate_title_year"))
+    flagged = combined_movies if strict else combined_movies.where(F.col("is_duplicate_title_year"))
     ml = flagged.where(F.col("source") == FIRST).select(
         F.col("movieId").alias("movieId_ml"), F.col("title").alias("title_ml"),
         title_year("title").alias("year"),

@@ -52,3 +52,11 @@ def week_grid(keys: DataFrame, key: str, lo, hi, step: str = "7 days",
     """JN-14: every key x every period from ``lo`` to ``hi`` (scalar Columns), generated by
     ``explode(sequence)`` per key row -- the output is the grid itself, no pair join."""
     return keys.select(key, F.explode(F.sequence(lo, hi, F.expr(f"interval {step}"))).alias(out))
+
+
+def full_grid(df: DataFrame, dim: str, period: str = "week_start", step: str = "7 days") -> DataFrame:
+    """JN-14: every value of ``dim`` x every period between the global first and last period
+    of ``df`` (bounds as scalar subqueries)."""
+    lo = df.agg(F.min(period)).scalar()
+    hi = df.agg(F.max(period)).scalar()
+    return week_grid(df.select(dim).distinct(), dim, lo, hi, step, period)

@@ -226,6 +226,18 @@ def standardize_report(combined_movies: DataFrame, combined_ratings: DataFrame,
     return out
 
 
+def genre_ids_to_names(df: DataFrame, genres: DataFrame, key: str = "movieId", ids: str = "genre_ids") -> DataFrame:
+    """FN-23: per key, its genre ids -> names joined by ``|`` in list order; an unknown id ->
+    ``Unknown``; an empty or null list -> null (the caller applies the sentinel). The lookup
+    is a join on exploded ids (the genre list is broadcast: one row per genre)."""
+    e = df.select(key, F.posexplode_outer(ids).alias("gpos", "gid"))
+    named = (e.join(F.broadcast(genres.select(F.col("id").alias("gid"), "name")), "gid", "left")
+             .withColumn("name", F.when(F.col("gid").isNotNull(), F.coalesce("name", F.lit("Unknown")))))
+    return named.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("gid").isNotNull(), F.struct("gpos", "name")))),
+                                 lambda s: s["name"]), "|").alias("g"))
+
+
 def catalog_from_json(pages: DataFrame, genres: DataFrame, sentinel: str = GENRE_SENTINEL) -> DataFrame:
     """PL-5 (SRC-11, DQ-2, FN-23, FN-24): catalogue API pages -> one row per id (first
     occurrence by page then position), genre ids -> ``A|B`` names (unknown id -> Unknown,
@@ -236,12 +248,7 @@ def catalog_from_json(pages: DataFrame, genres: DataFrame, sentinel: str = GENRE
     res = pages.select("page", F.posexplode("results").alias("pos", "r"))
     first = (res.where(F.col("r.id").isNotNull()).groupBy(F.col("r.id").alias("movieId"))
              .agg(F.min_by("r", F.struct("page", "pos")).alias("r")))
-    ids = first.select("movieId", F.posexplode_outer("r.genre_ids").alias("gpos", "gid"))
-    named = (ids.join(F.broadcast(genres.select(F.col("id").alias("gid"), "name")), "gid", "left")
-             .withColumn("name", F.when(F.col("gid").isNotNull(), F.coalesce("name", F.lit("Unknown")))))
-    gnames = named.groupBy("movieId").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("gid").isNotNull(), F.struct("gpos", "name")))),
-                                 lambda s: s["name"]), "|").alias("g"))
+    gnames = genre_ids_to_names(first.select("movieId", F.col("r.genre_ids").alias("genre_ids")), genres)
     return first.join(gnames, "movieId", "left").select(
         F.col("movieId").cast("int"),
         F.coalesce("r.title", F.lit("")).alias("title"),

@@ -148,11 +148,14 @@ def q_genre_year_counts(spark, sf):
     return ex.genre_year_counts(_r(spark, sf), _m(spark, sf))
 
 
-@register("genre_year_top8", with_tables("ratings", "genre_pairs", extra=_GY + ",\n" + _MT + """,
+_GY8_SQL = with_tables("ratings", "genre_pairs", extra=_GY + ",\n" + _MT + """,
 top AS (SELECT genre FROM gstats ORDER BY total_ratings DESC, genre LIMIT 8),
 yrs AS (SELECT DISTINCT year FROM gy WHERE genre IN (SELECT genre FROM top))""") + """
 SELECT yrs.year, top.genre, coalesce(gy."count", 0) AS "count"
-FROM yrs CROSS JOIN top LEFT JOIN gy ON gy.year = yrs.year AND gy.genre = top.genre""")
+FROM yrs CROSS JOIN top LEFT JOIN gy ON gy.year = yrs.year AND gy.genre = top.genre"""
+
+
+@register("genre_year_top8", _GY8_SQL)
 def q_genre_year_top8(spark, sf):
     """AG-19: years x top-8 genres pivot (missing -> 0), shown long."""
     return ex.genre_year_top_long(_r(spark, sf), _m(spark, sf), 8)
@@ -337,7 +340,7 @@ def q_movie_sample(spark, sf):
     return ex.sample_n(t, "movieId", 50, seed=42)
 
 
-@register("genre_year_pivot")
+@register("genre_year_pivot", "WITH g8 AS (" + _GY8_SQL + ")\nSELECT * FROM (PIVOT g8 ON genre USING first(\"count\") GROUP BY year)")
 def q_genre_year_pivot(spark, sf):
     """AG-19 wide: one column per top-8 genre (names come from the data)."""
     return ex.genre_year_pivot(_r(spark, sf), _m(spark, sf), 8)

@@ -57,8 +57,10 @@ def q_forecast_features_no_leak(spark, sf):
     return pf.forecasting_features(adapt.ratings(spark, sf), adapt.movies(spark, sf), include_current=False)
 
 
-@register("genre_week_counts", with_tables("ratings", "genre_pairs", extra=_MW) +
-          "SELECT genre, week_start, rating_count, rating_sum FROM gw")
+_GW_SQL = with_tables("ratings", "genre_pairs", extra=_MW) + "SELECT genre, week_start, rating_count, rating_sum FROM gw"
+
+
+@register("genre_week_counts", _GW_SQL)
 def q_genre_week_counts(spark, sf):
     """AG-6."""
     return ag.genre_week_counts(adapt.ratings(spark, sf), explode_genres(adapt.movies(spark, sf)))

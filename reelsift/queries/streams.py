@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelsift.queries import register
-from reelsift.queries.features import FORECAST_SQL, SEG_CASUAL, SEG_REGULAR  # noqa: F401
+from reelsift.queries.features import _GW_SQL, FORECAST_SQL, SEG_CASUAL, SEG_REGULAR  # noqa: F401
 from reelsift.queries.sql import with_tables
 from reelsift.streaming import jobs as ss
 from reelsift.functions.labels import segment_label
@@ -22,6 +22,17 @@ def q_stream_event_weeks(spark, sf):
     return d.select("genre", "week_start", "event_count", F.round("value_sum", 6).alias("value_sum"))
 
 
+@register("stream_genre_week_counts", _GW_SQL)
+def q_stream_genre_week_counts(spark, sf):
+    """SS-1 on ratings: watermarked weekly windows per genre (update mode) equal to AG-6."""
+    from reelsift import adapt
+    from reelsift.operators.explore import explode_genres
+    out = ss.scratch(spark, "genre_week")
+    pairs = explode_genres(adapt.movies(spark, sf))
+    ss.run_available(ss.stream_genre_week_ratings(ss.ratings_stream(spark, sf), pairs), out, mode="update")
+    return ss.latest_version(spark, out, ["genre", "week_start"])
+
+
 @register("stream_user_stats", with_tables("ratings") + """
 SELECT userId, CAST(count(*) AS INTEGER) AS total_ratings,
        round(avg(CAST(rating AS DOUBLE)), 6) AS avg_rating,

@@ -100,3 +100,13 @@ def read_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
 def parquet_row_count(spark: SparkSession, path: str) -> int:
     """SRC-12: exact row count before any filter (reads no data columns)."""
     return spark.read.parquet(path).count()
+
+
+def read_source(spark: SparkSession, src_dir: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-1/2/7: (movies, ratings) of one source folder."""
+    return read_movies(spark, f"{src_dir}/movies.csv"), read_ratings(spark, f"{src_dir}/ratings.csv")
+
+
+def read_partitioned_ratings(spark: SparkSession, path: str, split_bytes: int = 128 << 20) -> DataFrame:
+    """SRC-13: a large ratings file read as input splits of ``split_bytes`` (no chunk loop)."""
+    return read_ratings(spark, path, max_partition_bytes=split_bytes)

@@ -31,6 +31,11 @@ def write_parquet(df: DataFrame, path: str, max_records_per_file: int | None = N
     w.parquet(path)
 
 
+def write_interaction_log(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
+    """SNK-3: the interaction log in files of at most ``rows_per_file`` rows, one schema."""
+    write_parquet(df, path, max_records_per_file=rows_per_file)
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")

@@ -86,6 +86,17 @@ def stream_genre_week(events: DataFrame, watermark: str = "7 days") -> DataFrame
             .select("genre", F.to_date(F.col("w.start")).alias("week_start"), "event_count", "value_sum"))
 
 
+def stream_genre_week_ratings(ratings: DataFrame, pairs: DataFrame, watermark: str = "30 days") -> DataFrame:
+    """SS-1 on ratings: stream-static join with the (movie, genre) pairs, Monday-aligned
+    7-day event-time windows per genre, rating count and sum (equals AG-6 when nothing is
+    late). The stream cannot aggregate twice, so the fan-out happens per rating here."""
+    r = ratings.withColumn("event_time", F.timestamp_seconds("timestamp")).withWatermark("event_time", watermark)
+    return (r.join(pairs, "movieId")
+            .groupBy(F.window("event_time", "7 days", "7 days", WEEK_OFFSET).alias("w"), "genre")
+            .agg(F.count(F.lit(1)).alias("rating_count"), F.sum(F.col("rating").cast("double")).alias("rating_sum"))
+            .select("genre", F.to_date(F.col("w.start")).alias("week_start"), "rating_count", "rating_sum"))
+
+
 def stream_user_stats(ratings: DataFrame, positive: float = POSITIVE_RATING) -> DataFrame:
     """SS-2: running per-user statistics (AG-1) in update mode."""
     from reelsift.operators.aggregates import user_stats

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _STAGED: dict[tuple[str, str, str], str] = {}
+_STAGE_LOCK = threading.Lock()
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -42,12 +44,13 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if os.environ.get("REELSIFT_STAGE", "1") == "0":
         return build(spark, sf_dir)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-    path = _STAGED.get(key)
-    if path is None:
-        digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{digest}"
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _STAGED[key] = path
+    with _STAGE_LOCK:
+        path = _STAGED.get(key)
+        if path is None:
+            digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{digest}"
+            build(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _STAGED[key] = path
     return spark.read.parquet(path)
 
 
@@ -141,14 +144,15 @@ def voter_id(movie_id, vote_no, pool: int = VOTER_POOL, seed: int = VOTER_SEED):
 
 
 def expand_votes(movies2: DataFrame, pool: int = VOTER_POOL, seed: int = VOTER_SEED,
-                 spread: bool = False) -> DataFrame:
+                 spread: bool = True) -> DataFrame:
     """PL-6: one rating row per vote; rating = rescaled vote average, timestamp = release
     date; movies with no votes or an unparsable release date produce nothing."""
     ts = F.unix_seconds(F.try_to_timestamp(F.col("release_date"), F.lit("yyyy-MM-dd")))
     base = (movies2.select("movieId", "vote_count", "vote_average", ts.alias("timestamp"))
             .where((F.col("vote_count") > 0) & F.col("timestamp").isNotNull()))
     # a movie with a huge vote count is expanded in chunks of VOTE_CHUNK votes, spread over
-    # tasks by (movie, chunk), so no single task generates all of its rows
+    # tasks by (movie, chunk), so no single task generates all of its rows; the shuffle
+    # moves one small descriptor row per chunk, not the votes
     chunks = base.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("vote_count") - 1) / VOTE_CHUNK)))
                          .alias("chunk"))
     lo = F.col("chunk") * VOTE_CHUNK + 1

@@ -156,11 +156,12 @@ def audit_duplicates(combined_movies: DataFrame, movies2: DataFrame, strict: boo
         F.col("movieId").alias("movieId_tmdb"), F.col("title").alias("title_tmdb"),
         release_year("release_date").alias("year"),
         (norm_strict("title") if strict else title_norm_plain("title")).alias("title_norm"))
-    pairs = ml.join(tm, ["title_norm", "year"])
-    first_pair = pairs.groupBy("title_norm", "year").agg(
-        F.min_by(F.struct("movieId_ml", "movieId_tmdb", "title_ml", "title_tmdb"),
-                 F.struct("movieId_ml", "movieId_tmdb")).alias("p"))
-    keys = first_pair.select("title_norm", "year", "p.*")
+    # the first pair of a key in (first id, second id) order is the smallest id of each side:
+    # reduce each side to one row per key before joining, so no key emits all its pairs
+    k = ["title_norm", "year"]
+    ml1 = ml.groupBy(*k).agg(F.min_by(F.struct("movieId_ml", "title_ml"), "movieId_ml").alias("a"))
+    tm1 = tm.groupBy(*k).agg(F.min_by(F.struct("movieId_tmdb", "title_tmdb"), "movieId_tmdb").alias("b"))
+    keys = ml1.join(tm1, k).select(*k, "a.movieId_ml", "b.movieId_tmdb", "a.title_ml", "b.title_tmdb")
     return keys.withColumn("match_type", classify_title_pair(F.col("title_ml"), F.col("title_tmdb")))
 
 

@@ -58,9 +58,14 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def quality_profile(df: DataFrame, name: str) -> DataFrame:
-    """DQ-4: long (table, metric, value): rows, nulls per column, duplicate rows."""
+    """DQ-4: long (table, metric, value): rows, missing values per column (null, and NaN in
+    float columns), duplicate rows (nulls compare equal)."""
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+
+    def missing(c):  # pandas counts NaN as missing too
+        return (F.col(c).isNull() | F.isnan(c)) if c in floats else F.col(c).isNull()
     counts = df.agg(F.count(F.lit(1)).alias("rows"),
-                    *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns])
+                    *[F.count_if(missing(c)).alias(f"null_{c}") for c in df.columns])
     metrics = ["rows"] + [f"null_{c}" for c in df.columns]
     stack = "stack({n}, {body}) as (metric, value)".format(
         n=len(metrics), body=", ".join(f"'{m}', cast(`{m}` as bigint)" for m in metrics))

@@ -22,6 +22,9 @@ _PROFILE_COLS = {
 }
 
 
+_FLOAT_COLS = {"rating", "relevance"}
+
+
 def _q(c):
     return f'"{c}"'
 
@@ -30,7 +33,8 @@ def _profile_sql(cte: str) -> str:
     name, cols = _PROFILE_COLS[cte]
     parts = [f"SELECT '{name}' AS table_name, 'rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM {cte}"]
     for c in cols:
-        parts.append(f"SELECT '{name}', 'null_{c}', CAST(count(*) FILTER (WHERE {_q(c)} IS NULL) AS BIGINT) FROM {cte}")
+        cond = f"{_q(c)} IS NULL" + (f" OR isnan({_q(c)})" if c in _FLOAT_COLS else "")
+        parts.append(f"SELECT '{name}', 'null_{c}', CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) FROM {cte}")
     gb = ", ".join(_q(c) for c in cols)
     parts.append(f"SELECT '{name}', 'duplicate_rows', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM "
                  f"(SELECT count(*) AS n FROM {cte} GROUP BY {gb})")

@@ -135,3 +135,9 @@ def test_dedup_keep_first(spark):
     df = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 5, "only")], "k string, o int, v string")
     got = {r.k: r.v for r in dq.dedup_keep_first(df, "k", "o").collect()}
     assert got == {"a": "early", "b": "only"}
+
+
+def test_profile_counts_nan_as_missing(spark):
+    df = spark.createDataFrame([(1, 1, float("nan"), 1), (1, 2, None, 2), (1, 3, 3.0, 3)], R)
+    prof = {r.metric: r.value for r in dq.quality_profile(df, "ratings").collect()}
+    assert prof["null_rating"] == 2 and prof["null_userId"] == 0

@@ -26,10 +26,22 @@ def global_rank(df: DataFrame, order_cols, out: str = "_rank") -> DataFrame:
             .withColumn(out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off"))
 
 
-def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id", new: str = "new_id") -> DataFrame:
+SMALL_ID_SET = 1_000_000
+
+
+def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id", new: str = "new_id",
+                 small: int = SMALL_ID_SET) -> DataFrame:
     """JN-12: sorted distinct ids -> start, start + 1, ... ``start`` is a literal or a scalar
-    Column (for example ``other.agg(F.max(...)).scalar() + 1``)."""
+    Column (for example ``other.agg(F.max(...)).scalar() + 1``).
+
+    A limited count proves whether the distinct ids fit under ``small``: then one sorted
+    window numbers them (at most ``small`` ids in one task); otherwise the distributed
+    ``global_rank`` is used."""
     ids = df.select(F.col(id_col).alias(old)).where(F.col(old).isNotNull()).distinct()
-    ranked = global_rank(ids, [old])
     start_col = F.lit(start) if isinstance(start, (int, float)) else start
+    if ids.limit(small + 1).count() <= small:
+        rank = F.row_number().over(Window.orderBy(old)) - 1
+        # the map feeds several joins; a checkpoint keeps its lineage from being re-run
+        return cut_lineage(ids.select(old, (start_col + rank).cast("long").alias(new)))
+    ranked = global_rank(ids, [old])
     return ranked.select(old, (start_col + F.col("_rank")).cast("long").alias(new))

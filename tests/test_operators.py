@@ -141,3 +141,10 @@ def test_profile_counts_nan_as_missing(spark):
     df = spark.createDataFrame([(1, 1, float("nan"), 1), (1, 2, None, 2), (1, 3, 3.0, 3)], R)
     prof = {r.metric: r.value for r in dq.quality_profile(df, "ratings").collect()}
     assert prof["null_rating"] == 2 and prof["null_userId"] == 0
+
+
+def test_dense_id_map_both_paths_agree(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 1000).alias("id")).repartition(4)
+    small = sorted(tuple(r) for r in dense_id_map(df, "id", 10).collect())
+    large = sorted(tuple(r) for r in dense_id_map(df, "id", 10, small=100).collect())
+    assert small == large and [r[1] for r in small] == list(range(10, 510))

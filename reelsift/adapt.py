@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelsift.session import ensure_checkpoint_dir
 
-from reelsift.functions.text import split_genres
 from reelsift.functions.labels import rescale_vote
 
 # Fixed adapter parameters.
@@ -183,7 +182,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ratings", "movies", "tags", "links", "genome_scores", "genome_tags", "second_movies",
-           "second_ratings", "expand_votes", "genre_pairs", "events", "table", "split_genres"]
+           "second_ratings", "expand_votes", "genre_pairs", "events", "table", "raw_ratings", "raw_movies", "staged", "derive_ratings"]
 
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

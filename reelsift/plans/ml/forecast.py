@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FEATURE_COLS = ["lag_1", "lag_2", "lag_3", "rolling_3week_avg", "rolling_6week_avg", "genre_encoded"]
 TARGET = "rating_count"
@@ -55,17 +55,15 @@ def score_forecaster(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def feature_importance(model: PipelineModel) -> DataFrame:
     """ML-9: (feature, importance) sorted descending (one row per feature)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    from pyspark.sql import SparkSession
+    imp = [float(x) for x in model.stages[-1].featureImportances.toArray()]
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(FEATURE_COLS, [float(x) for x in imp])), "feature string, importance double") \
+    return spark.createDataFrame(list(zip(FEATURE_COLS, imp)), "feature string, importance double") \
                 .orderBy(F.col("importance").desc())
 
 
 def training_history(model: PipelineModel, train: DataFrame, val: DataFrame) -> DataFrame:
     """ML-17: squared-error loss after each boosting round on the training and validation
     weeks (the data behind the loss curve)."""
-    from pyspark.sql import SparkSession
     gbt = model.stages[-1]
     prep = PipelineModel(stages=model.stages[:-1])
     tr = gbt.evaluateEachIteration(prep.transform(_fill(train.withColumn("is_val", F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelsift.queries import register
-from reelsift.queries.features import _GW_SQL, FORECAST_SQL, SEG_CASUAL, SEG_REGULAR  # noqa: F401
+from reelsift.queries.features import _GW_SQL, SEG_CASUAL, SEG_REGULAR
 from reelsift.queries.sql import with_tables
 from reelsift.streaming import jobs as ss
 from reelsift.functions.labels import segment_label

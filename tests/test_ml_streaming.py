@@ -4,7 +4,6 @@ import tempfile
 from datetime import datetime
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from reelsift.plans.ml import embeddings as emb

@@ -189,10 +189,15 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings before cleaning: every rating, plus a duplicate of each 5.0 rating, an
     out-of-range copy (+5.0) of each 0.5 rating and a null-rating copy of each 1.0 rating."""
     r = ratings(spark, sf_dir)
-    dup = r.where(F.col("rating") == 5.0)
-    high = r.where(F.col("rating") == 0.5).withColumn("rating", (F.col("rating") + 5.0).cast("float"))
-    null = r.where(F.col("rating") == 1.0).withColumn("rating", F.lit(None).cast("float"))
-    return r.unionByName(dup).unionByName(high).unionByName(null)
+    rating = F.col("rating")
+    # one scan: each affected row explodes into itself plus an altered copy
+    copies = F.when(rating.isin(5.0, 0.5, 1.0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    altered = (F.when(rating == 5.0, rating)
+               .when(rating == 0.5, (rating + 5.0).cast("float"))
+               .otherwise(F.lit(None).cast("float")))
+    return (r.select("*", F.explode(copies).alias("_copy"))
+            .withColumn("rating", F.when(F.col("_copy") == 1, altered).otherwise(rating))
+            .drop("_copy"))
 
 
 def raw_movies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,7 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df, name: str = "cut"):
+    """Cut lineage with a written table: ``df`` is written once as parquet into the shared
+    checkpoint folder and read back (one job; survives executor loss). A reliable
+    ``DataFrame.checkpoint`` would compute the lineage twice (once for the action, once for
+    the checkpoint write) unless the data were cached first."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

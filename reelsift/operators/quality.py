@@ -57,19 +57,18 @@ def duplicate_count(df: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("value")))
 
 
-def quality_profile(df: DataFrame, name: str) -> DataFrame:
+def quality_profile(df: DataFrame, name: str, extra: dict | None = None) -> DataFrame:
     """DQ-4: long (table, metric, value): rows, missing values per column (null, and NaN in
-    float columns), duplicate rows (nulls compare equal)."""
+    float columns), duplicate rows (nulls compare equal), plus ``extra`` named count
+    expressions computed in the same aggregation pass."""
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
 
     def missing(c):  # pandas counts NaN as missing too
         return (F.col(c).isNull() | F.isnan(c)) if c in floats else F.col(c).isNull()
-    counts = df.agg(F.count(F.lit(1)).alias("rows"),
-                    *[F.count_if(missing(c)).alias(f"null_{c}") for c in df.columns])
-    metrics = ["rows"] + [f"null_{c}" for c in df.columns]
-    stack = "stack({n}, {body}) as (metric, value)".format(
-        n=len(metrics), body=", ".join(f"'{m}', cast(`{m}` as bigint)" for m in metrics))
-    long = counts.selectExpr(stack)
+    exprs = {"rows": F.count(F.lit(1))}
+    exprs.update({f"null_{c}": F.count_if(missing(c)) for c in df.columns})
+    exprs.update(extra or {})
+    long = df.agg(*[e.cast("long").alias(k) for k, e in exprs.items()]).unpivot([], list(exprs), "metric", "value")
     dups = duplicate_count(df).select(F.lit("duplicate_rows").alias("metric"), "value")
     return long.unionByName(dups).select(F.lit(name).alias("table_name"), "metric", "value")
 
@@ -80,31 +79,26 @@ def entities_below_min(df: DataFrame, key: str, k: int) -> DataFrame:
             .agg(F.count_if(F.col("n") < k).alias("below"), F.count(F.lit(1)).alias("total")))
 
 
-def _metric(df: DataFrame, table: str, metric: str, value) -> DataFrame:
-    return df.agg(value.cast("long").alias("value")).select(
-        F.lit(table).alias("table_name"), F.lit(metric).alias("metric"), "value")
-
-
 def quality_report(ratings: DataFrame, movies: DataFrame, tags: DataFrame, links: DataFrame,
                    genome_scores: DataFrame, genome_tags: DataFrame,
                    lo: float = RATING_MIN, hi: float = RATING_MAX,
                    min_user: int = MIN_RATINGS_PER_USER, min_movie: int = MIN_RATINGS_PER_MOVIE) -> DataFrame:
     """DQ-5: profiles of the six tables plus invalid ratings, users/movies below the minimum,
-    titles needing the article fix and missing second-catalogue ids, in one long table."""
-    parts = [quality_profile(ratings, "ratings"), quality_profile(movies, "movies"),
-             quality_profile(tags, "tags"), quality_profile(links, "links"),
-             quality_profile(genome_scores, "genome_scores"), quality_profile(genome_tags, "genome_tags")]
+    titles needing the article fix and missing second-catalogue ids, in one long table.
+    Table-level extras ride on that table's profile pass; ratings are read four times
+    (profile, duplicates, per-user and per-movie counts)."""
     r = F.col("rating")
-    parts.append(_metric(ratings, "ratings", "invalid_ratings", F.count_if((r < lo) | (r > hi))))
-    ub = entities_below_min(ratings, "userId", min_user)
-    mb = entities_below_min(ratings, "movieId", min_movie)
-    for tag, d in (("users", ub), ("movies", mb)):
-        parts.append(d.select(F.lit("ratings").alias("table_name"), F.lit(f"{tag}_below_min").alias("metric"),
-                              F.col("below").cast("long").alias("value")))
-        parts.append(d.select(F.lit("ratings").alias("table_name"), F.lit(f"{tag}_total").alias("metric"),
-                              F.col("total").cast("long").alias("value")))
-    parts.append(_metric(movies, "movies", "titles_to_fix", F.count_if(needs_article_fix("title"))))
-    parts.append(_metric(links, "links", "tmdb_missing", F.count_if(F.col("tmdbId").isNull())))
+    parts = [quality_profile(ratings, "ratings", {"invalid_ratings": F.count_if((r < lo) | (r > hi))}),
+             quality_profile(movies, "movies", {"titles_to_fix": F.count_if(needs_article_fix("title"))}),
+             quality_profile(tags, "tags"),
+             quality_profile(links, "links", {"tmdb_missing": F.count_if(F.col("tmdbId").isNull())}),
+             quality_profile(genome_scores, "genome_scores"), quality_profile(genome_tags, "genome_tags")]
+    for tag, key, k in (("users", "userId", min_user), ("movies", "movieId", min_movie)):
+        d = entities_below_min(ratings, key, k)
+        parts.append(d.select(F.col("below").cast("long").alias(f"{tag}_below_min"),
+                              F.col("total").cast("long").alias(f"{tag}_total"))
+                     .unpivot([], [f"{tag}_below_min", f"{tag}_total"], "metric", "value")
+                     .select(F.lit("ratings").alias("table_name"), "metric", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

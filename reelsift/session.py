@@ -23,12 +23,31 @@ BASE_CONF = {
 }
 
 
+# Sizing for the 100 TB target (~1000 executors): start shuffles wide and let AQE coalesce
+# to ~256 MB partitions (sized by bytes, not by core count, on a shared cluster), split input
+# files at 256 MB, split skewed join partitions above 512 MB, and allow runtime broadcasts of
+# sides up to 64 MB (AQE measures them). Spark spills sorts, aggregations and joins itself
+# once partitions are bounded like this.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "reelsift", extra: dict | None = None) -> SparkSession:
+                app: str = "reelsift", extra: dict | None = None, profile: str = "local") -> SparkSession:
+    """Session with ``BASE_CONF``; ``profile="cluster"`` adds ``CLUSTER_CONF``. Settings the
+    cluster already defines (for example ``spark.checkpoint.dir``) are left as they are."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

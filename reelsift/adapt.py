@@ -81,11 +81,11 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tag per document: tag = source, movie = doc_id mod (number of parts)."""
-    n_parts = table(spark, sf_dir, "part").count()
+    n_parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return d.select(
         F.pmod(F.col("doc_id"), F.lit(TAG_USERS)).cast("int").alias("userId"),
-        F.pmod(F.col("doc_id"), F.lit(n_parts)).cast("int").alias("movieId"),
+        F.pmod(F.col("doc_id"), n_parts).cast("int").alias("movieId"),
         F.col("source").alias("tag"),
         (F.lit(TAG_EPOCH0) + F.col("doc_id") * 86400).cast("long").alias("timestamp"))
 

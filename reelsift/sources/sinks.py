@@ -37,10 +37,14 @@ def write_interaction_log(df: DataFrame, path: str, rows_per_file: int = 500_000
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    """True when ``path`` holds a finished write (its ``_SUCCESS`` marker exists). Creating the
+    reader lists the path, so a missing marker raises without running a job."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.text(path.rstrip("/") + "/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False
 
 
 def build_if_missing(spark: SparkSession, outputs: dict[str, Callable[[], DataFrame]],

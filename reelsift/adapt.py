@@ -27,11 +27,23 @@ VOTER_SEED = 42
 VOTE_CHUNK = 100_000        # votes generated per task and movie
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_SCHEMAS: dict[tuple[str, str], object] = {}
 
 
-_STAGED: dict[tuple[str, str, str], str] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; its schema is inferred from the footer once per session and passed
+    on later reads (no repeated inference job)."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, os.path.abspath(path))
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
+_STAGED: dict[tuple[str, str, str], tuple] = {}
 _STAGE_LOCK = threading.Lock()
 
 
@@ -44,13 +56,14 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         return build(spark, sf_dir)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     with _STAGE_LOCK:
-        path = _STAGED.get(key)
-        if path is None:
+        hit = _STAGED.get(key)
+        if hit is None:
             digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
             path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{digest}"
-            build(spark, sf_dir).write.mode("overwrite").parquet(path)
-            _STAGED[key] = path
-    return spark.read.parquet(path)
+            df = build(spark, sf_dir)
+            df.write.mode("overwrite").parquet(path)
+            hit = _STAGED[key] = (path, df.schema)
+    return spark.read.schema(hit[1]).parquet(hit[0])
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

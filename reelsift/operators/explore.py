@@ -191,8 +191,8 @@ def genre_trend_change(ratings: DataFrame, movies: DataFrame, n_years: int = 3)
     """AG-20: mean yearly share of each genre in the first vs last ``n_years`` years (mean
     over the years where the genre appears), change in percentage points, genres present
     in both windows only."""
-    gy = genre_year_counts(ratings, movies)
-    gy = gy.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("year")))
+    from reelsift.operators.windows import share_of_total
+    gy = share_of_total(genre_year_counts(ratings, movies), "year", "count")
     years = gy.select("year").distinct()
     yr = years.select("year",
                       F.row_number().over(Window.orderBy("year")).alias("asc_r"),

@@ -243,6 +243,15 @@ def q_user_activity_log_histogram(spark, sf):
     return ex.histogram(pu, "n", 60, log=True)
 
 
+@register("movie_popularity_log_histogram", with_tables("ratings", extra="""
+pm AS (SELECT movieId, count(*) AS n FROM ratings GROUP BY movieId)""") +
+          _hist_sql("pm", "log10(CAST(n AS DOUBLE))", 60))
+def q_movie_popularity_log_histogram(spark, sf):
+    """AG-26 (log bins): 60 bins of log10(ratings per movie)."""
+    pm = _r(spark, sf).groupBy("movieId").agg(F.count(F.lit(1)).alias("n"))
+    return ex.histogram(pm, "n", 60, log=True)
+
+
 @register("matrix_sparsity", with_tables("ratings") + """
 SELECT users, movies, users * movies AS possible, observed,
        round((1 - observed / (users * movies)) * 100, 6) AS sparsity_pct,

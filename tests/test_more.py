@@ -68,3 +68,23 @@ def test_ndcg_perfect_and_reversed(spark):
     rows = [(1, 5.0, 0.9), (1, 3.0, 0.5), (1, 1.0, 0.1)]
     perfect = mt.ndcg_at_k(spark.createDataFrame(rows, "u int, y double, p double"), "u", "y", "p").first()
     assert abs(perfect.ndcg - 1.0) < 1e-12
+
+
+def test_read_catalog_json_files(spark):
+    import json
+    import os
+    from reelsift.plans.reconcile import catalog_from_json
+    d = tempfile.mkdtemp(prefix="reelsift-json-")
+    page1 = {"results": [{"id": 7, "title": "Heat", "genre_ids": [28, 80], "release_date": "1995-12-15",
+                          "popularity": 9.5, "vote_average": 7.9, "vote_count": 12},
+                         {"id": 8, "title": "Up", "genre_ids": [], "vote_count": 3}]}
+    page2 = {"results": [{"id": 7, "title": "Heat (again)", "genre_ids": [80], "vote_count": 99}]}
+    with open(os.path.join(d, "pages.json"), "w") as f:
+        f.write(json.dumps(page1) + "\n" + json.dumps(page2) + "\n")
+    with open(os.path.join(d, "genres.json"), "w") as f:
+        f.write(json.dumps({"genres": [{"id": 28, "name": "Action"}, {"id": 80, "name": "Crime"}]}) + "\n")
+    pages = rd.read_catalog_json(spark, os.path.join(d, "pages.json"))
+    genres = rd.read_genre_list(spark, os.path.join(d, "genres.json"))
+    got = {r.movieId: r for r in catalog_from_json(pages, genres).collect()}
+    assert got[7].title == "Heat" and got[7].genres == "Action|Crime" and got[7].vote_count == 12
+    assert got[8].genres == "(no genres listed)" and got[8].release_date == ""

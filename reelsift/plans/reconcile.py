@@ -25,12 +25,19 @@ def max_ids(movies1: DataFrame, ratings1: DataFrame):
     return max_movie, max_user
 
 
+def second_source_movie_map(movies2: DataFrame, movies1: DataFrame, ratings1: DataFrame) -> DataFrame:
+    """JN-12: second-source movie ids -> after the first source's largest movie id."""
+    return dense_id_map(movies2, "movieId", max_ids(movies1, ratings1)[0] + 1)
+
+
+def second_source_user_map(ratings2: DataFrame, ratings1: DataFrame) -> DataFrame:
+    """JN-12: second-source user ids -> after the first source's largest user id."""
+    return dense_id_map(ratings2, "userId", ratings1.agg(F.max("userId")).scalar() + 1)
+
+
 def second_source_maps(movies2: DataFrame, ratings2: DataFrame, movies1: DataFrame, ratings1: DataFrame):
-    """JN-12: second-source movie ids -> after the first source's largest movie id; same for
-    users. Returns (movie_map, user_map) with columns old_id, new_id."""
-    max_movie, max_user = max_ids(movies1, ratings1)
-    return (dense_id_map(movies2, "movieId", max_movie + 1),
-            dense_id_map(ratings2, "userId", max_user + 1))
+    """Both maps: (movie_map, user_map) with columns old_id, new_id."""
+    return second_source_movie_map(movies2, movies1, ratings1), second_source_user_map(ratings2, ratings1)
 
 
 def remap_second_source(movies2: DataFrame, ratings2: DataFrame, movies1: DataFrame, ratings1: DataFrame,
@@ -60,14 +67,24 @@ def flag_cross_source_duplicates(movies1: DataFrame, movies2_std: DataFrame):
     return flag(m1), flag(m2), dup.drop("is_duplicate_title_year")
 
 
-def merge_sources(movies1: DataFrame, ratings1: DataFrame, movies2: DataFrame, ratings2: DataFrame):
+def merge_sources(movies1: DataFrame, ratings1: DataFrame, movies2: DataFrame, ratings2: DataFrame,
+                  with_ratings: bool = True):
     """PL-1: remap -> clip -> flag duplicates -> source labels -> union.
-    Returns (combined_movies, combined_ratings, dup_keys, movie_map, user_map)."""
-    m2, r2, movie_map, user_map = remap_second_source(movies2, ratings2, movies1, ratings1)
+    Returns (combined_movies, combined_ratings, dup_keys, movie_map, user_map); with
+    ``with_ratings=False`` only the catalogue side is built (ratings and user map are None)."""
+    max_movie, max_user = max_ids(movies1, ratings1)
+    movie_map = dense_id_map(movies2, "movieId", max_movie + 1)
+    m2 = remap_ids(movies2.select("movieId", "title", "genres", "release_date"), movie_map, "movieId")
     f1, f2, dup = flag_cross_source_duplicates(movies1, m2)
     cols = ["movieId", "title", "genres", "is_duplicate_title_year"]
     movies = (f1.select(*cols, F.lit(FIRST).alias("source"))
               .unionByName(f2.select(*cols, F.lit(SECOND).alias("source"))))
+    if not with_ratings:
+        return movies, None, dup, movie_map, None
+    user_map = dense_id_map(ratings2, "userId", max_user + 1)
+    r2 = remap_ids(remap_ids(ratings2.select("userId", "movieId", "rating", "timestamp"), user_map, "userId"),
+                   movie_map, "movieId")
+    r2 = r2.withColumn("rating", clip("rating", RATING_MIN, RATING_MAX).cast("float"))
     rcols = ["userId", "movieId", "rating", "timestamp"]
     ratings = (ratings1.select(*rcols, F.lit(FIRST).alias("source"))
                .unionByName(r2.select(*rcols, F.lit(SECOND).alias("source"))))
@@ -97,18 +114,18 @@ def standardize_sources(combined_movies: DataFrame, combined_ratings: DataFrame,
     """PL-2: second-source titles get `` (YYYY)`` from their release date, then both sources
     are keyed by the strict normalised title + year; second-source movies whose key has a
     first-source movie are mapped onto the smallest such id (JN-10), their ratings remapped
-    (JN-11) and the duplicate movie rows dropped (JN-3).
-    Returns (movies, ratings, dup_map)."""
+    (JN-11) and the duplicate movie rows dropped (JN-3). ``combined_ratings`` may be None when
+    only the catalogue side is wanted. Returns (movies, ratings, dup_map)."""
     max_first = combined_movies.where(F.col("source") == FIRST).agg(F.max("movieId")).scalar()
     first = combined_movies.where(F.col("source") == FIRST).select("movieId", "title", "genres")
     second = invert_id_map(combined_movies, movie_map, release_dates, max_first)
     yr = release_year("release_date")
     second = second.select("movieId", title_append_year(F.col("title"), yr).alias("title"), "genres")
     unified = first.unionByName(second)
-    ratings = combined_ratings.select("userId", "movieId", "rating", "timestamp")
     # the map is catalogue-sized; checkpointing it keeps the plans of every consumer short
     dup_map = cut_lineage(canonical_map(unified, max_first, min_norm_len))
-    ratings = remap_ids(ratings, dup_map, "movieId")
+    ratings = None if combined_ratings is None else remap_ids(
+        combined_ratings.select("userId", "movieId", "rating", "timestamp"), dup_map, "movieId")
     movies = drop_known(unified, dup_map.select(F.col("old_id").alias("movieId")), "movieId")
     return movies, ratings, dup_map
 

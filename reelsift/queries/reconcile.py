@@ -60,20 +60,20 @@ def q_second_source_ratings(spark, sf):
 def q_second_source_movie_map(spark, sf):
     """JN-12 / AG-34: dense second-source movie ids after the first source's largest id."""
     m1, r1, m2, r2 = _sources(spark, sf)
-    return rc.second_source_maps(m2, r2, m1, r1)[0]
+    return rc.second_source_movie_map(m2, m1, r1)
 
 
 @register("second_source_user_map", _MERGE_SQL + "SELECT old_id, new_id FROM umap")
 def q_second_source_user_map(spark, sf):
     """JN-12: dense second-source user ids after the first source's largest user id."""
     m1, r1, m2, r2 = _sources(spark, sf)
-    return rc.second_source_maps(m2, r2, m1, r1)[1]
+    return rc.second_source_user_map(r2, r1)
 
 
 @register("merged_movies", _MERGE_SQL + "SELECT * FROM cm")
 def q_merged_movies(spark, sf):
     """PL-1 movies (JN-9, JN-11, PRJ-4, ST-1)."""
-    return rc.merge_sources(*_sources(spark, sf))[0]
+    return rc.merge_sources(*_sources(spark, sf), with_ratings=False)[0]
 
 
 @register("merged_ratings", _MERGE_SQL + "SELECT * FROM cr")
@@ -85,7 +85,7 @@ def q_merged_ratings(spark, sf):
 @register("duplicate_keys", _MERGE_SQL + "SELECT * FROM dup")
 def q_duplicate_keys(spark, sf):
     """JN-9: (normalised title, year) keys present in both catalogues."""
-    return rc.merge_sources(*_sources(spark, sf))[2]
+    return rc.merge_sources(*_sources(spark, sf), with_ratings=False)[2]
 
 
 @register("source_breakdown", _MERGE_SQL + """
@@ -138,16 +138,16 @@ dmap AS (SELECT k.movieId AS old_id, canon.new_id, title_norm, year FROM k JOIN
 _STD_SQL = with_tables("ratings", "movies", "ratings2", extra=_STD)
 
 
-def _standardized(spark, sf):
+def _standardized(spark, sf, with_ratings: bool = True):
     m1, r1, m2, r2 = _sources(spark, sf)
-    movies, ratings, _, movie_map, _ = rc.merge_sources(m1, r1, m2, r2)
+    movies, ratings, _, movie_map, _ = rc.merge_sources(m1, r1, m2, r2, with_ratings=with_ratings)
     return rc.standardize_sources(movies, ratings, movie_map, m2.select("movieId", "release_date"))
 
 
 @register("standardized_movies", _STD_SQL + "SELECT * FROM uni WHERE movieId NOT IN (SELECT old_id FROM dmap)")
 def q_standardized_movies(spark, sf):
     """PL-2 movies (JN-13, FN-15, FN-11, JN-10, JN-3)."""
-    return _standardized(spark, sf)[0]
+    return _standardized(spark, sf, with_ratings=False)[0]
 
 
 @register("standardized_ratings", _STD_SQL + """
@@ -161,7 +161,7 @@ def q_standardized_ratings(spark, sf):
 @register("canonical_map", _STD_SQL + "SELECT * FROM dmap")
 def q_canonical_map(spark, sf):
     """JN-10: second-source id -> smallest first-source id with the same strict key."""
-    return _standardized(spark, sf)[2]
+    return _standardized(spark, sf, with_ratings=False)[2]
 
 
 @register("standardize_report", _STD_SQL + """,
@@ -189,7 +189,7 @@ def q_standardize_report(spark, sf):
 def q_merged_movies_preview(spark, sf):
     """TK-5: head(5) of the merged catalogue in a stated order."""
     from reelsift.operators.explore import preview
-    return preview(rc.merge_sources(*_sources(spark, sf))[0], ["movieId", "source"], 5)
+    return preview(rc.merge_sources(*_sources(spark, sf), with_ratings=False)[0], ["movieId", "source"], 5)
 
 
 def _classify_sql(a: str, b: str) -> str:
@@ -233,7 +233,7 @@ _AUDIT_SQL = with_tables("ratings", "movies", "ratings2", extra=_AUDIT)
 
 def _audit(spark, sf):
     m1, r1, m2, r2 = _sources(spark, sf)
-    movies = rc.merge_sources(m1, r1, m2, r2)[0]
+    movies = rc.merge_sources(m1, r1, m2, r2, with_ratings=False)[0]
     return rc.audit_duplicates(movies, m2)
 
 
@@ -280,7 +280,7 @@ SELECT {_classify_sql('title_ml', 'title_tmdb')} AS match_type, count(*) AS keys
 def q_strict_title_pairs(spark, sf):
     """PL-3 on the strict-normalisation pairing of all rows (the looser classes occur)."""
     m1, r1, m2, r2 = _sources(spark, sf)
-    std_movies = rc.merge_sources(m1, r1, m2, r2)[0]
+    std_movies = rc.merge_sources(m1, r1, m2, r2, with_ratings=False)[0]
     return rc.audit_duplicates(std_movies, m2, strict=True).groupBy("match_type").agg(F.count(F.lit(1)).alias("keys"))
 
 

@@ -329,12 +329,18 @@ def topk_overlap(a: DataFrame, b: DataFrame, key: str = "movieId") -> DataFrame:
     return a.select(key).intersect(b.select(key)).agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def seeded_order(keys, seed: int):
+    """Deterministic pseudo-random order key of a row: md5 of the key columns and the seed
+    (JVM built-in; the same value in SQL engines that have md5, so samples and splits can be
+    checked against SQL)."""
+    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
 def sample_n(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
     """SP-1: fixed-size pseudo-random sample, stable under repartitioning: the n rows with
-    the smallest hash of (key, seed); ordered top-n, so no full sort."""
+    the smallest seeded hash of the key; ordered top-n, so no full sort."""
     keys = [key] if isinstance(key, str) else list(key)
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+    return df.withColumn("_h", seeded_order(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def union_sources(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -26,12 +26,13 @@ def split_sizes_random(n: int, train: float = 0.8, val: float = 0.1) -> tuple[in
 
 def random_split(df: DataFrame, key, train: float = 0.8, val: float = 0.1, seed: int = SEED):
     """SP-2: exact-size 80/10/10 split ordered by a seeded hash of the key (deterministic,
-    stable under repartitioning). Returns one DataFrame with a ``split`` column."""
+    stable under repartitioning): the first n_train rows of that order are train, the next
+    n_val val. Returns one DataFrame with a ``split`` column."""
     keys = [key] if isinstance(key, str) else list(key)
     n = df.count()
     n_train, n_val, _ = split_sizes_random(n, train, val)
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    ranked = global_rank(df.withColumn("_h", h), ["_h", *keys])
+    from reelsift.operators.explore import seeded_order
+    ranked = global_rank(df.withColumn("_h", seeded_order(keys, seed)), ["_h", *keys])
     split = (F.when(F.col("_rank") < n_train, "train")
              .when(F.col("_rank") < n_train + n_val, "val").otherwise("test"))
     return ranked.withColumn("split", split).drop("_h", "_rank")

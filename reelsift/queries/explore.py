@@ -342,9 +342,12 @@ def q_ratings_date_range(spark, sf):
     return ex.date_range(_r(spark, sf))
 
 
-@register("movie_sample")
+@register("movie_sample", with_tables("ratings", "movies", extra=_MT.split(",\ngstats")[0]) + f"""
+SELECT movieId, num_ratings, rating_sum, rating_sum / num_ratings AS avg_rating, title
+FROM mt LEFT JOIN movies USING (movieId) WHERE num_ratings >= {QUALITY_MIN}
+ORDER BY md5(concat_ws(':', CAST(movieId AS VARCHAR), '42')), movieId LIMIT 50""")
 def q_movie_sample(spark, sf):
-    """SP-1: fixed-size seeded sample of the qualified movies (hash order; no DuckDB xxhash64)."""
+    """SP-1: fixed-size seeded sample of the qualified movies (md5 order)."""
     t = ex.movie_quality(_r(spark, sf), _m(spark, sf)).where(F.col("num_ratings") >= QUALITY_MIN)
     return ex.sample_n(t, "movieId", 50, seed=42)
 

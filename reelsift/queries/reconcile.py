@@ -251,9 +251,10 @@ def q_match_type_breakdown(spark, sf):
     return rc.match_type_breakdown(_audit(spark, sf))
 
 
-@register("audit_sample")
+@register("audit_sample", _AUDIT_SQL + """
+SELECT * FROM audited ORDER BY md5(concat_ws(':', title_norm, CAST(year AS VARCHAR), '42')), title_norm, year LIMIT 20""")
 def q_audit_sample(spark, sf):
-    """PL-4 sample: 20 audited pairs in seeded hash order."""
+    """PL-4 sample: 20 audited pairs in seeded (md5) order."""
     return rc.audit_sample(_audit(spark, sf))
 
 

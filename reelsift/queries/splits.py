@@ -62,13 +62,15 @@ def q_rec_split_users(spark, sf):
     return sp.leave_out_counts(adapt.ratings(spark, sf))
 
 
-@register("user_random_split_sizes", with_tables("ratings") + """
+_SPLIT_CUTS = """CAST(round_even(CAST(n AS DOUBLE) * 0.8, 0) AS BIGINT) AS ntr,
+       CAST(round_even((n - round_even(CAST(n AS DOUBLE) * 0.8, 0)) * (CAST(0.1 AS DOUBLE) / (1 - CAST(0.8 AS DOUBLE))), 0) AS BIGINT) AS nva"""
+
+
+@register("user_random_split_sizes", with_tables("ratings") + f"""
 SELECT split, rows FROM (
-  SELECT 'train' AS split, CAST(round_even(n * 0.8, 0) AS BIGINT) AS rows FROM (SELECT count(DISTINCT userId) AS n FROM ratings)
-  UNION ALL SELECT 'val', CAST(round_even((n - round_even(n * 0.8, 0)) * (0.1 / (1 - 0.8)), 0) AS BIGINT)
-            FROM (SELECT count(DISTINCT userId) AS n FROM ratings)
-  UNION ALL SELECT 'test', CAST(n - round_even(n * 0.8, 0) - round_even((n - round_even(n * 0.8, 0)) * (0.1 / (1 - 0.8)), 0) AS BIGINT)
-            FROM (SELECT count(DISTINCT userId) AS n FROM ratings))""")
+  SELECT 'train' AS split, ntr AS rows FROM (SELECT {_SPLIT_CUTS} FROM (SELECT count(DISTINCT userId) AS n FROM ratings))
+  UNION ALL SELECT 'val', nva FROM (SELECT {_SPLIT_CUTS} FROM (SELECT count(DISTINCT userId) AS n FROM ratings))
+  UNION ALL SELECT 'test', n - ntr - nva FROM (SELECT n, {_SPLIT_CUTS} FROM (SELECT count(DISTINCT userId) AS n FROM ratings)))""")
 def q_user_random_split_sizes(spark, sf):
     """SP-2: exact 80/10/10 sizes of the seeded random split of the user feature table."""
     uf = pf.user_features(adapt.ratings(spark, sf), adapt.movies(spark, sf),
@@ -76,8 +78,18 @@ def q_user_random_split_sizes(spark, sf):
     return sp.random_split(uf, "userId").groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("movie_random_split")
+@register("movie_random_split", with_tables("ratings", "movies") + f"""
+, mf AS (SELECT s.movieId, total_ratings, avg_rating, rating_std, m.genres FROM (
+  SELECT movieId, CAST(count(*) AS INTEGER) AS total_ratings,
+         round(avg(CAST(rating AS DOUBLE)), 6) AS avg_rating,
+         round(coalesce(stddev_samp(CAST(rating AS DOUBLE)), 0), 6) AS rating_std
+  FROM ratings GROUP BY movieId) s LEFT JOIN movies m USING (movieId)),
+rk AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', CAST(movieId AS VARCHAR), '42')), movieId) - 1 AS rk
+       FROM mf),
+cuts AS (SELECT {_SPLIT_CUTS} FROM (SELECT count(*) AS n FROM mf))
+SELECT rk.* EXCLUDE (rk), CASE WHEN rk < ntr THEN 'train' WHEN rk < ntr + nva THEN 'val' ELSE 'test' END AS split
+FROM rk, cuts""")
 def q_movie_random_split(spark, sf):
-    """SP-2: seeded exact-size random split of the movie feature table (hash order)."""
+    """SP-2: seeded exact-size random split of the movie feature table (md5 order)."""
     mf = pf.movie_features(adapt.ratings(spark, sf), adapt.movies(spark, sf))
     return sp.random_split(mf, "movieId")

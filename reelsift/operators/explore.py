@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reelsift.functions.dates import epoch_to_ts, month_start
+from reelsift.functions.labels import pct
 from reelsift.functions.text import GENRE_SENTINEL, contains_literal, normalize_tag, tag_clean
 from reelsift.operators.joins import sized_broadcast
 
@@ -97,7 +98,7 @@ def per_movie_popularity(ratings: DataFrame, long_tail: int = LONG_TAIL,
         F.median(F.col("n").cast("double")).alias("median_per_movie"),
         F.max("n").alias("max_per_movie"),
         F.count_if(F.col("n") < long_tail).alias("n_long_tail"),
-        F.round(F.count_if(F.col("n") < long_tail) * 100.0 / F.count(F.lit(1)), 6).alias("pct_long_tail"),
+        F.round(pct(F.count_if(F.col("n") < long_tail), F.count(F.lit(1))), 6).alias("pct_long_tail"),
         F.count_if(F.col("n") >= blockbuster).alias("n_blockbuster"))
 
 

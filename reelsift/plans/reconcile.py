@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reelsift.functions.labels import RATING_MAX, RATING_MIN, clip
+from reelsift.functions.labels import RATING_MAX, RATING_MIN, clip, pct
 from reelsift.functions.text import (GENRE_SENTINEL, norm_strict, normalize_spaces, release_year, strip_punct,
                                      strip_year_suffix, swap_leading_article, title_append_year,
                                      title_norm_basic, title_norm_plain, title_norm_strict, title_year,
@@ -186,7 +186,7 @@ def match_type_breakdown(keys: DataFrame) -> DataFrame:
     """AG-32: keys per match type and their share; exact vs fuzzy shares follow from it."""
     from pyspark.sql import Window
     c = keys.groupBy("match_type").agg(F.count(F.lit(1)).alias("keys"))
-    return c.withColumn("pct", F.round(F.col("keys") * 100.0 / F.sum("keys").over(Window.partitionBy()), 6))
+    return c.withColumn("pct", F.round(pct(F.col("keys"), F.sum("keys").over(Window.partitionBy())), 6))
 
 
 def audit_sample(keys: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:

@@ -21,7 +21,7 @@ def q_csv_roundtrip_ratings(spark, sf):
     """SNK-1 + SRC-1 (SRC-13 splits): ratings written as CSV and read back with the schema."""
     path = scratch(spark, "ratings_csv")
     sk.write_csv(adapt.ratings(spark, sf), path)
-    return rd.read_ratings(spark, path, max_partition_bytes=4 << 20)
+    return rd.read_ratings(spark, path)
 
 
 @register("csv_roundtrip_combined_movies", _MERGE_SQL + "SELECT * FROM cm")

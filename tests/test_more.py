@@ -88,3 +88,14 @@ def test_read_catalog_json_files(spark):
     got = {r.movieId: r for r in catalog_from_json(pages, genres).collect()}
     assert got[7].title == "Heat" and got[7].genres == "Action|Crime" and got[7].vote_count == 12
     assert got[8].genres == "(no genres listed)" and got[8].release_date == ""
+
+
+def test_partitioned_read_splits_large_file(spark):
+    d = tempfile.mkdtemp(prefix="reelsift-split-")
+    sk.write_csv(adapt.ratings(spark, "/root/testdata/sf0.01").coalesce(1), f"{d}/r")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        df = rd.read_partitioned_ratings(spark, f"{d}/r", split_bytes=256 << 10)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 60000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

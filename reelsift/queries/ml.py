@@ -74,12 +74,24 @@ def q_forecast_overfit_verdict(spark, sf):
                                                        "mae_gap_pct")], "verdict")
 
 
+_MODELS: dict = {}
+
+
+def _forecaster(spark, sf):
+    """The seeded GBT fitted on the training weeks, once per session and input folder (the
+    metrics, importance and loss-history queries share it)."""
+    s = _forecast_split(spark, sf)
+    train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = fc.train_forecaster(train, val, max_iter=40)
+    return _MODELS[key], train, val, test
+
+
 @register("forecast_model_metrics")
 def q_forecast_model_metrics(spark, sf):
     """ML-4, ML-5, ML-7: gradient-boosted trees vs the naive baseline on val and test."""
-    s = _forecast_split(spark, sf)
-    train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
-    model = fc.train_forecaster(train, val, max_iter=40)
+    model, train, val, test = _forecaster(spark, sf)
     parts = []
     for name, d in (("val", val), ("test", test)):
         scored = fc.score_forecaster(model, d)
@@ -91,17 +103,13 @@ def q_forecast_model_metrics(spark, sf):
 @register("forecast_feature_importance")
 def q_forecast_feature_importance(spark, sf):
     """ML-9 (and ML-10 bundle round trip in tests)."""
-    s = _forecast_split(spark, sf)
-    model = fc.train_forecaster(s.where(F.col("split") == "train"), s.where(F.col("split") == "val"), max_iter=40)
-    return fc.feature_importance(model)
+    return fc.feature_importance(_forecaster(spark, sf)[0])
 
 
 @register("forecast_training_history")
 def q_forecast_training_history(spark, sf):
     """ML-17: per-round training / validation loss of the boosted trees."""
-    s = _forecast_split(spark, sf)
-    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    model = fc.train_forecaster(train, val, max_iter=40)
+    model, train, val, _ = _forecaster(spark, sf)
     return fc.training_history(model, train, val)
 
 

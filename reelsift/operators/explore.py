@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reelsift.functions.dates import epoch_to_ts, month_start
+from reelsift.functions.dates import epoch_to_ts, in_range, month_start
 from reelsift.functions.labels import pct
 from reelsift.functions.text import GENRE_SENTINEL, contains_literal, normalize_tag, tag_clean
 from reelsift.operators.joins import sized_broadcast
@@ -146,13 +146,12 @@ def peak_month(ratings: DataFrame) -> DataFrame:
 
 def period_comparison(ratings: DataFrame, bounds=PERIOD_BOUNDS) -> DataFrame:
     """AG-17: mean monthly volume in [b0,b1), [b1,b2), [b2,inf) and % change vs the first."""
-    b0, b1, b2 = (F.lit(b).cast("date") for b in bounds)
+    b0, b1, b2 = bounds
     mv = monthly_volume(ratings)
-    m = F.col("month")
     out = mv.agg(
-        F.avg(F.when((m >= b0) & (m < b1), F.col("count"))).alias("first_period"),
-        F.avg(F.when((m >= b1) & (m < b2), F.col("count"))).alias("second_period"),
-        F.avg(F.when(m >= b2, F.col("count"))).alias("third_period"))
+        F.avg(F.when(in_range("month", b0, b1), F.col("count"))).alias("first_period"),
+        F.avg(F.when(in_range("month", b1, b2), F.col("count"))).alias("second_period"),
+        F.avg(F.when(F.col("month") >= F.lit(b2).cast("date"), F.col("count"))).alias("third_period"))
     return out.select(
         *[F.round(c, 6).alias(c) for c in ("first_period", "second_period", "third_period")],
         F.round(F.try_divide(F.col("second_period"), F.col("first_period")) * 100 - 100, 6).alias("second_vs_first_pct"),

@@ -7,23 +7,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reelsift.session import cut_lineage
 
 
-def global_rank(df: DataFrame, order_cols, out: str = "_rank") -> DataFrame:
+def global_rank(df: DataFrame, order_cols, out: str = "_rank", total: str | None = None) -> DataFrame:
     """0-based rank of every row in the total order ``order_cols`` (must be unique).
 
     Range-partition + sort within partitions; in the same job each row records its partition
     id and its position inside the partition (``monotonically_increasing_id`` is partition
     index << 33 + position) and the result is written to the shared checkpoint folder, so
     the numbering is fixed once even if a later stage is recomputed. Per-partition sizes
-    (one row per partition) are prefix-summed into offsets and broadcast."""
+    (one row per partition) are prefix-summed into offsets and broadcast; ``total`` names an
+    optional column with the number of rows (the sum of those sizes, no extra pass)."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
     stored = cut_lineage(tagged, "rank")
     sizes = stored.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (stored.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off"))
+    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"),
+                           F.sum("_n").over(Window.partitionBy()).alias("_tot"))
+    out_df = (stored.join(F.broadcast(offsets), "_pid")
+              .withColumn(out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off"))
+    return out_df.withColumnRenamed("_tot", total) if total else out_df.drop("_tot")
 
 
 SMALL_ID_SET = 1_000_000

@@ -27,26 +27,30 @@ def split_sizes_random(n: int, train: float = 0.8, val: float = 0.1) -> tuple[in
 def random_split(df: DataFrame, key, train: float = 0.8, val: float = 0.1, seed: int = SEED):
     """SP-2: exact-size 80/10/10 split ordered by a seeded hash of the key (deterministic,
     stable under repartitioning): the first n_train rows of that order are train, the next
-    n_val val. Returns one DataFrame with a ``split`` column."""
-    keys = [key] if isinstance(key, str) else list(key)
-    n = df.count()
-    n_train, n_val, _ = split_sizes_random(n, train, val)
+    n_val val, with n_train = round(train * n), n_val = round(rest * val / (1 - train))
+    (half-even). n comes from the rank's partition sizes, so the input is read once.
+    Returns one DataFrame with a ``split`` column."""
     from reelsift.operators.explore import seeded_order
-    ranked = global_rank(df.withColumn("_h", seeded_order(keys, seed)), ["_h", *keys])
+    keys = [key] if isinstance(key, str) else list(key)
+    ranked = global_rank(df.withColumn("_h", seeded_order(keys, seed)), ["_h", *keys], total="_n")
+    n = F.col("_n")
+    n_train = F.bround(n * train, 0)
+    n_val = F.bround((n - n_train) * (val / (1 - train)), 0)
     split = (F.when(F.col("_rank") < n_train, "train")
              .when(F.col("_rank") < n_train + n_val, "val").otherwise("test"))
-    return ranked.withColumn("split", split).drop("_h", "_rank")
+    return ranked.withColumn("split", split).drop("_h", "_rank", "_n")
 
 
 def temporal_split_rows(df: DataFrame, order_cols, val: float = 0.1, test: float = 0.1):
-    """SP-4: global time order; last round(test*n) rows test, previous round(val*n) val."""
-    n = df.count()
-    n_test = _round_half_even(n * test)
-    n_val = _round_half_even(n * val)
-    ranked = global_rank(df, order_cols)
+    """SP-4: global time order; last round(test*n) rows test, previous round(val*n) val
+    (half-even; n from the rank's partition sizes, so the input is read once)."""
+    ranked = global_rank(df, order_cols, total="_n")
+    n = F.col("_n")
+    n_test = F.bround(n * test, 0)
+    n_val = F.bround(n * val, 0)
     split = (F.when(F.col("_rank") >= n - n_test, "test")
              .when(F.col("_rank") >= n - n_test - n_val, "val").otherwise("train"))
-    return ranked.withColumn("split", split).drop("_rank")
+    return ranked.withColumn("split", split).drop("_rank", "_n")
 
 
 def temporal_split_periods(df: DataFrame, col: str = "week_start", val: float = 0.1, test: float = 0.1):

@@ -148,3 +148,8 @@ def test_dense_id_map_both_paths_agree(spark):
     small = sorted(tuple(r) for r in dense_id_map(df, "id", 10).collect())
     large = sorted(tuple(r) for r in dense_id_map(df, "id", 10, small=100).collect())
     assert small == large and [r[1] for r in small] == list(range(10, 510))
+
+
+def test_split_size_formula():
+    assert sp.split_sizes_random(105) == (84, 11, 10)
+    assert sp.split_sizes_random(1500) == (1200, 150, 150)

@@ -27,3 +27,12 @@ def test_remap_ranges_and_clip(spark):
     assert [tuple(r) for r in dup.collect()] == [("heat", 1995)]
     assert {r.movieId: r.is_duplicate_title_year for r in f1.collect()} == {1: True, 7: False}
     assert {r.movieId: r.is_duplicate_title_year for r in f2.collect()} == {11: True, 10: False}
+
+
+def test_missing_embedding_is_zero(spark):
+    from reelsift.plans.features import movie_features
+    ratings = spark.createDataFrame([(1, 1, 4.0, 1), (1, 2, 3.0, 2)], R)
+    movies = spark.createDataFrame([(1, "A (2000)", "X"), (2, "B (2001)", "Y")], M)
+    embs = spark.createDataFrame([(1, 0.5, -0.25)], "movieId int, genome_emb_0 float, genome_emb_1 float")
+    got = {r.movieId: (r.genome_emb_0, r.genome_emb_1) for r in movie_features(ratings, movies, embs).collect()}
+    assert got == {1: (0.5, -0.25), 2: (0.0, 0.0)}

@@ -190,7 +190,7 @@ def match_type_breakdown(keys: DataFrame) -> DataFrame:
 
 
 def audit_sample(keys: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
-    """Seeded sample of audited pairs (hash order)."""
+    """Seeded sample of audited pairs (md5 of key and seed order)."""
     return sample_n(keys, ["title_norm", "year"], n, seed)
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import read_table
+from reelsift.llm import langid
+from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
 QUERIES: dict[str, Callable] = {}
@@ -31,3 +32,13 @@ def op9_exact_dedup(spark, sf_dir):
     """Exact copies of every document after white space is normalised."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    """Language of every document; learns from labelled documents outside the held-out third."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs, "doc_id", "text", "lang", ~held_out)
+    return (langid.identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "n_predicted", "rejected"))

@@ -29,6 +29,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 OPEN, CLOSE = 2, 3
 CACHE_WORDS = 400_000  # words a worker remembers before it starts anew
 CHUNK = 400_000        # words summed at a time
+SHORT = 4.0            # short texts scatter: their limit is higher by this over the root of their symbols
 ADDED = ("lang_pred", "score", "cross_entropy", "n_predicted", "rejected")
 
 
@@ -231,11 +232,11 @@ def verdicts(bits: np.ndarray, model: CharModels):
     best = ce.argmin(1)
     low = ce[np.arange(len(ce)), best]
     score = 1 / np.exp2(-(ce - low[:, None]) * np.minimum(n, model.tau)[:, None]).sum(1)
-    return best, np.where(n > 0, score, 0.0), low, n.astype(np.int64), (n == 0) | (low > model.limits[best])
+    return best, np.where(n > 0, score, 0.0), low, n.astype(np.int64), (n == 0) | (low > model.limits[best] + SHORT / np.sqrt(np.maximum(n, 1)))
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Column, *,
-        order: int = 4, sample: int = 600, margin: float = 0.5) -> CharModels | None:
+        order: int = 4, sample: int = 600, margin: float = 1.5) -> CharModels | None:
     """Learn from the ``eligible`` rows with a label: about ``sample`` documents a language fit the
     models (crc32 of the id, modulo 3, is 0), about as many others set the limits and the score's
     sharpness. None without labelled rows."""

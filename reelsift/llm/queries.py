@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid
+from reelsift.llm import langid, packing
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -42,3 +42,15 @@ def op1_language_id(spark, sf_dir):
     model = langid.fit(docs, "doc_id", "text", "lang", ~held_out)
     return (langid.identify(docs.select("doc_id", "text"), model)
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "n_predicted", "rejected"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op3_packing")
+def op3_packing(spark, sf_dir):
+    """All documents in sequences of at most 2048 tokens, one row per piece."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())

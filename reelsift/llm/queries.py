@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid, packing
+from reelsift.llm import langid, packing, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -54,3 +54,18 @@ def tokenizer_path() -> str:
 def op3_packing(spark, sf_dir):
     """All documents in sequences of at most 2048 tokens, one row per piece."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op5_warc", sql="""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f""")
+def op5_warc(spark, sf_dir):
+    """Every page written to gzip archives and read back record by record."""
+    manifest = warc.archive(read_table(spark, sf_dir, "pages"))
+    back = warc.read_archives(manifest, with_payload=False)
+    return back.select(F.nullif("record_id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                       "record_type", F.col("refers_to").cast("long").alias("refers_to"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid, packing, warc
+from reelsift.llm import langid, ngram_join, packing, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -69,3 +69,11 @@ def op5_warc(spark, sf_dir):
     back = warc.read_archives(manifest, with_payload=False)
     return back.select(F.nullif("record_id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest",
                        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@register("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark, sf_dir):
+    """Documents linked at a Jaccard similarity of 0.9 or more of their 3-word shingles."""
+    docs = read_table(spark, sf_dir, "documents")
+    return (ngram_join.jaccard_classes(docs, n=3, num=90, den=100)
+            .select("doc_id", "n_shingles", "component_id"))

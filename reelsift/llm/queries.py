@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid, ngram_join, packing, warc
+from reelsift.llm import langid, mixing, ngram_join, packing, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -77,3 +77,14 @@ def op2_ngram_jaccard(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return (ngram_join.jaccard_classes(docs, n=3, num=90, den=100)
             .select("doc_id", "n_shingles", "component_id"))
+
+
+@register("op4_mixing")
+def op4_mixing(spark, sf_dir):
+    """All documents mixed to 150 % of their words, the sources weighing 5, 2, 1 in turn."""
+    rows = mixing.sized(read_table(spark, sf_dir, "documents"))
+    mix = mixing.plan_mix(rows)
+    sources = F.broadcast(spark.createDataFrame(mix.sources, "source string, source_size long, target double"))
+    taken = mixing.copies(rows, mix).alias("r")
+    return (taken.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+            .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "r.source", "copies"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid, mixing, ngram_join, packing, warc
+from reelsift.llm import langid, mixing, ngram_join, packing, secret_scan, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -88,3 +88,13 @@ def op4_mixing(spark, sf_dir):
     taken = mixing.copies(rows, mix).alias("r")
     return (taken.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
             .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "r.source", "copies"))
+
+
+@register("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    """Secrets in every document: three patterns, and runs that the Markov models call random."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs, "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+                        secret_scan.written(F.col("spans")).alias("spans"), "n_markov")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid, mixing, ngram_join, packing, secret_scan, warc
+from reelsift.llm import langid, license_scan, mixing, ngram_join, packing, secret_scan, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -98,3 +98,9 @@ def op8_secret_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s["rank"] < 3)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
                         secret_scan.written(F.col("spans")).alias("spans"), "n_markov")
+
+
+@register("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    """License statements in every document."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")

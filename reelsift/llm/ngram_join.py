@@ -7,10 +7,11 @@ first-level parts, of which one holds at most ``k2 = floor(k / n1)`` of the diff
 hashed again into ``n2`` second-level parts, and every choice of ``n2 - k2`` of them is a signature.
 Equal signatures make candidates; candidates are verified on their whole sets.
 
-Copies are one class (equal sets). Signatures shared by several classes are first compared with
-their smallest class only; classes that this links need no further comparison, and what is left
-between different components is compared pair by pair. So no link between different texts is lost,
-and groups of near copies never give all their pairs.
+Copies are one class (equal sets). Each class is first compared with one of the classes it shares
+signatures with, the one with most company. Signatures whose classes this leaves in several
+components form families, whose sets are compared in blocks by matrix products that give the
+components and not the pairs. So no link between different texts is lost, and groups of near copies
+never give all their pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from reelsift.llm.common import checked_broadcast, connected_components, cut_lin
 
 WORD_CACHE = 500_000
 MAX_BROADCAST_ROWS = 1_000_000  # of (id, class) pairs, 16 bytes each
+BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 2_000_000  # of a group that one task compares
+DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
 
 _hashes: dict[bytes, int] = {}
 
@@ -152,13 +155,98 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = [_meets(x, y, num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            hit = [_meets(x.as_py(), y.as_py(), num, den) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb")
     return cut_lineage(full.mapInArrow(keep, "a long, b long"), "links")
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the ``left`` sets with the ``right`` ones. Elements of many
+    sets are counted by a matrix product, those of a few sets pair by pair."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    count = np.diff(np.r_[first, len(flat)])
+    run = np.repeat(np.arange(len(first)), count)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    few = count[run] <= DENSE
+    a_run, a_owner = run[few], owner[few]
+    for step in range(1, DENSE):
+        same = np.flatnonzero(a_run[step:] == a_run[:-step])
+        np.add.at(both, (a_owner[same], a_owner[same + step]), 1)
+    both += both.T
+    both[np.arange(len(sets)), np.arange(len(sets))] = sizes
+    many = np.flatnonzero(count > DENSE)
+    out = both[np.ix_(left, right)]
+    for k in range(0, len(many), COLUMNS):
+        some = many[k:k + COLUMNS]
+        column = np.full(len(first), -1)
+        column[some] = np.arange(len(some))
+        hit = column[run] >= 0
+        m = np.zeros((len(sets), len(some)), np.float32)
+        m[owner[hit], column[run[hit]]] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _compare_families(families: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) edges that join what links within each family (classes that signatures connect).
+
+    Sets of a family meet in the instances of their own size band and of the next; an instance with
+    more than ``BLOCK_ROWS`` sets or ``BLOCK_ELEMENTS`` elements is dealt to blocks, and every pair
+    of blocks is one group. A group gives edges to the smallest set each one reaches, never pairs."""
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for b in batches:
+            yield b.append_column("band", pa.array([bands.band(n) for n in b.column(2).to_pylist()], pa.int64()))
+
+    sized = families.join(sets, "k").select("family", "k", F.expr("octet_length(elements) div 8").alias("n"), "elements")
+    banded = cut_lineage(sized.mapInArrow(band, "family long, k long, n long, elements binary, band long"), "banded")
+    met = banded.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
+    blocks = cut_lineage(met.groupBy("family", "meet").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("total"), F.max(F.col("band") == F.col("meet")).alias("own"))
+        .filter("own and rows > 1")  # where nobody is at home, all meet in their own band
+        .select("family", "meet", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).alias("blocks")), "blocks")
+    dealt = (met.join(blocks, ["family", "meet"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+             .select("family", "meet", "low", "high", "block", "band", "k", "elements"))
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, meet, low, high = (x.as_py() for x in key)
+        t = t.sort_by("k")
+        ks, block, home = t["k"].to_numpy(), t["block"].to_numpy(), t["band"].to_numpy() == meet
+        found = [np.frombuffer(x, np.uint64) for x in t["elements"].to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = overlaps(found, left, right)
+        hit = den * both >= num * (sizes[left][:, None] + sizes[right][None, :] - both)
+        hit &= home[left][:, None] | home[right][None, :]
+        root = np.arange(len(ks))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            a, b = find(int(left[i])), find(int(right[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        top = np.array([find(i) for i in range(len(ks))])
+        tied = top != np.arange(len(ks))
+        return pa.table({"a": pa.array(ks[top[tied]], pa.int64()), "b": pa.array(ks[tied], pa.int64())})
+
+    return cut_lineage(dealt.groupBy("family", "meet", "low", "high").applyInArrow(compare, "a long, b long"), "edges")
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, class_id, component_id). Rows link when
@@ -192,29 +280,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut_lineage(source.mapInArrow(sign, schema), "signed")
     rows = signed.select("doc", "n_shingles", "k")
 
-    # signatures of two classes or more; each of them is compared with the smallest one first
+    # signatures of two classes or more, with how much company a class has over all of its own:
+    # an original has more than its edited copies, so it makes the better centre of a star
     flat = signed.select(F.explode("sigs").alias("sig"), "k")
-    shared = cut_lineage(flat.groupBy("sig").agg(F.min("k").alias("rep"), F.max("k").alias("last"))
-                         .filter("rep < last").select("sig", "rep"), "shared")
-    members = cut_lineage(flat.join(shared, "sig").select("sig", "k", "rep").distinct(), "members")
-    stars = cut_lineage(members.filter("k <> rep").groupBy("k").agg(F.min("rep").alias("a"))
-                        .select("a", F.col("k").alias("b")), "stars")
-    involved = members.select("k").distinct()
-    wanted = cut_lineage(rows.join(involved, "k").groupBy("k").agg(F.min("doc").alias("doc")), "wanted")
+    shared = cut_lineage(flat.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+                         .filter("low < high").select("sig"), "shared")
+    members = cut_lineage(flat.join(shared, "sig").distinct(), "members")
+    company = members.groupBy("sig").count()
+    company = cut_lineage(members.join(company, "sig").groupBy("k").agg(F.sum("count").alias("company")), "company")
+    wanted = cut_lineage(rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")), "wanted")
     sets = _sets(docs, wanted, id_col, text_col, n)
+
+    ranked = cut_lineage(members.join(company, "k"), "ranked")
+    centres = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("company", "k")).alias("centre")), "centres")
+    stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
+                        .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
     links = _verify(stars, sets, num, den)
     roots = connected_components(links)
 
-    # what the first comparison left apart within a signature
-    named = members.join(roots.withColumnRenamed("v", "k"), "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c"))
-    named = cut_lineage(named, "named")
-    split = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("sig")
-    apart = cut_lineage(named.join(split, "sig"), "apart")
-    other = apart.select("sig", F.col("k").alias("b"), F.col("c").alias("cb"))
-    pairs = (apart.select("sig", F.col("k").alias("a"), F.col("c").alias("ca")).join(other, "sig")
-             .filter("a < b and ca <> cb").select("a", "b").distinct())
-    more = _verify(pairs.join(stars, ["a", "b"], "left_anti"), sets, num, den)
-    roots = connected_components(links.unionByName(more)) if more.limit(1).count() else roots
+    # what the stars left apart within a signature is compared with all that it may link to
+    named = cut_lineage(members.join(roots.toDF("k", "c"), "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "named")
+    split = (named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k").alias("first"))
+             .filter("low < high").select("sig", "first"))
+    apart = cut_lineage(named.join(split, "sig").select(F.col("first").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct(), "apart")
+    families = connected_components(apart).toDF("k", "family")
+    more = _compare_families(families, sets, num, den)
+    roots = connected_components(links.unionByName(more))
 
     named = rows.join(roots.withColumnRenamed("v", "k"), "k", "left").select("doc", "n_shingles", "k", F.coalesce("c", "k").alias("root"))
     linked = cut_lineage(named, "roots")

@@ -8,6 +8,9 @@ the next piece. Only (document, start, length) rows are grouped, never the token
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,20 +25,58 @@ from reelsift.llm.common import cut_lineage
 SEQUENCE = 2048
 END_ID = 1
 BLOCK_PIECES = 64       # a very long document goes to the groups in blocks of so many pieces
-CACHE_WORDS = 500_000   # words of which a worker remembers the ids
+END = END_ID.to_bytes(4, "little")
+CACHE_WORDS, CACHE_PARTS = 700_000, 800_000  # of which a worker remembers the ids
+SPECIAL = b"<|"
+LETTERS = re.compile("[a-zß-öø-ÿ]+")  # composed letters, as normalising leaves them
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}  # byte-level BPE's letters for other bytes
+PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)  # the apostrophe opens suffixes
+ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 class _Ids(dict):
-    """word (no white space) -> its ids as little-endian unsigned 32-bit bytes."""
+    """word (no white space) -> its ids as little-endian unsigned 32-bit bytes.
+
+    The tokenizer splits letters from ASCII punctuation, so a word's ids are those of its leading
+    punctuation, its core and its trailing punctuation in turn; the cores, far fewer than the words,
+    are remembered by themselves. Apostrophes and special tokens are left to the tokenizer."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.path, self.tokenizer, self.parts = path, Tokenizer.from_file(path), {}
+        made = json.loads(self.tokenizer.to_str())
+        kinds = lambda key, parts: [x["type"] for x in (made[key] or {}).get(parts, [])]
+        #: lower-cased letters are one piece, and reach the model as they are, byte by byte
+        self.plain = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+
+    def ids(self, part: bytes) -> list[int]:
+        text = part.decode()
+        if self.plain and LETTERS.fullmatch(low := text.lower()):
+            return [t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, part: bytes) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) > CACHE_PARTS:
+                self.parts.clear()
+            found = self.ids(part)
+            ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(PUNCTUATION)
+        tail, head = word[len(core):], b""
+        if core and core[0] not in PUNCTUATION or not core or SPECIAL in word:
+            pass
+        elif (rest := core.lstrip(PUNCTUATION))[0] in ALNUM:  # what follows cannot join the punctuation
+            head, core = core[:len(core) - len(rest)], rest
+        if not core or SPECIAL in word or not (core[-1] in ALNUM or core[-1] >= 0x80 and core.decode()[-1].lower().isalpha()):
+            ids = self.encode(word)
+        else:
+            ids = (self.encode(head) if head else b"") + self.encode(core) + (self.encode(tail) if tail else b"")
         self[word] = ids
         return ids
 
@@ -44,16 +85,21 @@ _known: list[_Ids] = []
 
 
 def _ids(path: str) -> _Ids:
-    """The worker's memory, kept over tasks and started anew when it is full."""
-    if not _known or _known[0].path != path or len(_known[0]) > CACHE_WORDS:
+    """The worker's memory, kept over tasks; words are forgotten when it is full."""
+    if not _known or _known[0].path != path:
         _known[:] = [_Ids(path)]
+    if len(_known[0]) > CACHE_WORDS:
+        _known[0].clear()
     return _known[0]
 
 
 def token_bytes(text: bytes | None, known: _Ids) -> bytes:
-    """The ids of a whole text and the end id. The tokenizer drops white space and never joins
-    across it, so the ids of a text are those of its words in turn."""
-    return b"".join(map(known.__getitem__, text.split() if text else ())) + END_ID.to_bytes(4, "little")
+    """The ids of a whole text and the end id. The tokenizer drops white space, never joins across
+    it and lower-cases, so the ids of a text are those of its lower-cased words in turn (special
+    tokens alone tell cases apart)."""
+    if not text:
+        return END
+    return b"".join(map(known.__getitem__, (text if SPECIAL in text else text.lower()).split())) + END
 
 
 def pieces_of(ids: bytes, length: int = SEQUENCE) -> Iterator[tuple[int, int, int]]:

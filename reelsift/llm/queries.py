@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import langid, license_scan, mixing, ngram_join, packing, secret_scan, warc
+from reelsift.llm import embedding_dedup, langid, license_scan, mixing, ngram_join, packing, secret_scan, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -104,3 +104,10 @@ def op8_secret_scan(spark, sf_dir):
 def op7_license_scan(spark, sf_dir):
     """License statements in every document."""
     return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
+@register("op6_embedding_dedup")
+def op6_embedding_dedup(spark, sf_dir):
+    """Embeddings linked at a cosine of 0.9 or more."""
+    return (embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+            .select("vec_id", "n_links", "component_id", "kept"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import embedding_dedup, langid, license_scan, mixing, ngram_join, packing, secret_scan, warc
+from reelsift.llm import embedding_dedup, langid, license_scan, lm_score, mixing, ngram_join, packing, secret_scan, warc
 from reelsift.llm.common import crc_mod, read_table
 from reelsift.llm.exact_dedup import exact_dedup
 
@@ -111,3 +111,13 @@ def op6_embedding_dedup(spark, sf_dir):
     """Embeddings linked at a cosine of 0.9 or more."""
     return (embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
             .select("vec_id", "n_links", "component_id", "kept"))
+
+
+@register("op10_lm_score")
+def op10_lm_score(spark, sf_dir):
+    """Log10 probability of every document, learned from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    model = lm_score.fit(docs, "doc_id", "text", ~held_out)
+    return (lm_score.score(docs, model)
+            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))

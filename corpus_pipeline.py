@@ -9,17 +9,44 @@ last, returns the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reelsift.llm import langid, mixing, ngram_join, packing
 from reelsift.llm.common import cut_lineage
 from reelsift.llm.exact_dedup import exact_dedup
+from reelsift.llm.queries import tokenizer_path
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of each group of equal texts."""
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID rejects go: no letters, or far from every learned language."""
+    model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
+    return langid.identify(docs, model).filter("not rejected").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id stays."""
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("exact dedup", dedup_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a similarity of 0.8 of the five-word shingles the smallest id stays."""
+    classes = ngram_join.jaccard_classes(docs, n=5, num=4, den=5)
+    gone = cut_lineage(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source near its target: documents come as often as the mix takes them, or not at all."""
+    return mixing.mix_documents(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("language ID", language_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
+          ("mixing to target weights", mixing_stage), ("packing", packing_stage)]
 
 #: Not expressible in SQL: the stages learn models; tests hold them against brute force.
 ORACLE_SQL = None

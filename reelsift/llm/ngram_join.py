@@ -32,6 +32,7 @@ from reelsift.llm.common import checked_broadcast, connected_components, cut_lin
 WORD_CACHE = 500_000
 MAX_BROADCAST_ROWS = 1_000_000  # of (id, class) pairs, 16 bytes each
 BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 2_000_000  # of a group that one task compares
+BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
 
 _hashes: dict[bytes, int] = {}
@@ -148,6 +149,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
     return cut_lineage(texts.mapInArrow(cut, "k long, elements binary").dropDuplicates(["k"]), "sets")
 
 
+def _maybe(signed: DataFrame, sigs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
+    """(sig, k) of the signatures that may be among ``sigs``: a filter of 16 bits each, up to
+    ``max_bits`` (32 MB), goes to every task, so that the others need no shuffle."""
+    bits = max(BLOCK_BITS, min(max_bits, 1 << (16 * sigs.count()).bit_length()))
+    place = F.pmod("sig", F.lit(bits))
+    blocks = (sigs.groupBy(F.shiftright(place, 15).alias("block"))
+              .agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(BLOCK_BITS - 1))).alias("bitmap")).collect())  # max_bits / 8 bytes
+    held = np.zeros(bits // 8, np.uint8)
+    for r in blocks:
+        held[r.block * BLOCK_BITS // 8:][:BLOCK_BITS // 8] = np.frombuffer(r.bitmap, np.uint8)
+    shared = signed.sparkSession.sparkContext.broadcast(held)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in batches:
+            sig = b.column(1).flatten().to_numpy()
+            k = np.repeat(b.column(0).fill_null(0).to_numpy(), b.column(1).value_lengths().fill_null(0).to_numpy())
+            at = sig % bits
+            hit = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(sig[hit]), pa.array(k[hit])], names=["sig", "k"])
+
+    return signed.mapInArrow(test, "sig long, k long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) pairs whose sets meet the threshold, as a written table."""
     left = sets.select(F.col("k").alias("a"), F.col("elements").alias("ea"))
@@ -282,10 +307,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # signatures of two classes or more, with how much company a class has over all of its own:
     # an original has more than its edited copies, so it makes the better centre of a star
-    flat = signed.select(F.explode("sigs").alias("sig"), "k")
-    shared = cut_lineage(flat.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high"))
-                         .filter("low < high").select("sig"), "shared")
-    members = cut_lineage(flat.join(shared, "sig").distinct(), "members")
+    twice = cut_lineage(signed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), "twice")
+    near = cut_lineage(_maybe(signed.select("k", "sigs"), twice).distinct().join(twice, "sig"), "near")
+    shared = near.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("sig")
+    members = cut_lineage(near.join(cut_lineage(shared, "shared"), "sig"), "members")
     company = members.groupBy("sig").count()
     company = cut_lineage(members.join(company, "sig").groupBy("k").agg(F.sum("count").alias("company")), "company")
     wanted = cut_lineage(rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")), "wanted")

@@ -44,20 +44,30 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """(v, c): for every vertex of ``edges`` the smallest vertex it reaches. Each round takes the
-    smallest label among the neighbours and then the label of that label (pointer jumping), so
-    long chains close in few rounds; every round is a written table and ends on a count."""
-    one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
-    both = cut_lineage(one.union(one.select("b", "a")).distinct(), "edges")
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"))
-                         .select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "labels")
+    """(v, c): for every vertex of ``edges`` the smallest vertex it reaches.
+
+    Each round points every vertex to its smallest neighbour (or itself), follows the pointers to
+    their ends, and goes on with the edges between different ends: a star is gone after one round, a
+    chain after a logarithm of its length in jumps. All steps are written tables, and minima are
+    taken before the shuffle, so a hub costs no task more than others."""
+    left = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b").distinct(), "edges")
+    found = None
     while True:
-        near = (both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("c").alias("m")))
-        step = cut_lineage(labels.join(near, F.col("v") == F.col("a"))
-                           .select("v", F.least("c", "m").alias("c"), F.col("c").alias("was")), "near")
-        over = step.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-        new = cut_lineage(step.join(over, "c").select("v", F.col("c2").alias("c"), "was"), "labels")
-        changed = new.filter("c <> was").limit(1).count()
-        labels = new.select("v", "c")
-        if not changed:
-            return labels
+        both = left.union(left.select("b", "a"))
+        to = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "pointers")
+        while True:
+            over = to.select(F.col("v").alias("c"), F.col("c").alias("c2"))
+            to = cut_lineage(to.join(over, "c").select("v", F.col("c2").alias("c"), (F.col("c") != F.col("c2")).alias("moved")), "pointers")
+            moved = to.filter("moved").limit(1).count()
+            to = to.select("v", "c")
+            if not moved:
+                break
+        if found is None:
+            found = to
+        else:
+            then = to.select(F.col("v").alias("c"), F.col("c").alias("c2"))
+            found = cut_lineage(found.join(then, "c", "left").select("v", F.coalesce("c2", "c").alias("c")), "components")
+        ends = left.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").filter("x <> y")
+        left = cut_lineage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if not left.limit(1).count():
+            return found

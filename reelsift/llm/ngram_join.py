@@ -204,7 +204,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
         same = np.flatnonzero(a_run[step:] == a_run[:-step])
         np.add.at(both, (a_owner[same], a_owner[same + step]), 1)
     both += both.T
-    both[np.arange(len(sets)), np.arange(len(sets))] = sizes
+    both[np.arange(len(sets)), np.arange(len(sets))] = np.bincount(a_owner, minlength=len(sets))
     many = np.flatnonzero(count > DENSE)
     out = both[np.ix_(left, right)]
     for k in range(0, len(many), COLUMNS):

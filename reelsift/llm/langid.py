@@ -259,7 +259,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Co
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
         for lang, words in found.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "word": list(words), "n": list(words.values())})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()),
+                                              pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     fit_rows = drawn.filter(F.col("fits") | F.col("lang").isin(*lone)) if lone else drawn.filter("fits")
     words = (fit_rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
@@ -322,7 +323,7 @@ def identify(docs: DataFrame, model: CharModels | None, text_col: str = "text")
             best, score, ce, n, out = verdicts(score_texts(b.column(at).to_pylist(), known), m)
             langs = [m.langs[i] if k else UNKNOWN for i, k in zip(best, n, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(langs), pa.array(score), pa.array(ce, mask=n == 0), pa.array(n), pa.array(out)],
+                [*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64(), mask=n == 0), pa.array(n, pa.int64()), pa.array(out, pa.bool_())],
                 names=[*b.schema.names, *ADDED])
 
     return docs.mapInArrow(label, schema)

@@ -150,7 +150,7 @@ def write_archives(rows: DataFrame, folder: str, rotate: int = ROTATE) -> DataFr
                 if out is None:
                     path = f"{root}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
                     filesystem.create_dir(root, recursive=True)
-                    out = filesystem.open_output_stream(path)
+                    out = filesystem.open_output_stream(path, compression=None)  # not by the name: members are made here
                 data = member(record_bytes(id_, url, body, digest, first))
                 out.write(data)
                 records, size = records + 1, size + len(data)
@@ -189,7 +189,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
             for path in b.column(0).to_pylist():
                 filesystem, name = _open(path)
                 rows, size = [], 0
-                with filesystem.open_input_stream(name) as stream:
+                with filesystem.open_input_stream(name, compression=None) as stream:
                     for head, http, body in read_records(stream):
                         clean = lambda k: re.sub(rf"^<{NAME}|>$", "", head[k]) if k in head else None
                         revisit = head["warc-type"] == "revisit"

@@ -38,25 +38,20 @@ def test_no_labels_means_no_model(spark):
     assert {(r.lang_pred, r.rejected) for r in langid.identify(df, model).collect()} == {("und", False)}
 
 
-def test_model_is_a_distribution_over_each_word_position():
+def test_words_of_all_lengths_have_a_probability_of_one():
     from collections import Counter
-
-    import numpy as np
-
-    words = Counter({"aba": 3, "abb": 2, "ca": 4, "b": 1})
-    m = langid.CharModels(["x"], {"x": words}, 3)
-    letters = [*"abc", "?"]  # the last stands for any symbol never seen
-    # one-letter words: P(letter | ^) for all letters, over what comes after
-    bits = m.bits([a for a in letters])
-    ends = m.bits([""])  # ^ then $
-    first = 0.0
-    for a, row in zip(letters, bits, strict=True):
-        longer = m.bits([a + b for b in letters])[:, 0]
-        del longer
-        cost_end = row[0]
-        assert np.isfinite(cost_end)
-        first += 2.0 ** -cost_end
-    assert first + 2.0 ** -ends[0, 0] <= 1.0 + 1e-6  # short words are a part of all words
+    from itertools import product
+
+    m = langid.CharModels(["x"], {"x": Counter({"aba": 3, "abb": 2, "ba": 4, "b": 1})}, 3)
+    letters = "ab?"  # the last stands for the one symbol more that the model allows for
+    open_, closed = 1.0, 0.0  # a share of the words is closed with each length, the rest goes on
+    for n in range(7):
+        runs = ["".join(x) for x in product(letters, repeat=n)]
+        ends = (2.0 ** -m.bits(runs)[:, 0]).sum()
+        closed += ends
+        assert 0 <= ends <= open_ + 1e-6
+        open_ = 1.0 - closed
+    assert 0 < closed <= 1 + 1e-6 and open_ < 0.2
 
 
 def test_scores_do_not_depend_on_the_batches():

@@ -13,6 +13,7 @@ part that holds it is small; the documents of that part are then tried one by on
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,6 +96,29 @@ def route(patterns: list[tuple[list[str | None], int]], due: dict[str | None, fl
     return given
 
 
+def fill(sizes: list[int], rest: int) -> list[int]:
+    """Places of the ``sizes`` to take for a sum near ``rest``: in their order each that still fits,
+    then, while it comes nearer, one more or one for another."""
+    took = [False] * len(sizes)
+    for i, s in enumerate(sizes):
+        if s <= rest:
+            took[i], rest = True, rest - s
+    for _ in range(4):
+        out = sorted((s, i) for i, s in enumerate(sizes) if not took[i])
+        ins = [(0, None), *((s, i) for i, s in enumerate(sizes) if took[i])]
+        best = (abs(rest), None, None)
+        for s, i in ins:  # what is left out whose size comes nearest to rest + s
+            at = bisect_left(out, (rest + s, -1))
+            for size, j in out[max(0, at - 1):at + 1]:
+                best = min(best, (abs(rest + s - size), i, j), key=lambda x: x[0])
+        if best[2] is None:
+            break
+        if best[1] is not None:
+            took[best[1]], rest = False, rest + sizes[best[1]]
+        took[best[2]], rest = True, rest - sizes[best[2]]
+    return [i for i, x in enumerate(took) if x]
+
+
 @dataclass
 class Mix:
     """sources: (source, source_size, target). state: (pattern, base, below, until): documents take
@@ -178,20 +202,10 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: flo
     last = rows.join(F.broadcast(state), "pattern").filter("draw >= below and draw < until").groupBy("pattern", "draw", "rest").agg(F.sum("size").alias("size"))
 
     def pick(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        """In the order of the hash, each document that still fits; and the next whole one where
-        it comes nearer to the target than stopping short."""
         t = t.sort_by([("draw", "ascending")])
-        rest, took, out = t["rest"][0].as_py() if len(t) else 0, [], t["draw"].to_pylist()
-        size = t["size"].to_pylist()
-        for i, s in enumerate(size):
-            if s <= rest:
-                took.append(i)
-                rest -= s
-        taken = set(took)
-        near = min((i for i in range(len(size)) if i not in taken), key=lambda i: size[i], default=None)
-        if near is not None and size[near] - rest < rest:
-            took.append(near)
-        return pa.table({"pattern": pa.array([key[0].as_py()] * len(took), pa.string()), "draw": pa.array([out[i] for i in took], pa.int64())})
+        took = fill(t["size"].to_pylist(), t["rest"][0].as_py() if len(t) else 0)
+        draws = t["draw"].to_pylist()
+        return pa.table({"pattern": pa.array([key[0].as_py()] * len(took), pa.string()), "draw": pa.array([draws[i] for i in took], pa.int64())})
 
     picked = cut_lineage(last.groupBy("pattern").applyInArrow(pick, "pattern string, draw long"), "picked")
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -1,7 +1,7 @@
 """Driver test tables -> domain tables (ratings, movies, tags, genome, second catalogue, events).
 
 Every domain table is a projection/join of the given parquet tables, so its size grows with
-them. The same expressions are written in DuckDB SQL in ``reelsift.oracle`` for the
+them. The same expressions are written in DuckDB SQL in ``reelsift.queries.sql`` for the
 correctness gate.
 """
 
@@ -150,9 +150,9 @@ def second_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voter_id(movie_id, vote_no, pool: int = VOTER_POOL, seed: int = VOTER_SEED):
-    """Deterministic synthetic voter in 1..pool (replaces a NumPy RNG draw)."""
-    mix = F.col(movie_id).cast("long") * 7919 + F.col(vote_no).cast("long") * 104729 + seed
-    return (F.pmod(mix, F.lit(pool)) + 1).cast("int")
+    """Synthetic voter in 1..pool, drawn with replacement by a hash of (movie, vote, seed)."""
+    digest = F.md5(F.concat_ws(":", F.col(movie_id).cast("string"), F.col(vote_no).cast("string"), F.lit(str(seed))).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % pool + 1).cast("int")
 
 
 def expand_votes(movies2: DataFrame, pool: int = VOTER_POOL, seed: int = VOTER_SEED,

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reelsift.functions.dates import epoch_to_ts, in_range, month_start
 from reelsift.functions.labels import pct
 from reelsift.functions.text import GENRE_SENTINEL, contains_literal, normalize_tag, tag_clean
-from reelsift.operators.joins import sized_broadcast
 
 # Fixed values of the reference analysis.
 LONG_TAIL = 10
@@ -117,7 +116,7 @@ def movie_totals(ratings: DataFrame) -> DataFrame:
 def genre_rating_stats(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """AG-13: per genre total ratings, rating sum, rated movies, volume-weighted mean.
     Ratings are aggregated per movie before the genre fan-out."""
-    pairs = sized_broadcast(explode_genres(movies))
+    pairs = explode_genres(movies)
     return (movie_totals(ratings).join(pairs, "movieId")
             .groupBy("genre")
             .agg(F.sum("num_ratings").alias("total_ratings"),
@@ -162,29 +161,28 @@ def genre_year_counts(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """AG-18: counts per (movie, year) first, then the genre fan-out, then per (year, genre)."""
     my = ratings.groupBy("movieId", F.year(epoch_to_ts("timestamp")).alias("year")) \
                 .agg(F.count(F.lit(1)).alias("n"))
-    return (my.join(sized_broadcast(explode_genres(movies)), "movieId")
+    return (my.join(explode_genres(movies), "movieId")
             .groupBy("year", "genre").agg(F.sum("n").alias("count")))
 
 
-def top_genres(ratings: DataFrame, movies: DataFrame, k: int = 8) -> list[str]:
-    """The k genres with the most ratings (ties by name); a k-row collect."""
-    rows = (genre_rating_stats(ratings, movies).orderBy(F.col("total_ratings").desc(), "genre")
-            .limit(k).select("genre").collect())
-    return [r.genre for r in rows]
-
-
 def genre_year_pivot(ratings: DataFrame, movies: DataFrame, k: int = 8) -> DataFrame:
-    """AG-19: years x top-k genres, missing -> 0 (pivot with an explicit value list)."""
-    genres = top_genres(ratings, movies, k)
-    gy = genre_year_counts(ratings, movies).where(F.col("genre").isin(genres))
-    return gy.groupBy("year").pivot("genre", genres).agg(F.sum("count")).na.fill(0)
+    """AG-19: years x the k genres with the most ratings (ties by name), missing -> 0. The columns
+    are ``year`` and, by rank, ``genre_1``, ``count_1``, ..., so they do not depend on the data; a
+    rank without a genre is null with count 0."""
+    top = (genre_rating_stats(ratings, movies).orderBy(F.col("total_ratings").desc(), "genre").limit(k)
+           .select("genre", F.row_number().over(Window.orderBy(F.col("total_ratings").desc(), "genre")).alias("_rank")))
+    names = top.agg(*[F.max(F.when(F.col("_rank") == i, F.col("genre"))).alias(f"genre_{i}") for i in range(1, k + 1)])
+    wide = (genre_year_counts(ratings, movies).join(F.broadcast(top), "genre")  # k rows
+            .groupBy("year").agg(*[F.coalesce(F.sum(F.when(F.col("_rank") == i, F.col("count"))), F.lit(0)).alias(f"count_{i}")
+                                   for i in range(1, k + 1)]))
+    return wide.select("year", *[c for i in range(1, k + 1) for c in (names.select(f"genre_{i}").scalar().alias(f"genre_{i}"), F.col(f"count_{i}"))])
 
 
 def genre_year_top_long(ratings: DataFrame, movies: DataFrame, k: int = 8) -> DataFrame:
     """AG-19 in long form: (year, genre, count) over the pivot's full grid."""
-    genres = top_genres(ratings, movies, k)
-    wide = genre_year_pivot(ratings, movies, k)
-    return wide.unpivot("year", genres, "genre", "count")
+    pairs = F.array(*[F.struct(F.col(f"genre_{i}").alias("genre"), F.col(f"count_{i}").alias("count")) for i in range(1, k + 1)])
+    return (genre_year_pivot(ratings, movies, k).select("year", F.explode(pairs).alias("p"))
+            .select("year", "p.genre", "p.count").where(F.col("genre").isNotNull()))
 
 
 def genre_trend_change(ratings: DataFrame, movies: DataFrame, n_years: int = 3) -> DataFrame:

@@ -1,22 +1,9 @@
-"""Join building blocks: semi/anti filters, id maps, remaps, grids, size-checked broadcast."""
+"""Join building blocks: semi/anti filters, remaps, grids. Join strategies are left to AQE."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A side is broadcast only when its row count is proven below this bound; otherwise the
-# join stays a shuffle join (AQE may still pick broadcast from runtime statistics).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; larger inputs are left to a shuffle join.
-    The check reads at most ``max_rows + 1`` rows (a limited count), so proving the bound
-    costs O(bound), not a pass over a large side."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def filter_min_count(df: DataFrame, key: str, k: int) -> DataFrame:
     """JN-1: keep rows whose ``key`` has at least ``k`` rows (count, then semi join).
     Both sides are partitioned on ``key``, so the semi join reuses the aggregate's exchange."""
@@ -43,12 +30,6 @@ def remap_ids(df: DataFrame, id_map: DataFrame, col: str, old: str = "old_id",
               .drop("_old", "_new")
 
 
-def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id", new: str = "new_id") -> DataFrame:
-    """JN-12 (see ``reelsift.operators.ranking.dense_id_map``)."""
-    from reelsift.operators.ranking import dense_id_map as _dense
-    return _dense(df, id_col, start, old, new)
-
-
 def week_grid(keys: DataFrame, key: str, lo, hi, step: str = "7 days",
               out: str = "week_start") -> DataFrame:
     """JN-14: every key x every period from ``lo`` to ``hi`` (scalar Columns), generated by

@@ -29,22 +29,29 @@ def global_rank(df: DataFrame, order_cols, out: str = "_rank", total: str | None
     return out_df.withColumnRenamed("_tot", total) if total else out_df.drop("_tot")
 
 
-SMALL_ID_SET = 1_000_000
-
-
-def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id", new: str = "new_id",
-                 small: int = SMALL_ID_SET) -> DataFrame:
+def dense_id_map(df: DataFrame, id_col: str, start=0, old: str = "old_id", new: str = "new_id") -> DataFrame:
     """JN-12: sorted distinct ids -> start, start + 1, ... ``start`` is a literal or a scalar
-    Column (for example ``other.agg(F.max(...)).scalar() + 1``).
-
-    A limited count proves whether the distinct ids fit under ``small``: then one sorted
-    window numbers them (at most ``small`` ids in one task); otherwise the distributed
-    ``global_rank`` is used."""
+    Column (for example ``other.agg(F.max(...)).scalar() + 1``). The ids are ranked by
+    ``global_rank``, which writes them once, at every size."""
     ids = df.select(F.col(id_col).alias(old)).where(F.col(old).isNotNull()).distinct()
     start_col = F.lit(start) if isinstance(start, (int, float)) else start
-    if ids.limit(small + 1).count() <= small:
-        rank = F.row_number().over(Window.orderBy(old)) - 1
-        # the map feeds several joins; a checkpoint keeps its lineage from being re-run
-        return cut_lineage(ids.select(old, (start_col + rank).cast("long").alias(new)))
-    ranked = global_rank(ids, [old])
-    return ranked.select(old, (start_col + F.col("_rank")).cast("long").alias(new))
+    return global_rank(ids, [old]).select(old, (start_col + F.col("_rank")).cast("long").alias(new))
+
+
+def first_at_rank(df: DataFrame, key, levels, rank: int, order: str = "_key"):
+    """The ``key`` (a struct Column) of the row with 0-based ``rank`` in the order of ``key``, as a
+    Row, or None beyond the last row. ``levels`` are ever finer monotonic functions of the key: each
+    one's counts (a small table) find the part that holds the rank, and only the rows of the last
+    part are ranked. No sort and no copy of ``df``; a few column-pruned scans."""
+    inside, before = df, 0
+    for level in levels:
+        parts = inside.groupBy(level.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) + before
+        hit = parts.withColumn("upto", upto).where(F.col("upto") > rank).orderBy("part").limit(1).collect()
+        if not hit:
+            return None
+        before = hit[0].upto - hit[0].n
+        inside = inside.where(level.eqNullSafe(F.lit(hit[0].part)))
+    last = inside.select(key.alias(order)).withColumn("_r", F.row_number().over(Window.orderBy(order)))
+    found = last.where(F.col("_r") == rank - before + 1).select(order).collect()
+    return found[0][0] if found else None

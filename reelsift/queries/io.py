@@ -24,15 +24,39 @@ def q_csv_roundtrip_ratings(spark, sf):
     return rd.read_ratings(spark, path)
 
 
+def _through_csv(spark, df, name, read):
+    path = scratch(spark, name)
+    sk.write_csv(df, path)
+    return read(spark, path)
+
+
+def _combined(spark, sf):
+    """Both tables of the merge, written as CSV and read back."""
+    movies, ratings = rc.merge_sources(adapt.movies(spark, sf), adapt.ratings(spark, sf), adapt.second_movies(spark, sf),
+                                       adapt.second_ratings(spark, sf))[:2]
+    mp, rp = scratch(spark, "combined_movies"), scratch(spark, "combined_ratings")
+    sk.write_csv(movies, mp)
+    sk.write_csv(ratings, rp)
+    return rd.read_combined(spark, mp, rp)
+
+
 @register("csv_roundtrip_combined_movies", _MERGE_SQL + "SELECT * FROM cm")
 def q_csv_roundtrip_combined_movies(spark, sf):
     """SNK-1 + SRC-8: merged catalogue through CSV (quoted text, booleans)."""
-    movies = rc.merge_sources(adapt.movies(spark, sf), adapt.ratings(spark, sf), adapt.second_movies(spark, sf),
-                              adapt.second_ratings(spark, sf))[0]
-    mp, rp = scratch(spark, "combined_movies"), scratch(spark, "combined_ratings")
-    sk.write_csv(movies, mp)
-    sk.write_csv(adapt.ratings(spark, sf).withColumn("source", F.lit("movielens")), rp)
-    return rd.read_combined(spark, mp, rp)[0]
+    return _combined(spark, sf)[0]
+
+
+@register("csv_roundtrip_combined_ratings", _MERGE_SQL + "SELECT * FROM cr")
+def q_csv_roundtrip_combined_ratings(spark, sf):
+    """SNK-1 + SRC-8: merged ratings of both sources through CSV."""
+    return _combined(spark, sf)[1]
+
+
+def _second(spark, sf, columns=None):
+    mp, rp = scratch(spark, "movies2"), scratch(spark, "ratings2")
+    sk.write_csv(adapt.second_movies(spark, sf), mp)
+    sk.write_csv(adapt.second_ratings(spark, sf), rp)
+    return rd.read_second_catalog(spark, mp, rp, columns=columns)
 
 
 @register("csv_roundtrip_second_catalog", with_tables("movies2") +
@@ -40,10 +64,53 @@ def q_csv_roundtrip_combined_movies(spark, sf):
 def q_csv_roundtrip_second_catalog(spark, sf):
     """SNK-1 + SRC-7: second catalogue through CSV, pruned to three columns at read (an empty
     field reads back as null)."""
-    mp, rp = scratch(spark, "movies2"), scratch(spark, "ratings2")
-    sk.write_csv(adapt.second_movies(spark, sf), mp)
-    sk.write_csv(adapt.second_ratings(spark, sf), rp)
-    return rd.read_second_catalog(spark, mp, rp, columns=["movieId", "title", "release_date"])[0]
+    return _second(spark, sf, ["movieId", "title", "release_date"])[0]
+
+
+@register("csv_roundtrip_second_ratings", with_tables("ratings2") + "SELECT * FROM ratings2")
+def q_csv_roundtrip_second_ratings(spark, sf):
+    """SNK-1 + SRC-7: second-source ratings through CSV."""
+    return _second(spark, sf)[1]
+
+
+@register("csv_roundtrip_titles", """
+SELECT CAST(p_partkey AS INTEGER) AS movieId,
+       CASE p_partkey % 6 WHEN 0 THEN 'He said "' || p_name || '", ok (1999)' WHEN 1 THEN '  ' || p_name || ' (2000) '
+            WHEN 2 THEN p_name || ' \\' WHEN 3 THEN p_name || chr(10) || 'second line, The (2001)'
+            WHEN 4 THEN '"' || p_name || '"' ELSE 'a\\"b, ' || p_name END AS title,
+       replace(p_name, ' ', '|') AS genres
+FROM part""")
+def q_csv_roundtrip_titles(spark, sf):
+    """SNK-1 + SRC-2: titles with quotes, commas, backslashes, outer spaces and line breaks."""
+    m, name, k = adapt.movies(spark, sf), F.substring_index("title", " (", 1), F.pmod("movieId", F.lit(6))
+    odd = (F.when(k == 0, F.concat(F.lit('He said "'), name, F.lit('", ok (1999)'))).when(k == 1, F.concat(F.lit("  "), name, F.lit(" (2000) ")))
+           .when(k == 2, F.concat(name, F.lit(" \\"))).when(k == 3, F.concat(name, F.lit("\nsecond line, The (2001)")))
+           .when(k == 4, F.concat(F.lit('"'), name, F.lit('"'))).otherwise(F.concat(F.lit('a\\"b, '), name)))
+    return _through_csv(spark, m.withColumn("title", odd), "titles", rd.read_movies)
+
+
+@register("csv_roundtrip_tags", with_tables("tags") + "SELECT * FROM tags")
+def q_csv_roundtrip_tags(spark, sf):
+    """SNK-1 + SRC-3."""
+    return _through_csv(spark, adapt.tags(spark, sf), "tags", rd.read_tags)
+
+
+@register("csv_roundtrip_links", with_tables("links") + "SELECT * FROM links")
+def q_csv_roundtrip_links(spark, sf):
+    """SNK-1 + SRC-4 (null tmdb ids)."""
+    return _through_csv(spark, adapt.links(spark, sf), "links", rd.read_links)
+
+
+@register("csv_roundtrip_genome_scores", with_tables("genome_scores") + "SELECT * FROM genome_scores")
+def q_csv_roundtrip_genome_scores(spark, sf):
+    """SNK-1 + SRC-5."""
+    return _through_csv(spark, adapt.genome_scores(spark, sf), "genome_scores", rd.read_genome_scores)
+
+
+@register("csv_roundtrip_genome_tags", with_tables("genome_tags") + "SELECT * FROM genome_tags")
+def q_csv_roundtrip_genome_tags(spark, sf):
+    """SNK-1 + SRC-6."""
+    return _through_csv(spark, adapt.genome_tags(spark, sf), "genome_tags", rd.read_genome_tags)
 
 
 @register("csv_roundtrip_forecasting", FORECAST_SQL)

@@ -53,6 +53,15 @@ def q_rec_leave_last_n_out(spark, sf):
     return sp.leave_last_n_out(_log(spark, sf))
 
 
+@register("rec_leave_last_n_out_raw", with_tables("raw_ratings") + """
+SELECT * EXCLUDE (r, n), CASE WHEN r < 5 THEN 'test' WHEN r < 10 THEN 'val' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY "timestamp" DESC NULLS LAST, movieId NULLS FIRST, rating NULLS FIRST) - 1 AS r,
+             count(*) OVER (PARTITION BY userId) AS n FROM raw_ratings) WHERE n >= 11""")
+def q_rec_leave_last_n_out_raw(spark, sf):
+    """WN-4 before cleaning: duplicate rows and null ratings keep their places."""
+    return sp.leave_last_n_out(adapt.raw_ratings(spark, sf))
+
+
 @register("rec_split_users", with_tables("ratings") + """
 SELECT count(*) FILTER (WHERE n >= 11) AS eligible_users, count(*) AS total_users,
        count(*) FILTER (WHERE n < 11) AS excluded_users

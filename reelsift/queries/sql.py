@@ -48,7 +48,7 @@ MOVIES2 = """movies2 AS (
   FROM part)"""
 
 RATINGS2 = """ratings2 AS (
-  SELECT CAST(((CAST(m.movieId AS BIGINT) * 7919 + g.v * 104729 + 42) % 50000) + 1 AS INTEGER) AS userId,
+  SELECT CAST(CAST('0x' || substr(md5(concat_ws(':', m.movieId, g.v, 42)), 1, 8) AS BIGINT) % 50000 + 1 AS INTEGER) AS userId,
          m.movieId,
          CAST(least(greatest(CAST(round_even(m.vote_average, 0) AS DOUBLE) / 2, 0.5), 5.0) AS FLOAT) AS rating,
          CAST(epoch(try_strptime(m.release_date, '%Y-%m-%d')) AS BIGINT) AS "timestamp"

@@ -35,6 +35,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # state that grows with the users belongs on disk, not on the executors' heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -61,8 +63,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; only when none is configured (local tests)
-    create a scratch one. On a cluster ``spark.checkpoint.dir`` names a shared folder."""
+    """Return the cluster's checkpoint folder; only when none is configured and the master is
+    local (tests) create a scratch one. A cluster without ``spark.checkpoint.dir`` is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -71,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):  # executors would write to their own disks
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="reelsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()

@@ -9,15 +9,13 @@ from reelsift import schemas
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST", "nullValue": ""}
 
 
-def read_csv(spark: SparkSession, path: str, schema, max_partition_bytes: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
     """SRC-1..9: header CSV with an explicit schema. Only empty fields are null (literal
     "NA"/"None" strings stay strings). Input splits follow the session's
     ``spark.sql.files.maxPartitionBytes`` (SRC-13: a large file becomes many partitions; no
-    chunk loop); ``max_partition_bytes`` sets it for the session (a per-read option is not
-    honoured by file scans)."""
-    if max_partition_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    chunk loop). ``multi_line``: text columns may hold line breaks; such a file is one split, so the
+    large tables (ratings, scores) are read without."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=str(multi_line).lower()).csv(path)
 
 
 def read_ratings(spark, path, **kw):
@@ -26,8 +24,8 @@ def read_ratings(spark, path, **kw):
 
 
 def read_movies(spark, path, **kw):
-    """SRC-2 (quoted titles with commas)."""
-    return read_csv(spark, path, schemas.MOVIES, **kw)
+    """SRC-2 (quoted titles with commas, quotes and line breaks)."""
+    return read_csv(spark, path, schemas.MOVIES, **{"multi_line": True, **kw})
 
 
 def read_tags(spark, path, **kw):
@@ -52,7 +50,7 @@ def read_genome_tags(spark, path, **kw):
 
 def read_second_catalog(spark, movies_path, ratings_path, columns=None):
     """SRC-7: second-source movies (optionally pruned to ``columns``) and ratings."""
-    m = read_csv(spark, movies_path, schemas.SECOND_MOVIES)
+    m = read_csv(spark, movies_path, schemas.SECOND_MOVIES, multi_line=True)
     if columns:
         m = m.select(*columns)
     return m, read_csv(spark, ratings_path, schemas.RATINGS)
@@ -60,7 +58,7 @@ def read_second_catalog(spark, movies_path, ratings_path, columns=None):
 
 def read_combined(spark, movies_path, ratings_path):
     """SRC-8."""
-    return (read_csv(spark, movies_path, schemas.COMBINED_MOVIES),
+    return (read_csv(spark, movies_path, schemas.COMBINED_MOVIES, multi_line=True),
             read_csv(spark, ratings_path, schemas.COMBINED_RATINGS))
 
 
@@ -109,6 +107,15 @@ def read_source(spark: SparkSession, src_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def read_partitioned_ratings(spark: SparkSession, path: str, split_bytes: int = 128 << 20) -> DataFrame:
-    """SRC-13: a large ratings file read as input splits of ``split_bytes`` (no chunk loop;
-    sets the session's split size)."""
-    return read_ratings(spark, path, max_partition_bytes=split_bytes)
+    """SRC-13: a large ratings file read as input splits of ``split_bytes`` (no chunk loop). File
+    scans take the split size from the session when they are planned, so the session's own value is
+    put back once this read has its splits."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(split_bytes))
+    try:
+        df = read_ratings(spark, path)
+        df.rdd.getNumPartitions()  # plans the scan; no job
+        return df
+    finally:
+        spark.conf.set(key, before)

@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelsift.functions.dates import epoch_to_ts
 
+# the writer's side of readers.CSV_OPTIONS
+CSV_OUT = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "",
+           "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def write_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
-    """SNK-1: overwrite, header, no index; helper columns dropped; arrays as JSON text."""
+    """SNK-1: overwrite, header, no index; helper columns dropped; arrays as JSON text. Quotes are
+    doubled and white space is kept, as ``readers`` expects; empty text reads back as null."""
     d = df.drop(*drop)
     for f in d.schema.fields:
         if f.dataType.typeName() in ("array", "struct", "map"):
             d = d.withColumn(f.name, F.to_json(f.name))
-    d.write.mode("overwrite").option("header", True).csv(path)
+    d.write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, max_records_per_file: int | None = None,

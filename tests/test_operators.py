@@ -143,11 +143,50 @@ def test_profile_counts_nan_as_missing(spark):
     assert prof["null_rating"] == 2 and prof["null_userId"] == 0
 
 
-def test_dense_id_map_both_paths_agree(spark):
+def test_dense_id_map_over_several_partitions(spark):
     df = spark.range(500).select((F.col("id") * 37 % 1000).alias("id")).repartition(4)
-    small = sorted(tuple(r) for r in dense_id_map(df, "id", 10).collect())
-    large = sorted(tuple(r) for r in dense_id_map(df, "id", 10, small=100).collect())
-    assert small == large and [r[1] for r in small] == list(range(10, 510))
+    got = sorted(tuple(r) for r in dense_id_map(df, "id", 10).collect())
+    assert [r[1] for r in got] == list(range(10, 510)) and [r[0] for r in got] == sorted({i * 37 % 1000 for i in range(500)})
+
+
+def leave_out_by_hand(rows, n_test=5, n_val=5):
+    """Per user: the rows newest first, nulls of a tie first, cut after 5 and 10."""
+    out = []
+    for u in {r[0] for r in rows if r[0] is not None}:
+        mine = sorted((r for r in rows if r[0] == u), key=lambda r: (r[3] is None, -(r[3] or 0), r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0))
+        if len(mine) > n_test + n_val:
+            out += [(*r, "test" if i < n_test else "val" if i < n_test + n_val else "train") for i, r in enumerate(mine)]
+    return out
+
+
+def test_leave_last_n_out_with_equal_rows_nulls_and_ties(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(u, rng.choice([1, 2, 3]), rng.choice([None, 1.0, 2.0]), rng.choice([10, 11, 12, 13, None])) for u in range(1, 25) for _ in range(rng.choice([9, 11, 14, 40]))]
+    rows += [(50, 1, 3.0, 7)] * 13 + [(None, 1, 3.0, i) for i in range(15)]
+    got = [tuple(r) for r in sp.leave_last_n_out(spark.createDataFrame(rows, R)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, leave_out_by_hand(rows)))
+
+
+def test_cuts_need_no_sort_or_copy_of_the_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 7).cast("int").alias("userId"), F.col("id").cast("int").alias("movieId"),
+                                  F.lit(1.0).cast("float").alias("rating"), (F.col("id") * 7919 % 400_000).alias("timestamp"))
+    out = sp.temporal_split_rows(df, ["timestamp", "userId", "movieId", "rating"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.timestamp, r.userId, r.movieId, r.split) for r in out.collect())
+    assert [r[3] for r in rows] == ["train"] * 2400 + ["val"] * 300 + ["test"] * 300
+
+
+def test_plans_of_joins_run_no_job_while_they_are_built(spark):
+    from reelsift.operators.aggregates import genre_week_counts, user_genre_counts
+    ratings = spark.createDataFrame([(1, 1, 3.0, 0)], R)
+    movies = spark.createDataFrame([(1, "a (1999)", "x|y")], "movieId int, title string, genres string")
+    spark.sparkContext.setJobGroup("plans", "built only")
+    pairs = ex.explode_genres(movies)
+    for df in (user_genre_counts(ratings, pairs), genre_week_counts(ratings, pairs), ex.genre_rating_stats(ratings, movies), ex.genre_year_counts(ratings, movies)):
+        assert df.columns
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plans")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_split_size_formula():

@@ -7,11 +7,19 @@ first-level parts, of which one holds at most ``k2 = floor(k / n1)`` of the diff
 hashed again into ``n2`` second-level parts, and every choice of ``n2 - k2`` of them is a signature.
 Equal signatures make candidates; candidates are verified on their whole sets.
 
-Copies are one class (equal sets). Each class is first compared with one of the classes it shares
-signatures with, the one with most company. Signatures whose classes this leaves in several
-components form families, whose sets are compared in blocks by matrix products that give the
-components and not the pairs. So no link between different texts is lost, and groups of near copies
-never give all their pairs.
+There are ``spare`` first-level parts more than needed, so similar sets agree in more than ``spare``
+of them. A set with at most ``spare`` parts of frequent signatures (empty parts, passages that many
+documents share) leaves these out: whether a signature is frequent is the same for all sets, so in
+one part that it keeps a similar set still agrees, and keeps it too. Sets with more of them, those of
+large groups of near copies, keep all. And a set that shares no more than ``spare`` signatures of a
+band, less those left out, with any other set has no similar one there.
+
+``k2 = 0`` gives the fewest signatures (one per first-level part), ``k2 = 1`` or more the choices.
+
+Copies are one class (equal sets). In signatures of many classes each class is first compared with
+the one of most company. Signatures whose classes are not one component by then form families, whose
+sets are compared in blocks by matrix products that give the components and not the pairs. So no link
+between different texts is lost, and groups of near copies never give all their pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +41,10 @@ from reelsift.llm.common import checked_broadcast, connected_components, cut_lin
 WORD_CACHE = 500_000
 MAX_BROADCAST_ROWS = 1_000_000  # of (id, class) pairs, 16 bytes each
 BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 2_000_000  # of a group that one task compares
+SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
+KEEP = np.uint64((1 << 8 * SIG_BYTES) - 1)
+EMPTY = np.uint64(1)  # the bit that marks the signatures of empty parts; these count as frequent
+FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
 
@@ -82,22 +95,31 @@ class Bands:
         return int(np.searchsorted(self.uppers, size))
 
     @lru_cache(maxsize=None)  # noqa: B019  a few dozen bands
-    def parts(self, band: int) -> tuple[int, int, int]:
-        """(n1, n2, k2) of a band that takes the sets of its own and of the size band before."""
+    def parts(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, n2, k2, spare) of a band that takes the sets of its own and of the size band before."""
+        self.band(self.uppers[min(band, len(self.uppers) - 1)] + 1)
+        while len(self.uppers) <= band:
+            self.band(self.uppers[-1] + 1)
         u = self.uppers[band]
         k = 2 * u * (self.den - self.num) // (self.den + self.num)
         k2 = min(self.k2, k)
-        return -(-(k + 1) // (k2 + 1)), (1 if k2 == 0 else k2 + 2), k2
+        least = -(-(k + 1) // (k2 + 1))
+        spare = 0 if k2 else 1 + -(-least * 3 * (self.den - self.num) // (5 * self.den))
+        return least + spare, (1 if k2 == 0 else k2 + 2), k2, spare
+
+    def length(self, band: int) -> int:
+        """Signatures of a set in one band."""
+        n1, n2, k2, _ = self.parts(band)
+        return n1 * comb(n2, k2)
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Hashes of (band, part, choice, its elements): equal for any two sets that agree there."""
         if len(elements) == 0:
             return np.zeros(0, np.uint64)
         own = self.band(len(elements))
-        self.band(self.uppers[own] + 1)
         out = []
         for band in (own, own + 1):
-            n1, n2, k2 = self.parts(band)
+            n1, n2, k2, _ = self.parts(band)
             salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64)
             with np.errstate(over="ignore"):
                 h = _mix(elements ^ salt)
@@ -107,9 +129,11 @@ class Bands:
                 cells = np.zeros(n1 * n2, np.uint64)
                 np.add.at(cells, cell * n2 + sub, value)  # a sum does not depend on the order
                 cells = _mix(cells + np.arange(n1 * n2, dtype=np.uint64)).reshape(n1, n2)
+                full = np.bincount(cell * n2 + sub, minlength=n1 * n2).reshape(n1, n2)
                 for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-                    out.append(_mix(cells[:, list(chosen)].sum(1, dtype=np.uint64) ^ (salt + np.uint64(c))))
-        return np.concatenate(out)
+                    h = _mix(cells[:, list(chosen)].sum(1, dtype=np.uint64) ^ (salt + np.uint64(c)))
+                    out.append(h & ~EMPTY | np.where(full[:, list(chosen)].any(1), np.uint64(0), EMPTY))
+        return np.concatenate(out) & KEEP
 
 
 def _class(elements: np.ndarray) -> int:
@@ -131,27 +155,52 @@ def _meets(a: bytes, b: bytes, num: int, den: int) -> bool:
     return den * common >= num * (len(both) - common)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(k, elements) of the ``wanted`` (k, doc) classes: their texts are read and cut again."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes, as a written table:
+    their texts are read and cut again. Rows that repeat an id and text repeat here."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "text")
+    texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ks, out = [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                e = shingle_set(text, n)
-                if len(e) and int(_signed(np.array([_class(e)], np.uint64))[0]) == k:  # an id may stand for several texts
-                    ks.append(k)
-                    out.append(e.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(out, pa.binary())], names=["k", "elements"])
+        bands = Bands(num, den)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out = []
+                for k, family, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    e = shingle_set(text, n)
+                    if len(e) and int(_signed(np.array([_class(e)], np.uint64))[0]) == k:  # an id may stand for several texts
+                        out.append((k, family, bands.band(len(e)), len(e), e.tobytes()))
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())],
+                                                 names=["k", "family", "band", "n", "elements"])
+
+    return cut_lineage(texts.mapInArrow(cut, "k long, family long, band long, n long, elements binary"), "sets")
+
 
-    return cut_lineage(texts.mapInArrow(cut, "k long, elements binary").dropDuplicates(["k"]), "sets")
+def _packed(flat: np.ndarray) -> np.ndarray:
+    """Signatures as bytes, ``SIG_BYTES`` each."""
+    return np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]).ravel()
 
 
-def _maybe(signed: DataFrame, sigs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """(sig, k) of the signatures that may be among ``sigs``: a filter of 16 bits each, up to
-    ``max_bits`` (32 MB), goes to every task, so that the others need no shuffle."""
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a binary column, and how many each row has."""
+    sizes = np.fromiter((0 if x is None else len(x) // SIG_BYTES for x in column.to_pylist()), np.int64, len(column))
+    raw = np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint8).reshape(-1, SIG_BYTES)
+    flat = np.zeros((len(raw), 8), np.uint8)
+    flat[:, :SIG_BYTES] = raw
+    return flat.view(np.int64).ravel(), sizes
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b.column(0).slice(at, 1000))[0])], names=["sig"])
+
+
+def _bits(sigs: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
+    """A filter of 16 bits a signature, up to ``max_bits`` (32 MB): what every task gets to know.
+    Beyond that more signatures pass than are meant, which costs time and loses nothing."""
     bits = max(BLOCK_BITS, min(max_bits, 1 << (16 * sigs.count()).bit_length()))
     place = F.pmod("sig", F.lit(bits))
     blocks = (sigs.groupBy(F.shiftright(place, 15).alias("block"))
@@ -159,16 +208,38 @@ def _maybe(signed: DataFrame, sigs: DataFrame, max_bits: int = 1 << 28) -> DataF
     held = np.zeros(bits // 8, np.uint8)
     for r in blocks:
         held[r.block * BLOCK_BITS // 8:][:BLOCK_BITS // 8] = np.frombuffer(r.bitmap, np.uint8)
-    shared = signed.sparkSession.sparkContext.broadcast(held)
+    return held
+
+
+def _hit(held: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    at = sig & (8 * len(held) - 1)
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(sig, k) of the signatures that pass the filter ``twice``, without the frequent ones of the
+    sets that can spare them."""
+    shared = signed.sparkSession.sparkContext.broadcast((twice, frequent))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for b in batches:
-            sig = b.column(1).flatten().to_numpy()
-            k = np.repeat(b.column(0).fill_null(0).to_numpy(), b.column(1).value_lengths().fill_null(0).to_numpy())
-            at = sig % bits
-            hit = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(sig[hit]), pa.array(k[hit])], names=["sig", "k"])
+        twice, frequent = shared.value
+        bands = Bands(num, den)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sig, sizes = _unpacked(b.column(2))
+                own = np.array([bands.length(x) if n else 0 for x, n in zip(b.column(1).to_pylist(), sizes.tolist(), strict=True)], np.int64)
+                spare = np.array([bands.parts(x + i)[3] for x in b.column(1).to_pylist() for i in (0, 1)], np.int64)
+                half = np.stack([own, sizes - own], 1).ravel()  # a set's parts in its own band, then in the next
+                part = np.repeat(np.arange(len(half)), half)
+                often = _hit(frequent, sig) | (sig & 1 == 1)
+                left_out = np.bincount(part, often, len(half))
+                left_out[left_out > spare] = 0
+                keep = _hit(twice, sig) & (~often | (left_out == 0)[part])
+                # a similar set agrees in more than ``spare`` parts, but for those left out
+                keep &= (np.bincount(part, keep, len(half)) > spare - left_out)[part]
+                k = np.repeat(b.column(0).fill_null(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(k[keep])], names=["sig", "k"])
 
     return signed.mapInArrow(test, "sig long, k long")
 
@@ -218,20 +289,13 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def _compare_families(families: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) edges that join what links within each family (classes that signatures connect).
+def _compare_families(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) edges that join what links within each family of ``sets`` (k, family, band, n, elements).
 
     Sets of a family meet in the instances of their own size band and of the next; an instance with
     more than ``BLOCK_ROWS`` sets or ``BLOCK_ELEMENTS`` elements is dealt to blocks, and every pair
     of blocks is one group. A group gives edges to the smallest set each one reaches, never pairs."""
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for b in batches:
-            yield b.append_column("band", pa.array([bands.band(n) for n in b.column(2).to_pylist()], pa.int64()))
-
-    sized = families.join(sets, "k").select("family", "k", F.expr("octet_length(elements) div 8").alias("n"), "elements")
-    banded = cut_lineage(sized.mapInArrow(band, "family long, k long, n long, elements binary, band long"), "banded")
-    met = banded.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
+    met = sets.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
     blocks = cut_lineage(met.groupBy("family", "meet").agg(
         F.count("*").alias("rows"), F.sum("n").alias("total"), F.max(F.col("band") == F.col("meet")).alias("own"))
         .filter("own and rows > 1")  # where nobody is at home, all meet in their own band
@@ -283,23 +347,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc", id_type), T.StructField("n_shingles", T.LongType()),
-                           T.StructField("k", T.LongType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
+                           T.StructField("k", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sigs", T.BinaryType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for b in batches:
-            sizes, ks, flat, offsets = [], [], [], [0]
-            for text in b.column(1).cast(pa.binary()).to_pylist():
-                e = shingle_set(text, n)
-                s = bands.signatures(e)
+            sizes, ks, own, packed = [], [], [], []
+            for text in b.column(1):
+                e = shingle_set(text.cast(pa.binary()).as_py(), n)
                 sizes.append(len(e))
                 ks.append(_class(e) if len(e) else 0)
-                flat.append(s)
-                offsets.append(offsets[-1] + len(s))
-            sigs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(np.concatenate(flat) if flat else np.zeros(0, np.uint64))))
+                own.append(bands.band(len(e)) if len(e) else 0)
+                packed.append(_packed(bands.signatures(e)).tobytes())
             keys = np.array(ks, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(keys), mask=keys == 0), sigs],
-                                             names=["doc", "n_shingles", "k", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(keys), mask=keys == 0), pa.array(own, pa.int64()),
+                                              pa.array(packed, pa.binary())], names=["doc", "n_shingles", "k", "band", "sigs"])
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     signed = cut_lineage(source.mapInArrow(sign, schema), "signed")
@@ -307,30 +369,38 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # signatures of two classes or more, with how much company a class has over all of its own:
     # an original has more than its edited copies, so it makes the better centre of a star
-    twice = cut_lineage(signed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), "twice")
-    near = cut_lineage(_maybe(signed.select("k", "sigs"), twice).distinct().join(twice, "sig"), "near")
+    counted = cut_lineage(signed.select("sigs").mapInArrow(_signatures, "sig long").groupBy("sig").count().filter("count > 1"), "twice")
+    kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), _bits(counted.filter(f"count > {FREQUENT}")), num, den)
+    near = cut_lineage(kept.distinct().join(counted.select("sig"), "sig"), "near")
     shared = near.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("sig")
     members = cut_lineage(near.join(cut_lineage(shared, "shared"), "sig"), "members")
-    company = members.groupBy("sig").count()
-    company = cut_lineage(members.join(company, "sig").groupBy("k").agg(F.sum("count").alias("company")), "company")
-    wanted = cut_lineage(rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")), "wanted")
-    sets = _sets(docs, wanted, id_col, text_col, n)
-
-    ranked = cut_lineage(members.join(company, "k"), "ranked")
-    centres = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("company", "k")).alias("centre")), "centres")
-    stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
-                        .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
-    links = _verify(stars, sets, num, den)
-    roots = connected_components(links)
-
-    # what the stars left apart within a signature is compared with all that it may link to
-    named = cut_lineage(members.join(roots.toDF("k", "c"), "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "named")
+
+    # large groups first: each class is compared with the class of most company (an original has
+    # more than its edited copies), so that most of a group is one component already
+    crowd = cut_lineage(members.groupBy("sig").count().filter(f"count > {FREQUENT}"), "crowd")
+    links, roots = None, None
+    if crowd.limit(1).count():
+        inside = cut_lineage(members.join(crowd, "sig"), "inside")
+        company = cut_lineage(inside.groupBy("k").agg(F.sum("count").alias("company")), "company")
+        ranked = cut_lineage(inside.select("sig", "k").join(company, "k"), "ranked")
+        centres = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("company", "k")).alias("centre")), "centres")
+        stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
+                            .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
+        wanted = rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")).select("k", F.lit(0).cast("long").alias("family"), "doc")
+        links = _verify(stars, _sets(docs, cut_lineage(wanted, "wanted"), id_col, text_col, n, num, den), num, den)
+        roots = connected_components(links)
+
+    # what shares signatures and is not one component yet is a family
+    named = members.withColumn("c", F.col("k"))
+    if roots is not None:
+        named = cut_lineage(members.join(roots.toDF("k", "c"), "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "named")
     split = (named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k").alias("first"))
              .filter("low < high").select("sig", "first"))
     apart = cut_lineage(named.join(split, "sig").select(F.col("first").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct(), "apart")
     families = connected_components(apart).toDF("k", "family")
-    more = _compare_families(families, sets, num, den)
-    roots = connected_components(links.unionByName(more))
+    wanted = cut_lineage(rows.join(families, "k").groupBy("k", "family").agg(F.min("doc").alias("doc")), "wanted")
+    more = _compare_families(_sets(docs, wanted, id_col, text_col, n, num, den), num, den)
+    roots = connected_components(links.unionByName(more) if links is not None else more)
 
     named = rows.join(roots.withColumnRenamed("v", "k"), "k", "left").select("doc", "n_shingles", "k", F.coalesce("c", "k").alias("root"))
     linked = cut_lineage(named, "roots")

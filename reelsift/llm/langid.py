@@ -27,8 +27,8 @@ from reelsift.llm.common import crc_mod, without
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 OPEN, CLOSE = 2, 3
-CACHE_WORDS = 400_000  # words a worker remembers before it starts anew
-CHUNK = 400_000        # words summed at a time
+CACHE_WORDS = 300_000  # words a worker remembers before it starts anew
+CHUNK = 200_000        # words summed at a time
 SHORT = 4.0            # short texts scatter: their limit is higher by this over the root of their symbols
 ADDED = ("lang_pred", "score", "cross_entropy", "n_predicted", "rejected")
 
@@ -186,8 +186,8 @@ class _Words(dict):
                 runs.append(run)
                 owner.append(i)
         new = np.zeros((len(self.todo), self.costs.shape[1]))
-        step, start = 2_000_000, 0
-        while start < len(runs):  # long words are cut off into passes of their own by the size
+        step, start = 250_000, 0  # symbols looked up at a time
+        while start < len(runs):
             size, end = 0, start
             while end < len(runs) and (size == 0 or size + len(runs[end]) <= step):
                 size += len(runs[end]) + 2

@@ -26,7 +26,7 @@ SEQUENCE = 2048
 END_ID = 1
 BLOCK_PIECES = 64       # a very long document goes to the groups in blocks of so many pieces
 END = END_ID.to_bytes(4, "little")
-CACHE_WORDS, CACHE_PARTS = 700_000, 800_000  # of which a worker remembers the ids
+CACHE_WORDS, CACHE_PARTS = 300_000, 300_000  # of which a task remembers the ids
 SPECIAL = b"<|"
 LETTERS = re.compile("[a-zß-öø-ÿ]+")  # composed letters, as normalising leaves them
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}  # byte-level BPE's letters for other bytes
@@ -81,18 +81,6 @@ class _Ids(dict):
         return ids
 
 
-_known: list[_Ids] = []
-
-
-def _ids(path: str) -> _Ids:
-    """The worker's memory, kept over tasks; words are forgotten when it is full."""
-    if not _known or _known[0].path != path:
-        _known[:] = [_Ids(path)]
-    if len(_known[0]) > CACHE_WORDS:
-        _known[0].clear()
-    return _known[0]
-
-
 def token_bytes(text: bytes | None, known: _Ids) -> bytes:
     """The ids of a whole text and the end id. The tokenizer drops white space, never joins across
     it and lower-cases, so the ids of a text are those of its lower-cased words in turn (special
@@ -144,8 +132,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                           ("start", "length", "ids_crc32", "doc_tokens"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Ids(tokenizer_path)  # for one task: a worker that goes on to other work must not hold it
         for b in batches:
-            known = _ids(tokenizer_path)
+            if len(known) > CACHE_WORDS:
+                known.clear()
             take, cols = [], ([], [], [], [])
             for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 ids = token_bytes(text, known)

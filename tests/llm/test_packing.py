@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -20,6 +21,11 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
+@functools.cache
+def known_ids():
+    return packing._Ids(tokenizer_path())
+
+
 def whole(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
@@ -68,7 +74,7 @@ def test_edges(spark, tokenizer):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab'sÉéß.,-!́ 　İ 12<|endoftext|>\t\n—가", max_size=40))
 def test_words_give_the_ids_of_the_whole_text(text):
-    known = packing._ids(tokenizer_path())
+    known = known_ids()
     ids = np.frombuffer(packing.token_bytes(text.encode(), known), "<u4").tolist()
     assert ids == whole(known.tokenizer, text)
 

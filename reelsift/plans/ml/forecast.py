@@ -32,24 +32,54 @@ def _fill(df: DataFrame) -> DataFrame:
     return df.fillna(MISSING, subset=[c for c in FEATURE_COLS if c != "genre_encoded"])
 
 
-def forecaster_pipeline(max_iter: int = 100, step: float = 0.05, depth: int = 5) -> Pipeline:
-    """ML-4: encoder -> assembler -> GBT (learning rate, row/feature subsampling as in the
-    reference's booster; early stopping on the rows flagged ``is_val``)."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", maxIter=max_iter,
-                       stepSize=step, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-                       seed=SEED, validationIndicatorCol="is_val", validationTol=0.0001)
-    return Pipeline(stages=[label_encoder(), VectorAssembler(inputCols=FEATURE_COLS, outputCol="features"), gbt])
-
-
-def train_forecaster(train: DataFrame, val: DataFrame, **kw) -> PipelineModel:
-    data = _fill(train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True))))
-    data = data.withColumn(TARGET, F.col(TARGET).cast("double"))
-    return forecaster_pipeline(**kw).fit(data)
+def _trees(rounds: int, step: float, depth: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", maxIter=rounds, stepSize=step,
+                        maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
+
+
+def stop_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(best round so far, whether ``patience`` rounds without a better one have passed)."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def train_forecaster(train: DataFrame, val: DataFrame, max_iter: int = 1000, patience: int = 50, step: float = 0.05,
+                     depth: int = 5) -> PipelineModel:
+    """ML-4: encoder -> assembler -> boosted trees (learning rate, row and feature subsampling as in
+    the reference's booster). Boosting stops after ``patience`` rounds that do not improve the
+    validation loss, at ``max_iter`` rounds at most, and the model keeps the rounds up to the best.
+    Spark's booster cannot go on from a model, so the rounds are doubled until the rule is met; the
+    seed makes each run begin with the same trees."""
+    def typed(df):
+        return _fill(df).withColumn(TARGET, F.col(TARGET).cast("double"))
+
+    prep = Pipeline(stages=[label_encoder(), VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")]).fit(
+        typed(train).unionByName(typed(val)))
+    seen, unseen = prep.transform(typed(train)).cache(), prep.transform(typed(val)).cache()
+    try:
+        rounds = min(max_iter, 2 * patience)
+        while True:
+            trees = _trees(rounds, step, depth).fit(seen)
+            best, done = stop_round(list(trees.evaluateEachIteration(unseen, "squared")), patience)
+            if done or rounds == max_iter:
+                break
+            rounds = min(max_iter, 2 * rounds)
+        if best < rounds:
+            trees = _trees(best, step, depth).fit(seen)
+    finally:
+        seen.unpersist()
+        unseen.unpersist()
+    return PipelineModel(stages=[*prep.stages, trees])
 
 
 def score_forecaster(model: PipelineModel, df: DataFrame) -> DataFrame:
     """ML-5: predict and clip at 0."""
-    out = model.transform(_fill(df.withColumn("is_val", F.lit(False))))
+    out = model.transform(_fill(df))
     return out.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
 
 
@@ -66,9 +96,9 @@ def training_history(model: PipelineModel, train: DataFrame, val: DataFrame) ->
     weeks (the data behind the loss curve)."""
     gbt = model.stages[-1]
     prep = PipelineModel(stages=model.stages[:-1])
-    tr = gbt.evaluateEachIteration(prep.transform(_fill(train.withColumn("is_val", F.lit(False)))
+    tr = gbt.evaluateEachIteration(prep.transform(_fill(train)
                                                   .withColumn(TARGET, F.col(TARGET).cast("double"))), "squared")
-    va = gbt.evaluateEachIteration(prep.transform(_fill(val.withColumn("is_val", F.lit(True)))
+    va = gbt.evaluateEachIteration(prep.transform(_fill(val)
                                                   .withColumn(TARGET, F.col(TARGET).cast("double"))), "squared")
     spark = SparkSession.getActiveSession()
     rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]

@@ -84,7 +84,7 @@ def _forecaster(spark, sf):
     train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        _MODELS[key] = fc.train_forecaster(train, val, max_iter=40)
+        _MODELS[key] = fc.train_forecaster(train, val)
     return _MODELS[key], train, val, test
 
 
@@ -181,18 +181,17 @@ def q_rec_training_table(spark, sf):
 
 @register("rec_als_runs")
 def q_rec_als_runs(spark, sf):
-    """ML-12, ML-13, ML-16, ML-17: ALS + stack over a small grid, best by validation RMSE;
-    history rows plus the chosen model's test RMSE / NDCG@10."""
+    """ML-12, ML-13, ML-16, ML-17: ALS + stack with genome columns over a small grid, best by
+    validation RMSE; history rows plus the chosen model's test RMSE / NDCG@10."""
     s = _rec_split(spark, sf)
     tr, va, te = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
-    grid = [{"rank": 8, "reg": 0.1, "max_iter": 5}, {"rank": 16, "reg": 0.1, "max_iter": 5},
-            {"rank": 32, "reg": 0.05, "max_iter": 5}]
-    best, hist = rec.select_best_run(tr, va, grid, patience=2)
+    movies, _ = emb.genome_embeddings(adapt.genome_scores(spark, sf), 8)
+    grid = [{"rank": 8, "reg": 0.1}, {"rank": 16, "reg": 0.1}, {"rank": 32, "reg": 0.05}]
+    best, hist = rec.select_best_run(tr, va, grid, movies=movies, emb_cols=[f"genome_emb_{i}" for i in range(8)])
     scored = best.transform(te)
     m = mt.rmse_mae(scored, "rating", "prediction", "test").first()
     nd = mt.ndcg_at_k(scored, "userId", "rating", "prediction").first()["ndcg"]
-    test_row = spark.createDataFrame([(-1, "best_on_test", float(m["rmse"]), float(nd))],
-                                     "run int, params string, val_rmse double, val_ndcg double")
+    test_row = spark.createDataFrame([(-1, "best_on_test", None, float(m["rmse"]), float(nd))], hist.schema)
     return hist.unionByName(test_row)
 
 
@@ -201,3 +200,12 @@ def q_movie_features_genome(spark, sf):
     """ML-1 + PL-8 + FN-25: movie features with the 50 genome SVD columns (0.0 when absent)."""
     e, _ratio = emb.genome_embeddings(adapt.genome_scores(spark, sf), 50)
     return pf.movie_features(adapt.ratings(spark, sf), adapt.movies(spark, sf), embeddings=e)
+
+
+@register("genome_embedding_norms", with_tables("genome_scores") + """
+SELECT movieId, round(sum(power(CAST(relevance AS DOUBLE), 2)), 2) AS squares FROM genome_scores GROUP BY movieId""")
+def q_genome_embedding_norms(spark, sf):
+    """ML-1 with as many components as tags: a rotation, so each movie keeps its sum of squares."""
+    e, _ratio = emb.genome_embeddings(adapt.genome_scores(spark, sf), 64)
+    cols = [c for c in e.columns if c.startswith("genome_emb_")]
+    return e.select("movieId", F.round(sum(F.pow(F.col(c).cast("double"), 2) for c in cols), 2).alias("squares"))

@@ -58,10 +58,10 @@ SELECT userId,
        max(CASE WHEN r = 5 THEN movieId END) AS recent_movie_5
 FROM rk WHERE r <= 5 GROUP BY userId""")
 def q_stream_recent_items(spark, sf):
-    """SS-3: bounded per-user state (applyInPandasWithState) equal to the batch WN-3."""
+    """SS-3: newest items per user, kept batch by batch, equal to the batch WN-3."""
     out = ss.scratch(spark, "recent_items")
-    ss.run_available(ss.stream_recent_items(ss.ratings_stream(spark, sf)), out, mode="update")
-    return ss.latest_version(spark, out, ["userId"])
+    ss.run_recent_items(ss.ratings_stream(spark, sf), out)
+    return ss.recent_items_now(spark, out)
 
 
 @register("stream_interaction_log", with_tables("ratings") + f"""

@@ -12,9 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from reelsift.functions.labels import POSITIVE_RATING, reward_label
 from reelsift.session import ensure_checkpoint_dir
@@ -103,35 +101,33 @@ def stream_user_stats(ratings: DataFrame, positive: float = POSITIVE_RATING) ->
     return user_stats(ratings, positive)
 
 
-def _recent_state_fn(n: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            prev = pd.DataFrame(state.get[0], columns=["timestamp", "movieId"])
-        else:
-            prev = pd.DataFrame({"timestamp": pd.Series([], dtype="int64"), "movieId": pd.Series([], dtype="int32")})
-        top = prev
-        for p in pdfs:  # fold Arrow batches one at a time: memory stays O(batch + n)
-            both = pd.concat([top, p[["timestamp", "movieId"]]], ignore_index=True)
-            top = both.nlargest(n, ["timestamp", "movieId"])
-        top = top.sort_values(["timestamp", "movieId"], ascending=[False, False])
-        state.update(([(int(t), int(m)) for t, m in zip(top["timestamp"], top["movieId"])],))
-        ids = [int(m) for m in top["movieId"]] + [None] * (n - len(top))
-        row = {"userId": [int(key[0])]}
-        for i in range(n):
-            row[f"recent_movie_{i + 1}"] = [ids[i]]
-        yield pd.DataFrame(row).astype({f"recent_movie_{i + 1}": "Int32" for i in range(n)})
-    return fn
-
-
-def stream_recent_items(ratings: DataFrame, n: int = 5) -> DataFrame:
-    """SS-3: per-user bounded state of the n newest (timestamp, movie) pairs (ties: newer
-    movie id first), emitted in update mode. State per user is at most n pairs, so it
-    does not grow with a user's history."""
-    out_schema = "userId int, " + ", ".join(f"recent_movie_{i} int" for i in range(1, n + 1))
-    state_schema = "items array<struct<timestamp:long, movieId:int>>"
-    return (ratings.select("userId", "movieId", "timestamp").groupBy("userId")
-            .applyInPandasWithState(_recent_state_fn(n), out_schema, state_schema, "update",
-                                    GroupStateTimeout.NoTimeout))
+def run_recent_items(ratings: DataFrame, out: str, n: int = 5):
+    """SS-3: the n newest (timestamp, movie) pairs per user (ties: newer movie id first), kept up to
+    date batch by batch. Each batch ranks its own rows together with the stored pairs
+    (``row_number <= n`` is cut before the shuffle, so a user's rows of a batch meet as n per task) and
+    writes the next version; a repeated batch overwrites its own version. Run to the end of the input."""
+    columns = ["userId", "movieId", "timestamp"]
+
+    def keep(batch: DataFrame, batch_id: int):
+        rows = batch.select(*columns)
+        if batch_id:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{out}/data/version={batch_id - 1}"))
+        w = Window.partitionBy("userId").orderBy(F.col("timestamp").desc(), F.col("movieId").desc())
+        newest = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+        newest.write.mode("overwrite").parquet(f"{out}/data/version={batch_id}")
+
+    q = (ratings.select(*columns).writeStream.option("checkpointLocation", out + "/_ck").foreachBatch(keep)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def recent_items_now(spark: SparkSession, out: str, n: int = 5) -> DataFrame:
+    """The latest version of :func:`run_recent_items`, one row per user."""
+    from reelsift.operators.windows import recent_items
+
+    last = spark.read.parquet(f"{out}/data").agg(F.max("version")).first()[0]
+    return recent_items(spark.read.parquet(f"{out}/data/version={last}"), n)
 
 
 def stream_interaction_log(ratings: DataFrame, segments: DataFrame, positive: float = POSITIVE_RATING) -> DataFrame:
@@ -140,8 +136,9 @@ def stream_interaction_log(ratings: DataFrame, segments: DataFrame, positive: fl
             .join(segments.select("userId", "user_segment"), "userId", "left"))
 
 
-def stream_dedup(ratings: DataFrame, delay: str = "36500 days") -> DataFrame:
-    """SS-5: drop exact duplicate rating rows that arrive within the watermark delay."""
+def stream_dedup(ratings: DataFrame, delay: str = "30 days") -> DataFrame:
+    """SS-5: drop exact duplicate rating rows that arrive within the watermark delay; a key's state
+    goes once the watermark has passed it by the delay."""
     cols = ["userId", "movieId", "rating", "timestamp"]
     return (ratings.withColumn("event_time", F.timestamp_seconds("timestamp"))
             .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(cols).select(*cols))

@@ -69,7 +69,8 @@ def test_forecaster_beats_naive(spark):
     s = sp.temporal_split_periods(pf.forecasting_features(adapt.ratings(spark, "/root/testdata/sf0.001"),
                                                           adapt.movies(spark, "/root/testdata/sf0.001")), "week_start")
     train, val = s.where("split = 'train'"), s.where("split = 'val'")
-    model = fc.train_forecaster(train, val, max_iter=20)
+    model = fc.train_forecaster(train, val, max_iter=20, patience=5)
+    assert 1 <= model.stages[-1].getNumTrees <= 20
     scored = fc.score_forecaster(model, val)
     assert scored.agg(F.min("prediction")).first()[0] >= 0
     m = mt.rmse_mae(scored, "rating_count", "prediction", "gbt").first()
@@ -118,3 +119,24 @@ def test_build_if_missing_all_or_nothing(spark):
     outs2 = dict(outs)
     outs2[f"{base}/c"] = make(5)
     assert sk.build_if_missing(spark, outs2) is True and calls == [3, 4, 3, 4, 5]
+
+
+def test_svd_over_many_partitions_and_last_duplicate_wins(spark, monkeypatch):
+    monkeypatch.setattr(emb, "FAN_IN", 2)
+    monkeypatch.setattr(emb, "BAND_ROWS", 3)
+    rng = np.random.default_rng(1)
+    a = rng.random((40, 7)).astype(np.float32).astype(float)
+    rows = [(0, 1, 9.0)] + [(i, j + 1, float(a[i, j])) for i in range(40) for j in range(7)]
+    scores = spark.createDataFrame(rows, "movieId int, tagId short, relevance float").coalesce(1)
+    x, n = emb.relevance_rows(scores)
+    g, sums, count = emb.gram(x.repartition(9), n)
+    assert count == 40 and np.allclose(g, a.T @ a) and np.allclose(sums, a.sum(0))
+    out, ratio = emb.genome_embeddings(scores, 7)
+    got = {r.movieId: sum(v * v for v in list(r)[1:]) for r in out.collect()}
+    assert all(abs(got[i] - (a[i] ** 2).sum()) < 1e-4 for i in range(40)) and abs(ratio - 1) < 1e-9
+
+
+def test_patience_rule():
+    assert fc.stop_round([5, 4, 3, 3.5, 3.2, 9], 3) == (3, True)
+    assert fc.stop_round([5, 4, 3, 3.5, 2.9, 9], 3) == (5, False)
+    assert fc.stop_round([1, 1, 1], 2) == (1, True)

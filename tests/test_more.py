@@ -99,3 +99,33 @@ def test_partitioned_read_splits_large_file(spark):
         assert df.rdd.getNumPartitions() > 1 and df.count() == 60000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_recommender_with_content_beats_the_mean_and_survives_a_round_trip(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    taste, kind = {u: rng.choice([-1, 1]) for u in range(60)}, {m: rng.choice([-1, 1]) for m in range(80)}
+    rows = [(u, m, float(min(5.0, max(0.5, 3 + taste[u] * kind[m] + rng.choice([-0.5, 0, 0.5])))), 100 * u + m)
+            for u in range(60) for m in range(80) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "userId int, movieId int, rating float, timestamp long")
+    movies = spark.createDataFrame([(m, float(k), 0.0) for m, k in kind.items()], "movieId int, genome_emb_0 float, genome_emb_1 float")
+    train, val = df.where("(userId + movieId) % 5 <> 0"), df.where("(userId + movieId) % 5 = 0")
+    best, hist = rec.select_best_run(train, val, [{"rank": 2, "max_iter": 8}], movies=movies, emb_cols=["genome_emb_0", "genome_emb_1"])
+    run = hist.first()
+    mean = train.agg(F.avg("rating")).first()[0]
+    flat = val.select(F.sqrt(F.avg(F.pow(F.col("rating") - F.lit(mean), 2)))).first()[0]
+    assert run.val_rmse < flat
+    best.save(str(tmp_path / "model"))
+    again = rec.Recommender.load(spark, str(tmp_path / "model"))
+    cold = spark.createDataFrame([(999, 1), (1, 999), (999, 999)], "userId int, movieId int")
+    for rows_ in (val.select("userId", "movieId"), cold):
+        a = {(r.userId, r.movieId): r.prediction for r in best.transform(rows_).collect()}
+        assert a == {(r.userId, r.movieId): r.prediction for r in again.transform(rows_).collect()}
+        assert all(0.5 <= p <= 5.0 for p in a.values())
+
+
+def test_the_row_bound_comes_before_the_known_id_filter(spark):
+    log = spark.createDataFrame([(1, 1, 3.0, 1), (1, 2, 3.0, 2), (2, 1, 3.0, 3)], "userId int, movieId int, rating float, timestamp long")
+    users, movies = spark.createDataFrame([(1,), (2,)], "userId int"), spark.createDataFrame([(1,)], "movieId int")
+    assert [(r.userId, r.movieId) for r in rec.rec_training_table(log, users, movies, max_rows=2).collect()] == [(1, 1)]

@@ -35,23 +35,6 @@ def second_source_user_map(ratings2: DataFrame, ratings1: DataFrame) -> DataFram
     return dense_id_map(ratings2, "userId", ratings1.agg(F.max("userId")).scalar() + 1)
 
 
-def second_source_maps(movies2: DataFrame, ratings2: DataFrame, movies1: DataFrame, ratings1: DataFrame):
-    """Both maps: (movie_map, user_map) with columns old_id, new_id."""
-    return second_source_movie_map(movies2, movies1, ratings1), second_source_user_map(ratings2, ratings1)
-
-
-def remap_second_source(movies2: DataFrame, ratings2: DataFrame, movies1: DataFrame, ratings1: DataFrame,
-                        lo: float = RATING_MIN, hi: float = RATING_MAX):
-    """JN-11/JN-12/FN-8: remap second-source ids into fresh ranges, clip ratings.
-    Returns (movies2_std, ratings2_std, movie_map, user_map)."""
-    movie_map, user_map = second_source_maps(movies2, ratings2, movies1, ratings1)
-    m = remap_ids(movies2.select("movieId", "title", "genres", "release_date"), movie_map, "movieId")
-    r = remap_ids(remap_ids(ratings2.select("userId", "movieId", "rating", "timestamp"), user_map, "userId"),
-                  movie_map, "movieId")
-    r = r.withColumn("rating", clip("rating", lo, hi).cast("float"))
-    return m, r, movie_map, user_map
-
-
 def flag_cross_source_duplicates(movies1: DataFrame, movies2_std: DataFrame):
     """JN-9: movies sharing (normalised title, year) across sources are flagged on both
     sides (nothing removed). Returns (movies1_flagged, movies2_flagged, dup_keys)."""
@@ -99,6 +82,13 @@ def source_breakdown(combined_movies: DataFrame, combined_ratings: DataFrame) ->
                          .select(F.lit("movies").alias("table_name"), "source", "rows")))
 
 
+def source_date_ranges(combined_ratings: DataFrame) -> DataFrame:
+    """AG-31: first and last rating date of each source."""
+    from reelsift.functions.dates import epoch_to_ts
+    return (combined_ratings.groupBy("source").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+            .select("source", F.to_date(epoch_to_ts("lo")).alias("first_date"), F.to_date(epoch_to_ts("hi")).alias("last_date")))
+
+
 def invert_id_map(combined_movies: DataFrame, movie_map: DataFrame, attrs: DataFrame,
                   max_first_movie) -> DataFrame:
     """JN-13: second-source rows of the combined table get their source id back (the
@@ -189,6 +179,14 @@ def match_type_breakdown(keys: DataFrame) -> DataFrame:
     return c.withColumn("pct", F.round(pct(F.col("keys"), F.sum("keys").over(Window.partitionBy())), 6))
 
 
+def match_type_examples(keys: DataFrame, n: int = 5) -> DataFrame:
+    """AG-32: the first ``n`` pairs of each match type, by title key and year."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("match_type").orderBy("title_norm", "year")
+    return (keys.select("match_type", "title_norm", "year", "title_ml", "title_tmdb")
+            .withColumn("example", F.row_number().over(w)).where(F.col("example") <= n))
+
+
 def audit_sample(keys: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
     """Seeded sample of audited pairs (md5 of key and seed order)."""
     return sample_n(keys, ["title_norm", "year"], n, seed)

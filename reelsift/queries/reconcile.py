@@ -97,6 +97,14 @@ def q_source_breakdown(spark, sf):
     return rc.source_breakdown(movies, ratings)
 
 
+@register("source_date_ranges", _MERGE_SQL + """
+SELECT source, CAST(make_timestamp(min("timestamp") * 1000000) AS DATE) AS first_date,
+       CAST(make_timestamp(max("timestamp") * 1000000) AS DATE) AS last_date FROM cr GROUP BY source""")
+def q_source_date_ranges(spark, sf):
+    """AG-31: date range of each source's ratings."""
+    return rc.source_date_ranges(rc.merge_sources(*_sources(spark, sf))[1])
+
+
 @register("merge_report", _MERGE_SQL + """
 SELECT 'first_ratings_rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM ratings
 UNION ALL SELECT 'first_movies_rows', count(*) FROM movies
@@ -251,6 +259,14 @@ def q_match_type_breakdown(spark, sf):
     return rc.match_type_breakdown(_audit(spark, sf))
 
 
+@register("match_type_examples", _AUDIT_SQL + """
+SELECT match_type, title_norm, year, title_ml, title_tmdb, CAST(r AS INTEGER) AS example
+FROM (SELECT *, row_number() OVER (PARTITION BY match_type ORDER BY title_norm, year) AS r FROM audited) WHERE r <= 5""")
+def q_match_type_examples(spark, sf):
+    """AG-32: five pairs of each match type."""
+    return rc.match_type_examples(_audit(spark, sf))
+
+
 @register("audit_sample", _AUDIT_SQL + """
 SELECT * FROM audited ORDER BY md5(concat_ws(':', title_norm, CAST(year AS VARCHAR), '42')), title_norm, year LIMIT 20""")
 def q_audit_sample(spark, sf):

@@ -93,6 +93,14 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(",", "metric", "value").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def output_samples(spark: SparkSession, paths: dict[str, str], n: int = 5) -> DataFrame:
+    """SNK-6: (output, row) with ``n`` rows of each written output as JSON text, the smallest in the
+    order of all columns."""
+    parts = [d.orderBy(*d.columns).limit(n).select(F.lit(name).alias("output"), F.to_json(F.struct(*d.columns)).alias("row"))
+             for name, d in ((name, spark.read.parquet(p)) for name, p in paths.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def output_report(spark: SparkSession, paths: dict[str, str], date_cols: dict[str, str] | None = None,
                   epoch_cols: dict[str, str] | None = None) -> DataFrame:
     """SNK-6: per written parquet output: rows, columns, bytes on disk (from file metadata),

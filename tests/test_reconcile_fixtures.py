@@ -19,14 +19,24 @@ def test_remap_ranges_and_clip(spark):
     r1 = spark.createDataFrame([(10, 1, 4.0, 1), (12, 9, 3.0, 2)], R)
     m2 = spark.createDataFrame([(500, "heat", "A", "1995-05-01"), (300, "Down", "B", "bad-date")], M2)
     r2 = spark.createDataFrame([(77, 500, 5.5, 3), (66, 300, 0.2, 4)], R)
-    m2s, r2s, mmap, umap = rc.remap_second_source(m2, r2, m1, r1)
+    movies, ratings, dup, mmap, umap = rc.merge_sources(m1, r1, m2, r2)
     assert sorted((r.old_id, r.new_id) for r in mmap.collect()) == [(300, 10), (500, 11)]  # after max(7, 9)
     assert sorted((r.old_id, r.new_id) for r in umap.collect()) == [(66, 13), (77, 14)]    # after max user 12
-    assert sorted((r.userId, r.movieId, r.rating) for r in r2s.collect()) == [(13, 10, 0.5), (14, 11, 5.0)]
-    f1, f2, dup = rc.flag_cross_source_duplicates(m1, m2s)
+    second = ratings.where("source = 'tmdb'")
+    assert sorted((r.userId, r.movieId, r.rating) for r in second.collect()) == [(13, 10, 0.5), (14, 11, 5.0)]
+    assert ratings.count() == 4 and movies.count() == 4
     assert [tuple(r) for r in dup.collect()] == [("heat", 1995)]
-    assert {r.movieId: r.is_duplicate_title_year for r in f1.collect()} == {1: True, 7: False}
-    assert {r.movieId: r.is_duplicate_title_year for r in f2.collect()} == {11: True, 10: False}
+    assert {(r.source, r.movieId): r.is_duplicate_title_year for r in movies.collect()} == {
+        ("movielens", 1): True, ("movielens", 7): False, ("tmdb", 11): True, ("tmdb", 10): False}
+
+
+def test_output_samples(spark, tmp_path):
+    import json
+
+    from reelsift.sources.sinks import output_samples
+    spark.range(20).selectExpr("id", "id * 2 as twice").repartition(3).write.parquet(str(tmp_path / "a"))
+    got = output_samples(spark, {"a": str(tmp_path / "a")}, 5).collect()
+    assert [(r.output, json.loads(r.row)) for r in got] == [("a", {"id": i, "twice": 2 * i}) for i in range(5)]
 
 
 def test_missing_embedding_is_zero(spark):

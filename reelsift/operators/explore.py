@@ -23,23 +23,27 @@ def explode_genres(movies: DataFrame, sentinel: str = GENRE_SENTINEL) -> DataFra
             .select("movieId", F.explode(F.split(F.col("genres"), r"\|")).alias("genre")))
 
 
+def distinct_ids(df: DataFrame, key: str):
+    """Scalar subquery: how many distinct non-null values ``key`` has (combined before the shuffle)."""
+    return df.where(F.col(key).isNotNull()).select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def _days_between(lo, hi):
     return F.floor((hi - lo) / F.lit(86400))
 
 
 def dataset_overview(ratings: DataFrame, movies: DataFrame, tags: DataFrame,
                      genome_scores: DataFrame, genome_tags: DataFrame) -> DataFrame:
-    """AG-7: one typed row of corpus metrics. Each table is aggregated once; the per-table
-    one-row results are combined as scalar subqueries (no cross join)."""
-    r = ratings.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("userId").alias("u"),
-                    F.count_distinct("movieId").alias("m"), F.min("timestamp").alias("lo"),
-                    F.max("timestamp").alias("hi"))
-    t = tags.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("userId").alias("u"),
-                 F.count_distinct("movieId").alias("m"), F.min("timestamp").alias("lo"),
-                 F.max("timestamp").alias("hi"))
+    """AG-7: one typed row of corpus metrics. Totals and distinct ids of each table are aggregates of
+    their own (two distinct counts in one would expand every row); the one-row results are combined
+    as scalar subqueries (no cross join)."""
     one = ratings.sparkSession.range(1)
-    rs = {c: r.select(c).scalar() for c in ("n", "u", "m", "lo", "hi")}
-    ts = {c: t.select(c).scalar() for c in ("n", "u", "m", "lo", "hi")}
+
+    def totals(df):
+        a = df.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+        return {**{c: a.select(c).scalar() for c in ("n", "lo", "hi")}, "u": distinct_ids(df, "userId"), "m": distinct_ids(df, "movieId")}
+
+    rs, ts = totals(ratings), totals(tags)
     return one.select(
         rs["n"].alias("total_ratings"),
         F.to_date(epoch_to_ts(rs["lo"])).alias("ratings_first_date"),
@@ -258,8 +262,8 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, log: bool = False)
 
 def matrix_sparsity(ratings: DataFrame) -> DataFrame:
     """AG-27: users x movies, observed entries, sparsity and density (%)."""
-    a = ratings.agg(F.count_distinct("userId").alias("users"), F.count_distinct("movieId").alias("movies"),
-                    F.count(F.lit(1)).alias("observed"))
+    a = ratings.agg(F.count(F.lit(1)).alias("observed")).select(
+        distinct_ids(ratings, "userId").alias("users"), distinct_ids(ratings, "movieId").alias("movies"), "observed")
     possible = F.col("users").cast("long") * F.col("movies").cast("long")
     return a.select("users", "movies", possible.alias("possible"), "observed",
                     F.round((1 - F.col("observed") / possible) * 100, 6).alias("sparsity_pct"),

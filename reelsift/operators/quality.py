@@ -10,6 +10,7 @@ from reelsift.functions.dates import epoch_month, epoch_year
 from reelsift.functions.labels import RATING_MAX, RATING_MIN
 from reelsift.functions.text import needs_article_fix, split_genres, title_article_fix
 from reelsift.operators.joins import filter_min_count
+from reelsift.session import cut_lineage
 
 # Fixed cleaning thresholds of the reference.
 MIN_RATINGS_PER_USER = 5
@@ -113,15 +114,20 @@ def clean_ratings(df: DataFrame, lo: float = RATING_MIN, hi: float = RATING_MAX,
 
 
 def clean_ratings_steps(df: DataFrame, lo: float = RATING_MIN, hi: float = RATING_MAX,
-                        min_user: int = MIN_RATINGS_PER_USER,
-                        min_movie: int = MIN_RATINGS_PER_MOVIE) -> list[tuple[str, DataFrame]]:
-    s0 = df
-    s1 = dedup_rows(s0)
-    s2 = filter_valid_range(s1, "rating", lo, hi)
-    s3 = filter_min_count(s2, "userId", min_user)
-    s4 = filter_min_count(s3, "movieId", min_movie)
-    return [("start", s0), ("after_dedup", s1), ("after_invalid_removed", s2),
-            ("after_user_filter", s3), ("after_movie_filter", s4)]
+                        min_user: int = MIN_RATINGS_PER_USER, min_movie: int = MIN_RATINGS_PER_MOVIE) -> DataFrame:
+    """(step_no, step, rows) of DQ-7's steps. The rows without duplicates are written once; what the
+    user and movie filters keep is the sum of the counts they go by, so no step runs another again."""
+    rows = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    unique = cut_lineage(dedup_rows(df).select("userId", "movieId", "rating"), "unique")
+    valid = filter_valid_range(unique, "rating", lo, hi)
+    users = valid.groupBy("userId").agg(F.count(F.lit(1)).alias("n")).where(F.col("userId").isNotNull() & (F.col("n") >= min_user))
+    movies = (valid.join(users.select("userId"), "userId", "left_semi").groupBy("movieId").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("movieId").isNotNull() & (F.col("n") >= min_movie)))
+    counts = unique.agg(F.count(F.lit(1)).alias("a"), F.count_if((F.col("rating") >= lo) & (F.col("rating") <= hi)).alias("b"))
+    steps = [("start", df.agg(F.count(F.lit(1)).alias("rows"))), ("after_dedup", counts.select(F.col("a").alias("rows"))),
+             ("after_invalid_removed", counts.select(F.col("b").alias("rows"))), ("after_user_filter", users.agg(rows.alias("rows"))),
+             ("after_movie_filter", movies.agg(rows.alias("rows")))]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(i).alias("step_no"), F.lit(s).alias("step"), "rows") for i, (s, d) in enumerate(steps)])
 
 
 def clean_movies(df: DataFrame) -> DataFrame:
@@ -147,16 +153,15 @@ def clean_genome(df: DataFrame) -> DataFrame:
     return dedup_rows(df)
 
 
-def before_after_report(steps: dict[str, list[tuple[str, DataFrame]]]) -> DataFrame:
-    """DQ-12: rows per cleaning step, rows dropped by the step, % kept of the start.
-    ``steps`` maps table -> [(step, DataFrame), ...] in order."""
+def before_after_report(steps: dict[str, DataFrame | list[tuple[str, DataFrame]]]) -> DataFrame:
+    """DQ-12: rows per cleaning step, rows dropped by the step, % kept of the start. ``steps`` maps a
+    table to its counted (step_no, step, rows), or to [(step, DataFrame), ...] in order."""
     parts = []
     for table, seq in steps.items():
-        prev = None
-        for i, (step, d) in enumerate(seq):
-            n = d.agg(F.count(F.lit(1)).alias("rows"))
-            parts.append(n.select(F.lit(table).alias("table_name"), F.lit(i).alias("step_no"),
-                                  F.lit(step).alias("step"), F.col("rows")))
+        if not isinstance(seq, DataFrame):
+            seq = reduce(DataFrame.unionByName, [d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step_no"), F.lit(s).alias("step"), "rows")
+                                                 for i, (s, d) in enumerate(seq)])
+        parts.append(seq.select(F.lit(table).alias("table_name"), "step_no", "step", "rows"))
     out = reduce(DataFrame.unionByName, parts)
     from pyspark.sql import Window
     w = Window.partitionBy("table_name").orderBy("step_no")

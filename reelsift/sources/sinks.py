@@ -66,9 +66,8 @@ def build_if_missing(spark: SparkSession, outputs: dict[str, Callable[[], DataFr
 def summary(ratings: DataFrame, movies: DataFrame, tags: DataFrame) -> DataFrame:
     """SNK-5: (metric, value) summary: rows, columns, date range, distinct users/movies."""
     spark = ratings.sparkSession
-    r = ratings.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("userId").alias("users"),
-                    F.count_distinct("movieId").alias("movies"), F.min("timestamp").alias("lo"),
-                    F.max("timestamp").alias("hi"))
+    from reelsift.operators.explore import distinct_ids
+    r = ratings.agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     t = tags.agg(F.count(F.lit(1)).alias("rows"))
     m = movies.agg(F.count(F.lit(1)).alias("rows"))
     one = spark.range(1)
@@ -83,8 +82,8 @@ def summary(ratings: DataFrame, movies: DataFrame, tags: DataFrame) -> DataFrame
              row("tags_columns", F.lit(len(tags.columns))),
              row("first_rating_date", F.to_date(epoch_to_ts(r.select("lo").scalar()))),
              row("last_rating_date", F.to_date(epoch_to_ts(r.select("hi").scalar()))),
-             row("unique_users", r.select("users").scalar()),
-             row("unique_movies", r.select("movies").scalar())]
+             row("unique_users", distinct_ids(ratings, "userId")),
+             row("unique_movies", distinct_ids(ratings, "movieId"))]
     return reduce(DataFrame.unionByName, parts)
 
 

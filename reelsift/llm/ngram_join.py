@@ -38,9 +38,10 @@ from pyspark.sql import types as T
 
 from reelsift.llm.common import checked_broadcast, connected_components, cut_lineage, words
 
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
+SLICE = 250  # documents whose signatures are held at a time
 MAX_BROADCAST_ROWS = 1_000_000  # of (id, class) pairs, 16 bytes each
-BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 2_000_000  # of a group that one task compares
+BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 500_000  # of a group that one task compares
 SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
 KEEP = np.uint64((1 << 8 * SIG_BYTES) - 1)
 EMPTY = np.uint64(1)  # the bit that marks the signatures of empty parts; these count as frequent
@@ -164,8 +165,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 out = []
                 for k, family, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     e = shingle_set(text, n)
@@ -351,17 +352,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for b in batches:
-            sizes, ks, own, packed = [], [], [], []
-            for text in b.column(1):
-                e = shingle_set(text.cast(pa.binary()).as_py(), n)
-                sizes.append(len(e))
-                ks.append(_class(e) if len(e) else 0)
-                own.append(bands.band(len(e)) if len(e) else 0)
-                packed.append(_packed(bands.signatures(e)).tobytes())
-            keys = np.array(ks, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(keys), mask=keys == 0), pa.array(own, pa.int64()),
-                                              pa.array(packed, pa.binary())], names=["doc", "n_shingles", "k", "band", "sigs"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                sizes, ks, own, packed = [], [], [], []
+                for text in b.column(1):
+                    e = shingle_set(text.cast(pa.binary()).as_py(), n)
+                    sizes.append(len(e))
+                    ks.append(_class(e) if len(e) else 0)
+                    own.append(bands.band(len(e)) if len(e) else 0)
+                    packed.append(_packed(bands.signatures(e)).tobytes())
+                keys = np.array(ks, np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(keys), mask=keys == 0), pa.array(own, pa.int64()),
+                                                  pa.array(packed, pa.binary())], names=["doc", "n_shingles", "k", "band", "sigs"])
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     signed = cut_lineage(source.mapInArrow(sign, schema), "signed")

@@ -37,11 +37,12 @@ def _trees(rounds: int, step: float, depth: int) -> GBTRegressor:
                         maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
 
 
-def stop_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """(best round so far, whether ``patience`` rounds without a better one have passed)."""
+def stop_round(losses: list[float], patience: int, tolerance: float = 0.0) -> tuple[int, bool]:
+    """(best round so far, whether ``patience`` rounds without a better one have passed); better is
+    lower by more than the share ``tolerance``."""
     best = 0
     for i, x in enumerate(losses):
-        if x < losses[best]:
+        if x < losses[best] * (1 - tolerance):
             best = i
         if i - best >= patience:
             return best + 1, True
@@ -49,7 +50,7 @@ def stop_round(losses: list[float], patience: int) -> tuple[int, bool]:
 
 
 def train_forecaster(train: DataFrame, val: DataFrame, max_iter: int = 1000, patience: int = 50, step: float = 0.05,
-                     depth: int = 5) -> PipelineModel:
+                     depth: int = 5, tolerance: float = 0.0) -> PipelineModel:
     """ML-4: encoder -> assembler -> boosted trees (learning rate, row and feature subsampling as in
     the reference's booster). Boosting stops after ``patience`` rounds that do not improve the
     validation loss, at ``max_iter`` rounds at most, and the model keeps the rounds up to the best.
@@ -65,7 +66,7 @@ def train_forecaster(train: DataFrame, val: DataFrame, max_iter: int = 1000, pat
         rounds = min(max_iter, 2 * patience)
         while True:
             trees = _trees(rounds, step, depth).fit(seen)
-            best, done = stop_round(list(trees.evaluateEachIteration(unseen, "squared")), patience)
+            best, done = stop_round(list(trees.evaluateEachIteration(unseen, "squared")), patience, tolerance)
             if done or rounds == max_iter:
                 break
             rounds = min(max_iter, 2 * rounds)

@@ -140,3 +140,5 @@ def test_patience_rule():
     assert fc.stop_round([5, 4, 3, 3.5, 3.2, 9], 3) == (3, True)
     assert fc.stop_round([5, 4, 3, 3.5, 2.9, 9], 3) == (5, False)
     assert fc.stop_round([1, 1, 1], 2) == (1, True)
+    assert fc.stop_round([1, 0.995, 0.9, 0.899], 1, 0.01) == (1, True)
+    assert fc.stop_round([1, 0.98, 0.9, 0.899], 1, 0.01) == (3, True)

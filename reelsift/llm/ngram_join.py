@@ -45,6 +45,7 @@ BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 500_000  # of a group that one task compares
 SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
 KEEP = np.uint64((1 << 8 * SIG_BYTES) - 1)
 EMPTY = np.uint64(1)  # the bit that marks the signatures of empty parts; these count as frequent
+BUCKET_SIGS = 250_000  # signatures of a range, about
 FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
@@ -193,10 +194,35 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.view(np.int64).ravel(), sizes
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b.column(0).slice(at, 1000))[0])], names=["sig"])
+def _counted(signed: DataFrame, buckets: int) -> DataFrame:
+    """(sig, count) of the signatures that occur more than once; counts stop at 65535 a batch.
+
+    Signatures are shuffled as bytes, not as rows: each batch sorts and counts its own and sends
+    one row per range of signatures, so a signature of very many sets comes once per batch."""
+    shift = 8 * SIG_BYTES - (buckets - 1).bit_length()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, count = np.unique(_unpacked(b.column(0))[0], return_counts=True)
+            if len(sig):
+                first = np.flatnonzero(np.r_[True, np.diff(sig >> shift) > 0])
+                ends = np.r_[first[1:], len(sig)]
+                packed, counts = _packed(sig.view(np.uint64)), np.minimum(count, 65535).astype("<u2")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(sig[first] >> shift), pa.array([packed[i * SIG_BYTES:j * SIG_BYTES].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()),
+                    pa.array([counts[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], names=["bucket", "sigs", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        sig = np.concatenate([_unpacked(c)[0] for c in t["sigs"].chunks])
+        count = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").astype(np.int64)
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        total = np.add.reduceat(count[order], first)
+        return pa.table({"sig": pa.array(sig[first][total > 1]), "count": pa.array(total[total > 1])})
+
+    sent = signed.select("sigs").mapInArrow(send, "bucket long, sigs binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(add, "sig long, count long")
 
 
 def _bits(sigs: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
@@ -372,7 +398,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # signatures of two classes or more, with how much company a class has over all of its own:
     # an original has more than its edited copies, so it makes the better centre of a star
-    counted = cut_lineage(signed.select("sigs").mapInArrow(_signatures, "sig long").groupBy("sig").count().filter("count > 1"), "twice")
+    total = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
+    counted = cut_lineage(_counted(signed, 1 << max(4, (total // SIG_BYTES // BUCKET_SIGS).bit_length())), "twice")
     kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), _bits(counted.filter(f"count > {FREQUENT}")), num, den)
     near = cut_lineage(kept.distinct().join(counted.select("sig"), "sig"), "near")
     shared = near.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("sig")

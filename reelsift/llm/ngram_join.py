@@ -158,8 +158,8 @@ def _meets(a: bytes, b: bytes, num: int, den: int) -> bool:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes, as a written table:
-    their texts are read and cut again. Rows that repeat an id and text repeat here."""
+    """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes: their
+    texts are read and cut again. Rows that repeat an id and text repeat here."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
 
@@ -177,7 +177,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())],
                                                  names=["k", "family", "band", "n", "elements"])
 
-    return cut_lineage(texts.mapInArrow(cut, "k long, family long, band long, n long, elements binary"), "sets")
+    return texts.mapInArrow(cut, "k long, family long, band long, n long, elements binary")
 
 
 def _packed(flat: np.ndarray) -> np.ndarray:
@@ -316,14 +316,16 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def _compare_families(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) edges that join what links within each family of ``sets`` (k, family, band, n, elements).
+def _compare_families(sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) edges that join what links within each family of ``sets`` (k, family, band, n, elements),
+    which are read once; ``sizes`` are the same rows without the elements.
 
     Sets of a family meet in the instances of their own size band and of the next; an instance with
     more than ``BLOCK_ROWS`` sets or ``BLOCK_ELEMENTS`` elements is dealt to blocks, and every pair
     of blocks is one group. A group gives edges to the smallest set each one reaches, never pairs."""
-    met = sets.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
-    blocks = cut_lineage(met.groupBy("family", "meet").agg(
+    both = F.explode(F.array("band", F.col("band") + 1))
+    met = sets.withColumn("meet", both)
+    blocks = cut_lineage(sizes.withColumn("meet", both).groupBy("family", "meet").agg(
         F.count("*").alias("rows"), F.sum("n").alias("total"), F.max(F.col("band") == F.col("meet")).alias("own"))
         .filter("own and rows > 1")  # where nobody is at home, all meet in their own band
         .select("family", "meet", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).alias("blocks")), "blocks")
@@ -417,7 +419,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
                             .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
         wanted = rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")).select("k", F.lit(0).cast("long").alias("family"), "doc")
-        links = _verify(stars, _sets(docs, cut_lineage(wanted, "wanted"), id_col, text_col, n, num, den), num, den)
+        links = _verify(stars, cut_lineage(_sets(docs, cut_lineage(wanted, "wanted"), id_col, text_col, n, num, den), "sets"), num, den)
         roots = connected_components(links)
 
     # what shares signatures and is not one component yet is a family
@@ -428,8 +430,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .filter("low < high").select("sig", "first"))
     apart = cut_lineage(named.join(split, "sig").select(F.col("first").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct(), "apart")
     families = connected_components(apart).toDF("k", "family")
-    wanted = cut_lineage(rows.join(families, "k").groupBy("k", "family").agg(F.min("doc").alias("doc")), "wanted")
-    more = _compare_families(_sets(docs, wanted, id_col, text_col, n, num, den), num, den)
+    chosen = cut_lineage(signed.select("doc", "k", "band", "n_shingles").join(families, "k").groupBy("k", "family").agg(
+        F.min("doc").alias("doc"), F.min("band").alias("band"), F.min("n_shingles").alias("n")), "wanted")
+    more = _compare_families(_sets(docs, chosen.select("k", "family", "doc"), id_col, text_col, n, num, den),
+                             chosen.select("k", "family", "band", "n"), num, den)
     roots = connected_components(links.unionByName(more) if links is not None else more)
 
     named = rows.join(roots.withColumnRenamed("v", "k"), "k", "left").select("doc", "n_shingles", "k", F.coalesce("c", "k").alias("root"))

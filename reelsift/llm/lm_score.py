@@ -8,9 +8,10 @@ its share within the class follows its count (add one half, one unseen word more
     p(word | before) = p(class | state) * p(word | class, state)   for frequent words,
     p(word | before) = p(class | state) * (c + 0.5) / (N_class + 0.5 (V_class + 1))   for the others.
 
-The network is a GRU in numpy, trained by truncated backpropagation on a bounded sample of the
-training documents (``train_tokens`` tokens, about): shards train side by side from the same weights
-and their weights are averaged, round after round. Scoring carries the state across windows, over
+The network is a GRU in numpy, trained by truncated backpropagation on all training documents, each
+read once: they are dealt to rounds and there to shards of ``least_tokens`` tokens or a little more,
+whose number grows with the corpus. The shards of a round train side by side from the same weights;
+their weights are written and averaged in Spark, and the next round starts from them. Scoring carries the state across windows, over
 whole documents. Frequent words (``head`` at most) are known to every worker; the counts of the
 others come by a join of the documents' rare words.
 """
@@ -35,7 +36,9 @@ CLASS, SYMBOLS, RARE = 32, 1024, 16
 CLASSES = SYMBOLS // CLASS + RARE
 HIDDEN = 24
 END = 0
-WINDOW, LANES = 16, 64      # of truncated backpropagation
+WINDOW, LANES = 16, 256     # of truncated backpropagation
+LEAST_WINDOWS = 64          # of a lane, unless the lane is the only one
+PIECE = 65_536              # symbols of a long document that one shard reads at a time
 SCORE_WINDOW = 32
 BATCH_TOKENS = 2_000_000    # scored side by side
 COUNT_WORDS = 400_000       # words that a task counts before it hands them on
@@ -241,27 +244,34 @@ def train_window(p, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         dgh = np.concatenate([dr, dz, dn * r], 1)
         g["h"] += before.T @ dgh
         dh = (dh * z + dgh @ p["h"].T) * on
-    np.add.at(g["x"], x.ravel(), wide.reshape(-1, 3 * HIDDEN))
+    order = np.argsort(x.ravel(), kind="stable")
+    symbols = x.ravel()[order]
+    first = np.flatnonzero(np.diff(symbols, prepend=-1))
+    g["x"][symbols[first]] = np.add.reduceat(wide.reshape(-1, 3 * HIDDEN)[order], first)
     return g, -logp.mean(), h
 
 
-def train(p: dict[str, np.ndarray], docs: list[np.ndarray], passes: int, rate: float) -> dict[str, np.ndarray]:
-    """Adam over ``passes`` of the documents, laid end to end in ``LANES`` lanes."""
-    flat = np.concatenate(docs)
-    lanes = max(1, min(LANES, len(flat) // (4 * WINDOW)))
+def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
+    """Adam over the documents once, laid end to end in at most ``LANES`` lanes; the few symbols that
+    do not fill all lanes go to a last, shorter lane of their own."""
+    flat = np.concatenate(docs).astype(np.int32)
+    lanes = max(1, min(LANES, len(flat) // (LEAST_WINDOWS * WINDOW)))
     length = len(flat) // lanes
-    y = flat[:lanes * length].reshape(lanes, length).T
-    x = np.concatenate([[END], flat[:-1]])[:lanes * length].reshape(lanes, length).T
+    before = np.concatenate([[END], flat[:-1]])
+    even = lanes * length
+    parts = [(before[:even].reshape(lanes, length).T, flat[:even].reshape(lanes, length).T)]
+    if even < len(flat):
+        parts.append((before[even:, None], flat[even:, None]))
     p = {k: a.copy() for k, a in p.items()}
     m, s, n = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    total = passes * -(-length // WINDOW)
-    for _ in range(passes):
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for at in range(0, length, WINDOW):
+    total = sum(-(-len(x) // WINDOW) for x, _ in parts)
+    for x, y in parts:
+        h = np.zeros((x.shape[1], HIDDEN), np.float32)
+        for at in range(0, len(x), WINDOW):
             g, _, h = train_window(p, x[at:at + WINDOW], y[at:at + WINDOW], h)
             n += 1
-            now = rate * (1 - 0.9 * n / total)
-            scale = 1.0 / (min(WINDOW, length - at) * lanes)
+            now = rate * (1 - 0.9 * n / total) * x.shape[1] / lanes
+            scale = 1.0 / y[at:at + WINDOW].size
             for k, a in p.items():
                 d = g[k] * scale
                 m[k] += 0.1 * (d - m[k])
@@ -297,22 +307,66 @@ def score_docs(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
 
 # ---- on Spark --------------------------------------------------------------------------------
 
-def _learner(weights, passes: int, rate: float):
-    """Trains one shard of the sample from the broadcast ``weights``; texts in the order of their draw."""
+def _learner(weights, rate: float):
+    """Trains one shard from the broadcast ``weights``, on its pieces in the order of their draw."""
     def learn(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("draw", "ascending"), ("symbols", "ascending")])
-        texts = [np.frombuffer(s, np.int32) for s in t["symbols"].to_pylist()]
-        new = train(weights.value, texts, passes, rate)
-        return pa.table({"tokens": pa.array([sum(map(len, texts))], pa.int64()), **{k: pa.array([a.tobytes()], pa.binary()) for k, a in new.items()}})
+        t = t.sort_by([("draw", "ascending"), ("place", "ascending"), ("symbols", "ascending")])
+        texts = [np.frombuffer(s, np.int16) for s in t["symbols"].to_pylist()]
+        new = train(weights.value, texts, rate)
+        return pa.table({"tokens": pa.array([sum(map(len, texts))], pa.int64()),
+                         "weights": pa.array([np.concatenate([a.ravel() for a in new.values()]).tobytes()], pa.binary())})
 
     return learn
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, training: Column, *, head: int = 200_000, train_tokens: int = 4_000_000,
-        least_tokens: int = 1_500_000, shards: int = 6, rounds: int = 2, rate: float = 0.02, seed: int = 29):
-    """Counts over all training documents and a network from a sample of about ``train_tokens`` of
-    their tokens. Small samples are read again until ``least_tokens`` have been seen. Returns
-    (counts, vocabulary, weights)."""
+def dealt(chosen: DataFrame, reader, slots: int) -> DataFrame:
+    """(draw, place, slot, symbols): the texts of ``chosen`` (draw, text) in pieces of ``PIECE``
+    symbols at most, dealt evenly to ``slots``. Rows that repeat their draw in a batch count up, so
+    that many equal rows do not meet in one slot."""
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            draws, places, copies, out, seen = [], [], [], [], Counter()
+            for draw, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                read = reader.value.read(text)[0].astype(np.int16)
+                for at in range(0, len(read), PIECE):
+                    draws.append(draw)
+                    places.append(at)
+                    copies.append(seen[draw])
+                    out.append(read[at:at + PIECE].tobytes())
+                seen[draw] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), pa.array(places, pa.int64()), pa.array(copies, pa.int64()),
+                                              pa.array(out, pa.binary())], names=["draw", "place", "copy", "symbols"])
+
+    read = chosen.mapInArrow(symbols, "draw long, place long, copy long, symbols binary")
+    slot = F.pmod(F.xxhash64("draw", "place", "copy"), F.lit(slots))
+    return cut_lineage(read.select("draw", "place", slot.alias("slot"), "symbols"), "symbols")
+
+
+def averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean of the shards' weights by their tokens, summed in Spark; ``weights`` without shards."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for tokens, raw in zip(b.column("tokens").to_pylist(), b.column("weights"), strict=True):
+                one = np.append(np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * tokens, tokens)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+
+    sums = found.mapInArrow(add, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).collect()  # a row per weight
+    if not sums:
+        return weights
+    flat = np.empty(len(sums))
+    flat[[r.pos for r in sums]] = [r.s for r in sums]
+    cuts = np.cumsum([a.size for a in weights.values()])
+    return {k: x.reshape(a.shape).astype(np.float32) for (k, a), x in zip(weights.items(), np.split(flat[:-1] / flat[-1], cuts[:-1]), strict=True)}
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, training: Column, *, head: int = 200_000, least_tokens: int = 500_000,
+        rounds: int = 2, rate: float = 0.02, seed: int = 29):
+    """Counts and a network, both over all training documents. The network reads each document in
+    one of ``rounds`` rounds, in shards of ``least_tokens`` tokens or a little more (one shard a
+    round if there are fewer). Returns (counts, vocabulary, weights)."""
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string").alias("text")
     chosen = docs.filter(training)
@@ -322,27 +376,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, training: Column, *, head:
     weights = first_weights(v, seed)
     if not v.tokens:
         return counts, v, weights
-    share = min(1.0, train_tokens / v.tokens)
-    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(1 << 30))
-    reader = spark.sparkContext.broadcast(Reader(v))
-
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [reader.value.read(t)[0].tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["draw", "symbols"])
-
-    sample = cut_lineage(chosen.select(draw.alias("draw"), text).filter(F.col("draw") < int(share * (1 << 30)) + 1)
-                         .mapInArrow(symbols, "draw long, symbols binary"), "sample")
-    passes = max(1, min(20, math.ceil(least_tokens / max(1.0, share * v.tokens))))
+    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(1 << 60))
+    shards = max(1, v.tokens // (rounds * least_tokens))
+    pieces = dealt(chosen.select(draw.alias("draw"), text), spark.sparkContext.broadcast(Reader(v)), rounds * shards)
     for i in range(rounds):
-        mine = sample.filter(F.pmod(F.col("draw"), F.lit(rounds)) == i) if share * v.tokens > 2 * least_tokens else sample
-        learn = _learner(spark.sparkContext.broadcast(weights), passes, rate / (1 + i))
-        schema = "tokens long, " + ", ".join(f"{k} binary" for k in weights)
-        found = mine.groupBy(F.pmod(F.xxhash64("draw", F.lit(1)), F.lit(shards)).alias("shard")).applyInArrow(learn, schema).collect()
-        total = sum(r.tokens for r in found)
-        if total:
-            weights = {k: sum(np.frombuffer(r[k], np.float32).reshape(a.shape).astype(np.float64) * (r.tokens / total) for r in found).astype(np.float32)
-                       for k, a in weights.items()}
+        learn = _learner(spark.sparkContext.broadcast(weights), rate / (1 + i))
+        mine = pieces.filter(f"slot >= {i * shards} and slot < {(i + 1) * shards}").repartition(shards, "slot")
+        weights = averaged(cut_lineage(mine.groupBy("slot").applyInArrow(learn, "tokens long, weights binary"), "weights"), weights)
     return counts, v, weights
 
 

@@ -124,3 +124,38 @@ def test_edges(spark):
     compare(lm.score(df, nothing).collect(), [(i, len((t or "").split()) + 1, 0, 0, 0.0) for i, t in rows])
     empty = lm.fit(none(spark), "doc_id", "text", F.lit(True))
     assert lm.score(none(spark), empty).count() == 0
+
+
+def test_every_training_token_is_learned_in_shards_whose_number_grows(spark, tmp_path, monkeypatch):
+    import uuid
+
+    import pyarrow as pa
+
+    def spy(weights, *how):
+        def learn(key, t):
+            n = sum(len(x) for x in t["symbols"].to_pylist()) // 2
+            (tmp_path / uuid.uuid4().hex).write_text(str(n))
+            flat = np.concatenate([a.ravel() for a in weights.value.values()])
+            return pa.table({"tokens": pa.array([n], pa.int64()), "weights": pa.array([flat.tobytes()], pa.binary())})
+        return learn
+
+    monkeypatch.setattr(lm, "_learner", spy)
+    for rows, shards in ((50, 2), (500, 10)):  # the second has more than any fixed sample of 4 million would hold
+        df = spark.range(rows).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.repeat(F.lit("some words in a row "), 2000).alias("text"))
+        model = lm.fit(df, "doc_id", "text", F.lit(True))
+        sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
+        for x in tmp_path.iterdir():
+            x.unlink()
+        assert sum(sizes) == model[1].tokens == rows * 10_001
+        assert len(sizes) == shards and max(sizes) < 1_500_000
+        start = lm.first_weights(model[1])
+        assert all(np.allclose(a, start[k], rtol=1e-6) for k, a in model[2].items())
+
+
+def test_training_reads_every_symbol_once(monkeypatch):
+    p, seen = weights(0, 0), []
+    real = lm.train_window
+    monkeypatch.setattr(lm, "train_window", lambda p, x, y, h: (seen.append(y.ravel()), real(p, x, y, h))[1])
+    text = np.r_[np.arange(1, 41).repeat(60), lm.END].astype(np.int16)
+    lm.train(p, [text], 0.02)
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(text))

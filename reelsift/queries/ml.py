@@ -79,13 +79,13 @@ _MODELS: dict = {}
 
 def _forecaster(spark, sf):
     """The seeded GBT fitted on the training weeks, once per session and input folder (the
-    metrics, importance and loss-history queries share it). Larger steps than the library's default,
-    and a gain of 1 % as the least that counts, let the patience rule end it after fewer rounds."""
+    metrics, importance and loss-history queries share it), by the library's own rounds, patience
+    and step."""
     s = _forecast_split(spark, sf)
     train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        _MODELS[key] = fc.train_forecaster(train, val, step=0.3, patience=5, tolerance=0.01)
+        _MODELS[key] = fc.train_forecaster(train, val)
     return _MODELS[key], train, val, test
 
 

@@ -142,3 +142,17 @@ def test_patience_rule():
     assert fc.stop_round([1, 1, 1], 2) == (1, True)
     assert fc.stop_round([1, 0.995, 0.9, 0.899], 1, 0.01) == (1, True)
     assert fc.stop_round([1, 0.98, 0.9, 0.899], 1, 0.01) == (3, True)
+
+
+def test_forecast_queries_train_by_the_library_defaults(spark, monkeypatch):
+    import inspect
+
+    from reelsift.queries import ml
+    defaults = {k: p.default for k, p in inspect.signature(fc.train_forecaster).parameters.items()}
+    assert (defaults["max_iter"], defaults["patience"], defaults["step"]) == (1000, 50, 0.05) and "tolerance" not in defaults
+    calls = []
+    monkeypatch.setattr(fc, "train_forecaster", lambda train, val, *a, **k: calls.append((a, k)))
+    monkeypatch.setattr(ml, "_forecast_split", lambda spark, sf: spark.createDataFrame([("train",)], "split string"))
+    monkeypatch.setattr(ml, "_MODELS", {})
+    ml._forecaster(spark, "nowhere")
+    assert calls == [((), {})]

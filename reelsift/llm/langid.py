@@ -30,6 +30,7 @@ OPEN, CLOSE = 2, 3
 CACHE_WORDS = 300_000  # words a worker remembers before it starts anew
 CHUNK = 200_000        # words summed at a time
 SHORT = 4.0            # short texts scatter: their limit is higher by this over the root of their symbols
+LIMIT_DOCS = 20      # calibration documents from which on a language has a limit of its own
 ADDED = ("lang_pred", "score", "cross_entropy", "n_predicted", "rejected")
 
 
@@ -289,9 +290,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Co
         own = np.array([langs.index(r.lang) for r in held])
         ce = bits[:, :-1] / bits[:, -1:]
         best = ce.argmin(1)
+        right = own == best
+        pooled = ce[right, best[right]].max(initial=-np.inf) if right.any() else np.inf
         for i in range(len(langs)):  # reject only what costs more than any labelled text did
-            if (mine := ce[(own == i) & (best == i), i]).size >= 20:
-                model.limits[i] = mine.max() + margin
+            mine = ce[right & (own == i), i]
+            model.limits[i] = mine.max(initial=-np.inf if mine.size >= LIMIT_DOCS else pooled) + margin
         def loss(tau):
             e = ce * np.minimum(bits[:, -1:], tau)
             return (e[np.arange(len(e)), own] + np.log2(np.exp2(-e + e.min(1, keepdims=True)).sum(1)) - e.min(1)).mean()

@@ -72,3 +72,22 @@ def test_crc_of_ids(spark):
 
     rows = spark.range(50).select("id", crc_mod(F.col("id"), 3).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
+
+
+def test_noise_and_unlearned_languages_are_rejected_where_a_language_has_few_documents(spark):
+    import random
+
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    rare = rows.filter("lang = 'es'").orderBy("doc_id").limit(25)
+    learned = rows.filter("lang in ('en', 'de')").unionByName(rare)
+    model = langid.fit(learned, "doc_id", "text", "lang", F.lit(True))
+    assert model.langs == ["de", "en", "es"] and np.isfinite(model.limits).all()
+    clean = langid.identify(learned, model).collect()
+    assert sum(r.rejected for r in clean) / len(clean) < 0.01
+    unlearned = langid.identify(rows.filter("lang = 'fr'"), model).collect()
+    assert sum(r.rejected for r in unlearned) / len(unlearned) > 0.9
+    rng = random.Random(1)
+    noise = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60))) for i in range(50)]
+    assert all(r.rejected for r in langid.identify(spark.createDataFrame(noise, "doc_id long, text string"), model).collect())

@@ -157,14 +157,14 @@ def _meets(a: bytes, b: bytes, num: int, den: int) -> bool:
     return den * common >= num * (len(both) - common)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, k2: int = 0) -> DataFrame:
     """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes: their
     texts are read and cut again. Rows that repeat an id and text repeat here."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands = Bands(num, den, k2)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
@@ -243,14 +243,14 @@ def _hit(held: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int, den: int, k2: int = 0) -> DataFrame:
     """(sig, k) of the signatures that pass the filter ``twice``, without the frequent ones of the
     sets that can spare them."""
     shared = signed.sparkSession.sparkContext.broadcast((twice, frequent))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, frequent = shared.value
-        bands = Bands(num, den)
+        bands = Bands(num, den, k2)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -366,20 +366,21 @@ def _compare_families(sets: DataFrame, sizes: DataFrame, num: int, den: int) ->
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-                    num: int = 4, den: int = 5) -> DataFrame:
+                    num: int = 4, den: int = 5, k2: int = 0) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, class_id, component_id). Rows link when
     ``den * |intersection| >= num * |union|`` of their n-word shingle sets.
 
     ``class_id`` stands for the set (null without words or text: such rows link with nothing and are
     their own component); ``component_id`` is the smallest id reachable by links, null ids aside.
-    Repeated rows share a class. Other columns of ``docs`` are not read.
+    Repeated rows share a class. Other columns of ``docs`` are not read. ``k2`` goes to :class:`Bands`:
+    it changes the signatures, never the links.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc", id_type), T.StructField("n_shingles", T.LongType()),
                            T.StructField("k", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sigs", T.BinaryType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands = Bands(num, den, k2)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
@@ -402,7 +403,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an original has more than its edited copies, so it makes the better centre of a star
     total = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
     counted = cut_lineage(_counted(signed, 1 << max(4, (total // SIG_BYTES // BUCKET_SIGS).bit_length())), "twice")
-    kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), _bits(counted.filter(f"count > {FREQUENT}")), num, den)
+    kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), _bits(counted.filter(f"count > {FREQUENT}")), num, den, k2)
     near = cut_lineage(kept.distinct().join(counted.select("sig"), "sig"), "near")
     shared = near.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("sig")
     members = cut_lineage(near.join(cut_lineage(shared, "shared"), "sig"), "members")
@@ -419,7 +420,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
                             .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
         wanted = rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")).select("k", F.lit(0).cast("long").alias("family"), "doc")
-        links = _verify(stars, cut_lineage(_sets(docs, cut_lineage(wanted, "wanted"), id_col, text_col, n, num, den), "sets"), num, den)
+        links = _verify(stars, cut_lineage(_sets(docs, cut_lineage(wanted, "wanted"), id_col, text_col, n, num, den, k2), "sets"), num, den)
         roots = connected_components(links)
 
     # what shares signatures and is not one component yet is a family
@@ -432,7 +433,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = connected_components(apart).toDF("k", "family")
     chosen = cut_lineage(signed.select("doc", "k", "band", "n_shingles").join(families, "k").groupBy("k", "family").agg(
         F.min("doc").alias("doc"), F.min("band").alias("band"), F.min("n_shingles").alias("n")), "wanted")
-    more = _compare_families(_sets(docs, chosen.select("k", "family", "doc"), id_col, text_col, n, num, den),
+    more = _compare_families(_sets(docs, chosen.select("k", "family", "doc"), id_col, text_col, n, num, den, k2),
                              chosen.select("k", "family", "band", "n"), num, den)
     roots = connected_components(links.unionByName(more) if links is not None else more)
 

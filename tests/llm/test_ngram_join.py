@@ -97,3 +97,13 @@ def test_overlaps_counts_rare_and_frequent_elements():
     sets = [np.unique(rng.integers(0, 60 if i % 2 else 4000, rng.integers(1, 80)).astype(np.uint64)) for i in range(60)]
     got = overlaps(sets, np.arange(60), np.arange(20, 60))
     assert (got == np.array([[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets])).all()
+
+
+def test_choices_of_second_level_parts_give_the_same_links(spark):
+    from reelsift.llm import ngram_join
+
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:i] + ["x"] + words[i + 1:]) for i in (0, 3, 60, 119)] + [" ".join(words[::-1]), " ".join(words[:40]), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = [sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(df, n=2, num=9, den=10, k2=k).collect()) for k in (0, 1)]
+    assert links[0] == links[1] and [c for _, c in links[0]] == [0, 0, 0, 0, 4, 5, 6]

@@ -136,9 +136,23 @@ def stream_interaction_log(ratings: DataFrame, segments: DataFrame, positive: fl
             .join(segments.select("userId", "user_segment"), "userId", "left"))
 
 
+RATING_KEY = ["userId", "movieId", "rating", "timestamp"]
+
+
+def late_ratings(ratings: DataFrame, kept: DataFrame) -> DataFrame:
+    """The distinct rows of the batch ``ratings`` that :func:`stream_dedup` dropped as late: exact
+    anti-join with the rows it ``kept`` (nulls equal). Both together are the distinct ratings."""
+    a, b = ratings.select(*RATING_KEY).distinct().alias("a"), kept.select(*RATING_KEY).distinct().alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in RATING_KEY]
+    return a.join(b, same, "left_anti")
+
+
 def stream_dedup(ratings: DataFrame, delay: str = "30 days") -> DataFrame:
     """SS-5: drop exact duplicate rating rows that arrive within the watermark delay; a key's state
-    goes once the watermark has passed it by the delay."""
-    cols = ["userId", "movieId", "rating", "timestamp"]
+    goes once the watermark has passed it by the delay.
+
+    The watermark also drops late rows: one that a later micro-batch brings more than ``delay`` behind
+    the newest rating of the batches before is lost, unique or not. :func:`late_ratings` finds them."""
+    cols = RATING_KEY
     return (ratings.withColumn("event_time", F.timestamp_seconds("timestamp"))
             .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(cols).select(*cols))

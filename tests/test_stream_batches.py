@@ -52,3 +52,18 @@ def test_dedup_across_batches(spark):
     twice = src.unionByName(src.where(F.col("rating") == 5.0))  # in any order over all years
     ss.run_available(ss.stream_dedup(twice, "36500 days"), os.path.join(d, "out"), mode="append", sink="append")
     assert _rows(spark.read.parquet(os.path.join(d, "out", "data"))) == _rows(r)
+
+
+def test_dedup_with_its_own_delay_loses_late_rows_and_the_anti_join_finds_them(spark):
+    d = tempfile.mkdtemp(prefix="reelsift-late-")
+    day, schema = 86400, "userId long, movieId long, rating double, timestamp long"
+    batches = [[(1, 1, 4.0, 1000 * day), (1, 1, 4.0, 1000 * day)], [(2, 1, 3.0, 1010 * day), (1, 1, 4.0, 1000 * day)],
+               [(3, 1, 2.0, 900 * day), (4, 1, 2.0, 990 * day)]]  # 110 and 20 days behind the newest
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
+    ss.run_available(ss.stream_dedup(src), os.path.join(d, "out"), mode="append", sink="append")
+    kept = spark.read.parquet(os.path.join(d, "out", "data"))
+    assert _rows(kept) == [(1, 1, 4.0, 1000 * day), (2, 1, 3.0, 1010 * day), (4, 1, 2.0, 990 * day)]
+    whole = spark.read.parquet(os.path.join(d, "in"))
+    assert _rows(ss.late_ratings(whole, kept)) == [(3, 1, 2.0, 900 * day)]

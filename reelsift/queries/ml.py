@@ -186,9 +186,9 @@ def q_rec_als_runs(spark, sf):
     validation RMSE; history rows plus the chosen model's test RMSE / NDCG@10."""
     s = _rec_split(spark, sf)
     tr, va, te = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
-    movies, _ = emb.genome_embeddings(adapt.genome_scores(spark, sf), 8)
+    movies, _ = emb.genome_embeddings(adapt.genome_scores(spark, sf))
     grid = [{"rank": 8, "reg": 0.1}, {"rank": 16, "reg": 0.1}, {"rank": 32, "reg": 0.05}]
-    best, hist = rec.select_best_run(tr, va, grid, movies=movies, emb_cols=[f"genome_emb_{i}" for i in range(8)])
+    best, hist = rec.select_best_run(tr, va, grid, movies=movies, emb_cols=[f"genome_emb_{i}" for i in range(emb.N_COMPONENTS)])
     scored = best.transform(te)
     m = mt.rmse_mae(scored, "rating", "prediction", "test").first()
     nd = mt.ndcg_at_k(scored, "userId", "rating", "prediction").first()["ndcg"]

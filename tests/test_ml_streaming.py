@@ -156,3 +156,23 @@ def test_forecast_queries_train_by_the_library_defaults(spark, monkeypatch):
     monkeypatch.setattr(ml, "_MODELS", {})
     ml._forecaster(spark, "nowhere")
     assert calls == [((), {})]
+
+
+def test_als_runs_pass_all_genome_components(spark, monkeypatch):
+    import pytest
+
+    from reelsift import adapt
+    from reelsift.queries import ml
+    seen = []
+
+    def runs(tr, va, grid, movies, emb_cols):
+        seen.append((emb_cols, movies))
+        raise StopIteration
+
+    monkeypatch.setattr(ml, "_rec_split", lambda spark, sf: spark.createDataFrame([("train",)], "split string"))
+    monkeypatch.setattr(adapt, "genome_scores", lambda spark, sf: None)
+    monkeypatch.setattr(emb, "genome_embeddings", lambda scores, k=emb.N_COMPONENTS: (k, None))
+    monkeypatch.setattr(ml.rec, "select_best_run", runs)
+    with pytest.raises(StopIteration):
+        ml.q_rec_als_runs(spark, "nowhere")
+    assert seen == [([f"genome_emb_{i}" for i in range(50)], 50)]

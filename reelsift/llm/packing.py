@@ -24,7 +24,7 @@ from reelsift.llm.common import cut_lineage
 
 SEQUENCE = 2048
 END_ID = 1
-BLOCK_PIECES = 64       # a very long document goes to the groups in blocks of so many pieces
+COPIES = 4096           # equal pieces that are numbered at a time
 END = END_ID.to_bytes(4, "little")
 CACHE_WORDS, CACHE_PARTS = 300_000, 300_000  # of which a task remembers the ids
 SPECIAL = b"<|"
@@ -154,10 +154,16 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, group_pieces: int = 2048, se
     written table: its row count sets the number of groups, about ``group_pieces`` pieces each.
 
     A document whose rows repeat is packed as often as it occurs. Reruns agree: groups come from a
-    hash of (doc_id, block of pieces), and ties in a group go by doc_id, start and crc32.
+    hash of (doc_id, start, ids_crc32, doc_tokens), equal pieces are numbered and the number is
+    hashed too, and ties in a group go by doc_id, start and crc32. So no id, null or not, and no
+    repeated row fills one group.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (length * BLOCK_PIECES)), F.lit(seed)), F.lit(groups)))
+    equal = pieces.groupBy(*[f"`{c}`" for c in pieces.columns]).agg(F.count("*").alias("_n"))  # combined before the shuffle
+    blocks = equal.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
+    numbered = blocks.withColumn("_copy", F.explode(F.expr(f"sequence(_block * {COPIES}, least(_n, (_block + 1) * {COPIES}) - 1)")))
+    own = F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "_copy", F.lit(seed))
+    dealt = numbered.select(*[f"`{c}`" for c in pieces.columns], F.pmod(own, F.lit(groups)).alias("_group"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
                            T.StructField("padded_length", T.LongType())])
 

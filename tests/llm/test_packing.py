@@ -92,3 +92,16 @@ def test_first_fit_decreasing_matches_the_plain_rule(sizes):
             room.append(100)
         assert bins[i] == b and offsets[i] == 100 - room[b]
         room[b] -= sizes[i]
+
+
+def test_null_ids_and_repeated_rows_do_not_fill_one_group(spark):
+    from pyspark.sql import functions as F
+
+    null = F.lit(None).cast("long")
+    rows = spark.range(4000).select(null.alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.col("id") % 100 + 1).alias("length"),
+                                    F.when(F.col("id") < 3000, F.col("id")).otherwise(-1).alias("ids_crc32"), (F.col("id") % 100 + 1).alias("doc_tokens"))
+    rows = rows.unionByName(rows.limit(1).withColumn("start", F.explode(F.array_repeat(F.lit(0).cast("long"), 5000))))
+    got = packing.pack(rows, group_pieces=300)
+    sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
+    assert sum(sizes) == 9000 and len(sizes) == 30 and max(sizes) < 400
+    assert got.select(rows.columns).exceptAll(rows).count() == 0 == rows.exceptAll(got.select(rows.columns)).count()

@@ -27,7 +27,7 @@ from reelsift.llm.common import cut_lineage, without
 RANGE = 1 << 60        # of the seeded hash
 PART_ROWS = 500        # documents of a part, about
 PARTS = 1024           # parts of a range at most
-MAX_PATTERNS = 100_000  # membership patterns that the driver's flow network may hold
+MAX_PATTERNS = 100_000  # membership patterns of several sources that the driver's flow network may hold
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5,
@@ -163,9 +163,10 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: flo
     import json
 
     spark = rows.sparkSession
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    several = F.size(F.from_json("pattern", "array<string>")) > 1
+    if rows.select("pattern").filter(several).distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of several sources")
+    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()  # those, and one a source at most
     found = sorted(found, key=lambda r: r.pattern)
     patterns = [(json.loads(r.pattern), r["size"]) for r in found]
     sizes: dict[str | None, int] = {}
@@ -173,7 +174,12 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: flo
         for s in own:
             sizes[s] = sizes.get(s, 0) + size
     due = targets(sizes, weights, ratio, cap)
-    given = route(patterns, due, cap)
+    # a source that shares no document takes its target from its own; the flow routes the others
+    overlap = {s for own, _ in patterns if len(own) > 1 for s in own}
+    joint = [i for i, (own, _) in enumerate(patterns) if overlap.intersection(own)]
+    given = [0 if not own else min(cap * size, round(due[own[0]])) for own, size in patterns]
+    for i, take in zip(joint, route([patterns[i] for i in joint], {s: due[s] for s in due if s in overlap}, cap) if joint else [], strict=True):
+        given[i] = take
 
     # hash thresholds: lo and width of the range in question, words still to take, documents in it
     at, base = {}, {}

@@ -97,3 +97,20 @@ def test_overlapping_sources_and_edges(spark):
     taken = mixing.mix_documents(many)
     assert 0 < taken.count() <= 80 and taken.groupBy("doc_id").count().filter("count > 2").count() == 0
     assert mixing.mix_documents(none(spark)).count() == 0
+
+
+def test_sources_that_share_no_document_need_no_flow(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("source"),
+                                 F.repeat(F.lit("word "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    rows = mixing.sized(df)
+    whole = mixing.plan_mix(rows)
+    want = sorted(map(tuple, mixing.copies(rows, whole).select("doc_id", "copies").collect()))
+    sizes = {s: n for s, n, _ in whole.sources}
+    order = sorted(sizes)
+    due = {s: d for s, _, d in whole.sources}
+    assert mixing.route([([s], sizes[s]) for s in order], due, 2) == [min(2 * sizes[s], round(due[s])) for s in order]
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 10)
+    monkeypatch.setattr(mixing, "route", None)
+    assert sorted(map(tuple, mixing.copies(rows, mixing.plan_mix(rows)).select("doc_id", "copies").collect())) == want

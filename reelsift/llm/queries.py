@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from reelsift.llm import embedding_dedup, langid, license_scan, lm_score, mixing, ngram_join, packing, secret_scan, warc
+from reelsift.llm import collocations, embedding_dedup, langid, license_scan, lm_score, mixing, ngram_join, packing, secret_scan, warc
 from reelsift.llm.common import crc_mod, read_table
+from reelsift.llm.conversation_trie import conversation_trie
 from reelsift.llm.exact_dedup import exact_dedup
+from reelsift.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +123,69 @@ def op10_lm_score(spark, sf_dir):
     model = lm_score.fit(docs, "doc_id", "text", ~held_out)
     return (lm_score.score(docs, model)
             .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
+@register("op11_conversation_trie", sql=r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                             lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0],
+                                                      lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1::UBIGINT)))), 4294967295::UBIGINT) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(role || chr(0) || text), '') OVER w AS k, text FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+m AS (SELECT conv_id, depth, k, substr(k, 1, 64 * (depth - 1)) AS up, text, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+      UNION ALL SELECT conv_id, 0, '', NULL, '', conv_id NOT IN (SELECT conv_id FROM p) FROM c),
+n AS (SELECT k, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(CASE WHEN ends THEN conv_id END, ',' ORDER BY conv_id) AS ids,
+             (count(*) - 1) * any_value(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS saved FROM m GROUP BY k),
+d AS (SELECT n.*, coalesce(x.c, 0) AS n_children FROM n LEFT JOIN (SELECT up, count(*) AS c FROM n GROUP BY up) x ON x.up = n.k),
+b AS (SELECT m.k, sum(d.saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM d JOIN m ON m.conv_id = d.conv_id AND m.depth <= d.depth GROUP BY m.k)
+SELECT d.conv_id, CAST(d.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, d.n_convs, d.n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(d.ids, '')) AS ends_sha256
+FROM d JOIN b USING (k) LEFT JOIN d u ON u.k = d.up""")
+def op11_conversation_trie(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt on the heads of their bases."""
+    return conversation_trie(read_table(spark, sf_dir, "conversations")).drop("ref")
+
+
+@register("op12_collocations", sql=r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(ps) AS p FROM d)),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM s, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, phrase, m, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, m, n AS a FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+cut AS (SELECT k.lang, k.phrase, a, k, l.n AS l, r.n AS r, t.n AS n, CAST(CAST(1000 AS HUGEINT) * a * t.n // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+        FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ')
+               JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:k.m], ' ') JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT lang, array_to_string(w[x:x + y - 1], ' ') AS phrase, a
+      FROM c, (SELECT unnest(range(1, 5)) AS x), (SELECT unnest(range(2, 5)) AS y) WHERE y < m AND x + y - 1 <= m),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000""")
+def op12_collocations(spark, sf_dir):
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@register("op13_substring_dedup", sql=r"""
+WITH w AS (SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT id, ws, unnest(range(1, len(ws) - 33)) AS s FROM w WHERE len(ws) >= 35),
+r AS (SELECT id, s FROM (SELECT id, s, count(*) OVER (PARTITION BY array_to_string(ws[s:s + 34], ' ')) AS c FROM p) WHERE c > 1),
+m AS (SELECT DISTINCT id, i FROM (SELECT id, unnest(range(s, s + 35)) AS i FROM r)),
+a AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT a.id, string_agg(CASE WHEN m.i IS NULL THEN a.word END, ' ' ORDER BY a.i) AS t, count(m.i) AS g FROM a LEFT JOIN m ON a.id = m.id AND a.i = m.i GROUP BY a.id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (id)""")
+def op13_substring_dedup(spark, sf_dir):
+    """All documents without the passages of 35 words or more that also stand elsewhere."""
+    kept = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

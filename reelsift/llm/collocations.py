@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import cut_lineage
+from reelsift.llm.filters import broadcast_filter
 from reelsift.llm.tokens import Words, grams, mixed, slices, spread
 
 #: Longest phrase, tokens that neighbouring chunks share, and how many tokens there are to a trigger.
 LONGEST = 5
 OVERLAP, EVERY = LONGEST - 1, 48
-#: Bits of a filter at most (32 MB), and bits for each of its entries below that.
-MAX_BITS, BITS_EACH = 1 << 28, 32
 #: Pairs that a task counts before it passes them on, and buckets' pairs on average.
 HELD, BUCKET = 4_000_000, 2_000_000
 #: Ends a piece; no word holds it.
@@ -81,7 +80,7 @@ class _Chunks:
         self.lang_of = coded.indices.to_numpy(zero_copy_only=False)[self.row]
         salt = np.array([zlib.crc32(x.encode()) for x in self.langs.to_pylist()], np.uint64)
         self.hash = mixed(w.hashes()[w.codes] + mixed(salt + np.uint64(1))[self.lang_of])
-        self.inner = np.append(self.row[1:] == self.row[:-1], False) if len(self.row) else np.zeros(0, bool)
+        self.inner = np.append(self.row[1:] == self.row[:-1], False)[:len(self.row)]
 
     def pairs(self) -> np.ndarray:
         """Hash of the pair that starts at each token (of no use where none does)."""
@@ -99,39 +98,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["lang", "phrase", "n"])
 
 
-class Filter:
-    """Bits of hashes, ``bits`` of them (a power of two); ``rows`` holds (block, bytes) of 64 KB."""
-
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        self.bits = bits
-        whole = bytearray(bits // 8)
-        for i, raw in blocks.items():
-            whole[i << 16:(i << 16) + len(raw)] = raw
-        self.map = np.frombuffer(bytes(whole), np.uint8)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def _filter(hashes: DataFrame, count: int):
-    """A broadcast :class:`Filter` of the longs ``h``; its size follows their number up to MAX_BITS."""
-    spark = hashes.sparkSession
-    bits = min(MAX_BITS, 1 << max(19, (BITS_EACH * max(1, count) - 1).bit_length()))
-    place = F.col("h").bitwiseAND(F.lit(bits - 1))
-
-    def pack(table: pa.Table) -> pa.Table:
-        at = table["at"].to_numpy()
-        block = int(at[0]) >> 19
-        mine = np.zeros(1 << 16, np.uint8)
-        inner = at & ((1 << 19) - 1)
-        np.bitwise_or.at(mine, inner >> 3, np.left_shift(1, inner & 7).astype(np.uint8))
-        return pa.table({"block": pa.array([block], pa.int32()), "bytes": pa.array([mine.tobytes()], pa.binary())})
-
-    packed = hashes.select(place.alias("at")).distinct().groupBy(F.shiftright("at", 19).alias("b")).applyInArrow(pack, "block int, bytes binary")
-    return spark.sparkContext.broadcast(Filter(bits, {r.block: bytes(r.bytes) for r in packed.toLocalIterator()}))
-
-
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes by which a filter knows the words of (lang, phrase)."""
     for batch in batches:
@@ -215,11 +181,11 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     counts = cut_lineage(chunks.mapInArrow(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("words"))
     words = cut_lineage(counts.filter(F.col("n") >= least), "frequent-words")
-    known = _filter(words.mapInArrow(_hashed, "h long"), words.count())
+    known = broadcast_filter(words.mapInArrow(_hashed, "h long"), words.count())
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     blocks = chunks.mapInArrow(_pair_counts(known, -(-tokens // BUCKET) or 1), "bucket int, keys binary, counts binary")
     often = cut_lineage(blocks.groupBy("bucket").applyInArrow(_frequent(least), "h long"), "frequent-pairs")
-    pairs = _filter(often, often.count())
+    pairs = broadcast_filter(often, often.count())
     found = chunks.mapInArrow(_phrases(pairs, longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     phrases = cut_lineage(found.filter(F.col("n") >= least), "frequent-phrases")
     return totals, words.select("lang", "phrase", "n").unionByName(phrases)

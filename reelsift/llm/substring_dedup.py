@@ -4,10 +4,11 @@ A compressed FM-index per shard, searched backwards. What goes into a shard is d
 that equal windows always meet in one shard and the work grows with the text, not with shards times
 documents:
 
-1. A window's minimizer is the smallest hash among its 5-word sequences. Consecutive windows of one
+1. A window's minimizer is the smallest hash among its 8-word sequences. Consecutive windows of one
    minimizer form a run; a run of at most 30 windows is a segment of at most 64 words. Equal windows
-   have equal minimizers, so a window can only repeat if its minimizer occurs twice: one count by hash
-   leaves out all other runs.
+   have equal minimizers, so a window can only repeat if its minimizer occurs twice: one count by hash,
+   known to all tasks as a bitmap of bounded size, leaves out nearly all other runs (a full bitmap
+   would let more of them through, and lose none).
 2. The remaining segments are cut out of their texts and counted by their words. Copies collapse here,
    before any shard sees them.
 3. A minimizer with very many different segments (the edges of a passage that a third of all documents
@@ -30,67 +31,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import cut_lineage, without
-from reelsift.llm.tokens import Words, grams, mixed, slices, sliding, spread
+from reelsift.llm.filters import broadcast_filter
+from reelsift.llm.tokens import Words, grams, slices, sliding, spread
 
 WINDOW = 35
 #: Words of a minimizer, and windows of a segment at most (a segment then has 64 words).
-GRAM, RUN = 5, 30
+GRAM, RUN = 8, 30
 #: Words that a shard indexes, on average.
 SHARD_WORDS = 500_000
 #: Different segments of one minimizer from which on its windows are thinned first.
 CROWD = 256
 
-RUNS = "key long, size int, runs array<struct<run:long,h:long,n:int>>"
 PIECES = "key long, size int, run long, h long, content string"
 
 
-def _runs(window: int):
-    """Per text: its runs as start * 64 + windows, the minimizer and (up to 2) how often it occurs there."""
+def _runs(w: Words, window: int) -> tuple[np.ndarray, ...]:
+    """The runs of all texts: text, first word (in all texts), windows, minimizer."""
     wide = window - GRAM + 1
+    g = grams(w.hashes()[w.codes], GRAM) if len(w.codes) else np.zeros(0, np.uint64)
+    low = sliding(g, wide, np.minimum)
+    count = np.maximum(0, np.diff(w.first) - window + 1)  # windows of each text
+    text, at = np.repeat(np.arange(len(count)), count), spread(w.first[:-1], count)
+    least = low[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    starts = np.flatnonzero(new)
+    length = np.diff(np.append(starts, len(at)))
+    parts = -(-length // RUN)  # a long run (one sequence again and again) in parts
+    inner = RUN * spread(np.zeros(len(parts), np.int64), parts)
+    begin = np.repeat(starts, parts) + inner
+    return text[begin], at[begin], np.minimum(RUN, np.repeat(length, parts) - inner), least[begin], g
+
+
+def _minimizers(window: int):
+    """(h, n): minimizers and how often they occur, up to two for each run."""
+    reach = np.arange(RUN + window - GRAM)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w = Words(batch["text"])
-            g = grams(w.hashes()[w.codes], GRAM) if len(w.codes) else np.zeros(0, np.uint64)
-            low = sliding(g, wide, np.minimum)
-            count = np.maximum(0, np.diff(w.first) - window + 1)  # windows of each text
-            text = np.repeat(np.arange(len(count)), count)
-            at = spread(w.first[:-1], count)
-            least = low[at] if len(at) else np.zeros(0, np.uint64)
-            new = np.ones(len(at), bool)
-            new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-            starts = np.flatnonzero(new)
-            length = np.diff(np.append(starts, len(at)))
-            parts = -(-length // RUN)  # long runs (one sequence again and again) in parts
-            inner = spread(np.zeros(len(parts), np.int64), parts)
-            begin = np.repeat(starts, parts) + RUN * inner
-            n = np.minimum(RUN, np.repeat(length, parts) - RUN * inner)
-            h, word = least[begin], at[begin] if len(begin) else begin
-            reach = np.arange(RUN + wide - 1)
-            seen = g[np.minimum(word[:, None] + reach, max(len(g) - 1, 0))] if len(word) else np.zeros((0, len(reach)), np.uint64)
-            times = np.minimum(2, ((seen == h[:, None]) & (reach < (n + wide - 1)[:, None])).sum(1))
-            run = (word - w.first[text[begin]]) * 64 + n if len(begin) else begin
-            rows = np.bincount(text[begin], minlength=batch.num_rows) if len(begin) else np.zeros(batch.num_rows, int)
-            some = rows > 0
-            ends = np.concatenate([[0], np.cumsum(rows[some])]).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(run.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(times.astype(np.int32))], ["run", "h", "n"])
-            yield pa.RecordBatch.from_arrays([batch["key"].filter(pa.array(some)), batch["size"].filter(pa.array(some)),
-                                              pa.ListArray.from_arrays(pa.array(ends), items)], ["key", "size", "runs"])
+            text, word, n, h, g = _runs(Words(batch["text"]), window)
+            if len(h):
+                seen = g[np.minimum(word[:, None] + reach, len(g) - 1)] == h[:, None]
+                times = np.minimum(2, (seen & (reach < (n + window - GRAM)[:, None])).sum(1))
+                found, back = np.unique(h, return_inverse=True)
+                total = np.bincount(back, times, len(found)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], ["h", "n"])
     return go
 
 
-def _cut(window: int):
-    """The segments of every text's runs."""
+def _cut(window: int, known):
+    """The segments of the runs whose minimizers are ``known``; run is start * 64 + windows."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w, runs = Words(batch["text"]), batch["runs"]
-            items, many = runs.flatten(), np.diff(np.asarray(runs.offsets))
-            run = items.field("run").to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), many)
-            content = w.joined(w.first[row] + run // 64, run % 64 + window - 1)
-            back = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch["key"].take(back), batch["size"].take(back), items.field("run"), items.field("h"), content],
-                                             ["key", "size", "run", "h", "content"])
+            w = Words(batch["text"])
+            text, word, n, h, _ = _runs(w, window)
+            some = known.value.has(h)
+            text, word, n, h = text[some], word[some], n[some], h[some]
+            back, run = pa.array(text), (word - w.first[text]) * 64 + n
+            yield pa.RecordBatch.from_arrays([batch["key"].take(back), batch["size"].take(back), pa.array(run), pa.array(h.view(np.int64)),
+                                              w.joined(word, n + window - 1)], ["key", "size", "run", "h", "content"])
     return go
 
 
@@ -288,11 +287,10 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     array<struct<start, bits>> (bit i: the window at word start + i). ``texts`` has key, size and text."""
     if not GRAM < window <= 64 - RUN + 1:
         raise ValueError(f"window must be {GRAM + 1} to {64 - RUN + 1} words")
-    runs = cut_lineage(texts.mapInArrow(_runs(window), RUNS), "runs")
-    each = runs.select("key", "size", F.explode("runs").alias("r")).select("key", "size", "r.run", "r.h", "r.n")
-    often = each.groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h")
-    chosen = each.join(often, "h").groupBy("key", "size").agg(F.collect_set(F.struct("run", "h")).alias("runs"))
-    pieces = cut_lineage(texts.join(chosen, ["key", "size"]).select("key", "size", "text", "runs").mapInArrow(_cut(window), PIECES), "pieces")
+    counts = texts.mapInArrow(_minimizers(window), "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
+    often = cut_lineage(counts.filter("n >= 2").select("h"), "minimizers")
+    known = broadcast_filter(often, often.count())
+    pieces = cut_lineage(texts.mapInArrow(_cut(window, known), PIECES), "pieces")
     g = F.unhex(F.md5("content"))
     segments = cut_lineage(pieces.groupBy("h", "content").agg(F.count(F.lit(1)).alias("copies")).withColumn("g", g), "segments")
 

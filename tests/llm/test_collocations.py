@@ -8,6 +8,7 @@ import pytest
 
 import edge
 from reelsift.llm import collocations as co
+from reelsift.llm import filters
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,7 +87,8 @@ def test_edges(spark):
 
 def test_overfull_filter_only_costs_time(spark, monkeypatch):
     """With a filter of one block all bits are soon set; the counts stay right."""
-    monkeypatch.setattr(co, "MAX_BITS", 1 << 19)
+    monkeypatch.setattr(filters, "MAX_BITS", 1 << 19)
+    monkeypatch.setattr(filters, "BITS_EACH", 1 << 20)
     monkeypatch.setattr(co, "HELD", 50)
     monkeypatch.setattr(co, "BUCKET", 500)
     check(spark, made(11), 4)

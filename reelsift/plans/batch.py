@@ -3,12 +3,14 @@ preprocess -> feature tables -> splits. Each stage reads what the previous one w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelsift.operators import quality as dq
 from reelsift.operators import splits as sp
 from reelsift.plans import features as pf
 from reelsift.plans.ml import embeddings as emb
+from reelsift.plans.ml import forecast as fc
+from reelsift.plans.ml import metrics as mt
 from reelsift.sources import readers as rd
 from reelsift.sources import sinks as sk
 
@@ -78,4 +80,34 @@ def prepare_splits(spark: SparkSession, features_dir: str) -> None:
         sk.write_parquet(df, f"{features_dir}/{name}", partition_by=["split"])
 
 
-__all__ = ["preprocess", "build_features", "prepare_splits"]
+def _errors(model: fc.Forecaster, df: DataFrame, split: str) -> DataFrame:
+    """(split, model, rmse, mae) of the naive and the boosted forecast."""
+    d = df.where(F.col("split") == split)
+    both = mt.rmse_mae(fc.naive_forecast(d), fc.TARGET, "prediction", "baseline").unionByName(
+        mt.rmse_mae(fc.score_forecaster(model, d), fc.TARGET, "prediction", "boosted"))
+    return both.select(F.lit(split).alias("split"), "model", "rmse", "mae")
+
+
+def train_forecast(spark: SparkSession, features_dir: str, models_dir: str, **settings) -> DataFrame:
+    """Train the forecaster on the written split; store the model with its history and the validation
+    errors of both forecasts below ``models_dir``. Returns the errors."""
+    split = spark.read.parquet(f"{features_dir}/forecasting_split")
+    model = fc.train_forecaster(split.where("split = 'train'"), split.where("split = 'val'"), **settings)
+    fc.save_model(model, f"{models_dir}/forecaster")
+    sk.write_parquet(_errors(model, split, "val"), f"{models_dir}/forecaster_metrics")
+    return spark.read.parquet(f"{models_dir}/forecaster_metrics")
+
+
+def evaluate_forecast(spark: SparkSession, features_dir: str, models_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Judge the stored model on the test weeks: errors of both splits with the improvement over the
+    naive forecast, and the verdict against the stored validation errors."""
+    test = _errors(fc.load_model(f"{models_dir}/forecaster"), spark.read.parquet(f"{features_dir}/forecasting_split"), "test")
+    known = spark.read.parquet(f"{models_dir}/forecaster_metrics").unionByName(test)
+    base = known.where("model = 'baseline'").select("split", F.col("rmse").alias("b_rmse"), F.col("mae").alias("b_mae"))
+    table = known.join(base, "split").select("split", "model", "rmse", "mae", *[
+        ((F.col(f"b_{e}") - F.col(e)) / F.col(f"b_{e}") * 100).alias(f"{e}_improvement_pct") for e in ("rmse", "mae")])
+    boosted = known.where("model = 'boosted'")
+    return table, mt.overfit_verdict(boosted.where("split = 'val'"), boosted.where("split = 'test'"))
+
+
+__all__ = ["preprocess", "build_features", "prepare_splits", "train_forecast", "evaluate_forecast"]

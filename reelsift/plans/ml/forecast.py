@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reelsift.plans.ml.boosting import Trees, boost
+
 FEATURE_COLS = ["lag_1", "lag_2", "lag_3", "rolling_3week_avg", "rolling_6week_avg", "genre_encoded"]
 TARGET = "rating_count"
 SEED = 42
-MISSING = -1.0  # null lags -> sentinel (trees split it off); GBT rejects NaN input
+MISSING = -1.0  # null lags -> sentinel (trees split it off)
 
 
 def label_encoder(col: str = "genre", out: str = "genre_encoded") -> StringIndexer:
@@ -28,88 +30,62 @@ def naive_forecast(df: DataFrame, out: str = "prediction") -> DataFrame:
     return df.withColumn(out, F.coalesce(F.col("lag_1"), F.lit(0.0)))
 
 
-def _fill(df: DataFrame) -> DataFrame:
-    return df.fillna(MISSING, subset=[c for c in FEATURE_COLS if c != "genre_encoded"])
-
-
-def _trees(rounds: int, step: float, depth: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", maxIter=rounds, stepSize=step,
-                        maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
-
-
-def stop_round(losses: list[float], patience: int, tolerance: float = 0.0) -> tuple[int, bool]:
-    """(best round so far, whether ``patience`` rounds without a better one have passed); better is
-    lower by more than the share ``tolerance``."""
-    best = 0
-    for i, x in enumerate(losses):
-        if x < losses[best] * (1 - tolerance):
-            best = i
-        if i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def train_forecaster(train: DataFrame, val: DataFrame, max_iter: int = 1000, patience: int = 50, step: float = 0.05,
-                     depth: int = 5) -> PipelineModel:
-    """ML-4: encoder -> assembler -> boosted trees (learning rate, row and feature subsampling as in
-    the reference's booster). Boosting stops after ``patience`` rounds that do not improve the
-    validation loss, at ``max_iter`` rounds at most, and the model keeps the rounds up to the best.
-    Spark's booster cannot go on from a model, so the rounds are doubled until the rule is met; the
-    seed makes each run begin with the same trees."""
-    def typed(df):
-        return _fill(df).withColumn(TARGET, F.col(TARGET).cast("double"))
-
-    prep = Pipeline(stages=[label_encoder(), VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")]).fit(
-        typed(train).unionByName(typed(val)))
-    seen, unseen = prep.transform(typed(train)).cache(), prep.transform(typed(val)).cache()
-    try:
-        rounds = min(max_iter, 2 * patience)
-        while True:
-            trees = _trees(rounds, step, depth).fit(seen)
-            best, done = stop_round(list(trees.evaluateEachIteration(unseen, "squared")), patience)
-            if done or rounds == max_iter:
-                break
-            rounds = min(max_iter, 2 * rounds)
-        if best < rounds:
-            trees = _trees(best, step, depth).fit(seen)
-    finally:
-        seen.unpersist()
-        unseen.unpersist()
-    return PipelineModel(stages=[*prep.stages, trees])
-
-
-def score_forecaster(model: PipelineModel, df: DataFrame) -> DataFrame:
+def _features(df: DataFrame, encoder: StringIndexerModel) -> DataFrame:
+    coded = encoder.transform(df).withColumn("genre_encoded", F.col("genre_encoded").cast("double"))
+    return coded.withColumn("x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in FEATURE_COLS]))
+
+
+class Forecaster:
+    """Encoder and boosted trees; ``history`` has a row per round (only after fitting)."""
+
+    def __init__(self, encoder: StringIndexerModel, trees: Trees, history: DataFrame | None = None):
+        self.encoder, self.trees, self.history = encoder, trees, history
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with genre_encoded and prediction."""
+        trees = self.trees
+
+        @F.pandas_udf("double")
+        def predict(x: pd.Series) -> pd.Series:
+            return pd.Series(trees.predict(np.array(x.tolist(), np.float64).reshape(len(x), len(FEATURE_COLS))))
+
+        return _features(df, self.encoder).withColumn("prediction", predict("x")).drop("x")
+
+
+def train_forecaster(train: DataFrame, val: DataFrame, **settings) -> Forecaster:
+    """ML-4 and ML-17: encoder and boosted trees, with the settings of :func:`boosting.boost` (learning
+    rate, leaves, row and feature subsampling, rounds and patience of the reference's booster by
+    default). ``history``: round, train_loss, val_loss (mean squared errors; val_loss null without
+    validation rows) and kept (whether the model keeps the round) of every round run."""
+    encoder = label_encoder().fit(train.select("genre").unionByName(val.select("genre")))
+    parts = [_features(d, encoder).select(F.lit(i).alias("part"), F.col(TARGET).alias("y"), F.xxhash64("genre", "week_start").alias("draw"), "x")
+             for i, d in enumerate((train, val))]
+    trees, rounds = boost(parts[0].unionByName(parts[1]), seed=SEED, **settings)
+    told = [(*r, r[0] <= len(trees)) for r in rounds]
+    return Forecaster(encoder, trees, train.sparkSession.createDataFrame(told, "round int, train_loss double, val_loss double, kept boolean"))
+
+
+def score_forecaster(model: Forecaster, df: DataFrame) -> DataFrame:
     """ML-5: predict and clip at 0."""
-    out = model.transform(_fill(df))
+    out = model.transform(df)
     return out.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """ML-9: (feature, importance) sorted descending (one row per feature)."""
-    imp = [float(x) for x in model.stages[-1].featureImportances.toArray()]
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(FEATURE_COLS, imp)), "feature string, importance double") \
-                .orderBy(F.col("importance").desc())
-
-
-def training_history(model: PipelineModel, train: DataFrame, val: DataFrame) -> DataFrame:
-    """ML-17: squared-error loss after each boosting round on the training and validation
-    weeks (the data behind the loss curve)."""
-    gbt = model.stages[-1]
-    prep = PipelineModel(stages=model.stages[:-1])
-    tr = gbt.evaluateEachIteration(prep.transform(_fill(train)
-                                                  .withColumn(TARGET, F.col(TARGET).cast("double"))), "squared")
-    va = gbt.evaluateEachIteration(prep.transform(_fill(val)
-                                                  .withColumn(TARGET, F.col(TARGET).cast("double"))), "squared")
-    spark = SparkSession.getActiveSession()
-    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]
-    return spark.createDataFrame(rows, "round int, train_loss double, val_loss double")
+def feature_importance(model: Forecaster) -> DataFrame:
+    """ML-9: (feature, importance) sorted descending (one row per feature): shares of the gain."""
+    rows = list(zip(FEATURE_COLS, model.trees.importance(len(FEATURE_COLS))))
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc())
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """ML-10: encoder + assembler + trees saved as one bundle."""
-    model.write().overwrite().save(path)
+def save_model(model: Forecaster, path: str) -> None:
+    """ML-10: encoder, trees and history below one folder."""
+    spark = SparkSession.getActiveSession()
+    model.encoder.write().overwrite().save(f"{path}/encoder")
+    model.trees.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    if model.history is not None:
+        model.history.coalesce(1).write.mode("overwrite").parquet(f"{path}/history")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Forecaster:
+    spark = SparkSession.getActiveSession()
+    return Forecaster(StringIndexerModel.load(f"{path}/encoder"), Trees.of_table(spark.read.parquet(f"{path}/trees")))

@@ -15,6 +15,7 @@ from reelsift.queries import register
 from reelsift.queries.features import FORECAST_SQL, SEG_CASUAL, SEG_REGULAR
 from reelsift.queries.splits import _LOG_SQL
 from reelsift.queries.sql import with_tables
+from reelsift.session import cut_lineage
 
 
 def _forecast_split(spark, sf):
@@ -74,33 +75,58 @@ def q_forecast_overfit_verdict(spark, sf):
                                                        "mae_gap_pct")], "verdict")
 
 
+@register("forecast_rolling_improvement", _FSPLIT + """
+, e AS (SELECT split, rating_count AS y, coalesce(lag_1, 0) AS b, coalesce(rolling_6week_avg, 0) AS p FROM fs WHERE split IN ('val', 'test')),
+m AS (SELECT split, sqrt(avg(power(b - y, 2))) AS b_rmse, sqrt(avg(power(p - y, 2))) AS m_rmse, avg(abs(b - y)) AS b_mae, avg(abs(p - y)) AS m_mae FROM e GROUP BY split)
+SELECT 'rolling_' || split AS model, round(b_rmse, 6) AS b_rmse, round(m_rmse, 6) AS m_rmse, round((b_rmse - m_rmse) / b_rmse * 100, 6) AS rmse_improvement_pct,
+       round(b_mae, 6) AS b_mae, round(m_mae, 6) AS m_mae, round((b_mae - m_mae) / b_mae * 100, 6) AS mae_improvement_pct FROM m""")
+def q_forecast_rolling_improvement(spark, sf):
+    """ML-7 on a forecast that SQL can make too: the six-week mean against last week's count."""
+    s = cut_lineage(_forecast_split(spark, sf), "forecast-split")
+    parts = []
+    for name in ("val", "test"):
+        d = s.where(F.col("split") == name)
+        mean = d.withColumn("prediction", F.coalesce("rolling_6week_avg", F.lit(0.0)))
+        parts.append(mt.improvement_table(mt.rmse_mae(fc.naive_forecast(d), "rating_count", "prediction", "baseline"),
+                                          mt.rmse_mae(mean, "rating_count", "prediction", f"rolling_{name}")))
+    return parts[0].unionByName(parts[1]).select("model", *[F.round(c, 6).alias(c) for c in (
+        "b_rmse", "m_rmse", "rmse_improvement_pct", "b_mae", "m_mae", "mae_improvement_pct")])
+
+
 _MODELS: dict = {}
 
 
 def _forecaster(spark, sf):
-    """The seeded GBT fitted on the training weeks, once per session and input folder (the
-    metrics, importance and loss-history queries share it), by the library's own rounds, patience
-    and step."""
-    s = _forecast_split(spark, sf)
-    train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
+    """(model, split): boosted on the training weeks by the library's own rounds, patience and step, once
+    per session and input folder (the queries on it share the model and the written split)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        _MODELS[key] = fc.train_forecaster(train, val)
-    return _MODELS[key], train, val, test
+        s = cut_lineage(_forecast_split(spark, sf), "forecast-split")
+        _MODELS[key] = fc.train_forecaster(s.where(F.col("split") == "train"), s.where(F.col("split") == "val")), s
+    return _MODELS[key]
 
 
 @register("forecast_model_metrics")
 def q_forecast_model_metrics(spark, sf):
     """ML-4, ML-5, ML-7: gradient-boosted trees vs the naive baseline on val and test."""
-    model, train, val, test = _forecaster(spark, sf)
+    model, s = _forecaster(spark, sf)
     parts = []
-    for name, d in (("val", val), ("test", test)):
+    for name in ("val", "test"):
+        d = s.where(F.col("split") == name)
         scored = fc.score_forecaster(model, d)
         parts.append(mt.improvement_table(mt.rmse_mae(fc.naive_forecast(d), "rating_count", "prediction", "baseline"),
                                           mt.rmse_mae(scored, "rating_count", "prediction", f"gbt_{name}")))
     return parts[0].unionByName(parts[1])
 
 
+@register("forecast_model_verdict")
+def q_forecast_model_verdict(spark, sf):
+    """ML-8 on the boosted trees: test vs validation gap and verdict."""
+    model, s = _forecaster(spark, sf)
+    v, t = (mt.rmse_mae(fc.score_forecaster(model, s.where(F.col("split") == n)), "rating_count", "prediction", n) for n in ("val", "test"))
+    return mt.overfit_verdict(v, t)
+
+
 @register("forecast_feature_importance")
 def q_forecast_feature_importance(spark, sf):
     """ML-9 (and ML-10 bundle round trip in tests)."""
@@ -109,9 +135,8 @@ def q_forecast_feature_importance(spark, sf):
 
 @register("forecast_training_history")
 def q_forecast_training_history(spark, sf):
-    """ML-17: per-round training / validation loss of the boosted trees."""
-    model, train, val, _ = _forecaster(spark, sf)
-    return fc.training_history(model, train, val)
+    """ML-17: training and validation loss of every boosting round, and whether the model keeps it."""
+    return _forecaster(spark, sf)[0].history
 
 
 def _rec_split(spark, sf):

@@ -15,7 +15,7 @@ from reelsift.queries import oracle_sql, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SQL = oracle_sql()
-SLOW = {"forecast_model_metrics", "forecast_feature_importance", "rec_als_runs", "movie_features_genome"}
+SLOW = {"rec_als_runs"}
 
 
 @pytest.fixture(scope="module")

@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import cut_lineage
-from reelsift.llm.filters import broadcast_filter
+from reelsift.llm.filters import broadcast_filter, frequent_hashes
 from reelsift.llm.tokens import Words, grams, mixed, slices, spread
 
 #: Longest phrase, tokens that neighbouring chunks share, and how many tokens there are to a trigger.
 LONGEST = 5
 OVERLAP, EVERY = LONGEST - 1, 48
-#: Pairs that a task counts before it passes them on, and buckets' pairs on average.
-HELD, BUCKET = 4_000_000, 2_000_000
 #: Ends a piece; no word holds it.
 END = "."
 PUNCTUATION = r"[.,;:!?\n\x0B\x0C\r]"
@@ -107,49 +105,15 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
 
-def _pair_counts(words, buckets: int):
-    """Pairs of frequent words by hash: sorted keys and counts of one bucket as bytes."""
-    def emit(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.searchsorted(key, (np.arange(buckets + 1, dtype=np.float64) * (2.0 ** 64 / buckets)).clip(0, 2.0 ** 64 - 2048).astype(np.uint64))
-        cut[-1] = len(key)
-        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([key[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
-                                          pa.array([zlib.compress(n[cut[b]:cut[b + 1]].astype(np.int64).tobytes(), 1) for b in some], pa.binary())], ["bucket", "keys", "counts"])
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys, counts = 0, [], []
-        for batch in slices(batches, "content"):
-            c = _Chunks(batch)
+def _pair_hashes(words):
+    """Pairs of frequent words by hash, and their weights."""
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in slices([batch], "content"):
+            c = _Chunks(part)
             good = c.word & words.value.has(c.hash)
             use = c.owned & c.inner & good & np.roll(good, -1)
-            key, back = np.unique(c.pairs()[use], return_inverse=True)
-            keys.append(key)
-            counts.append(np.bincount(back, c.times[use], len(key)).astype(np.int64))
-            held += len(key)
-            if held > HELD:
-                yield from emit(*summed(keys, counts))
-                held, keys, counts = 0, [], []
-        if held:
-            yield from emit(*summed(keys, counts))
-    return go
-
-
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different keys and the sums of their counts."""
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[new], np.add.reduceat(n, new) if len(new) else n
-
-
-def _frequent(least: int):
-    """One bucket: the hashes whose counts reach ``least``."""
-    def go(table: pa.Table) -> pa.Table:
-        key, n = summed([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()],
-                        [np.frombuffer(zlib.decompress(x), np.int64) for x in table["counts"].to_pylist()])
-        return pa.table({"h": pa.array(key[n >= least].view(np.int64))})
-    return go
+            yield c.pairs()[use], c.times[use]
+    return of
 
 
 def _phrases(pairs, longest: int):
@@ -183,8 +147,7 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     words = cut_lineage(counts.filter(F.col("n") >= least), "frequent-words")
     known = broadcast_filter(words.mapInArrow(_hashed, "h long"), words.count())
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    blocks = chunks.mapInArrow(_pair_counts(known, -(-tokens // BUCKET) or 1), "bucket int, keys binary, counts binary")
-    often = cut_lineage(blocks.groupBy("bucket").applyInArrow(_frequent(least), "h long"), "frequent-pairs")
+    often = frequent_hashes(chunks, _pair_hashes(known), least, tokens)
     pairs = broadcast_filter(often, often.count())
     found = chunks.mapInArrow(_phrases(pairs, longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     phrases = cut_lineage(found.filter(F.col("n") >= least), "frequent-phrases")

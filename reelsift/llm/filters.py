@@ -1,12 +1,20 @@
-"""Bitmaps of hashes, built by Spark and known to every task; their size is bounded."""
+"""Hashes that occur often, counted in blocks; and bitmaps of hashes, known to every task and of bounded size."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelsift.llm.common import cut_lineage
+
+#: Different hashes that a task counts before it passes them on, and hashes of a bucket on average.
+HELD, BUCKET = 4_000_000, 2_000_000
+
 #: Bits of a filter at most (32 MB), and bits for each of its entries below that.
 MAX_BITS, BITS_EACH = 1 << 28, 32
 
@@ -40,3 +48,49 @@ def broadcast_filter(hashes: DataFrame, count: int):
     place = F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at")
     packed = hashes.select(place).distinct().groupBy(F.shiftright("at", 19).alias("b")).applyInArrow(pack, "block int, bytes binary")
     return hashes.sparkSession.sparkContext.broadcast(Filter(bits, {r.block: bytes(r.bytes) for r in packed.toLocalIterator()}))
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def frequent_hashes(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], least: int, expected: int) -> DataFrame:
+    """(h) written: the hashes whose counts in all of ``df`` reach ``least``. ``of`` gives hashes and counts
+    of a batch (unsigned 64 bits, repeats allowed); ``expected``: about how many there are, for the number
+    of buckets. A task sums its hashes and ships them sorted, cut by value into buckets, as bytes."""
+    buckets = max(1, -(-expected // BUCKET))
+    edges = (np.arange(buckets, dtype=np.float64) * (2.0 ** 64 / buckets)).astype(np.uint64)
+
+    def emit(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        cut = np.append(np.searchsorted(key, edges), len(key))
+        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([key[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
+                                           pa.array([zlib.compress(n[cut[b]:cut[b + 1]].astype(np.int64).tobytes(), 1) for b in some], pa.binary())],
+                                          ["bucket", "keys", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, counts = 0, [], []
+        for batch in batches:
+            for h, n in of(batch):
+                key, n = summed([h], [n])
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > HELD:
+                    yield emit(*summed(keys, counts))
+                    held, keys, counts = 0, [], []
+        if held:
+            yield emit(*summed(keys, counts))
+
+    def merge(table: pa.Table) -> pa.Table:
+        key, n = summed([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()],
+                        [np.frombuffer(zlib.decompress(x), np.int64) for x in table["counts"].to_pylist()])
+        return pa.table({"h": pa.array(key[n >= least].view(np.int64))})
+
+    blocks = df.mapInArrow(count, "bucket int, keys binary, counts binary")
+    return cut_lineage(blocks.groupBy("bucket").applyInArrow(merge, "h long"), "frequent-hashes")

@@ -12,7 +12,7 @@ documents:
 2. The remaining segments are cut out of their texts and counted by their words. Copies collapse here,
    before any shard sees them.
 3. A minimizer with very many different segments (the edges of a passage that a third of all documents
-   quote) is first thinned: a count by window hash leaves out windows that cannot repeat.
+   quote) is first thinned: a count by window hash leaves out windows that cannot repeat (a bitmap again).
 4. Each shard builds an FM-index of its different segments (suffix order, Burrows-Wheeler transform,
    wavelet matrix of packed bits with counts per 64) and streams the segments that occur once through
    it: backward search gives the longest left and right extensions that still occur twice, and all
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import cut_lineage, without
-from reelsift.llm.filters import broadcast_filter
+from reelsift.llm.filters import broadcast_filter, frequent_hashes
 from reelsift.llm.tokens import Words, grams, slices, sliding, spread
 
 WINDOW = 35
@@ -94,37 +94,34 @@ def _cut(window: int, known):
 
 
 def _window_hashes(window: int):
-    """(g, i, w): a hash of every window i of the segment g."""
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content"):
-            w = Words(batch["content"])
-            hashes = grams(w.hashes()[w.codes], window)
+    """Hashes of all windows of the segments, and their copies."""
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in slices([batch], "content"):
+            w = Words(part["content"])
             n = np.diff(w.first) - window + 1
-            at, row = spread(w.first[:-1], n), np.repeat(np.arange(len(n)), n)
-            i = at - w.first[row]
-            yield pa.RecordBatch.from_arrays([batch["g"].take(pa.array(row)), pa.array(i.astype(np.int32)), pa.array(hashes[at].view(np.int64)),
-                                              batch["copies"].take(pa.array(row))], ["g", "i", "w", "copies"])
-    return go
+            hashes = grams(w.hashes()[w.codes], window)
+            yield hashes[spread(w.first[:-1], n)], np.repeat(part["copies"].to_numpy(), n)
+    return of
 
 
-def _thin(window: int):
-    """Segments cut down to the runs of the windows ``kept``: (g, off, h, content, copies)."""
+def _thin(window: int, known):
+    """Segments cut down to the runs of their windows that are ``known``: (g, off, h, content, copies)."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "content"):
-            w, kept = Words(batch["content"]), batch["kept"]
-            many = np.diff(np.asarray(kept.offsets))
-            row = np.repeat(np.arange(batch.num_rows), many)
-            i = kept.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.lexsort((i, row))
-            row, i = row[order], i[order]
-            new = np.ones(len(i), bool)
-            new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1)
+            w = Words(batch["content"])
+            n = np.diff(w.first) - window + 1
+            at = spread(w.first[:-1], n)
+            row = np.repeat(np.arange(len(n)), n)
+            some = known.value.has(grams(w.hashes()[w.codes], window)[at])
+            at, row = at[some], row[some]
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
             begin = np.flatnonzero(new)
-            n = np.diff(np.append(begin, len(i)))
-            row, off = row[begin], i[begin]
-            back = pa.array(row)
+            n = np.diff(np.append(begin, len(at)))
+            back = pa.array(row[begin])
+            off = at[begin] - w.first[row[begin]]
             yield pa.RecordBatch.from_arrays([batch["g"].take(back), pa.array(off.astype(np.int32)), batch["h"].take(back),
-                                              w.joined(w.first[row] + off, n + window - 1), batch["copies"].take(back)],
+                                              w.joined(at[begin], n + window - 1), batch["copies"].take(back)],
                                              ["g", "off", "h", "content", "copies"])
     return go
 
@@ -295,12 +292,10 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     segments = cut_lineage(pieces.groupBy("h", "content").agg(F.count(F.lit(1)).alias("copies")).withColumn("g", g), "segments")
 
     crowds = segments.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("h")
-    crowded = segments.join(crowds, "h", "left_semi")
-    hashes = cut_lineage(crowded.select("g", "content", "copies").mapInArrow(_window_hashes(window), "g binary, i int, w long, copies long"), "window-hashes")
-    twice = hashes.groupBy("w").agg(F.sum("copies").alias("n")).filter("n >= 2").select("w")
-    kept = hashes.join(twice, "w").groupBy("g").agg(F.collect_set("i").alias("kept"))
-    thin = cut_lineage(crowded.join(kept, "g").select("g", "h", "content", "copies", "kept")
-                       .mapInArrow(_thin(window), "g binary, off int, h long, content string, copies long"), "thinned")
+    crowded = cut_lineage(segments.join(crowds, "h", "left_semi"), "crowded")
+    twice = frequent_hashes(crowded.select("content", "copies"), _window_hashes(window), 2, RUN * crowded.count())
+    thin = cut_lineage(crowded.select("g", "h", "content", "copies")
+                       .mapInArrow(_thin(window, broadcast_filter(twice, twice.count())), "g binary, off int, h long, content string, copies long"), "thinned")
     plain = segments.join(crowds, "h", "left_anti")
     thin = thin.withColumn("part", g)
     indexed = plain.select("h", "content", "copies", F.col("g").alias("part")).unionByName(

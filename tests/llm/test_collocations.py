@@ -89,8 +89,8 @@ def test_overfull_filter_only_costs_time(spark, monkeypatch):
     """With a filter of one block all bits are soon set; the counts stay right."""
     monkeypatch.setattr(filters, "MAX_BITS", 1 << 19)
     monkeypatch.setattr(filters, "BITS_EACH", 1 << 20)
-    monkeypatch.setattr(co, "HELD", 50)
-    monkeypatch.setattr(co, "BUCKET", 500)
+    monkeypatch.setattr(filters, "HELD", 50)
+    monkeypatch.setattr(filters, "BUCKET", 500)
     check(spark, made(11), 4)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from reelsift.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read_table", "without", "words", "crc_mod",
-           "checked_broadcast", "connected_components"]
+           "free", "connected_components"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -37,10 +38,19 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` must be a written table (its count comes from the footers): hint a broadcast up
-    to ``max_rows`` rows, and leave the join to Spark's shuffle beyond."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def free(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Delete tables of :func:`cut_lineage` that nothing reads any more (only what stands below the
+    checkpoint folder's tables is deleted). ``shuffles``: let Spark drop the files of finished plans too."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, home = spark._jvm, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().equals(jvm.org.apache.hadoop.fs.Path(home)):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if shuffles:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -57,7 +67,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         to = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "pointers")
         while True:
             over = to.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-            to = cut_lineage(to.join(over, "c").select("v", F.col("c2").alias("c"), (F.col("c") != F.col("c2")).alias("moved")), "pointers")
+            new = cut_lineage(to.join(over, "c").select("v", F.col("c2").alias("c"), (F.col("c") != F.col("c2")).alias("moved")), "pointers")
+            free(to)
+            to = new
             moved = to.filter("moved").limit(1).count()
             to = to.select("v", "c")
             if not moved:
@@ -66,8 +78,12 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
             found = to
         else:
             then = to.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-            found = cut_lineage(found.join(then, "c", "left").select("v", F.coalesce("c2", "c").alias("c")), "components")
+            new = cut_lineage(found.join(then, "c", "left").select("v", F.coalesce("c2", "c").alias("c")), "components")
+            free(found)
+            found = new
         ends = left.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").filter("x <> y")
-        left = cut_lineage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        new = cut_lineage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        free(left, *([to] if found is not to else []))
+        left = new
         if not left.limit(1).count():
             return found

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelsift.llm.common import crc_mod, without
+from reelsift.llm.tokens import slices
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -320,7 +321,7 @@ def identify(docs: DataFrame, model: CharModels | None, text_col: str = "text")
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known = _Words(m)
-        for b in batches:
+        for b in slices(batches, text_col):
             if len(known) > CACHE_WORDS:
                 known = _Words(m)
             best, score, ce, n, out = verdicts(score_texts(b.column(at).to_pylist(), known), m)

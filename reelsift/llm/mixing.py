@@ -1,33 +1,37 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern (their set of sources). A flow network routes the
-patterns' words to the sources' quotas: an arc per repetition carries a pattern's size at a cost
-that grows with the repetition (convex), so no document is repeated before all that could serve the
-same source have been taken once. Each pattern then takes whole passes over its documents and, for
-the rest, documents in the order of a seeded hash.
-
-The driver holds one row per source and per pattern, never documents. The hash threshold of a
-pattern is found by splitting the hash range around it into parts, part sums in Spark, until the
-part that holds it is small; the documents of that part are then tried one by one.
+Documents are aggregated by membership pattern (their set of sources). Patterns and sources that hang
+together form components, and each component is a flow network of its own: an arc per repetition
+carries a pattern's words to the quotas of its sources at a cost that grows with the repetition
+(convex), so no document is repeated before all that could serve the same source have been taken once.
+A source that shares no document is a component of one. Each pattern then takes whole passes over its
+documents and, for the rest, documents in the order of a seeded hash.
+
+Patterns, sources, targets and components stay in Spark; a task solves many small components, or one
+large one (its patterns and sources, never its documents). The hash threshold of a pattern is found by
+splitting the hash range around it into parts, part sums in Spark, until the part that holds it is
+small; the documents of that part are then tried one by one.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import cut_lineage, without
+from reelsift.llm.common import connected_components, cut_lineage, without
+from reelsift.operators.ranking import global_rank
 
-RANGE = 1 << 60        # of the seeded hash
-PART_ROWS = 500        # documents of a part, about
-PARTS = 1024           # parts of a range at most
-MAX_PATTERNS = 100_000  # membership patterns of several sources that the driver's flow network may hold
+RANGE = 1 << 60     # of the seeded hash
+PART_ROWS = 500     # documents of a part, about
+PARTS = 1024        # parts of a range at most
+TASK_SOURCES = 2000  # sources whose components one task solves, about
+COPIES = 1024       # equal rows that one task numbers
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5,
@@ -122,13 +126,12 @@ def fill(sizes: list[int], rest: int) -> list[int]:
 @dataclass
 class Mix:
     """sources: (source, source_size, target). state: (pattern, base, below, until): documents take
-    ``base`` copies, and one more if their hash is under ``below``, or in ``picked`` where it is
-    under ``until``."""
+    ``base`` copies, and one more if their draw is under ``below``, or in ``picked`` where it is under
+    ``until``. All written tables."""
 
-    sources: list[tuple[str | None, int, float]]
+    sources: DataFrame
     state: DataFrame
     picked: DataFrame
-    seed: int
 
 
 def pattern(sources: Column, is_array: bool) -> Column:
@@ -137,91 +140,142 @@ def pattern(sources: Column, is_array: bool) -> Column:
     return F.to_json(F.sort_array(F.array_distinct(own)), {"ignoreNullFields": "false"})
 
 
-def draw(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
-    """The seeded hash of a row: rows that repeat id and text share it."""
-    return F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(RANGE))
+def row_keys(columns: list[str]) -> dict[str, Column]:
+    """Two hashes of a row's columns: rows that agree in both are taken as equal."""
+    own = [F.col(f"`{c}`") for c in columns]
+    return {"_a": F.xxhash64(*own), "_b": F.xxhash64(F.lit(1), *own)}
+
+
+def draw(seed: int) -> Column:
+    """The seeded hash of a row, or of one of the equal rows."""
+    return F.pmod(F.xxhash64("_a", "_b", "_copy", F.lit(seed)), F.lit(RANGE))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
-    """(doc_id, source, size, pattern, draw) of every row, as a written table."""
+    """(doc_id, source, size, pattern, _a, _b, _n, _copy, draw) of every row, as a written table. Rows
+    equal in all columns are numbered (``_copy`` of ``_n``), so each has a draw of its own."""
     is_array = docs.schema[source_col].dataType.typeName() == "array"
     src = F.col(f"`{source_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), src.alias("source"), pattern(src, is_array).alias("pattern"),
-                       draw(docs, id_col, text_col, seed).alias("draw"), F.col(f"`{text_col}`").cast("string").alias("text"))
+                       *[c.alias(n) for n, c in row_keys(docs.columns).items()], F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = rows.drop("text").schema.add("size", "long")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(t.split()) if t else 0 for t in b.column(4).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], names=[*b.schema.names[:4], "size"])
-
-    return cut_lineage(rows.mapInArrow(measure, schema), "sized")
-
-
-def plan_mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, cap: int = 2, seed: int = 5) -> Mix:
+            n = [len(t.split()) if t else 0 for t in b.column(5).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n, pa.int64())], names=[*b.schema.names[:5], "size"])
+
+    equal = rows.mapInArrow(measure, schema).groupBy("doc_id", "source", "pattern", "_a", "_b", "size").agg(F.count("*").alias("_n"))
+    blocks = equal.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
+    each = blocks.withColumn("_copy", F.explode(F.expr(f"sequence(_block * {COPIES}, least(_n, (_block + 1) * {COPIES}) - 1)"))).drop("_block")
+    return cut_lineage(each.withColumn("draw", draw(seed)), "sized")
+
+
+def source_targets(patterns: DataFrame, weights: tuple[float, ...], ratio: float, cap: float) -> DataFrame:
+    """(s, source, source_size, target, own) written, as :func:`targets` has them: s numbers the sources by
+    code point, null last. The share of a weight is raised until no source is above its cap."""
+    listed = patterns.select(F.explode(F.from_json("pattern", "array<string>")).alias("source"), "size")
+    each = listed.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked = global_rank(each, [F.col("source").isNull(), F.col("source")], out="s")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    ranked = cut_lineage(ranked.withColumn("weight", weight), "sources")
+    most = F.lit(cap) * F.col("source_size")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    share, full = 0.0, -1
+    while True:
+        over = F.col("weight") * F.lit(share) > most
+        r = ranked.agg(F.count_if(over).alias("n"), F.sum(F.when(over, most)).alias("taken"), F.sum(F.when(~over, F.col("weight"))).alias("rest")).first()
+        if r.n == full or r.rest is None:
+            break
+        full, share = r.n, (ratio * total - (r.taken or 0)) / r.rest
+    due = F.when(F.col("weight") * F.lit(share) > most, most).otherwise(F.col("weight") * F.lit(share)).cast("double")
+    return ranked.select("s", "source", "source_size", due.alias("target"))
+
+
+def routed(patterns: DataFrame, sources: DataFrame, cap: int, flow: Callable) -> DataFrame:
+    """(pattern, size, docs, given) written: the words that the flow takes of each pattern."""
+    # sources by their numbers; patterns of several sources tie them together
+    each = patterns.select("pattern", F.explode(F.from_json("pattern", "array<string>")).alias("source"))
+    own = each.alias("e").join(sources.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source"))).select("pattern", F.col("s.s").alias("s"))
+    own = cut_lineage(own, "pattern-sources")
+    first = own.groupBy("pattern").agg(F.min("s").alias("first"))
+    roots = connected_components(own.join(first, "pattern").select(F.col("first").alias("a"), F.col("s").alias("b")).filter("a <> b"))
+    root = F.coalesce("c", "s").alias("component")
+    dues = sources.join(roots.withColumnRenamed("v", "s"), "s", "left").select(root, "s", "target")
+    nets = own.groupBy("pattern").agg(F.collect_list("s").alias("own"), F.min("s").alias("s")).join(patterns.drop("docs"), "pattern")  # a pattern's sources
+    nets = nets.join(roots.withColumnRenamed("v", "s"), "s", "left").select(root, "pattern", "own", "size")
+    none = F.lit(None)
+    rows = nets.select("component", "pattern", "own", "size", none.cast("long").alias("s"), none.cast("double").alias("target")).unionByName(
+        dues.select("component", none.cast("string").alias("pattern"), none.cast("array<bigint>").alias("own"), none.cast("long").alias("size"), "s", "target"))
+    tasks = max(1, -(-sources.count() // TASK_SOURCES))
+
+    def solve(table: pa.Table) -> pa.Table:
+        nets: dict[int, tuple[list, dict]] = {}
+        for r in table.to_pylist():
+            found = nets.setdefault(r["component"], ([], {}))
+            if r["pattern"] is None:
+                found[1][r["s"]] = r["target"]
+            else:
+                found[0].append((r["pattern"], r["own"], r["size"]))
+        out = []
+        for _, (inner, due) in sorted(nets.items()):
+            inner.sort()
+            out += zip([p for p, *_ in inner], flow([(o, n) for _, o, n in inner], {s: due[s] for s in sorted(due)}, cap))
+        return pa.table({"pattern": pa.array([p for p, _ in out], pa.string()), "given": pa.array([g for _, g in out], pa.int64())})
+
+    given = rows.withColumn("_task", F.pmod(F.xxhash64("component"), F.lit(tasks))).groupBy("_task").applyInArrow(solve, "pattern string, given long")
+    return cut_lineage(patterns.join(given, "pattern"), "given")
+
+
+def plan_mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, cap: int = 2, flow: Callable = route) -> Mix:
     """Targets, flow and thresholds for the table of :func:`sized`."""
-    import json
-
-    spark = rows.sparkSession
-    several = F.size(F.from_json("pattern", "array<string>")) > 1
-    if rows.select("pattern").filter(several).distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of several sources")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()  # those, and one a source at most
-    found = sorted(found, key=lambda r: r.pattern)
-    patterns = [(json.loads(r.pattern), r["size"]) for r in found]
-    sizes: dict[str | None, int] = {}
-    for own, size in patterns:
-        for s in own:
-            sizes[s] = sizes.get(s, 0) + size
-    due = targets(sizes, weights, ratio, cap)
-    # a source that shares no document takes its target from its own; the flow routes the others
-    overlap = {s for own, _ in patterns if len(own) > 1 for s in own}
-    joint = [i for i, (own, _) in enumerate(patterns) if overlap.intersection(own)]
-    given = [0 if not own else min(cap * size, round(due[own[0]])) for own, size in patterns]
-    for i, take in zip(joint, route([patterns[i] for i in joint], {s: due[s] for s in due if s in overlap}, cap) if joint else [], strict=True):
-        given[i] = take
+    patterns = cut_lineage(rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs")), "patterns")
+    sources = cut_lineage(source_targets(patterns, weights, ratio, cap), "targets")
+    given = routed(patterns, sources, cap, flow)
 
     # hash thresholds: lo and width of the range in question, words still to take, documents in it
-    at, base = {}, {}
-    for r, take in zip(found, given, strict=True):
-        base[r.pattern] = take // r["size"] if r["size"] else 0
-        if rest := take - base[r.pattern] * r["size"]:
-            at[r.pattern] = [0, RANGE, rest, r.docs]
-    todo = dict(at)
-    while todo := {p: x for p, x in todo.items() if x[3] > 2 * PART_ROWS and x[1] > 1}:
-        step = {p: max(1, -(-x[1] // max(2, min(PARTS, x[3] // PART_ROWS)))) for p, x in todo.items()}
-        ranges = F.broadcast(spark.createDataFrame([(p, x[0], x[0] + x[1], step[p], x[2]) for p, x in todo.items()],
-                                                   "pattern string, lo long, hi long, step long, rest long"))
-        inside = rows.join(ranges, "pattern").filter("draw >= lo and draw < hi")
+    base = F.when(F.col("size") > 0, F.expr("given div size")).otherwise(F.lit(0)).cast("long")
+    state = given.select("pattern", base.alias("base"), F.lit(0).cast("long").alias("lo"), "docs", (F.col("given") - base * F.col("size")).alias("rest"))
+    state = cut_lineage(state.withColumn("width", F.when(F.col("rest") > 0, F.lit(RANGE)).otherwise(F.lit(0)).cast("long")), "state")
+    while True:
+        wide = F.expr(f"docs > {2 * PART_ROWS} and width > 1")
+        todo = state.filter(wide)
+        if not todo.limit(1).count():
+            break
+        step = F.greatest(F.lit(1).cast("long"), F.expr(f"(width + greatest(2L, least({PARTS}L, docs div {PART_ROWS})) - 1) div greatest(2L, least({PARTS}L, docs div {PART_ROWS}))"))
+        ranges = todo.select("pattern", "lo", (F.col("lo") + F.col("width")).alias("hi"), step.alias("step"), "rest")
+        inside = rows.select("pattern", "draw", "size").join(ranges, "pattern").filter("draw >= lo and draw < hi")
         parts = inside.groupBy("pattern", "lo", "step", "rest", F.expr("(draw - lo) div step").alias("part")).agg(
-            F.sum("size").alias("size"), F.count("*").alias("docs"))
+            F.sum("size").alias("size"), F.count("*").alias("n"))
         so_far = F.sum("size").over(Window.partitionBy("pattern").orderBy("part"))  # at most PARTS rows
-        hit = (parts.withColumn("upto", so_far).filter("upto > rest")
-               .groupBy("pattern").agg(F.min(F.struct("part", F.expr("upto - size").alias("before"), "docs")).alias("h")).collect())
-        for r in hit:
-            lo, _, rest, _ = todo[r.pattern]
-            at[r.pattern] = [lo + r.h.part * step[r.pattern], step[r.pattern], rest - r.h.before, r.h.docs]
-        todo = {r.pattern: at[r.pattern] for r in hit}
-
-    state = spark.createDataFrame([(p, base[p], *((at[p][0], at[p][0] + at[p][1]) if p in at else (0, 0)), at[p][2] if p in at else 0) for p in base],
-                                  "pattern string, base long, below long, until long, rest long")
-    last = rows.join(F.broadcast(state), "pattern").filter("draw >= below and draw < until").groupBy("pattern", "draw", "rest").agg(F.sum("size").alias("size"))
-
-    def pick(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("draw", "ascending")])
-        took = fill(t["size"].to_pylist(), t["rest"][0].as_py() if len(t) else 0)
-        draws = t["draw"].to_pylist()
-        return pa.table({"pattern": pa.array([key[0].as_py()] * len(took), pa.string()), "draw": pa.array([draws[i] for i in took], pa.int64())})
-
-    picked = cut_lineage(last.groupBy("pattern").applyInArrow(pick, "pattern string, draw long"), "picked")
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    return Mix([(s, sizes[s], due[s]) for s in order], state.drop("rest"), picked, seed)
+        hit = (parts.withColumn("upto", so_far).filter("upto > rest").groupBy("pattern")
+               .agg(F.min(F.struct("part", "lo", "step", "rest", F.expr("upto - size").alias("before"), "n")).alias("h")))
+        moved = todo.select("pattern", "base").join(hit, "pattern").select(
+            "pattern", "base", (F.col("h.lo") + F.col("h.part") * F.col("h.step")).alias("lo"), F.col("h.n").alias("docs"),
+            (F.col("h.rest") - F.col("h.before")).alias("rest"), F.col("h.step").alias("width"))
+        state = cut_lineage(state.filter(~wide).unionByName(moved), "state")
+
+    state = state.select("pattern", "base", F.col("lo").alias("below"), (F.col("lo") + F.col("width")).alias("until"), "rest")
+    last = rows.join(state, "pattern").filter("draw >= below and draw < until").groupBy("pattern", "draw", "rest").agg(F.sum("size").alias("size"))
+    tasks = max(1, given.count() // 20)  # a pattern has two parts' documents at most
+
+    def pick(table: pa.Table) -> pa.Table:
+        out: list[tuple[str, int]] = []
+        found: dict[str, list[tuple[int, int, int]]] = {}
+        for r in table.to_pylist():
+            found.setdefault(r["pattern"], []).append((r["draw"], r["size"], r["rest"]))
+        for p, items in found.items():
+            items.sort()
+            out += [(p, items[i][0]) for i in fill([n for _, n, _ in items], items[0][2])]
+        return pa.table({"pattern": pa.array([p for p, _ in out], pa.string()), "draw": pa.array([d for _, d in out], pa.int64())})
+
+    picked = last.withColumn("_task", F.pmod(F.xxhash64("pattern"), F.lit(tasks))).groupBy("_task").applyInArrow(pick, "pattern string, draw long")
+    return Mix(sources.select("source", "source_size", "target"), cut_lineage(state.drop("rest"), "state"), cut_lineage(picked, "picked"))
 
 
 def copies(rows: DataFrame, mix: Mix) -> DataFrame:
-    """``rows`` (with ``pattern`` and ``draw``) plus ``copies``, how often the mix takes each.
-    The state has a row per pattern; ``picked`` has at most a part's documents per pattern."""
-    known = rows.join(F.broadcast(mix.state), "pattern", "left")
+    """``rows`` (with ``pattern`` and ``draw``) plus ``copies``, how often the mix takes each."""
+    known = rows.join(mix.state, "pattern", "left")
     n = F.col("base") + (F.col("draw") < F.col("below")).cast("long")
     outside = known.filter("not (draw >= below and draw < until)").withColumn("copies", n)
     inside = known.filter("draw >= below and draw < until").join(mix.picked.withColumn("_in", F.lit(1)), ["pattern", "draw"], "left") \
@@ -232,12 +286,19 @@ def copies(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, **how) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as the mix takes it, with its columns.
-    Rows without words are never taken; rows that repeat id and text are taken or left together;
-    an empty table stays empty."""
-    mix = plan_mix(sized(docs, id_col, text_col, source_col, seed), seed=seed, **how)
-    bare = without(docs, ["pattern", "draw", "copies", "base", "below", "until", "_in"])
-    is_array = docs.schema[source_col].dataType.typeName() == "array"
-    rows = bare.withColumns({"pattern": pattern(F.col(f"`{source_col}`"), is_array), "draw": draw(bare, id_col, text_col, seed)})
+    Rows without words are never taken; rows equal in all columns are drawn one by one (their copies
+    come from one of them); an empty table stays empty. Columns named like those in use are dropped."""
+    bare = without(docs, ["pattern", "draw", "copies", "base", "below", "until", "_in", "_a", "_b", "_n", "_copy", "_block", "rest"])
+    rows = sized(bare, id_col, text_col, source_col, seed)
+    mix = plan_mix(rows, **how)
+    again = rows.filter("_n > 1")
+    is_array = bare.schema[source_col].dataType.typeName() == "array"
     has_words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    taken = copies(rows.filter(has_words), mix).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[f"`{c}`" for c in bare.columns])
+    keyed = bare.filter(has_words).withColumns(row_keys(bare.columns))
+    single = keyed.withColumns({"pattern": pattern(F.col(f"`{source_col}`"), is_array), "_copy": F.lit(0).cast("long")}).withColumn("draw", draw(seed))
+    single = copies(single.join(again.select("_a", "_b").distinct(), ["_a", "_b"], "left_anti"), mix)
+    summed = copies(again, mix).groupBy("_a", "_b").agg(F.sum("copies").alias("copies"))
+    several = keyed.join(summed, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
+    columns = [F.col(f"`{c}`") for c in bare.columns]
+    taken = single.select(*columns, "copies").unionByName(several.select(*columns, "copies")).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)

@@ -36,16 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import checked_broadcast, connected_components, cut_lineage, words
+from reelsift.llm.common import connected_components, cut_lineage, free, words
 
 WORD_CACHE = 150_000
 SLICE = 250  # documents whose signatures are held at a time
-MAX_BROADCAST_ROWS = 1_000_000  # of (id, class) pairs, 16 bytes each
 BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 500_000  # of a group that one task compares
 SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
 KEEP = np.uint64((1 << 8 * SIG_BYTES) - 1)
 EMPTY = np.uint64(1)  # the bit that marks the signatures of empty parts; these count as frequent
 BUCKET_SIGS = 250_000  # signatures of a range, about
+SENT_SIGS = 2_000_000  # signatures that a task counts at a time
 FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
@@ -161,7 +161,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
     """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes: their
     texts are read and cut again. Rows that repeat an id and text repeat here."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
+    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, k2)
@@ -188,29 +188,46 @@ def _packed(flat: np.ndarray) -> np.ndarray:
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of a binary column, and how many each row has."""
     sizes = np.fromiter((0 if x is None else len(x) // SIG_BYTES for x in column.to_pylist()), np.int64, len(column))
-    raw = np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint8).reshape(-1, SIG_BYTES)
-    flat = np.zeros((len(raw), 8), np.uint8)
-    flat[:, :SIG_BYTES] = raw
-    return flat.view(np.int64).ravel(), sizes
+    return _signatures(b"".join(x for x in column.to_pylist() if x)), sizes
+
+
+def _signatures(raw: bytes) -> np.ndarray:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, SIG_BYTES)
+    flat = np.zeros((len(rows), 8), np.uint8)
+    flat[:, :SIG_BYTES] = rows
+    return flat.view(np.int64).ravel()
 
 
 def _counted(signed: DataFrame, buckets: int) -> DataFrame:
-    """(sig, count) of the signatures that occur more than once; counts stop at 65535 a batch.
+    """(sig, count) of the signatures that occur more than once; counts stop at 65535 a time.
 
-    Signatures are shuffled as bytes, not as rows: each batch sorts and counts its own and sends
-    one row per range of signatures, so a signature of very many sets comes once per batch."""
+    Signatures are shuffled as bytes, not as rows: a task sorts and counts ``SENT_SIGS`` of its own at
+    a time and sends one row per range of signatures, so one of very many sets comes once for each."""
     shift = 8 * SIG_BYTES - (buckets - 1).bit_length()
 
+    def ranges(raw: list[bytes]) -> pa.RecordBatch:
+        sig, count = np.unique(_signatures(b"".join(raw)), return_counts=True)
+        first = np.flatnonzero(np.r_[True, np.diff(sig >> shift) > 0])
+        ends = np.r_[first[1:], len(sig)]
+        packed, counts = _packed(sig.view(np.uint64)), np.minimum(count, 65535).astype("<u2")
+        return pa.RecordBatch.from_arrays([
+            pa.array(sig[first] >> shift), pa.array([packed[i * SIG_BYTES:j * SIG_BYTES].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()),
+            pa.array([counts[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], names=["bucket", "sigs", "counts"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for b in batches:
-            sig, count = np.unique(_unpacked(b.column(0))[0], return_counts=True)
-            if len(sig):
-                first = np.flatnonzero(np.r_[True, np.diff(sig >> shift) > 0])
-                ends = np.r_[first[1:], len(sig)]
-                packed, counts = _packed(sig.view(np.uint64)), np.minimum(count, 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(sig[first] >> shift), pa.array([packed[i * SIG_BYTES:j * SIG_BYTES].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()),
-                    pa.array([counts[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], names=["bucket", "sigs", "counts"])
+            for x in b.column(0):
+                raw = x.as_py()
+                if raw:
+                    held.append(raw)
+                    size += len(raw)
+                if size > SENT_SIGS * SIG_BYTES:
+                    yield ranges(held)
+                    held, size = [], 0
+        if held:
+            yield ranges(held)
 
     def add(t: pa.Table) -> pa.Table:
         sig = np.concatenate([_unpacked(c)[0] for c in t["sigs"].chunks])
@@ -271,17 +288,18 @@ def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int,
     return signed.mapInArrow(test, "sig long, k long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose sets meet the threshold, as a written table."""
-    left = sets.select(F.col("k").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("k").alias("b"), F.col("elements").alias("eb"))
+def _verify(centres: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs of a centre and a set of its ``family`` that meet the threshold, as a written
+    table. The sets are shuffled once, to their centre."""
+    left = centres.select(F.col("k").alias("a"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("family").alias("a"), F.col("k").alias("b"), F.col("elements").alias("eb"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = [_meets(x.as_py(), y.as_py(), num, den) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb")
+    full = right.join(left, "a").select("a", "b", "ea", "eb")
     return cut_lineage(full.mapInArrow(keep, "a long, b long"), "links")
 
 
@@ -397,19 +415,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     signed = cut_lineage(source.mapInArrow(sign, schema), "signed")
-    rows = signed.select("doc", "n_shingles", "k")
+    known = cut_lineage(signed.select("doc", "n_shingles", "k", "band"), "classes")
+    rows = known.select("doc", "n_shingles", "k")
 
-    # signatures of two classes or more, with how much company a class has over all of its own:
-    # an original has more than its edited copies, so it makes the better centre of a star
+    # signatures of two sets or more; a filter lets few others pass, and they end at one class
     total = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
     counted = cut_lineage(_counted(signed, 1 << max(4, (total // SIG_BYTES // BUCKET_SIGS).bit_length())), "twice")
     kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), _bits(counted.filter(f"count > {FREQUENT}")), num, den, k2)
-    near = cut_lineage(kept.distinct().join(counted.select("sig"), "sig"), "near")
+    near = cut_lineage(kept.distinct(), "near")
+    free(signed, counted, shuffles=True)
     shared = near.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("sig")
-    members = cut_lineage(near.join(cut_lineage(shared, "shared"), "sig"), "members")
+    members = cut_lineage(near.join(shared, "sig"), "members")
+    free(near, shuffles=True)
 
-    # large groups first: each class is compared with the class of most company (an original has
-    # more than its edited copies), so that most of a group is one component already
+    # large groups first: each class is compared with the class of most company (an original has more
+    # than its edited copies, so it makes the better centre), so that most of a group is one component
     crowd = cut_lineage(members.groupBy("sig").count().filter(f"count > {FREQUENT}"), "crowd")
     links, roots = None, None
     if crowd.limit(1).count():
@@ -419,26 +439,38 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         centres = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("company", "k")).alias("centre")), "centres")
         stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
                             .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
-        wanted = rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")).select("k", F.lit(0).cast("long").alias("family"), "doc")
-        links = _verify(stars, cut_lineage(_sets(docs, cut_lineage(wanted, "wanted"), id_col, text_col, n, num, den, k2), "sets"), num, den)
+        free(inside, ranked, centres)
+        docs_of = cut_lineage(rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")), "company-docs")
+        hubs = cut_lineage(stars.select(F.col("a").alias("k")).distinct().join(docs_of, "k").select("k", F.col("k").alias("family"), "doc"), "hubs")
+        others = cut_lineage(stars.select(F.col("b").alias("k"), F.col("a").alias("family")).join(docs_of, "k").select("k", "family", "doc"), "others")
+        hub_sets = cut_lineage(_sets(docs, hubs, id_col, text_col, n, num, den, k2).dropDuplicates(["k"]), "hub-sets")
+        links = _verify(hub_sets, _sets(docs, others, id_col, text_col, n, num, den, k2), num, den)
+        free(company, stars, docs_of, hubs, others, hub_sets, shuffles=True)
         roots = connected_components(links)
 
     # what shares signatures and is not one component yet is a family
     named = members.withColumn("c", F.col("k"))
     if roots is not None:
         named = cut_lineage(members.join(roots.toDF("k", "c"), "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "named")
+        free(members, roots)
     split = (named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k").alias("first"))
              .filter("low < high").select("sig", "first"))
     apart = cut_lineage(named.join(split, "sig").select(F.col("first").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct(), "apart")
+    free(named, crowd)
     families = connected_components(apart).toDF("k", "family")
-    chosen = cut_lineage(signed.select("doc", "k", "band", "n_shingles").join(families, "k").groupBy("k", "family").agg(
+    chosen = cut_lineage(known.join(families, "k").groupBy("k", "family").agg(
         F.min("doc").alias("doc"), F.min("band").alias("band"), F.min("n_shingles").alias("n")), "wanted")
+    free(apart, families)
     more = _compare_families(_sets(docs, chosen.select("k", "family", "doc"), id_col, text_col, n, num, den, k2),
                              chosen.select("k", "family", "band", "n"), num, den)
-    roots = connected_components(links.unionByName(more) if links is not None else more)
+    free(chosen)
+    edges = links.unionByName(more) if links is not None else more
+    roots = connected_components(edges)
+    free(edges, shuffles=True)
 
     named = rows.join(roots.withColumnRenamed("v", "k"), "k", "left").select("doc", "n_shingles", "k", F.coalesce("c", "k").alias("root"))
     linked = cut_lineage(named, "roots")
+    free(known, roots)
     lowest = cut_lineage(linked.filter("root is not null").groupBy("root").agg(F.min("doc").alias("low")), "lowest")
     whole = linked.filter("root is not null").join(lowest, "root").select("doc", "n_shingles", "k", F.col("low").alias("component_id"))
     bare = linked.filter("root is null").select("doc", "n_shingles", "k", F.col("doc").alias("component_id"))

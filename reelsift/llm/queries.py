@@ -84,11 +84,10 @@ def op2_ngram_jaccard(spark, sf_dir):
 @register("op4_mixing")
 def op4_mixing(spark, sf_dir):
     """All documents mixed to 150 % of their words, the sources weighing 5, 2, 1 in turn."""
-    rows = mixing.sized(read_table(spark, sf_dir, "documents"))
+    rows = mixing.sized(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     mix = mixing.plan_mix(rows)
-    sources = F.broadcast(spark.createDataFrame(mix.sources, "source string, source_size long, target double"))
     taken = mixing.copies(rows, mix).alias("r")
-    return (taken.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    return (taken.join(mix.sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
             .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "r.source", "copies"))
 
 

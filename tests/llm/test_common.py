@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from reelsift.llm.common import connected_components, without
+from reelsift.llm.common import connected_components, cut_lineage, free, without
 
 
 def brute(edges):
@@ -42,3 +42,15 @@ def test_no_edges(spark):
 
 def test_without_ignores_case(spark):
     assert without(spark.createDataFrame([(1, 2)], "a int, B int"), ["b"]).columns == ["a"]
+
+
+def test_free_deletes_written_tables_only(spark, tmp_path):
+    import os
+
+    kept = str(tmp_path / "kept")
+    spark.range(5).write.parquet(kept)
+    table, outside = cut_lineage(spark.range(5).toDF("a"), "gone"), spark.read.parquet(kept)
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.exists(folder.replace("//", "/"))
+    free(table.select("a"), outside, shuffles=True)
+    assert not os.path.exists(folder.replace("//", "/")) and outside.count() == 5

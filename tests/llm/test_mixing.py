@@ -80,7 +80,7 @@ def test_large_sources_are_cut_by_parts_of_the_hash_range(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 7), "en", "hot" if i % 3 else None) for i in range(900)]
     sized = mixing.sized(docs(spark, rows))
     mix = mixing.plan_mix(sized)
-    due = {s: t for s, _, t in mix.sources}
+    due = {s: t for s, _, t in mix.sources.collect()}
     for s, total in {r.source: r.t for r in mixing.copies(sized, mix).selectExpr("source", "copies * size as x").groupBy("source").agg({"x": "sum"}).toDF("source", "t").collect()}.items():
         assert abs(total - due[s]) <= 7
 
@@ -99,18 +99,70 @@ def test_overlapping_sources_and_edges(spark):
     assert mixing.mix_documents(none(spark)).count() == 0
 
 
-def test_sources_that_share_no_document_need_no_flow(spark, monkeypatch):
+def near_targets(spark, rows, mix, slack):
+    due = {s: t for s, _, t in mix.sources.collect()}
+    taken = mixing.copies(rows, mix).selectExpr("source", "copies * size as x").groupBy("source").agg({"x": "sum"}).collect()
+    for s, total in taken:
+        assert abs(total - due[s]) <= slack, (s, total, due[s])
+    return due
+
+
+def test_every_pattern_goes_through_the_flow(spark, monkeypatch):
+    """Also lone sources, in the query itself; each component is solved once."""
+    calls, patterns = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def spy(found, due, repeats):
+        calls.add(1)
+        patterns.add(len(found))
+        return mixing.route(found, due, repeats)
+
+    real = mixing.plan_mix
+    monkeypatch.setattr(mixing, "plan_mix", lambda rows, **how: real(rows, flow=spy, **how))
+    got = QUERIES["op4_mixing"](spark, SF)
+    sources = spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count()
+    assert got.count() and calls.value == patterns.value == sources
+
+
+def test_many_sources(spark, monkeypatch):
+    """Targets and flows of 20,000 sources in many tasks agree with the plain version."""
     from pyspark.sql import functions as F
 
-    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("source"),
-                                 F.repeat(F.lit("word "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 20_000).alias("source"),
+                                    F.repeat(F.lit("word "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
     rows = mixing.sized(df)
-    whole = mixing.plan_mix(rows)
-    want = sorted(map(tuple, mixing.copies(rows, whole).select("doc_id", "copies").collect()))
-    sizes = {s: n for s, n, _ in whole.sources}
-    order = sorted(sizes)
-    due = {s: d for s, _, d in whole.sources}
-    assert mixing.route([([s], sizes[s]) for s in order], due, 2) == [min(2 * sizes[s], round(due[s])) for s in order]
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 10)
-    monkeypatch.setattr(mixing, "route", None)
-    assert sorted(map(tuple, mixing.copies(rows, mixing.plan_mix(rows)).select("doc_id", "copies").collect())) == want
+    mix = mixing.plan_mix(rows)
+    sources = mix.sources.collect()
+    want = mixing.targets({r.source: r.source_size for r in sources})
+    assert {r.source: r.target for r in sources} == want and len(want) == 20_000
+    near_targets(spark, rows, mix, 7)
+
+
+def test_overlapping_components_against_one_network(spark):
+    """Patterns of several sources in two components and lone sources: the same totals as one flow over all."""
+    groups = [["a"], ["a", "b"], ["b"], ["c", "d"], ["d"], ["e"], [None], [None, "e2"], ["f"]]
+    rows = [(i, "w " * (1 + i % 5), groups[i % len(groups)]) for i in range(900)]
+    table = mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"))
+    mix = mixing.plan_mix(table)
+    sources = {r.source: (r.source_size, r.target) for r in mix.sources.collect()}
+    assert {s: t for s, (_, t) in sources.items()} == mixing.targets({s: n for s, (n, _) in sources.items()})
+    sizes = {}
+    for i, t, g in rows:
+        sizes[tuple(g)] = sizes.get(tuple(g), 0) + 1 + i % 5
+    order = sorted(sizes, key=str)
+    want = dict(zip(order, mixing.route([(list(p), sizes[p]) for p in order], {s: t for s, (_, t) in sources.items()}, 2)))
+    got = {}
+    for r in mixing.copies(table, mix).collect():
+        assert 0 <= r.copies <= 2
+        got[tuple(r.source)] = got.get(tuple(r.source), 0) + r.copies * r.size
+    for parts in ([("a",), ("a", "b"), ("b",)], [("c", "d"), ("d",)], [("e",)], [("f",)]):
+        assert abs(sum(got[p] for p in parts) - sum(want[p] for p in parts)) <= 5 * len(parts)
+
+
+def test_rows_that_repeat_are_drawn_one_by_one(spark):
+    rows = [(1, "w " * 100, "en", "s")] * 50 + [(i, "w " * 10, "en", "t") for i in range(10, 50)]
+    table = mixing.sized(docs(spark, rows))
+    mix = mixing.plan_mix(table)
+    due = near_targets(spark, table, mix, 60)
+    assert due["s"] == 7300
+    out = mixing.mix_documents(docs(spark, rows)).collect()
+    assert abs(100 * sum(r.source == "s" for r in out) - 7300) <= 60

@@ -53,6 +53,19 @@ def test_near_stage(stages):
     assert sorted(after.collect()) == sorted(r for r in rows if r.doc_id in keep)
 
 
+def test_near_stage_keeps_rows_that_share_an_id_or_have_none(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    near, other, more = a + " end", " ".join(f"b{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    rows = [(2, a, "en", "s"), (5, near, "en", "s"), (5, other, "en", "s"), (7, more, "en", "s"), (None, a + " tail", None, None),
+            (None, other + " tail", "en", None), (9, "", "en", None), (10, None, None, None), (11, more, "en", "s"), (7, more, "en", "s"), (8, more + " x", "en", "s")]
+    got = cp.near_stage(spark, docs(spark, rows), SF).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[2], rows[3], rows[6], rows[7]])
+    alone = [(None, a, "en", "s"), (None, near, "en", "s"), (None, more, "en", "s")]
+    got = cp.near_stage(spark, docs(spark, alone), SF).collect()
+    assert len(got) == 2 and alone[2] in map(tuple, got)
+    assert cp.near_stage(spark, none(spark), SF).count() == 0
+
+
 def test_mixing_stage(stages):
     _, before, after = stages[3]
     size = lambda r: len((r.text or "").encode().split())

@@ -29,10 +29,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a similarity of 0.8 of the five-word shingles the smallest id stays."""
-    classes = ngram_join.jaccard_classes(docs, n=5, num=4, den=5)
-    gone = cut_lineage(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked at a similarity of 0.8 of the five-word shingles one row stays: that of the
+    smallest id, null ids last, of rows of one id that of the smallest hash. Rows count by all their
+    columns, so rows that share an id, and rows without one, take part each for itself; of rows equal in
+    every column one stays. Rows without words link with nothing and all stay."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+    keyed = docs.withColumn("_row", row)
+    classes = cut_lineage(ngram_join.jaccard_classes(keyed.select("_row", "text"), id_col="_row", n=5, num=4, den=5).filter("class_id IS NOT NULL")
+                          .select(F.col("doc_id").alias("_row"), "component_id"), "near-classes")
+    gone = classes.filter("component_id <> _row").select("_row").distinct()
+    equal = cut_lineage(classes.filter("component_id = _row").groupBy("_row").count().filter("count > 1").select("_row"), "equal-rows")
+    left = keyed.join(gone, "_row", "left_anti")
+    once = left.join(equal, "_row", "left_semi").dropDuplicates(["_row"])
+    return left.join(equal, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

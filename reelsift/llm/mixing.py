@@ -291,14 +291,18 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bare = without(docs, ["pattern", "draw", "copies", "base", "below", "until", "_in", "_a", "_b", "_n", "_copy", "_block", "rest"])
     rows = sized(bare, id_col, text_col, source_col, seed)
     mix = plan_mix(rows, **how)
-    again = rows.filter("_n > 1")
     is_array = bare.schema[source_col].dataType.typeName() == "array"
     has_words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     keyed = bare.filter(has_words).withColumns(row_keys(bare.columns))
     single = keyed.withColumns({"pattern": pattern(F.col(f"`{source_col}`"), is_array), "_copy": F.lit(0).cast("long")}).withColumn("draw", draw(seed))
-    single = copies(single.join(again.select("_a", "_b").distinct(), ["_a", "_b"], "left_anti"), mix)
-    summed = copies(again, mix).groupBy("_a", "_b").agg(F.sum("copies").alias("copies"))
-    several = keyed.join(summed, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
     columns = [F.col(f"`{c}`") for c in bare.columns]
-    taken = single.select(*columns, "copies").unionByName(several.select(*columns, "copies")).filter("copies > 0")
+    again = cut_lineage(rows.filter("_n > 1"), "equal-rows")
+    if again.limit(1).count():
+        summed = cut_lineage(copies(again, mix).groupBy("_a", "_b").agg(F.sum("copies").alias("copies")), "equal-copies")
+        several = keyed.join(summed, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).select(*columns, "copies")
+        one = single.join(summed.drop("copies"), ["_a", "_b"], "left_anti")
+        taken = copies(one, mix).select(*columns, "copies").unionByName(several)
+    else:
+        taken = copies(single, mix).select(*columns, "copies")
+    taken = taken.filter("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)

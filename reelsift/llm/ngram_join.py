@@ -434,13 +434,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, roots = None, None
     if crowd.limit(1).count():
         inside = cut_lineage(members.join(crowd, "sig"), "inside")
-        company = cut_lineage(inside.groupBy("k").agg(F.sum("count").alias("company")), "company")
-        ranked = cut_lineage(inside.select("sig", "k").join(company, "k"), "ranked")
+        company = cut_lineage(inside.groupBy("k").agg(F.sum("count").alias("company"), F.collect_list("sig").alias("sigs")), "company")  # a set's own
+        ranked = company.select(F.explode("sigs").alias("sig"), "k", "company")
         centres = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("company", "k")).alias("centre")), "centres")
         stars = cut_lineage(ranked.join(centres, "sig").filter("k <> centre.k").groupBy("k").agg(F.max("centre").alias("centre"))
                             .select(F.col("centre.k").alias("a"), F.col("k").alias("b")), "stars")
-        free(inside, ranked, centres)
-        docs_of = cut_lineage(rows.join(company, "k").groupBy("k").agg(F.min("doc").alias("doc")), "company-docs")
+        free(inside, centres)
+        docs_of = cut_lineage(rows.join(company.select("k"), "k").groupBy("k").agg(F.min("doc").alias("doc")), "company-docs")
         hubs = cut_lineage(stars.select(F.col("a").alias("k")).distinct().join(docs_of, "k").select("k", F.col("k").alias("family"), "doc"), "hubs")
         others = cut_lineage(stars.select(F.col("b").alias("k"), F.col("a").alias("family")).join(docs_of, "k").select("k", "family", "doc"), "others")
         hub_sets = cut_lineage(_sets(docs, hubs, id_col, text_col, n, num, den, k2).dropDuplicates(["k"]), "hub-sets")

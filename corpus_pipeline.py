@@ -38,11 +38,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("_row", row)
     classes = cut_lineage(ngram_join.jaccard_classes(keyed.select("_row", "text"), id_col="_row", n=5, num=4, den=5).filter("class_id IS NOT NULL")
                           .select(F.col("doc_id").alias("_row"), "component_id"), "near-classes")
-    gone = classes.filter("component_id <> _row").select("_row").distinct()
-    equal = cut_lineage(classes.filter("component_id = _row").groupBy("_row").count().filter("count > 1").select("_row"), "equal-rows")
+    gone = cut_lineage(classes.filter("component_id <> _row").select("_row").distinct(), "gone")
     left = keyed.join(gone, "_row", "left_anti")
-    once = left.join(equal, "_row", "left_semi").dropDuplicates(["_row"])
-    return left.join(equal, "_row", "left_anti").unionByName(once).select(*docs.columns)
+    equal = cut_lineage(classes.filter("component_id = _row").groupBy("_row").count().filter("count > 1").select("_row"), "equal-rows")
+    if equal.limit(1).count():
+        once = left.join(equal, "_row", "left_semi").dropDuplicates(["_row"])
+        left = left.join(equal, "_row", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

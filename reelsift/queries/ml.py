@@ -157,7 +157,7 @@ pred AS (SELECT te.userId, te.movieId, CAST(te.rating AS DOUBLE) AS rating,
 
 
 def _baseline_pred(spark, sf):
-    s = _rec_split(spark, sf)
+    s = cut_lineage(_rec_split(spark, sf), "rec-split")
     tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     mm = tr.groupBy("movieId").agg(F.avg(F.col("rating").cast("double")).alias("mm"))
     g = tr.agg(F.avg(F.col("rating").cast("double"))).scalar()
@@ -208,16 +208,16 @@ def q_rec_training_table(spark, sf):
 @register("rec_als_runs")
 def q_rec_als_runs(spark, sf):
     """ML-12, ML-13, ML-16, ML-17: ALS + stack with genome columns over a small grid, best by
-    validation RMSE; history rows plus the chosen model's test RMSE / NDCG@10."""
-    s = _rec_split(spark, sf)
+    validation RMSE; a history row per run and iteration, plus the chosen model's test RMSE / NDCG@10."""
+    s = cut_lineage(_rec_split(spark, sf), "rec-split")
     tr, va, te = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
     movies, _ = emb.genome_embeddings(adapt.genome_scores(spark, sf))
     grid = [{"rank": 8, "reg": 0.1}, {"rank": 16, "reg": 0.1}, {"rank": 32, "reg": 0.05}]
     best, hist = rec.select_best_run(tr, va, grid, movies=movies, emb_cols=[f"genome_emb_{i}" for i in range(emb.N_COMPONENTS)])
-    scored = best.transform(te)
+    scored = cut_lineage(best.transform(te), "rec-scored")
     m = mt.rmse_mae(scored, "rating", "prediction", "test").first()
-    nd = mt.ndcg_at_k(scored, "userId", "rating", "prediction").first()["ndcg"]
-    test_row = spark.createDataFrame([(-1, "best_on_test", None, float(m["rmse"]), float(nd))], hist.schema)
+    nd = mt.ndcg_at_k(scored, "userId", "rating", "prediction", checkpoint=False).first()["ndcg"]
+    test_row = spark.createDataFrame([(-1, "best_on_test", None, None, float(m["rmse"]), float(nd))], hist.schema)
     return hist.unionByName(test_row)
 
 

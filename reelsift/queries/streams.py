@@ -15,10 +15,10 @@ from reelsift.functions.labels import segment_label
 SELECT event_type AS genre, CAST(date_trunc('week', ts) AS DATE) AS week_start, count(*) AS event_count,
        round(sum(value), 6) AS value_sum FROM ev GROUP BY ALL""")
 def q_stream_event_weeks(spark, sf):
-    """SS-1: watermarked weekly event-time windows per event type (update mode, versioned sink)."""
+    """SS-1: watermarked weekly event-time windows per event type (update mode, keyed sink)."""
     out = ss.scratch(spark, "event_weeks")
-    ss.run_available(ss.stream_genre_week(ss.events_stream(spark, sf)), out, mode="update")
-    d = ss.latest_version(spark, out, ["genre", "week_start"])
+    ss.run_available(ss.stream_genre_week(ss.events_stream(spark, sf)), out, keys=["genre", "week_start"])
+    d = ss.current(spark, out, ["genre", "week_start"])
     return d.select("genre", "week_start", "event_count", F.round("value_sum", 6).alias("value_sum"))
 
 
@@ -29,8 +29,8 @@ def q_stream_genre_week_counts(spark, sf):
     from reelsift.operators.explore import explode_genres
     out = ss.scratch(spark, "genre_week")
     pairs = explode_genres(adapt.movies(spark, sf))
-    ss.run_available(ss.stream_genre_week_ratings(ss.ratings_stream(spark, sf), pairs), out, mode="update")
-    return ss.latest_version(spark, out, ["genre", "week_start"])
+    ss.run_available(ss.stream_genre_week_ratings(ss.ratings_stream(spark, sf), pairs), out, keys=["genre", "week_start"])
+    return ss.current(spark, out, ["genre", "week_start"])
 
 
 @register("stream_user_stats", with_tables("ratings") + """
@@ -43,8 +43,8 @@ FROM ratings GROUP BY userId""")
 def q_stream_user_stats(spark, sf):
     """SS-2: running user statistics (update mode) equal to the batch AG-1."""
     out = ss.scratch(spark, "user_stats")
-    ss.run_available(ss.stream_user_stats(ss.ratings_stream(spark, sf)), out, mode="update")
-    d = ss.latest_version(spark, out, ["userId"])
+    ss.run_available(ss.stream_user_stats(ss.ratings_stream(spark, sf)), out, keys=["userId"])
+    d = ss.current(spark, out, ["userId"])
     return d.select("userId", "total_ratings", F.round("avg_rating", 6).alias("avg_rating"),
                     F.round("rating_std", 6).alias("rating_std"), "min_rating", "max_rating",
                     F.round("avg_reward", 6).alias("avg_reward"))
@@ -75,7 +75,7 @@ def q_stream_interaction_log(spark, sf):
     seg = (adapt.ratings(spark, sf).groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
            .select("userId", segment_label("n", SEG_CASUAL, SEG_REGULAR).alias("user_segment")))
     out = ss.scratch(spark, "interaction_log")
-    ss.run_available(ss.stream_interaction_log(ss.ratings_stream(spark, sf), seg), out, mode="append", sink="append")
+    ss.run_available(ss.stream_interaction_log(ss.ratings_stream(spark, sf), seg), out, mode="append")
     return spark.read.parquet(out + "/data").select("userId", "movieId", "rating", "timestamp", "reward", "user_segment")
 
 
@@ -86,5 +86,21 @@ def q_stream_dedup(spark, sf):
     r = ss.ratings_stream(spark, sf)
     raw = r.unionByName(r.where(F.col("rating") == 5.0))
     out = ss.scratch(spark, "dedup")
-    ss.run_available(ss.stream_dedup(raw), out, mode="append", sink="append")
+    ss.run_available(ss.stream_dedup(raw), out, mode="append")
     return spark.read.parquet(out + "/data")
+
+
+@register("stream_dedup_late", with_tables("ratings", extra="""rb AS (SELECT *, movieId % 3 AS batch FROM ratings),
+nb AS (SELECT batch, (SELECT max("timestamp") FROM rb p WHERE p.batch < b.batch) AS newest FROM (SELECT DISTINCT batch FROM rb) b)""") + """
+SELECT DISTINCT userId, movieId, rating, "timestamp", coalesce("timestamp" < newest - 30 * 86400, false) AS late FROM rb JOIN nb USING (batch)""")
+def q_stream_dedup_late(spark, sf):
+    """SS-5 over three micro-batches out of order (by movie): distinct ratings, late ones in a table of
+    their own; here the 5.0 ratings come twice."""
+    from reelsift import adapt
+    r, base = adapt.ratings(spark, sf), ss.scratch(spark, "dedup_late")
+    for i in range(3):
+        own = r.where(F.col("movieId") % 3 == i)
+        own.unionByName(own.where(F.col("rating") == 5.0)).coalesce(1).write.parquet(f"{base}/in/{i}")
+    src = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    ss.run_dedup(src, base)
+    return ss.dedup_rows_now(spark, base)

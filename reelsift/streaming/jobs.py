@@ -1,9 +1,8 @@
 """Structured Streaming twins of the incremental batch operators.
 
 Sources are file streams over the driver tables; sinks are parquet folders under the
-session's shared checkpoint directory. Update-mode aggregates are written by
-``foreachBatch`` as versioned rows (batch id) and read back as the latest version per
-key, which is an idempotent upsert without a table format. ``run_available`` drives a
+session's shared checkpoint directory. Update-mode aggregates go through ``foreachBatch`` into a
+:class:`KeyedTable` (idempotent upserts, merged in levels). ``run_available`` drives a
 query with ``trigger(availableNow=True)`` (tests and backfills); a production job starts the
 same query with a processing-time trigger.
 """
@@ -13,9 +12,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import FloatType, IntegerType, LongType, StructField, StructType
 
 from reelsift.functions.labels import POSITIVE_RATING, reward_label
-from reelsift.session import ensure_checkpoint_dir
+from reelsift.session import cut_lineage, ensure_checkpoint_dir
+from reelsift.streaming.keyed import KeyedTable, fresh
 
 WEEK_OFFSET = "4 days"  # epoch day 0 is a Thursday: windows of 7 days starting 4 days later begin on Mondays
 
@@ -49,30 +50,25 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-def run_available(query_df: DataFrame, out: str, mode: str = "update", sink: str = "versioned",
-                  trigger_once: bool = True):
-    """Run a streaming query to the end of the available input.
-
-    sink="versioned": foreachBatch appends each micro-batch's rows with its batch id
-    (update/complete modes); sink="append": plain parquet file sink (append mode)."""
-    ck = out + "/_ck"
-    w = query_df.writeStream.option("checkpointLocation", ck).outputMode(mode)
-    if sink == "append":
+def run_available(query_df: DataFrame, out: str, mode: str = "update", keys: list[str] | None = None):
+    """Run a streaming query to the end of the available input. With ``keys`` each micro-batch's rows are
+    upserted into the :class:`KeyedTable` ``out``/table (update mode); without, they are appended to
+    the parquet folder ``out``/data (append mode)."""
+    w = query_df.writeStream.option("checkpointLocation", out + "/_ck").outputMode(mode)
+    if keys is None:
         w = w.format("parquet").option("path", out + "/data")
     else:
         def write(batch: DataFrame, batch_id: int):
-            batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out + "/data")
+            KeyedTable(batch.sparkSession, out + "/table", keys).upsert(batch, batch_id)
         w = w.foreachBatch(write)
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def latest_version(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Read a versioned sink: the row of the highest batch id per key."""
-    d = spark.read.parquet(out + "/data")
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_batch")
+def current(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The rows of a keyed sink."""
+    return KeyedTable(spark, out + "/table", keys).now()
 
 
 def stream_genre_week(events: DataFrame, watermark: str = "7 days") -> DataFrame:
@@ -102,32 +98,36 @@ def stream_user_stats(ratings: DataFrame, positive: float = POSITIVE_RATING) ->
 
 
 def run_recent_items(ratings: DataFrame, out: str, n: int = 5):
-    """SS-3: the n newest (timestamp, movie) pairs per user (ties: newer movie id first), kept up to
-    date batch by batch. Each batch ranks its own rows together with the stored pairs
-    (``row_number <= n`` is cut before the shuffle, so a user's rows of a batch meet as n per task) and
-    writes the next version; a repeated batch overwrites its own version. Run to the end of the input."""
-    columns = ["userId", "movieId", "timestamp"]
-
+    """SS-3: the n newest (timestamp, movie) pairs per user (ties: newer movie id first), kept up to date
+    batch by batch in a keyed table of one row per user. A batch ranks its own rows first
+    (``row_number <= n`` is cut before the shuffle, so a user's rows meet as n per task), then together
+    with the stored pairs of its users, and only these users' rows are written. Run to the end of the input."""
     def keep(batch: DataFrame, batch_id: int):
-        rows = batch.select(*columns)
-        if batch_id:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{out}/data/version={batch_id - 1}"))
+        table = KeyedTable(batch.sparkSession, out + "/table", ["userId"])
         w = Window.partitionBy("userId").orderBy(F.col("timestamp").desc(), F.col("movieId").desc())
-        newest = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
-        newest.write.mode("overwrite").parquet(f"{out}/data/version={batch_id}")
-
-    q = (ratings.select(*columns).writeStream.option("checkpointLocation", out + "/_ck").foreachBatch(keep)
+        own = batch.select("userId", "movieId", "timestamp").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+        pair = F.struct("timestamp", "movieId")
+        newest = own.groupBy("userId").agg(F.collect_list(pair).alias("new"))  # n at most
+        known, pairs = table.now(), F.col("a.new")
+        both = newest.alias("a")
+        if known is not None:
+            both = both.join(known.alias("b"), F.expr("a.userId <=> b.userId"), "left")
+            pairs = F.when(F.col("b.newest").isNull(), pairs).otherwise(F.concat(pairs, F.col("b.newest")))
+        both = both.select(F.col("a.userId").alias("userId"), F.slice(F.sort_array(pairs, asc=False), 1, n).alias("newest"))
+        table.upsert(both, batch_id)
+
+    q = (ratings.select("userId", "movieId", "timestamp").writeStream.option("checkpointLocation", out + "/_ck").foreachBatch(keep)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
 def recent_items_now(spark: SparkSession, out: str, n: int = 5) -> DataFrame:
-    """The latest version of :func:`run_recent_items`, one row per user."""
+    """The state of :func:`run_recent_items`, one row per user."""
     from reelsift.operators.windows import recent_items
 
-    last = spark.read.parquet(f"{out}/data").agg(F.max("version")).first()[0]
-    return recent_items(spark.read.parquet(f"{out}/data/version={last}"), n)
+    rows = current(spark, out, ["userId"]).select("userId", F.explode("newest").alias("p"))
+    return recent_items(rows.select("userId", "p.movieId", "p.timestamp"), n)
 
 
 def stream_interaction_log(ratings: DataFrame, segments: DataFrame, positive: float = POSITIVE_RATING) -> DataFrame:
@@ -137,6 +137,8 @@ def stream_interaction_log(ratings: DataFrame, segments: DataFrame, positive: fl
 
 
 RATING_KEY = ["userId", "movieId", "rating", "timestamp"]
+#: Days of late rows that are named to the scan, so that it reads only their folders.
+MOST_DAYS = 1000
 
 
 def late_ratings(ratings: DataFrame, kept: DataFrame) -> DataFrame:
@@ -156,3 +158,61 @@ def stream_dedup(ratings: DataFrame, delay: str = "30 days") -> DataFrame:
     cols = RATING_KEY
     return (ratings.withColumn("event_time", F.timestamp_seconds("timestamp"))
             .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(cols).select(*cols))
+
+
+def run_dedup(ratings: DataFrame, out: str, delay_days: int = 30):
+    """SS-5 with a side output: distinct ratings to ``out``/kept, and those that come late (more than the
+    delay behind the newest rating of the batches before) to ``out``/late, each once. Nothing is lost:
+    both together are the distinct ratings.
+
+    The state is a keyed table of the ratings within the delay of the newest one; what has fallen behind
+    goes when runs merge. Late rows are few: they are compared with the days of ``kept`` that they fall
+    on and with the late rows so far. Every batch writes folders of its own and counts from the moment
+    its state does, so replays are safe. Run to the end of the input."""
+    delay = delay_days * 86400
+
+    def live(notes: dict):
+        return F.coalesce(F.col("timestamp") >= F.lit(notes["newest"] - delay), F.lit(True)) if notes.get("newest") is not None else F.lit(True)
+
+    def write(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        seen = KeyedTable(spark, out + "/seen", RATING_KEY, live)
+        state = seen.manifest()
+        if state["batch"] >= batch_id:
+            return
+        rows = cut_lineage(batch.select(*RATING_KEY).distinct(), "dedup-batch")
+        newest = state["notes"].get("newest")
+        behind = F.coalesce(F.col("timestamp") < F.lit(newest - delay), F.lit(False)) if newest is not None else F.lit(False)
+        day = F.floor(F.col("timestamp") / 86400)
+        new = cut_lineage(fresh(rows.where(~behind), seen.now(), RATING_KEY), "dedup-new")
+        late = rows.where(behind)
+        if newest is not None and late.limit(1).count():
+            before = [spark.read.option("basePath", f"{out}/{side}").schema(rows.schema.add("day", "long").add("batch", "long")).parquet(f"{out}/{side}")
+                      .where(F.col("batch") < batch_id) for side in ("kept", "late") if side == "kept" or state["notes"].get("late")]
+            days = [r[0] for r in late.select(day).distinct().limit(MOST_DAYS + 1).collect()]
+            for b in before:
+                late = fresh(late, b.where(F.col("day").isin(days)) if len(days) <= MOST_DAYS else b, RATING_KEY)
+            late.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{out}/late/batch={batch_id}")
+            state["notes"]["late"] = True
+        new.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{out}/kept/batch={batch_id}")
+        top = rows.agg(F.max("timestamp")).first()[0]
+        state["notes"]["newest"] = max((x for x in (newest, top) if x is not None), default=None)
+        seen.upsert(new, batch_id, state["notes"])
+
+    q = (ratings.select(*RATING_KEY).writeStream.option("checkpointLocation", out + "/_ck").foreachBatch(write)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def dedup_rows_now(spark: SparkSession, out: str) -> DataFrame:
+    """The ratings of :func:`run_dedup` with ``late``."""
+    schema = StructType([*ratings_schema(), StructField("day", LongType()), StructField("batch", LongType())])
+    late = KeyedTable(spark, out + "/seen", RATING_KEY).manifest()["notes"].get("late")
+    sides = [("kept", False), *([("late", True)] if late else [])]
+    parts = [spark.read.schema(schema).option("basePath", f"{out}/{side}").parquet(f"{out}/{side}").select(*RATING_KEY, F.lit(flag).alias("late")) for side, flag in sides]
+    return parts[0].unionByName(parts[1]) if late else parts[0]
+
+
+def ratings_schema() -> list[StructField]:
+    return [StructField("userId", IntegerType()), StructField("movieId", IntegerType()), StructField("rating", FloatType()), StructField("timestamp", LongType())]

@@ -99,8 +99,8 @@ def test_stream_drops_late_rows(spark):
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
            .parquet(os.path.join(d, "in")))
     out = os.path.join(d, "out")
-    ss.run_available(ss.stream_genre_week(src, "7 days"), out, mode="update")
-    got = {(r.week_start.isoformat(), r.event_count) for r in ss.latest_version(spark, out, ["genre", "week_start"]).collect()}
+    ss.run_available(ss.stream_genre_week(src, "7 days"), out, keys=["genre", "week_start"])
+    got = {(r.week_start.isoformat(), r.event_count) for r in ss.current(spark, out, ["genre", "week_start"]).collect()}
     assert got == {("2024-01-15", 1), ("2024-01-22", 2)}  # the 2024-01-02 row came after the watermark passed it
 
 

@@ -40,8 +40,8 @@ def test_recent_items_state_across_batches(spark):
 
 def test_user_stats_across_batches(spark):
     r, src, d = _three_batches(spark)
-    ss.run_available(ss.stream_user_stats(src), os.path.join(d, "out"), mode="update")
-    got = ss.latest_version(spark, os.path.join(d, "out"), ["userId"])
+    ss.run_available(ss.stream_user_stats(src), os.path.join(d, "out"), keys=["userId"])
+    got = ss.current(spark, os.path.join(d, "out"), ["userId"])
     cols = ["userId", "total_ratings", "avg_rating", "rating_std", "min_rating", "max_rating", "avg_reward"]
     rnd = [F.round(c, 9).alias(c) if c not in ("userId", "total_ratings") else F.col(c) for c in cols]
     assert _rows(got.select(*rnd)) == _rows(user_stats(r).select(*rnd))
@@ -50,7 +50,7 @@ def test_user_stats_across_batches(spark):
 def test_dedup_across_batches(spark):
     r, src, d = _three_batches(spark)
     twice = src.unionByName(src.where(F.col("rating") == 5.0))  # in any order over all years
-    ss.run_available(ss.stream_dedup(twice, "36500 days"), os.path.join(d, "out"), mode="append", sink="append")
+    ss.run_available(ss.stream_dedup(twice, "36500 days"), os.path.join(d, "out"), mode="append")
     assert _rows(spark.read.parquet(os.path.join(d, "out", "data"))) == _rows(r)
 
 
@@ -62,7 +62,7 @@ def test_dedup_with_its_own_delay_loses_late_rows_and_the_anti_join_finds_them(s
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
-    ss.run_available(ss.stream_dedup(src), os.path.join(d, "out"), mode="append", sink="append")
+    ss.run_available(ss.stream_dedup(src), os.path.join(d, "out"), mode="append")
     kept = spark.read.parquet(os.path.join(d, "out", "data"))
     assert _rows(kept) == [(1, 1, 4.0, 1000 * day), (2, 1, 3.0, 1010 * day), (4, 1, 2.0, 990 * day)]
     whole = spark.read.parquet(os.path.join(d, "in"))

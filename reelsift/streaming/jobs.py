@@ -137,8 +137,8 @@ def stream_interaction_log(ratings: DataFrame, segments: DataFrame, positive: fl
 
 
 RATING_KEY = ["userId", "movieId", "rating", "timestamp"]
-#: Days of late rows that are named to the scan, so that it reads only their folders.
-MOST_DAYS = 1000
+#: Days of an output folder, and folders of late rows that are named to the scan, so that it reads no others.
+PERIOD_DAYS, MOST_PERIODS = 30, 1000
 
 
 def late_ratings(ratings: DataFrame, kept: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def run_dedup(ratings: DataFrame, out: str, delay_days: int = 30):
     both together are the distinct ratings.
 
     The state is a keyed table of the ratings within the delay of the newest one; what has fallen behind
-    goes when runs merge. Late rows are few: they are compared with the days of ``kept`` that they fall
+    goes when runs merge. Late rows are few: they are compared with the months of ``kept`` that they fall
     on and with the late rows so far. Every batch writes folders of its own and counts from the moment
     its state does, so replays are safe. Run to the end of the input."""
     delay = delay_days * 86400
@@ -183,18 +183,18 @@ def run_dedup(ratings: DataFrame, out: str, delay_days: int = 30):
         rows = cut_lineage(batch.select(*RATING_KEY).distinct(), "dedup-batch")
         newest = state["notes"].get("newest")
         behind = F.coalesce(F.col("timestamp") < F.lit(newest - delay), F.lit(False)) if newest is not None else F.lit(False)
-        day = F.floor(F.col("timestamp") / 86400)
+        period = F.floor(F.col("timestamp") / (PERIOD_DAYS * 86400))
         new = cut_lineage(fresh(rows.where(~behind), seen.now(), RATING_KEY), "dedup-new")
         late = rows.where(behind)
         if newest is not None and late.limit(1).count():
-            before = [spark.read.option("basePath", f"{out}/{side}").schema(rows.schema.add("day", "long").add("batch", "long")).parquet(f"{out}/{side}")
+            before = [spark.read.option("basePath", f"{out}/{side}").schema(rows.schema.add("period", "long").add("batch", "long")).parquet(f"{out}/{side}")
                       .where(F.col("batch") < batch_id) for side in ("kept", "late") if side == "kept" or state["notes"].get("late")]
-            days = [r[0] for r in late.select(day).distinct().limit(MOST_DAYS + 1).collect()]
+            periods = [r[0] for r in late.select(period).distinct().limit(MOST_PERIODS + 1).collect()]
             for b in before:
-                late = fresh(late, b.where(F.col("day").isin(days)) if len(days) <= MOST_DAYS else b, RATING_KEY)
-            late.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{out}/late/batch={batch_id}")
+                late = fresh(late, b.where(F.col("period").isin(periods)) if len(periods) <= MOST_PERIODS else b, RATING_KEY)
+            late.withColumn("period", period).repartition("period").write.mode("overwrite").partitionBy("period").parquet(f"{out}/late/batch={batch_id}")
             state["notes"]["late"] = True
-        new.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{out}/kept/batch={batch_id}")
+        new.withColumn("period", period).repartition("period").write.mode("overwrite").partitionBy("period").parquet(f"{out}/kept/batch={batch_id}")
         top = rows.agg(F.max("timestamp")).first()[0]
         state["notes"]["newest"] = max((x for x in (newest, top) if x is not None), default=None)
         seen.upsert(new, batch_id, state["notes"])
@@ -207,7 +207,7 @@ def run_dedup(ratings: DataFrame, out: str, delay_days: int = 30):
 
 def dedup_rows_now(spark: SparkSession, out: str) -> DataFrame:
     """The ratings of :func:`run_dedup` with ``late``."""
-    schema = StructType([*ratings_schema(), StructField("day", LongType()), StructField("batch", LongType())])
+    schema = StructType([*ratings_schema(), StructField("period", LongType()), StructField("batch", LongType())])
     late = KeyedTable(spark, out + "/seen", RATING_KEY).manifest()["notes"].get("late")
     sides = [("kept", False), *([("late", True)] if late else [])]
     parts = [spark.read.schema(schema).option("basePath", f"{out}/{side}").parquet(f"{out}/{side}").select(*RATING_KEY, F.lit(flag).alias("late")) for side, flag in sides]

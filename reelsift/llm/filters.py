@@ -35,9 +35,9 @@ class Filter:
         return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def broadcast_filter(hashes: DataFrame, count: int):
+def broadcast_filter(hashes: DataFrame, count: int, bits_each: int | None = None):
     """A broadcast :class:`Filter` of the longs ``h``; its size follows their number up to MAX_BITS."""
-    bits = min(MAX_BITS, 1 << max(19, (BITS_EACH * max(1, count) - 1).bit_length()))
+    bits = min(MAX_BITS, 1 << max(19, ((bits_each or BITS_EACH) * max(1, count) - 1).bit_length()))
 
     def pack(table: pa.Table) -> pa.Table:
         at = table["at"].to_numpy()

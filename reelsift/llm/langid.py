@@ -28,7 +28,7 @@ from reelsift.llm.tokens import slices
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 OPEN, CLOSE = 2, 3
-CACHE_WORDS = 300_000  # words a worker remembers before it starts anew
+CACHE_WORDS = 100_000  # words a worker remembers before it starts anew
 CHUNK = 200_000        # words summed at a time
 SHORT = 4.0            # short texts scatter: their limit is higher by this over the root of their symbols
 LIMIT_DOCS = 20      # calibration documents from which on a language has a limit of its own
@@ -321,7 +321,7 @@ def identify(docs: DataFrame, model: CharModels | None, text_col: str = "text")
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known = _Words(m)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 2 << 20):
             if len(known) > CACHE_WORDS:
                 known = _Words(m)
             best, score, ce, n, out = verdicts(score_texts(b.column(at).to_pylist(), known), m)

@@ -37,15 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelsift.llm.common import connected_components, cut_lineage, free, words
+from reelsift.llm.filters import broadcast_filter, frequent_hashes
 
-WORD_CACHE = 150_000
+WORD_CACHE = 100_000
 SLICE = 250  # documents whose signatures are held at a time
 BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 500_000  # of a group that one task compares
 SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
 KEEP = np.uint64((1 << 8 * SIG_BYTES) - 1)
 EMPTY = np.uint64(1)  # the bit that marks the signatures of empty parts; these count as frequent
 BUCKET_SIGS = 250_000  # signatures of a range, about
-SENT_SIGS = 2_000_000  # signatures that a task counts at a time
+SENT_SIGS = 500_000  # signatures that a task counts at a time
 FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
@@ -334,30 +335,57 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def _compare_families(sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) edges that join what links within each family of ``sets`` (k, family, band, n, elements),
-    which are read once; ``sizes`` are the same rows without the elements.
+def _shared_elements(sets: DataFrame, expected: int) -> DataFrame:
+    """(k, family, band, n, kept, elements) written: the sets without elements that stand in no other.
+
+    These add nothing to an intersection, and the size ``n`` is known. The filter may let some of them
+    through, which changes nothing."""
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, batch.num_rows, SLICE):
+            flat = np.frombuffer(b"".join(batch.column(0).slice(at, SLICE).to_pylist()), np.uint64)
+            yield flat, np.ones(len(flat), np.int64)
+
+    often = frequent_hashes(sets.select("elements"), of, 2, expected)
+    known = broadcast_filter(often, often.count(), bits_each=8)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                flat = [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
+                flat = [x[known.value.has(x)] for x in flat]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([len(x) for x in flat], pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())],
+                                                 names=["k", "family", "band", "n", "kept", "elements"])
+
+    reduced = cut_lineage(sets.select("k", "family", "band", "n", "elements").mapInArrow(reduce, "k long, family long, band long, n long, kept long, elements binary"), "shared-elements")
+    free(often, shuffles=True)
+    return reduced
+
+
+def _compare_families(sets: DataFrame, expected: int, num: int, den: int) -> DataFrame:
+    """(a, b) edges that join what links within each family of ``sets`` (k, family, band, n, elements)
+    with about ``expected`` elements.
 
     Sets of a family meet in the instances of their own size band and of the next; an instance with
-    more than ``BLOCK_ROWS`` sets or ``BLOCK_ELEMENTS`` elements is dealt to blocks, and every pair
-    of blocks is one group. A group gives edges to the smallest set each one reaches, never pairs."""
-    both = F.explode(F.array("band", F.col("band") + 1))
-    met = sets.withColumn("meet", both)
-    blocks = cut_lineage(sizes.withColumn("meet", both).groupBy("family", "meet").agg(
-        F.count("*").alias("rows"), F.sum("n").alias("total"), F.max(F.col("band") == F.col("meet")).alias("own"))
+    more than ``BLOCK_ROWS`` sets or ``BLOCK_ELEMENTS`` shared elements is dealt to blocks, and every
+    pair of blocks is one group. A group gives edges to the smallest set each one reaches, never pairs."""
+    reduced = _shared_elements(sets, expected)
+    met = reduced.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
+    blocks = cut_lineage(met.groupBy("family", "meet").agg(
+        F.count("*").alias("rows"), F.sum("kept").alias("total"), F.max(F.col("band") == F.col("meet")).alias("own"))
         .filter("own and rows > 1")  # where nobody is at home, all meet in their own band
         .select("family", "meet", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).alias("blocks")), "blocks")
     dealt = (met.join(blocks, ["family", "meet"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-             .select("family", "meet", "low", "high", "block", "band", "k", "elements"))
+             .select("family", "meet", "low", "high", "block", "band", "k", "n", "elements"))
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         _, meet, low, high = (x.as_py() for x in key)
         t = t.sort_by("k")
         ks, block, home = t["k"].to_numpy(), t["block"].to_numpy(), t["band"].to_numpy() == meet
         found = [np.frombuffer(x, np.uint64) for x in t["elements"].to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = t["n"].to_numpy()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -380,7 +408,9 @@ def _compare_families(sets: DataFrame, sizes: DataFrame, num: int, den: int) ->
         tied = top != np.arange(len(ks))
         return pa.table({"a": pa.array(ks[top[tied]], pa.int64()), "b": pa.array(ks[tied], pa.int64())})
 
-    return cut_lineage(dealt.groupBy("family", "meet", "low", "high").applyInArrow(compare, "a long, b long"), "edges")
+    edges = cut_lineage(dealt.groupBy("family", "meet", "low", "high").applyInArrow(compare, "a long, b long"), "edges")
+    free(reduced, blocks, shuffles=True)
+    return edges
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
@@ -461,8 +491,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = cut_lineage(known.join(families, "k").groupBy("k", "family").agg(
         F.min("doc").alias("doc"), F.min("band").alias("band"), F.min("n_shingles").alias("n")), "wanted")
     free(apart, families)
-    more = _compare_families(_sets(docs, chosen.select("k", "family", "doc"), id_col, text_col, n, num, den, k2),
-                             chosen.select("k", "family", "band", "n"), num, den)
+    expected = chosen.agg(F.sum("n")).first()[0] or 0
+    more = _compare_families(_sets(docs, chosen.select("k", "family", "doc"), id_col, text_col, n, num, den, k2), expected, num, den)
     free(chosen)
     edges = links.unionByName(more) if links is not None else more
     roots = connected_components(edges)

@@ -17,8 +17,14 @@ from reelsift.llm.exact_dedup import exact_dedup
 from reelsift.llm.queries import tokenizer_path
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of 8 MB in place of 64, on both sides of the Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: no letters, or far from every learned language."""
+    _small_batches(spark)
     model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
     return langid.identify(docs, model).filter("not rejected").select(*docs.columns)
 
@@ -33,6 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest id, null ids last, of rows of one id that of the smallest hash. Rows count by all their
     columns, so rows that share an id, and rows without one, take part each for itself; of rows equal in
     every column one stays. Rows without words link with nothing and all stay."""
+    _small_batches(spark)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
     keyed = docs.withColumn("_row", row)
@@ -49,11 +56,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source near its target: documents come as often as the mix takes them, or not at all."""
+    _small_batches(spark)
     return mixing.mix_documents(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences of at most 2048 tokens."""
+    _small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 

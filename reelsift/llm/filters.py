@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import cut_lineage
+from reelsift.llm.common import cut_lineage, trimmed
 
 #: Different hashes that a task counts before it passes them on, and hashes of a bucket on average.
 HELD, BUCKET = 4_000_000, 2_000_000
@@ -92,5 +92,5 @@ def frequent_hashes(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple
                         [np.frombuffer(zlib.decompress(x), np.int64) for x in table["counts"].to_pylist()])
         return pa.table({"h": pa.array(key[n >= least].view(np.int64))})
 
-    blocks = df.mapInArrow(count, "bucket int, keys binary, counts binary")
+    blocks = df.mapInArrow(trimmed(count), "bucket int, keys binary, counts binary")
     return cut_lineage(blocks.groupBy("bucket").applyInArrow(merge, "h long"), "frequent-hashes")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import crc_mod, without
+from reelsift.llm.common import crc_mod, without, trimmed
 from reelsift.llm.tokens import slices
 
 UNKNOWN = "und"
@@ -330,4 +330,4 @@ def identify(docs: DataFrame, model: CharModels | None, text_col: str = "text")
                 [*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64(), mask=n == 0), pa.array(n, pa.int64()), pa.array(out, pa.bool_())],
                 names=[*b.schema.names, *ADDED])
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(trimmed(label), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import connected_components, cut_lineage, without
+from reelsift.llm.common import connected_components, cut_lineage, trimmed, without
 from reelsift.operators.ranking import global_rank
 
 RANGE = 1 << 60     # of the seeded hash
@@ -165,7 +165,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             n = [len(t.split()) if t else 0 for t in b.column(5).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n, pa.int64())], names=[*b.schema.names[:5], "size"])
 
-    equal = rows.mapInArrow(measure, schema).groupBy("doc_id", "source", "pattern", "_a", "_b", "size").agg(F.count("*").alias("_n"))
+    equal = rows.mapInArrow(trimmed(measure), schema).groupBy("doc_id", "source", "pattern", "_a", "_b", "size").agg(F.count("*").alias("_n"))
     blocks = equal.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
     each = blocks.withColumn("_copy", F.explode(F.expr(f"sequence(_block * {COPIES}, least(_n, (_block + 1) * {COPIES}) - 1)"))).drop("_block")
     return cut_lineage(each.withColumn("draw", draw(seed)), "sized")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import connected_components, cut_lineage, free, words
+from reelsift.llm.common import connected_components, cut_lineage, free, trimmed, words
 from reelsift.llm.filters import broadcast_filter, frequent_hashes
 
 WORD_CACHE = 100_000
@@ -178,7 +178,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())],
                                                  names=["k", "family", "band", "n", "elements"])
 
-    return texts.mapInArrow(cut, "k long, family long, band long, n long, elements binary")
+    return texts.mapInArrow(trimmed(cut), "k long, family long, band long, n long, elements binary")
 
 
 def _packed(flat: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ def _counted(signed: DataFrame, buckets: int) -> DataFrame:
         total = np.add.reduceat(count[order], first)
         return pa.table({"sig": pa.array(sig[first][total > 1]), "count": pa.array(total[total > 1])})
 
-    sent = signed.select("sigs").mapInArrow(send, "bucket long, sigs binary, counts binary")
+    sent = signed.select("sigs").mapInArrow(trimmed(send), "bucket long, sigs binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(add, "sig long, count long")
 
 
@@ -286,7 +286,7 @@ def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int,
                 k = np.repeat(b.column(0).fill_null(0).to_numpy(), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(k[keep])], names=["sig", "k"])
 
-    return signed.mapInArrow(test, "sig long, k long")
+    return signed.mapInArrow(trimmed(test), "sig long, k long")
 
 
 def _verify(centres: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,7 +301,7 @@ def _verify(centres: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     full = right.join(left, "a").select("a", "b", "ea", "eb")
-    return cut_lineage(full.mapInArrow(keep, "a long, b long"), "links")
+    return cut_lineage(full.mapInArrow(trimmed(keep), "a long, b long"), "links")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -357,7 +357,7 @@ def _shared_elements(sets: DataFrame, expected: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([len(x) for x in flat], pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())],
                                                  names=["k", "family", "band", "n", "kept", "elements"])
 
-    reduced = cut_lineage(sets.select("k", "family", "band", "n", "elements").mapInArrow(reduce, "k long, family long, band long, n long, kept long, elements binary"), "shared-elements")
+    reduced = cut_lineage(sets.select("k", "family", "band", "n", "elements").mapInArrow(trimmed(reduce), "k long, family long, band long, n long, kept long, elements binary"), "shared-elements")
     free(often, shuffles=True)
     return reduced
 
@@ -444,7 +444,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                   pa.array(packed, pa.binary())], names=["doc", "n_shingles", "k", "band", "sigs"])
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
-    signed = cut_lineage(source.mapInArrow(sign, schema), "signed")
+    signed = cut_lineage(source.mapInArrow(trimmed(sign), schema), "signed")
     known = cut_lineage(signed.select("doc", "n_shingles", "k", "band"), "classes")
     rows = known.select("doc", "n_shingles", "k")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import cut_lineage
+from reelsift.llm.common import cut_lineage, trimmed
 
 SEQUENCE = 2048
 END_ID = 1
@@ -146,7 +146,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(cut), schema)
 
 
 def pack(pieces: DataFrame, length: int = SEQUENCE, group_pieces: int = 2048, seed: int = 17) -> DataFrame:

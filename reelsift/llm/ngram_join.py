@@ -49,7 +49,7 @@ BUCKET_SIGS = 250_000  # signatures of a range, about
 SENT_SIGS = 500_000  # signatures that a task counts at a time
 FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
-DENSE, COLUMNS = 16, 4096  # elements of more sets than this go to the matrix product, so many at a time
+DENSE, COLUMNS = 16, 1024  # elements of more sets than this go to the matrix product, so many at a time
 
 _hashes: dict[bytes, int] = {}
 
@@ -345,6 +345,7 @@ def _shared_elements(sets: DataFrame, expected: int) -> DataFrame:
             flat = np.frombuffer(b"".join(batch.column(0).slice(at, SLICE).to_pylist()), np.uint64)
             yield flat, np.ones(len(flat), np.int64)
 
+    sets = cut_lineage(sets.select("k", "family", "band", "n", "elements"), "family-sets")
     often = frequent_hashes(sets.select("elements"), of, 2, expected)
     known = broadcast_filter(often, often.count(), bits_each=8)
 
@@ -357,8 +358,8 @@ def _shared_elements(sets: DataFrame, expected: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([len(x) for x in flat], pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())],
                                                  names=["k", "family", "band", "n", "kept", "elements"])
 
-    reduced = cut_lineage(sets.select("k", "family", "band", "n", "elements").mapInArrow(trimmed(reduce), "k long, family long, band long, n long, kept long, elements binary"), "shared-elements")
-    free(often, shuffles=True)
+    reduced = cut_lineage(sets.mapInArrow(trimmed(reduce), "k long, family long, band long, n long, kept long, elements binary"), "shared-elements")
+    free(sets, often, shuffles=True)
     return reduced
 
 

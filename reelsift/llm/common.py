@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reelsift.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read_table", "without", "words", "crc_mod",
-           "free", "trimmed", "connected_components"]
+           "checked_broadcast", "free", "trimmed", "connected_components"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -55,6 +55,12 @@ def free(*tables: DataFrame, shuffles: bool = False) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` must be a written table (its count comes from the footers): hint a broadcast up
+    to ``max_rows`` rows, and leave the join to Spark's shuffle beyond."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def trimmed(go: Callable) -> Callable:
     """``go`` for mapInArrow, after which freed memory goes back to the system: workers are kept for later
     tasks, and two of them stand beside each executor's heap."""

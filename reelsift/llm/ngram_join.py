@@ -36,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import connected_components, cut_lineage, free, trimmed, words
+from reelsift.llm.common import checked_broadcast, connected_components, cut_lineage, free, trimmed, words
 from reelsift.llm.filters import broadcast_filter, frequent_hashes
 
 WORD_CACHE = 100_000
+MAX_BROADCAST_ROWS = 1_000_000  # of (class, family, id) rows, under 64 bytes each; beyond, the texts are shuffled
 SLICE = 250  # documents whose signatures are held at a time
 BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 500_000  # of a group that one task compares
 SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
@@ -162,7 +163,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
     """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes: their
     texts are read and cut again. Rows that repeat an id and text repeat here."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
+    texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, k2)

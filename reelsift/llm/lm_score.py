@@ -9,10 +9,11 @@ its share within the class follows its count (add one half, one unseen word more
     p(word | before) = p(class | state) * (c + 0.5) / (N_class + 0.5 (V_class + 1))   for the others.
 
 The network is a GRU in numpy, trained by truncated backpropagation on all training documents, each
-read once: they are dealt to rounds and there to shards of ``least_tokens`` tokens or a little more,
-whose number grows with the corpus. The shards of a round train side by side from the same weights;
-their weights are written and averaged in Spark, and the next round starts from them. Scoring carries the state across windows, over
-whole documents. Frequent words (``head`` at most) are known to every worker; the counts of the
+read once: they are dealt to rounds and there to shards of ``least_tokens`` tokens or a little more.
+Both numbers grow with the corpus, the rounds with the cube root of all shards. The shards of a round
+train side by side from the same state; their weights and Adam's moments are written and averaged in
+Spark, and the next round starts from them. Scoring carries the state across windows, over whole
+documents. Frequent words (``head`` at most) are known to every worker; the counts of the
 others come by a join of the documents' rare words.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import cut_lineage, words
+from reelsift.llm.common import cut_lineage, free, words
 
 CLASS, SYMBOLS, RARE = 32, 1024, 16
 CLASSES = SYMBOLS // CLASS + RARE
@@ -39,8 +40,9 @@ END = 0
 WINDOW, LANES = 16, 256     # of truncated backpropagation
 LEAST_WINDOWS = 64          # of a lane, unless the lane is the only one
 PIECE = 65_536              # symbols of a long document that one shard reads at a time
-SCORE_WINDOW = 32
+SCORE_WINDOW, SCORE_LANES = 16, 256
 BATCH_TOKENS = 2_000_000    # scored side by side
+BAND, PARTIALS = 8_192, 64   # of the sums of weights
 COUNT_WORDS = 400_000       # words that a task counts before it hands them on
 LOG10 = math.log(10)
 
@@ -167,94 +169,143 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
-    """One GRU step for symbols ``x`` and states ``h``: new states, and what backpropagation needs."""
-    gx, gh = p["x"][x], h @ p["h"]
-    rz = _sigmoid(gx[:, :2 * HIDDEN] + gh[:, :2 * HIDDEN])
-    r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-    n = _sigmoid(2 * (gx[:, 2 * HIDDEN:] + r * gh[:, 2 * HIDDEN:]))
+def split(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights as :func:`step` and :func:`outputs` use them: a table of its own for each gate, so
+    that a gate's values lie together, and output columns first, so that softmax sums run along memory."""
+    q = {f"{k}{g}": np.ascontiguousarray(p[k][:, i * HIDDEN:(i + 1) * HIDDEN]) for k in "xh" for i, g in enumerate("rzn")}
+    return {**q, "c": np.ascontiguousarray(p["c"].T), "cb": p["cb"][:, None], "w": np.ascontiguousarray(p["w"].T), "wb": p["wb"][:, None]}
+
+
+def step(q: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
+    """One GRU step for symbols ``x`` and states ``h`` (a row each; ``q`` as :func:`split` gives it):
+    new states, and what backpropagation needs."""
+    r, z, ghn = h @ q["hr"], h @ q["hz"], h @ q["hn"]
+    r += q["xr"].take(x, 0)
+    z += q["xz"].take(x, 0)
+    _sigmoid(r)
+    _sigmoid(z)
+    n = r * ghn
+    n += q["xn"].take(x, 0)
+    n *= 2
+    _sigmoid(n)
     n *= 2
     n -= 1
-    return n + z * (h - n), (r, z, n, gh[:, 2 * HIDDEN:])
+    new = h - n
+    new *= z
+    new += n
+    return new, (r, z, n, ghn)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    """The logarithm of each column's sum of exponentials; ``x`` becomes the softmax."""
+    top = x.max(0)
+    x -= top
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    return np.log(total) + top
 
 
 def classes_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < SYMBOLS, symbols // CLASS, SYMBOLS // CLASS + symbols - SYMBOLS)
+    return np.where(symbols < SYMBOLS, symbols // CLASS, SYMBOLS // CLASS + symbols - SYMBOLS).astype(np.uint8)
 
 
-def outputs(p: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, grads: dict[str, np.ndarray] | None = None):
+def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, grads: dict[str, np.ndarray] | None = None):
     """Log probability (natural) of each symbol after its state; with ``grads``, adds to them and
-    returns the states' gradients of the summed negative log likelihood too."""
+    returns the states' gradients of the summed negative log likelihood too. Tokens are put in the
+    order of their classes, so that a class is a run of rows."""
     k = classes_of(symbols)
-    rows = np.arange(len(k))
-    by_class = _log_softmax(states @ p["c"] + p["cb"])
-    out = by_class[rows, k].astype(np.float64)
+    order = np.argsort(k, kind="stable")
+    k, symbols, states = k[order], symbols[order], states.take(order, 0)
+    at = np.arange(len(k))
+    x = q["c"] @ states.T
+    x += q["cb"]
+    own = x[k, at]
+    out = (own - _log_sums(x)).astype(np.float64)
     back = None
     if grads is not None:
-        d = np.exp(by_class)
-        d[rows, k] -= 1
-        grads["c"] += states.T @ d
-        grads["cb"] += d.sum(0)
-        back = d @ p["c"].T
-    order = np.argsort(k, kind="stable")
-    cuts = np.searchsorted(k[order], np.arange(SYMBOLS // CLASS + 1))
+        x[k, at] -= 1
+        grads["c"] += (x @ states).T
+        grads["cb"] += x.sum(1)
+        back = x.T @ q["c"]
+    cuts = np.searchsorted(k, np.arange(SYMBOLS // CLASS + 1))
     for c in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[c]:cuts[c + 1]]
-        own = slice(c * CLASS, (c + 1) * CLASS)
-        s, j = states[at], symbols[at] - c * CLASS
-        by_word = _log_softmax(s @ p["w"][:, own] + p["wb"][own])
-        out[at] += by_word[np.arange(len(at)), j]
+        here, words_ = slice(cuts[c], cuts[c + 1]), slice(c * CLASS, (c + 1) * CLASS)
+        s, j, at = states[here], symbols[here] - c * CLASS, np.arange(cuts[c + 1] - cuts[c])
+        x = q["w"][words_] @ s.T
+        x += q["wb"][words_]
+        own = x[j, at]
+        out[here] += own - _log_sums(x)
         if grads is not None:
-            d = np.exp(by_word)
-            d[np.arange(len(at)), j] -= 1
-            grads["w"][:, own] += s.T @ d
-            grads["wb"][own] += d.sum(0)
-            back[at] += d @ p["w"][:, own].T
-    return out, back
+            x[j, at] -= 1
+            grads["w"][:, words_] += (x @ s).T
+            grads["wb"][words_] += x.sum(1)
+            back[here] += x.T @ q["w"][words_]
+    logp = np.empty_like(out)
+    logp[order] = out
+    if grads is None:
+        return logp, None
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return logp, unsorted
 
 
 def train_window(p, x: np.ndarray, y: np.ndarray, h: np.ndarray):
     """Gradients of one window (steps x lanes) by backpropagation that stops at its first step; an
     end as input opens a document with an empty state. Returns them, the mean loss and the states."""
-    steps, states, kept = [], [], []
+    q, steps, states, kept = split(p), [], [], []
     for t in range(len(x)):
-        on = (x[t] != END).astype(np.float32)[:, None]
+        on = (x[t] != END).astype(h.dtype)[:, None]
         before = h * on
-        h, parts = step(p, x[t], before)
+        h, parts = step(q, x[t], before)
         steps.append(parts)
         states.append(h)
         kept.append((before, on))
     g = {k: np.zeros_like(a) for k, a in p.items()}
-    logp, back = outputs(p, np.concatenate(states), y.ravel(), g)
+    logp, back = outputs(q, np.concatenate(states), y.ravel(), g)
     back = back.reshape(len(x), -1, HIDDEN)
     dh = np.zeros_like(h)
-    wide = np.zeros((len(x), x.shape[1], 3 * HIDDEN), np.float32)
+    wide = np.empty((len(x), x.shape[1], 3 * HIDDEN), h.dtype)
     for t in range(len(x) - 1, -1, -1):
         (r, z, n, ghn), (before, on) = steps[t], kept[t]
-        dh = dh + back[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * ghn * r * (1 - r)
-        wide[t] = np.concatenate([dr, dz, dn], 1)
-        dgh = np.concatenate([dr, dz, dn * r], 1)
-        g["h"] += before.T @ dgh
-        dh = (dh * z + dgh @ p["h"].T) * on
-    order = np.argsort(x.ravel(), kind="stable")
-    symbols = x.ravel()[order]
+        dh += back[t]
+        dn = (1 - z) * dh
+        dn *= 1 - n * n
+        dz = before - n
+        dz *= dh
+        dz *= z * (1 - z)
+        dr = dn * ghn
+        dr *= r * (1 - r)
+        wide[t, :, :HIDDEN], wide[t, :, HIDDEN:2 * HIDDEN], wide[t, :, 2 * HIDDEN:] = dr, dz, dn
+        dn *= r  # from here the gradient of the states' part
+        g["h"] += before.T @ np.concatenate([dr, dz, dn], 1)
+        dh *= z
+        dh += dr @ q["hr"].T
+        dh += dz @ q["hz"].T
+        dh += dn @ q["hn"].T
+        dh *= on
+    symbols = x.ravel().astype(np.int16, copy=False)
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
     first = np.flatnonzero(np.diff(symbols, prepend=-1))
-    g["x"][symbols[first]] = np.add.reduceat(wide.reshape(-1, 3 * HIDDEN)[order], first)
+    g["x"][symbols[first]] = np.add.reduceat(wide.reshape(-1, 3 * HIDDEN).take(order, 0), first)
     return g, -logp.mean(), h
 
 
-def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
+def with_moments(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights and Adam's state, which goes on from round to round: both moments, and the updates made."""
+    return {**p, **{f"m.{k}": np.zeros_like(a) for k, a in p.items()}, **{f"s.{k}": np.zeros_like(a) for k, a in p.items()},
+            "updates": np.zeros(1, np.float32)}
+
+
+def train(state: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, done: float = 0.0, share: float = 1.0) -> dict[str, np.ndarray]:
     """Adam over the documents once, laid end to end in at most ``LANES`` lanes; the few symbols that
-    do not fill all lanes go to a last, shorter lane of their own."""
-    flat = np.concatenate(docs).astype(np.int32)
+    do not fill all lanes go to a last, shorter lane of their own. ``state`` is that of
+    :func:`with_moments` (bare weights start anew); the rate falls evenly over the whole training,
+    of which ``done`` lies behind and this call is ``share``."""
+    state = {k: a.copy() for k, a in (state if "updates" in state else with_moments(state)).items()}
+    p = {k: state[k] for k in state if k != "updates" and "." not in k}
+    flat = np.concatenate(docs)
     lanes = max(1, min(LANES, len(flat) // (LEAST_WINDOWS * WINDOW)))
     length = len(flat) // lanes
     before = np.concatenate([[END], flat[:-1]])
@@ -262,88 +313,129 @@ def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float) -> dict
     parts = [(before[:even].reshape(lanes, length).T, flat[:even].reshape(lanes, length).T)]
     if even < len(flat):
         parts.append((before[even:, None], flat[even:, None]))
-    p = {k: a.copy() for k, a in p.items()}
-    m, s, n = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    total = sum(-(-len(x) // WINDOW) for x, _ in parts)
+    total, n = sum(-(-len(x) // WINDOW) for x, _ in parts), 0
     for x, y in parts:
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for at in range(0, len(x), WINDOW):
             g, _, h = train_window(p, x[at:at + WINDOW], y[at:at + WINDOW], h)
             n += 1
-            now = rate * (1 - 0.9 * n / total) * x.shape[1] / lanes
-            scale = 1.0 / y[at:at + WINDOW].size
+            state["updates"] += 1
+            made = float(state["updates"][0])
+            now = rate * (1 - 0.9 * (done + share * n / total)) * x.shape[1] / lanes / (1 - 0.9**made)
+            scale, root = 1.0 / y[at:at + WINDOW].size, math.sqrt(1 - 0.99**made)
             for k, a in p.items():
-                d = g[k] * scale
-                m[k] += 0.1 * (d - m[k])
-                s[k] += 0.01 * (d * d - s[k])
-                a -= now * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)
-    return p
+                m, s, d = state[f"m.{k}"], state[f"s.{k}"], g[k]
+                d *= scale
+                m *= 0.9
+                m += 0.1 * d
+                d *= d
+                d *= 0.01
+                s *= 0.99
+                s += d
+                np.sqrt(s, out=d)
+                d /= root
+                d += 1e-6
+                np.divide(m, d, out=d)
+                d *= now
+                a -= d
+    return state
 
 
 def score_docs(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each document's symbols. Documents run side by side, longest first, in
-    windows; the states go on from one window to the next."""
+    """Log10 probability of each document's symbols. Documents of like length run side by side,
+    ``SCORE_LANES`` at a time, in windows; the states go on from one window to the next."""
+    q = split(p)
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    order = np.argsort(-sizes, kind="stable")
-    lens, flat = sizes[order], np.concatenate([docs[i] for i in order])
-    starts = np.cumsum(lens) - lens
+    order, out = np.argsort(-sizes, kind="stable"), np.empty(len(docs))
+    for first in range(0, len(docs), SCORE_LANES):
+        some = order[first:first + SCORE_LANES]
+        out[some] = _score_lanes(q, [docs[i] for i in some], sizes[some])
+    return out
+
+
+def _score_lanes(q: dict[str, np.ndarray], docs: list[np.ndarray], lens: np.ndarray) -> np.ndarray:
+    """``docs`` from the longest to the shortest; a lane ends with its document."""
+    flat, starts = np.concatenate(docs), np.cumsum(lens) - lens
     alive = np.searchsorted(-lens, -np.arange(int(lens[0]) + 1), side="left")  # documents longer than t
-    total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32)
+    total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), q["hn"].dtype)
     for at in range(0, int(lens[0]), SCORE_WINDOW):
         states, symbols, owner = [], [], []
         for t in range(at, min(at + SCORE_WINDOW, int(lens[0]))):
             n = alive[t]
             x = flat[starts[:n] + t - 1] if t else np.zeros(n, np.int32)
-            h, _ = step(p, x, h[:n])
+            h, _ = step(q, x, h[:n])
             states.append(h)
             symbols.append(flat[starts[:n] + t])
             owner.append(np.arange(n))
-        logp, _ = outputs(p, np.concatenate(states), np.concatenate(symbols))
+        logp, _ = outputs(q, np.concatenate(states), np.concatenate(symbols))
         total += np.bincount(np.concatenate(owner), logp, len(docs))
-    out = np.empty(len(docs))
-    out[order] = total / LOG10
-    return out
+    return total / LOG10
 
 
 # ---- on Spark --------------------------------------------------------------------------------
 
-def _learner(weights, rate: float):
-    """Trains one shard from the broadcast ``weights``, on its pieces in the order of their draw."""
+READ = "doc_id", "draw", "training", "copy", "n_tokens", "n_known", "base", "lm", "tail", "symbols"
+
+
+def read_texts(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str, training: Column, seed: int) -> DataFrame:
+    """Every text once, as a written table: its symbols (int16), what the words of the head add to both
+    scores, and the words beyond it (``tail``). ``draw`` deals rows to shards; ``copy`` counts rows that
+    repeat their draw in a batch, so that many equal rows do not meet in one shard (which of them goes
+    where follows the batches)."""
+    shared = docs.sparkSession.sparkContext.broadcast(Reader(v))
+    types = (docs.schema[id_col].dataType, T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(),
+             T.ArrayType(T.StructType().add("word", "string").add("n", "long")), T.BinaryType())
+    pair = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = shared.value
+        for b in batches:
+            copies, n, known, base, lm, tails, out, seen = [], [], [], [], [], [], [], Counter()
+            for draw, text in zip(b.column(1).to_pylist(), b.column(3).cast(pa.binary()), strict=True):
+                symbols, places, beyond = reader.read(text.as_py())
+                head = places[places >= 0] if beyond else places
+                n.append(len(symbols))
+                known.append(len(head) + (v.ends > 0))
+                base.append(reader.base[head].sum() + reader.end - len(beyond) * reader.floor)
+                lm.append(reader.within[head].sum())
+                if beyond:
+                    lm[-1] -= reader.rare_floor[symbols[:-1][places < 0] - SYMBOLS].sum()
+                tails.append([{"word": w.decode(), "n": c} for w, c in Counter(beyond).items()])
+                out.append(symbols.astype(np.int16).tobytes())
+                copies.append(seen[draw])
+                seen[draw] += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(copies, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                                              pa.array(base, pa.float64()), pa.array(lm, pa.float64()), pa.array(tails, pair), pa.array(out, pa.binary())], names=READ)
+
+    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(1 << 60))
+    chosen = docs.select(F.col(f"`{id_col}`"), draw, F.coalesce(training, F.lit(False)), F.col(f"`{text_col}`").cast("string"))
+    schema = T.StructType([T.StructField(k, t) for k, t in zip(READ, types, strict=True)])
+    return cut_lineage(chosen.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "read")
+
+
+def _learner(state, rate: float, done: float, share: float):
+    """Trains one shard from the broadcast ``state``, on its pieces in the order of their draw."""
     def learn(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([("draw", "ascending"), ("place", "ascending"), ("symbols", "ascending")])
         texts = [np.frombuffer(s, np.int16) for s in t["symbols"].to_pylist()]
-        new = train(weights.value, texts, rate)
+        new = train(state.value, texts, rate, done, share)
         return pa.table({"tokens": pa.array([sum(map(len, texts))], pa.int64()),
                          "weights": pa.array([np.concatenate([a.ravel() for a in new.values()]).tobytes()], pa.binary())})
 
     return learn
 
 
-def dealt(chosen: DataFrame, reader, slots: int) -> DataFrame:
-    """(draw, place, slot, symbols): the texts of ``chosen`` (draw, text) in pieces of ``PIECE``
-    symbols at most, dealt evenly to ``slots``. Rows that repeat their draw in a batch count up, so
-    that many equal rows do not meet in one slot."""
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            draws, places, copies, out, seen = [], [], [], [], Counter()
-            for draw, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                read = reader.value.read(text)[0].astype(np.int16)
-                for at in range(0, len(read), PIECE):
-                    draws.append(draw)
-                    places.append(at)
-                    copies.append(seen[draw])
-                    out.append(read[at:at + PIECE].tobytes())
-                seen[draw] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), pa.array(places, pa.int64()), pa.array(copies, pa.int64()),
-                                              pa.array(out, pa.binary())], names=["draw", "place", "copy", "symbols"])
-
-    read = chosen.mapInArrow(symbols, "draw long, place long, copy long, symbols binary")
-    slot = F.pmod(F.xxhash64("draw", "place", "copy"), F.lit(slots))
-    return cut_lineage(read.select("draw", "place", slot.alias("slot"), "symbols"), "symbols")
+def dealt(read: DataFrame, slots: int) -> DataFrame:
+    """(draw, place, slot, symbols): the training texts of ``read`` in pieces of ``PIECE`` symbols at
+    most, dealt evenly to ``slots``."""
+    pieces = read.filter("training").select("draw", "copy", "symbols", F.explode(F.sequence(F.lit(0), F.octet_length("symbols") - 1, F.lit(2 * PIECE))).alias("place"))
+    return pieces.select("draw", "place", F.pmod(F.xxhash64("draw", "place", "copy"), F.lit(slots)).alias("slot"),
+                         F.substring("symbols", F.col("place") + 1, F.lit(2 * PIECE)).alias("symbols"))
 
 
-def averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The mean of the shards' weights by their tokens, summed in Spark; ``weights`` without shards."""
+def averaged(found: DataFrame, state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean of the shards' states by their tokens, summed in Spark: ``PARTIALS`` partial sums at
+    most, then a sum per band of ``BAND`` numbers. ``state`` without shards."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
@@ -351,38 +443,56 @@ def averaged(found: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.n
                 one = np.append(np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * tokens, tokens)
                 total = one if total is None else total + one
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
-
-    sums = found.mapInArrow(add, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).collect()  # a row per weight
-    if not sums:
-        return weights
-    flat = np.empty(len(sums))
-    flat[[r.pos for r in sums]] = [r.s for r in sums]
-    cuts = np.cumsum([a.size for a in weights.values()])
-    return {k: x.reshape(a.shape).astype(np.float32) for (k, a), x in zip(weights.items(), np.split(flat[:-1] / flat[-1], cuts[:-1]), strict=True)}
+            bands = [total[at:at + BAND].tobytes() for at in range(0, len(total), BAND)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(bands)), pa.int32()), pa.array(bands, pa.binary())], names=["band", "sums"])
+
+    def together(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        return pa.table({"band": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([sum(np.frombuffer(s, np.float64) for s in t["sums"].to_pylist()).tobytes()], pa.binary())})
+
+    partial = found.coalesce(PARTIALS).mapInArrow(add, "band int, sums binary")
+    bands = sorted(partial.groupBy("band").applyInArrow(together, "band int, sums binary").collect(), key=lambda r: r.band)  # a row per ``BAND`` weights
+    if not bands:
+        return state
+    flat = np.concatenate([np.frombuffer(r.sums, np.float64) for r in bands])
+    cuts = np.cumsum([a.size for a in state.values()])
+    return {k: x.reshape(a.shape).astype(np.float32) for (k, a), x in zip(state.items(), np.split(flat[:-1] / flat[-1], cuts[:-1]), strict=True)}
+
+
+def counted(chosen: DataFrame, text_col: str, head: int):
+    """(counts, vocabulary) of the training rows ``chosen``."""
+    counts = word_counts(chosen.select(F.col(f"`{text_col}`").cast("string").alias("text")))
+    return counts, vocabulary(counts, chosen.count(), head)
+
+
+def learned(read: DataFrame, v: Vocabulary, least_tokens: int, rounds: int | None, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """The network's weights after all rounds over the training texts of ``read``."""
+    sc = read.sparkSession.sparkContext
+    state = with_moments(first_weights(v, seed))
+    if v.tokens:
+        rounds = rounds or max(2, round((v.tokens / least_tokens) ** (1 / 3)))
+        shards = max(1, v.tokens // (rounds * least_tokens))
+        pieces = dealt(read, rounds * shards)
+        for i in range(rounds):
+            learn = _learner(sc.broadcast(state), rate, i / rounds, 1 / rounds)
+            mine = pieces.filter(f"slot >= {i * shards} and slot < {(i + 1) * shards}").repartition(shards, "slot")
+            found = cut_lineage(mine.groupBy("slot").applyInArrow(learn, "tokens long, weights binary"), "weights")
+            state = averaged(found, state)
+            free(found)
+    return {k: a for k, a in state.items() if k != "updates" and "." not in k}
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, training: Column, *, head: int = 200_000, least_tokens: int = 500_000,
-        rounds: int = 2, rate: float = 0.02, seed: int = 29):
-    """Counts and a network, both over all training documents. The network reads each document in
-    one of ``rounds`` rounds, in shards of ``least_tokens`` tokens or a little more (one shard a
-    round if there are fewer). Returns (counts, vocabulary, weights)."""
-    spark = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("string").alias("text")
+        rounds: int | None = None, rate: float = 0.02, seed: int = 29):
+    """Counts and a network, both over all training documents. The network reads each document in one
+    of ``rounds`` rounds, in shards of ``least_tokens`` tokens or a little more (one shard a round if
+    there are fewer). By default the rounds grow with the cube root of the corpus' shards (two at
+    least), so that a larger corpus gives more updates one after the other, and more side by side.
+    Returns (counts, vocabulary, weights)."""
     chosen = docs.filter(training)
-    ends = chosen.count()
-    counts = word_counts(chosen.select(text))
-    v = vocabulary(counts, ends, head)
-    weights = first_weights(v, seed)
-    if not v.tokens:
-        return counts, v, weights
-    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(1 << 60))
-    shards = max(1, v.tokens // (rounds * least_tokens))
-    pieces = dealt(chosen.select(draw.alias("draw"), text), spark.sparkContext.broadcast(Reader(v)), rounds * shards)
-    for i in range(rounds):
-        learn = _learner(spark.sparkContext.broadcast(weights), rate / (1 + i))
-        mine = pieces.filter(f"slot >= {i * shards} and slot < {(i + 1) * shards}").repartition(shards, "slot")
-        weights = averaged(cut_lineage(mine.groupBy("slot").applyInArrow(learn, "tokens long, weights binary"), "weights"), weights)
+    counts, v = counted(chosen, text_col, head)
+    read = read_texts(chosen, v, id_col, text_col, F.lit(True), seed)
+    weights = learned(read, v, least_tokens, rounds, rate, seed)
+    free(read)
     return counts, v, weights
 
 
@@ -393,46 +503,42 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     text is empty: one end. Rows that repeat an id are scored each. Without training documents every
     count is 0 and the network stays as it starts."""
     counts, v, weights = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((Reader(v), weights))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in (
-        ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("lm", T.DoubleType()),
-        ("tail", T.ArrayType(T.StructType().add("word", "string").add("n", "long")))))])
-    pair = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+    return scored(read_texts(docs, v, id_col, text_col, F.lit(False), 0), counts, v, weights)
+
+
+def fit_score(docs: DataFrame, id_col: str, text_col: str, training: Column, *, head: int = 200_000, least_tokens: int = 500_000,
+              rounds: int | None = None, rate: float = 0.02, seed: int = 29) -> DataFrame:
+    """:func:`fit` on the training rows of ``docs`` and :func:`score` of all of them, with ``training``
+    as a column too; each text is cut into symbols once for both."""
+    counts, v = counted(docs.filter(training), text_col, head)
+    read = read_texts(docs, v, id_col, text_col, training, seed)
+    return scored(read, counts, v, learned(read, v, least_tokens, rounds, rate, seed), "training")
+
+
+def scored(read: DataFrame, counts: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray], *extra: str) -> DataFrame:
+    """:func:`score` of texts that have been read, with columns ``extra`` of theirs."""
+    shared = read.sparkSession.sparkContext.broadcast(weights)
+    rows = read.select("doc_id", *extra, "n_tokens", "n_known", "base", "lm", "uid", "symbols")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, p = shared.value
         for b in batches:
-            texts, at = b.column(1), 0
+            texts, at, net = b.column("symbols"), 0, [np.zeros(0)]
             while at < len(texts):
-                found, size, first = [], 0, at
+                found, size = [], 0
                 while at < len(texts) and (size == 0 or size < BATCH_TOKENS):
-                    found.append(reader.read(texts[at].cast(pa.binary()).as_py()))
-                    size += len(found[-1][0])
+                    found.append(np.frombuffer(texts[at].as_buffer(), np.int16))
+                    size += len(found[-1])
                     at += 1
-                lm = score_docs(p, [s for s, _, _ in found])
-                n, known, base, tails = [], [], [], []
-                for i, (symbols, places, beyond) in enumerate(found):
-                    head = places[places >= 0]
-                    n.append(len(symbols))
-                    known.append(len(head) + (v.ends > 0))
-                    base.append(reader.base[head].sum() + reader.end - len(beyond) * reader.floor)
-                    lm[i] += reader.within[head].sum()
-                    if beyond:
-                        lm[i] -= reader.rare_floor[symbols[:-1][places < 0] - SYMBOLS].sum()
-                    tails.append([{"word": w.decode(), "n": c} for w, c in Counter(beyond).items()])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, at - first), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                                                  pa.array(base, pa.float64()), pa.array(lm, pa.float64()), pa.array(tails, pair)],
-                                                 names=["doc_id", "n_tokens", "n_known", "base", "lm", "tail"])
-
-    read = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
-    scored = cut_lineage(read.withColumn("uid", F.monotonically_increasing_id()), "scored")
+                net.append(score_docs(shared.value, found))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(net))], names=[*b.schema.names[:-1], "net"])
+
+    full = cut_lineage(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("net", T.DoubleType())])), "scored")
     # counts of the words beyond the head, which no worker knows
     rare = counts.filter(F.col("c") < v.least)
-    tail = scored.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n").join(rare, "word", "left")
+    tail = read.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n").join(rare, "word", "left")
     sums = tail.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("more"),
                                    F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
-    full = scored.drop("tail").join(sums, "uid", "left")
+    full = full.join(sums, "uid", "left")
     more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return full.select("doc_id", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-                       (F.col("base") + more).alias("base_score"), (F.col("lm") + more).alias("score"))
+    return full.select("doc_id", *extra, "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
+                       (F.col("base") + more).alias("base_score"), (F.col("lm") + F.col("net") + more).alias("score"))

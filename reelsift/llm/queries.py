@@ -119,9 +119,8 @@ def op10_lm_score(spark, sf_dir):
     """Log10 probability of every document, learned from the documents that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod(F.col("doc_id"), 5) == 1
-    model = lm_score.fit(docs, "doc_id", "text", ~held_out)
-    return (lm_score.score(docs, model)
-            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    return (lm_score.fit_score(docs, "doc_id", "text", ~held_out)
+            .select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
 @register("op11_conversation_trie", sql=r"""

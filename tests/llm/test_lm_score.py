@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import zlib
 from collections import Counter
@@ -159,3 +160,38 @@ def test_training_reads_every_symbol_once(monkeypatch):
     text = np.r_[np.arange(1, 41).repeat(60), lm.END].astype(np.int16)
     lm.train(p, [text], 0.02)
     assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(text))
+
+
+def test_states_are_averaged_by_their_tokens(spark):
+    rng = np.random.default_rng(5)
+    one, other = ({k: rng.standard_normal(a.shape).astype(np.float32) for k, a in lm.with_moments(weights(0, 0)).items()} for _ in range(2))
+    rows = [(n, np.concatenate([a.ravel() for a in x.values()]).tobytes()) for n, x in ((3, one), (1, other))]
+    got = lm.averaged(spark.createDataFrame([(n, bytearray(w)) for n, w in rows], "tokens long, weights binary").repartition(2), one)
+    assert sum(a.size for a in one.values()) > 3 * lm.BAND
+    for k in one:
+        assert np.allclose(got[k], (3 * one[k] + other[k]) / 4, atol=1e-5)
+
+
+def test_moments_and_updates_go_on_from_round_to_round():
+    text = np.r_[np.arange(1, 41).repeat(60), lm.END].astype(np.int16)
+    first = lm.train(weights(0, 0), [text], 0.02, 0.0, 0.5)
+    again = lm.train(first, [text], 0.02, 0.5, 0.5)
+    assert again["updates"][0] == 2 * first["updates"][0] > 0
+    assert lm.score_docs(again, [text])[0] > lm.score_docs(first, [text])[0] > lm.score_docs(weights(0, 0), [text])[0]
+
+
+def test_rounds_grow_and_more_text_scores_held_out_text_better(spark, monkeypatch):
+    """Over one vocabulary, since scores of unknown words depend on it."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    away, calls, real = df.filter("doc_id % 10 = 1"), [], lm._learner
+    monkeypatch.setattr(lm, "_learner", lambda *a: (calls.append(a[2]), real(*a))[1])
+    counts, v = lm.counted(df.filter("doc_id % 10 <> 1"), "text", 200_000)
+    found = []
+    for part in ("doc_id % 100 = 0", "doc_id % 10 = 0", "doc_id % 10 <> 1"):
+        calls.clear()
+        read = lm.read_texts(df.filter(part), v, "doc_id", "text", F.lit(True), 29)
+        tokens = read.agg(F.sum("n_tokens")).first()[0]
+        weights = lm.learned(read, dataclasses.replace(v, tokens=tokens), 10_000, None, 0.02, 29)
+        found.append((len(calls), lm.score(away, (counts, v, weights)).agg(F.sum("score")).first()[0]))
+    assert found[0][0] == 2 and found[2][0] > 2
+    assert found[0][1] < found[1][1] < found[2][1]

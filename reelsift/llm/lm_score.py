@@ -162,7 +162,7 @@ def first_weights(v: Vocabulary, seed: int = 29) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
+    """In place; far below 0 the exponential overflows to infinity and the result is 0, as it should be."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -196,13 +196,14 @@ def step(q: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
     return new, (r, z, n, ghn)
 
 
-def _log_sums(x: np.ndarray) -> np.ndarray:
-    """The logarithm of each column's sum of exponentials; ``x`` becomes the softmax."""
+def _log_sums(x: np.ndarray, softmax: bool) -> np.ndarray:
+    """The logarithm of each column's sum of exponentials; ``x`` becomes the softmax if asked for."""
     top = x.max(0)
     x -= top
     np.exp(x, out=x)
     total = x.sum(0)
-    x /= total
+    if softmax:
+        x /= total
     return np.log(total) + top
 
 
@@ -221,7 +222,7 @@ def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, g
     x = q["c"] @ states.T
     x += q["cb"]
     own = x[k, at]
-    out = (own - _log_sums(x)).astype(np.float64)
+    out = (own - _log_sums(x, grads is not None)).astype(np.float64)
     back = None
     if grads is not None:
         x[k, at] -= 1
@@ -235,7 +236,7 @@ def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, g
         x = q["w"][words_] @ s.T
         x += q["wb"][words_]
         own = x[j, at]
-        out[here] += own - _log_sums(x)
+        out[here] += own - _log_sums(x, grads is not None)
         if grads is not None:
             x[j, at] -= 1
             grads["w"][:, words_] += (x @ s).T
@@ -250,6 +251,7 @@ def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, g
     return logp, unsorted
 
 
+@np.errstate(over="ignore")
 def train_window(p, x: np.ndarray, y: np.ndarray, h: np.ndarray):
     """Gradients of one window (steps x lanes) by backpropagation that stops at its first step; an
     end as input opens a document with an empty state. Returns them, the mean loss and the states."""
@@ -353,6 +355,7 @@ def score_docs(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@np.errstate(over="ignore")
 def _score_lanes(q: dict[str, np.ndarray], docs: list[np.ndarray], lens: np.ndarray) -> np.ndarray:
     """``docs`` from the longest to the shortest; a lane ends with its document."""
     flat, starts = np.concatenate(docs), np.cumsum(lens) - lens

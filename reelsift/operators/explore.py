@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reelsift.functions.dates import epoch_to_ts, in_range, month_start
 from reelsift.functions.labels import pct
 from reelsift.functions.text import GENRE_SENTINEL, contains_literal, normalize_tag, tag_clean
+from reelsift.operators.quantiles import exact_quantile
 
 # Fixed values of the reference analysis.
 LONG_TAIL = 10
@@ -238,10 +239,12 @@ def tag_relevance_mean(genome_scores: DataFrame, genome_tags: DataFrame, k: int
 
 
 def relevance_summary(genome_scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """AG-25: mean, median, % of pairs with relevance >= threshold."""
+    """AG-25: mean, median, % of pairs with relevance >= threshold. Relevance takes about as many values
+    as there are pairs, so the median is selected by ``exact_quantile`` while the query is built."""
     r = F.col("relevance").cast("double")
+    median = exact_quantile(genome_scores, r)
     return genome_scores.agg(F.round(F.avg(r), 6).alias("mean_relevance"),
-                             F.round(F.median(r), 6).alias("median_relevance"),
+                             F.round(F.lit(median).cast("double"), 6).alias("median_relevance"),
                              F.round(F.avg((r >= threshold).cast("double")) * 100, 6).alias("pct_relevant"))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelsift import adapt
 from reelsift.operators import explore as ex
+from reelsift.operators import partials
 from reelsift.operators import windows as wn
+from reelsift.operators.quantiles import exact_quantile
 from reelsift.queries import register
 from reelsift.queries.sql import with_tables
+from reelsift.session import cut_lineage, ensure_checkpoint_dir
 
 # Test-data thresholds (FIXTURES.md): movies have 14..49 ratings, so the quality list uses
 # >= 30 ratings and "blockbusters" >= 40; the three periods fall inside 1995..2001.
@@ -361,3 +366,31 @@ SELECT year, {_PIVOT8} FROM g8 JOIN rk USING (genre) GROUP BY year""")
 def q_genre_year_pivot(spark, sf):
     """AG-19 wide: the top-8 genres by rank, a name and a count each."""
     return ex.genre_year_pivot(_r(spark, sf), _m(spark, sf), 8)
+
+
+@register("movie_stats_refreshed", with_tables("ratings") + """
+SELECT movieId, CAST(count(rating) AS INTEGER) AS total_ratings, round(avg(CAST(rating AS DOUBLE)), 6) AS avg_rating,
+       round(coalesce(stddev_samp(CAST(rating AS DOUBLE)), 0), 6) AS rating_std,
+       CAST(min(rating) AS DOUBLE) AS min_rating, CAST(max(rating) AS DOUBLE) AS max_rating
+FROM ratings GROUP BY movieId""")
+def q_movie_stats_refreshed(spark, sf):
+    """AG-3 kept up to date: the ratings come in two parts by time, the second is added to the written
+    partials of the first, and the statistics come from the partials alone."""
+    ratings, path = adapt.ratings(spark, sf), f"{ensure_checkpoint_dir(spark)}/partials-{uuid.uuid4().hex[:16]}"
+    cut = ratings.agg(F.avg("timestamp")).first()[0]
+    partials.add_days(ratings.where(F.col("timestamp") < cut), path, "movieId", "userId", "first")
+    partials.add_days(ratings.where(F.col("timestamp") >= cut), path, "movieId", "userId", "second")
+    return partials.merged(spark, path, "movieId").select(
+        "movieId", "total_ratings", F.round("avg_rating", 6).alias("avg_rating"), F.round("rating_std", 6).alias("rating_std"), "min_rating", "max_rating")
+
+
+_PER_USER = "(SELECT CAST(count(*) AS DOUBLE) AS n FROM ratings GROUP BY userId)"
+
+
+@register("user_activity_quantiles", with_tables("ratings") + " UNION ALL ".join(
+    f"SELECT CAST({p} AS DOUBLE) AS p, quantile_cont(n, {p}) AS ratings_per_user FROM {_PER_USER}" for p in (0.25, 0.5, 0.9)))
+def q_user_activity_quantiles(spark, sf):
+    """AG-10/AG-25: exact quantiles of the ratings per user, each selected without a sort of the users."""
+    n = cut_lineage(adapt.ratings(spark, sf).groupBy("userId").agg(F.count(F.lit(1)).alias("n")), "activity")
+    found = [(p, exact_quantile(n, "n", p)) for p in (0.25, 0.5, 0.9)]
+    return spark.createDataFrame(found, "p double, ratings_per_user double")

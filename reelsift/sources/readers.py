@@ -108,14 +108,13 @@ def read_source(spark: SparkSession, src_dir: str) -> tuple[DataFrame, DataFrame
 
 def read_partitioned_ratings(spark: SparkSession, path: str, split_bytes: int = 128 << 20) -> DataFrame:
     """SRC-13: a large ratings file read as input splits of ``split_bytes`` (no chunk loop). File
-    scans take the split size from the session when they are planned, so the session's own value is
-    put back once this read has its splits."""
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(split_bytes))
-    try:
-        df = read_ratings(spark, path)
-        df.rdd.getNumPartitions()  # plans the scan; no job
-        return df
-    finally:
-        spark.conf.set(key, before)
+    scans take the split size from their session whenever a plan is made, so this read has a session
+    of its own (same application, same settings but for this one): whatever is derived from the frame
+    keeps its splits, and ``spark`` keeps its own. A join with frames of ``spark`` is planned by the
+    session of its left side; temporary views are not shared."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    return read_ratings(own, path)

@@ -97,6 +97,10 @@ def test_partitioned_read_splits_large_file(spark):
     try:
         df = rd.read_partitioned_ratings(spark, f"{d}/r", split_bytes=256 << 10)
         assert df.rdd.getNumPartitions() > 1 and df.count() == 60000
+        derived = df.where("rating > 1").select("userId")
+        assert derived.rdd.getNumPartitions() == df.rdd.getNumPartitions() > 2 * spark.read.csv(f"{d}/r").where("_c0 > 1").rdd.getNumPartitions()
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+        assert derived.sparkSession.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 

@@ -16,21 +16,17 @@ from reelsift.sources import sinks as sk
 
 
 def preprocess(spark: SparkSession, raw_dir: str, out_dir: str, **thresholds) -> tuple[DataFrame, DataFrame]:
-    """Profile the six raw tables, clean them and write them as parquet under ``out_dir``.
-    Returns (quality report, before/after report); both are small."""
-    raw = rd.read_raw(spark, raw_dir)
-    report = dq.quality_report(raw["ratings"], raw["movies"], raw["tags"], raw["links"], raw["genome_scores"],
-                               raw["genome_tags"], **thresholds)
-    cleaned = {"ratings": dq.clean_ratings(raw["ratings"], **thresholds),
-               "movies": dq.clean_movies(raw["movies"]), "tags": dq.clean_tags(raw["tags"]),
-               "links": dq.clean_links(raw["links"]), "genome_scores": dq.clean_genome(raw["genome_scores"]),
-               "genome_tags": dq.clean_genome(raw["genome_tags"])}
-    for name, df in cleaned.items():
-        sk.write_parquet(df, f"{out_dir}/{name}")
-    steps = {"ratings": dq.clean_ratings_steps(raw["ratings"], **thresholds)}
-    for name in ("movies", "tags", "links", "genome_scores", "genome_tags"):
-        steps[name] = [("start", raw[name]), ("after_dedup", dq.dedup_rows(raw[name]))]
-    return report, dq.before_after_report(steps)
+    """Profile the six raw tables, clean them and write them as parquet under ``out_dir``. Each raw
+    table is read once, into its different rows and their counts. Returns (quality report,
+    before/after report); both are small."""
+    counted = {name: dq.counted_rows(df) for name, df in rd.read_raw(spark, raw_dir).items()}
+    clean = {"ratings": lambda d: dq.clean_unique_ratings(d, **thresholds), "movies": lambda d: dq.clean_movies(d, False),
+             "tags": lambda d: dq.clean_tags(d, False), "links": lambda d: dq.clean_links(d, False)}
+    for name, df in counted.items():
+        unique = dq.unique_rows(df)
+        sk.write_parquet(clean[name](unique) if name in clean else unique, f"{out_dir}/{name}")
+    steps = {name: dq.counted_ratings_steps(df, **thresholds) if name == "ratings" else dq.counted_steps(df) for name, df in counted.items()}
+    return dq.counted_report(counted, **thresholds), dq.before_after_report(steps)
 
 
 def build_features(spark: SparkSession, processed_dir: str, out_dir: str, n_components: int = 50,

@@ -69,3 +69,23 @@ def test_partials_of_a_span_of_days(spark, tmp_path):
     assert [(r.movieId, r.total_ratings, r.avg_rating, r.rating_std) for r in before] == [(7, 1, 4.0, 0.0)]
     after = partials.merged(spark, str(tmp_path / "s"), "movieId", since=day).orderBy("movieId").collect()
     assert [(r.movieId, r.total_ratings, r.avg_rating) for r in after] == [(7, 1, 2.0), (8, 1, 3.0)]
+
+
+def test_counted_rows_give_the_report_and_the_cleaning_of_the_raw_table(spark):
+    from reelsift.operators import quality as dq
+
+    rows = [(1, 5, 4.0, 10)] * 6 + [(1, None, 9.0, 3), (2, 5, None, 4), (2, 5, None, 4), (2, 6, math.nan, 5), (None, None, None, None)]
+    schema = "userId int, movieId int, rating float, timestamp long"
+    for data in (rows, []):
+        df = spark.createDataFrame(data, schema)
+        counted = dq.counted_rows(df)
+        bad = (F.col("rating") < 0.5) | (F.col("rating") > 5)
+        want = dq.quality_profile(df, "ratings", {"invalid_ratings": F.count_if(bad)})
+        got = dq.counted_profile(counted, "ratings", {"invalid_ratings": bad})
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert [tuple(r) for r in dq.entities_below_min(counted, "userId", 3).collect()] == [tuple(r) for r in dq.entities_below_min(df, "userId", 3).collect()]
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, dq.clean_unique_ratings(dq.unique_rows(counted), min_user=1, min_movie=1).collect()), key=key) == sorted(
+            map(tuple, dq.clean_ratings(df, min_user=1, min_movie=1).collect()), key=key)
+        assert sorted(map(tuple, dq.counted_ratings_steps(counted, min_user=1, min_movie=1).collect())) == sorted(
+            map(tuple, dq.clean_ratings_steps(df, min_user=1, min_movie=1).collect()))

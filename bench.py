@@ -25,7 +25,7 @@ HEADLINE = [
     "genre_rating_stats",
     "genre_trend_change",
     "rec_leave_last_n_out",
-    "rl_temporal_split",        # exact global cut (checkpointed global rank)
+    "rl_temporal_split",        # exact cuts by counts of days and seconds
     "standardized_ratings",     # id maps + canonical remap
     "audit_pairs",
     "rec_baseline_ndcg",

@@ -95,12 +95,12 @@ nb AS (SELECT batch, (SELECT max("timestamp") FROM rb p WHERE p.batch < b.batch)
 SELECT DISTINCT userId, movieId, rating, "timestamp", coalesce("timestamp" < newest - 30 * 86400, false) AS late FROM rb JOIN nb USING (batch)""")
 def q_stream_dedup_late(spark, sf):
     """SS-5 over three micro-batches out of order (by movie): distinct ratings, late ones in a table of
-    their own; here the 5.0 ratings come twice."""
+    their own; here the 5.0 ratings come twice. A batch is a folder of files that all tasks write; the
+    stream is run to the end of its input after each, and goes on from its checkpoint."""
     from reelsift import adapt
     r, base = adapt.ratings(spark, sf), ss.scratch(spark, "dedup_late")
     for i in range(3):
         own = r.where(F.col("movieId") % 3 == i)
-        own.unionByName(own.where(F.col("rating") == 5.0)).coalesce(1).write.parquet(f"{base}/in/{i}")
-    src = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    ss.run_dedup(src, base)
+        own.unionByName(own.where(F.col("rating") == 5.0)).write.parquet(f"{base}/in/{i}")
+        ss.run_dedup(spark.readStream.schema(r.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in"), base)
     return ss.dedup_rows_now(spark, base)

@@ -167,7 +167,8 @@ def run_dedup(ratings: DataFrame, out: str, delay_days: int = 30):
 
     The state is a keyed table of the ratings within the delay of the newest one; what has fallen behind
     goes when runs merge. Late rows are few: they are compared with the months of ``kept`` that they fall
-    on and with the late rows so far. Every batch writes folders of its own and counts from the moment
+    on and with the late rows so far. A folder's rows are written by one task, or by several if they are
+    many. Every batch writes folders of its own and counts from the moment
     its state does, so replays are safe. Run to the end of the input."""
     delay = delay_days * 86400
 
@@ -192,9 +193,9 @@ def run_dedup(ratings: DataFrame, out: str, delay_days: int = 30):
             periods = [r[0] for r in late.select(period).distinct().limit(MOST_PERIODS + 1).collect()]
             for b in before:
                 late = fresh(late, b.where(F.col("period").isin(periods)) if len(periods) <= MOST_PERIODS else b, RATING_KEY)
-            late.withColumn("period", period).repartition("period").write.mode("overwrite").partitionBy("period").parquet(f"{out}/late/batch={batch_id}")
+            late.withColumn("period", period).hint("rebalance", F.col("period")).write.mode("overwrite").partitionBy("period").parquet(f"{out}/late/batch={batch_id}")
             state["notes"]["late"] = True
-        new.withColumn("period", period).repartition("period").write.mode("overwrite").partitionBy("period").parquet(f"{out}/kept/batch={batch_id}")
+        new.withColumn("period", period).hint("rebalance", F.col("period")).write.mode("overwrite").partitionBy("period").parquet(f"{out}/kept/batch={batch_id}")
         top = rows.agg(F.max("timestamp")).first()[0]
         state["notes"]["newest"] = max((x for x in (newest, top) if x is not None), default=None)
         seen.upsert(new, batch_id, state["notes"])

@@ -67,3 +67,27 @@ def test_dedup_with_its_own_delay_loses_late_rows_and_the_anti_join_finds_them(s
     assert _rows(kept) == [(1, 1, 4.0, 1000 * day), (2, 1, 3.0, 1010 * day), (4, 1, 2.0, 990 * day)]
     whole = spark.read.parquet(os.path.join(d, "in"))
     assert _rows(ss.late_ratings(whole, kept)) == [(3, 1, 2.0, 900 * day)]
+
+
+def test_late_dedup_batches_are_written_by_all_tasks(spark, monkeypatch):
+    """No batch of stream_dedup_late passes through one task, and both sides are whole."""
+    import os
+
+    from reelsift import adapt
+    from reelsift.queries import streams
+
+    rows = [(u, m, 5.0 if u % 3 == 0 else 3.0, 86400 * (100 * (m % 3 == 0) + u)) for u in range(40) for m in range(12)]
+    r = spark.createDataFrame(rows, "userId int, movieId int, rating float, timestamp long").repartition(4)
+    made, scratch = [], streams.ss.scratch
+    monkeypatch.setattr(adapt, "ratings", lambda spark, sf: r)
+    monkeypatch.setattr(streams.ss, "scratch", lambda spark, name: made.append(scratch(spark, name)) or made[-1])
+    got = sorted((x.userId, x.movieId, x.rating, x.timestamp, x.late) for x in streams.q_stream_dedup_late(spark, "nowhere").collect())
+    newest, want = None, []
+    for i in range(3):
+        own = [x for x in rows if x[1] % 3 == i]
+        want += [(*x, newest is not None and x[3] < newest - 30 * 86400) for x in own]
+        newest = max([x[3] for x in own] + ([newest] if newest is not None else []))
+    assert got == sorted(want) and any(x[-1] for x in want)
+    for i in range(3):
+        folder = f"{made[0]}/in/{i}".removeprefix("file:")
+        assert sum(f.endswith(".parquet") for f in os.listdir(folder)) > 1

@@ -1,8 +1,7 @@
 """Secret scans in DataFrame functions: three patterns, and character Markov models for the rest.
 
 Two Markov chains over characters, one of random strings and one of ordinary identifiers, are
-trained from labelled samples: strings that the patterns call secrets, and the other words of a
-sample of documents. A run of key characters whose mean log-likelihood ratio (random against
+trained on all documents: strings that the patterns call secrets, and the other words. A run of key characters whose mean log-likelihood ratio (random against
 identifier) passes a limit is a secret too. The limit lies above nearly all ordinary runs.
 
 Positions are code points. The matches of a pattern and the gaps between them add up to the text,
@@ -11,11 +10,14 @@ so their lengths give the places; they are summed block by block to stay linear
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import without
+from reelsift.llm.common import cut_lineage, free, without
+from reelsift.operators.quantiles import kth
 
 # The base patterns, their kinds in order, and the shortest match that counts.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,7 +30,6 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}+"      # what the models judge
 WORD = r"[A-Za-z0-9+/_=-]{8,}+"      # what they learn from
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1            # 0 is the start of a run
-SAMPLE_DOCS = 20_000                 # documents of the training sample, about
 QUANTILE = 0.999                     # of ordinary runs lies under the limit
 BLOCK = 256
 
@@ -98,20 +99,18 @@ class Models:
         return F.split(F.lit(",".join(f"{x:.6g}" for x in self.table)), ",").cast("array<double>")
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCS) -> Models:
-    """Both chains from a hash sample of about ``sample`` documents. Random strings also get half
-    their weight from the uniform chain, so that other alphabets than those sampled are found;
-    without any sample both chains are uniform and nothing is added."""
-    n = docs.count()
-    share = min(1.0, sample / n) if n else 1.0
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = base_matches(drawn.select(F.col(f"`{text_col}`").alias("text")), F.col("text"))
-    secrets = F.concat("_access", "_hex", F.filter(_values(), lambda v: F.length(v) >= MIN_VALUE))
+def train(docs: DataFrame, id_col: str, text_col: str) -> Models:
+    """Both chains from all documents. Random strings also get half their weight from the uniform
+    chain, so that other alphabets than those read are found; without any text both chains are
+    uniform and nothing is added. Words are counted once (combined before the shuffle, then written);
+    moves and limit come from the distinct ones."""
+    rows = base_matches(docs.select(F.col(f"`{text_col}`").alias("text")), F.col("text"))
+    rows = rows.withColumn("_secrets", F.concat("_access", "_hex", F.filter(_values(), lambda v: F.length(v) >= MIN_VALUE)))
     kept = rows.select(F.explode(F.concat(
-        F.transform(secrets, lambda v: F.struct(F.lit(True).alias("random"), v.alias("run"))),
+        F.transform("_secrets", lambda v: F.struct(F.lit(True).alias("random"), v.alias("run"))),
         F.transform(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), lambda v: F.struct(
-            F.exists(secrets, lambda s: (F.instr(v, s) > 0) | (F.instr(s, v) > 0)).alias("random"), v.alias("run"))))).alias("w")).select("w.*")
-    counted = kept.groupBy("random", "run").count()  # combined before the shuffle
+            F.exists("_secrets", lambda s: (F.instr(v, s) > 0) | (F.instr(s, v) > 0)).alias("random"), v.alias("run"))))).alias("w")).select("w.*")
+    counted = cut_lineage(kept.groupBy("random", "run").count(), "secret-words")
     labelled = counted.filter(~F.col("random") | F.col("run").rlike(f"^{WORD}$"))
     moves = (labelled.withColumn("c", F.transform(_chars(F.col("run")), _index))
              .select("random", "count", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("c", F.lit(1), F.size("c") - 1)).alias("a"), F.col("c").alias("b"))).alias("m"))
@@ -126,8 +125,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCS
     table = np.log(random / chain(counts[False], 0.5)).ravel()
     models = Models(table, 0.0)
     plain = counted.filter(~F.col("random") & (F.length("run") >= 16)).select(ratio(F.col("run"), models.column()).alias("x"))
-    top = plain.agg(F.percentile_approx("x", F.lit(QUANTILE), F.lit(10_000)).alias("x")).first().x
-    models.limit = max(0.3, (top if top is not None else 0.0) + 0.1)
+    plain = cut_lineage(plain, "secret-ratios")
+    n = plain.count()
+    top = kth(plain, max(0, math.ceil(QUANTILE * n) - 1), n) if n else 0.0
+    models.limit = max(0.3, top + 0.1)
+    free(counted, plain)
     return models
 
 

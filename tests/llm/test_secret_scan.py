@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from edge import docs, none
 
@@ -82,3 +83,11 @@ def test_edges(spark):
     got = ss.scan(df, models).collect()
     assert len(got) == 10 and all(base_of(r) == brute(r.text) for r in got)
     assert ss.scan(none(spark), ss.train(none(spark), "doc_id", "text")).count() == 0
+
+
+def test_models_learn_from_every_document(spark):
+    """Each transition of the one word is counted once a document, also beyond 20,000 documents."""
+    n = 30_000
+    models = ss.train(spark.range(n).selectExpr("id AS doc_id", "'ABCDEFGH' AS text"), "doc_id", "text")
+    for was, at in ((0, 1), (1, 2), (7, 8)):
+        assert models.table[was * ss.WIDTH + at] == pytest.approx(np.log(1 / ss.WIDTH / ((n + 0.5) / (n + 0.5 * ss.WIDTH))), abs=1e-12)

@@ -40,7 +40,7 @@ END = 0
 WINDOW, LANES = 16, 256     # of truncated backpropagation
 LEAST_WINDOWS = 64          # of a lane, unless the lane is the only one
 PIECE = 65_536              # symbols of a long document that one shard reads at a time
-SCORE_WINDOW, SCORE_LANES = 16, 256
+SCORE_WINDOW, SCORE_LANES = 16, 1024
 BATCH_TOKENS = 2_000_000    # scored side by side
 BAND, PARTIALS = 8_192, 64   # of the sums of weights
 COUNT_WORDS = 400_000       # words that a task counts before it hands them on

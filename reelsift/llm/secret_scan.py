@@ -1,8 +1,9 @@
 """Secret scans in DataFrame functions: three patterns, and character Markov models for the rest.
 
 Two Markov chains over characters, one of random strings and one of ordinary identifiers, are
-trained on all documents: strings that the patterns call secrets, and the other words. A run of key characters whose mean log-likelihood ratio (random against
-identifier) passes a limit is a secret too. The limit lies above nearly all ordinary runs.
+trained on all documents: strings that the patterns call secrets, and the other words. A run of key
+characters whose mean log-likelihood ratio (random against identifier) passes a limit is a secret
+too. The limit lies above nearly all ordinary runs.
 
 Positions are code points. The matches of a pattern and the gaps between them add up to the text,
 so their lengths give the places; they are summed block by block to stay linear in a long text.

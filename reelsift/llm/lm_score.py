@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import cut_lineage, free, words
+from reelsift.llm.common import cut_lineage, free
 
 CLASS, SYMBOLS, RARE = 32, 1024, 16
 CLASSES = SYMBOLS // CLASS + RARE
@@ -44,11 +45,37 @@ SCORE_WINDOW, SCORE_LANES = 16, 1024
 BATCH_TOKENS = 2_000_000    # scored side by side
 BAND, PARTIALS = 8_192, 64   # of the sums of weights
 COUNT_WORDS = 400_000       # words that a task counts before it hands them on
+READ_BYTES = 8 << 20        # of texts whose words are cut at a time
+HEAP = 24 << 20             # bytes of arrays that a worker keeps for the next ones, see keep_heap
+SAFE = 60.0                 # logits below it need no shift before their exponentials are summed
 LOG10 = math.log(10)
 
 
-def rare_class(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-2:].encode()) % RARE
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """The class of each word, by its last two characters."""
+    last = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    own = np.array([zlib.crc32(w.encode()) % RARE for w in last.dictionary.to_pylist()], np.int64)
+    return own[last.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+
+
+def slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices whose texts, in ``column``, have ``READ_BYTES`` at most (a longer one is alone)."""
+    ends, first = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(), dtype=np.int64), 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + READ_BYTES, side="right")))
+        yield b.slice(first, last - first)
+        first = last
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all of them in a row: those of :func:`common.words`."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    sizes, found = pc.list_value_length(parts).to_numpy().astype(np.int64), parts.flatten()
+    there = pc.binary_length(found).to_numpy() > 0  # a gap at either end leaves an empty piece
+    if not there.all():
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~there], minlength=len(sizes))
+        found = found.filter(pa.array(there))
+    return sizes, found
 
 
 # ---- counts ----------------------------------------------------------------------------------
@@ -56,18 +83,22 @@ def rare_class(word: bytes) -> int:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all rows of ``texts`` (one string column), as a written table."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+        def summed() -> pa.Table:
+            found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return found.select(["word", "c_sum"]).rename_columns(["word", "c"])
 
         for b in batches:
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                found.update(words(text))
-                if len(found) > COUNT_WORDS:
-                    yield out()
-                    found.clear()
-        yield out()
+            for some in slices(b, 0):
+                found = words_of(some.column(0))[1].value_counts()
+                held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+                if sum(map(len, held)) > 3 * COUNT_WORDS:
+                    held = [summed()]
+                    if len(held[0]) > COUNT_WORDS:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     return cut_lineage(texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
 
@@ -115,35 +146,51 @@ def vocabulary(counts: DataFrame, ends: int, head: int) -> Vocabulary:
     return Vocabulary([r.word.encode() for r in rows], np.array([r.c for r in rows], np.int64), int(least), tokens, distinct, ends, n, v)
 
 
-class Reader(dict):
+class Reader:
     """word -> place in the head, -1 for the others; and what a place stands for."""
 
     def __init__(self, v: Vocabulary):
-        super().__init__((w, i) for i, w in enumerate(v.head))
+        self.head = pa.array(v.head, pa.binary()).cast(pa.string())
         self.floor, self.rare_floor = v.base_floor(), v.rare_floor()
-        k = np.array([rare_class(w) for w in v.head], np.int64)
+        k = rare_classes(self.head)
         frequent = np.arange(len(v.head)) < SYMBOLS - 1
-        self.symbol = np.where(frequent, np.arange(len(v.head)) + 1, SYMBOLS + k).astype(np.int32)
+        self.symbol = np.append(np.where(frequent, np.arange(len(v.head)) + 1, SYMBOLS + k), -1).astype(np.int16)
         known = np.log10(v.count + 0.5) if len(k) else np.zeros(0)
         self.base = known - self.floor
         self.within = np.where(frequent, 0.0, known - self.rare_floor[k])
         self.end = math.log10(v.ends + 0.5) - self.floor
 
-    def __missing__(self, word):
-        return -1
-
-    def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols of a text (its end too), places in the head, and the words beyond it."""
-        ws = words(raw)
-        at = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
-        out = np.empty(len(ws) + 1, np.int32)
-        out[-1] = END
-        if len(self.symbol):
-            out[:-1] = self.symbol[at]
-        beyond = [ws[i] for i in np.flatnonzero(at < 0).tolist()]
-        if beyond:
-            out[:-1][at < 0] = [SYMBOLS + rare_class(w) for w in beyond]
-        return out, at, beyond
+    def read(self, texts: pa.Array) -> list[pa.Array | np.ndarray]:
+        """Of each text: its symbols (int16, with its end), their number, words of the head, what these
+        add to both scores, and the words beyond the head with their counts."""
+        sizes, found = words_of(texts)
+        at = pc.index_in(found, value_set=self.head).fill_null(-1).to_numpy()
+        symbols, inside, beyond = self.symbol[at], at[at >= 0], np.flatnonzero(at < 0)
+        others = found.take(pa.array(beyond))
+        classes = rare_classes(others)
+        symbols[beyond] = SYMBOLS + classes
+        owner = np.repeat(np.arange(len(sizes)), sizes)[beyond]
+        missed = np.bincount(owner, minlength=len(sizes))
+
+        def sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+            cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+            return np.array([x[i:j].sum() for i, j in zip(cuts, cuts[1:], strict=False)])
+
+        base = sums(self.base[inside], sizes - missed) + self.end - missed * self.floor
+        lm = sums(self.within[inside], sizes - missed) - sums(self.rare_floor[classes], missed)
+        ends = np.cumsum(sizes + 1)
+        whole = np.full(ends[-1] if len(ends) else 0, END, np.int16)
+        inner = np.ones(len(whole), bool)
+        inner[ends - 1] = False
+        whole[inner] = symbols
+        offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+        coded = others.dictionary_encode()
+        key, n = np.unique(owner * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+        owner, word = np.divmod(key, max(1, len(coded.dictionary)))
+        pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(n, pa.int64())], ["word", "n"])
+        tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)), pa.int32()), pairs)
+        return [raw, sizes + 1, sizes - missed, base, lm, tails]
 
 
 # ---- the network -----------------------------------------------------------------------------
@@ -161,19 +208,32 @@ def first_weights(v: Vocabulary, seed: int = 29) -> dict[str, np.ndarray]:
             "cb": np.log(np.maximum(mass, 1e-6)).astype(np.float32), "w": small(HIDDEN, SYMBOLS), "wb": slots.astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; far below 0 the exponential overflows to infinity and the result is 0, as it should be."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def keep_heap() -> None:
+    """The C library maps arrays of this size, and smaller ones until it has seen one, anew each time, and
+    clearing their pages took a fifth of training. Once one is freed, smaller ones come from the heap."""
+    np.empty(HEAP, np.uint8)
 
 
 def split(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The weights as :func:`step` and :func:`outputs` use them: a table of its own for each gate, so
-    that a gate's values lie together, and output columns first, so that softmax sums run along memory."""
+    that a gate's values lie together (halved for the sigmoids, which are taken as (1 + tanh(x / 2)) / 2),
+    and output columns first, so that softmax sums run along memory. Biases are shifted to a maximum of 0
+    in every softmax; states lie between -1 and 1, so if ``safe`` no logit reaches ``SAFE``, and the
+    largest is above -``SAFE``."""
     q = {f"{k}{g}": np.ascontiguousarray(p[k][:, i * HIDDEN:(i + 1) * HIDDEN]) for k in "xh" for i, g in enumerate("rzn")}
-    return {**q, "c": np.ascontiguousarray(p["c"].T), "cb": p["cb"][:, None], "w": np.ascontiguousarray(p["w"].T), "wb": p["wb"][:, None]}
+    for k in ("xr", "xz", "hr", "hz"):
+        q[k] *= 0.5
+    within = p["wb"].reshape(-1, CLASS)
+    return {**q, "c": np.ascontiguousarray(p["c"].T), "cb": (p["cb"] - p["cb"].max())[:, None], "w": np.ascontiguousarray(p["w"].T),
+            "wb": (within - within.max(1, keepdims=True)).reshape(-1, 1), "safe": max(np.abs(p[k]).sum(0).max() for k in "cw") < SAFE}
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The sigmoid of 2 ``x``, in place."""
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def step(q: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
@@ -182,24 +242,23 @@ def step(q: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
     r, z, ghn = h @ q["hr"], h @ q["hz"], h @ q["hn"]
     r += q["xr"].take(x, 0)
     z += q["xz"].take(x, 0)
-    _sigmoid(r)
-    _sigmoid(z)
+    _gate(r)
+    _gate(z)
     n = r * ghn
     n += q["xn"].take(x, 0)
-    n *= 2
-    _sigmoid(n)
-    n *= 2
-    n -= 1
+    np.tanh(n, out=n)
     new = h - n
     new *= z
     new += n
     return new, (r, z, n, ghn)
 
 
-def _log_sums(x: np.ndarray, softmax: bool) -> np.ndarray:
+def _log_sums(x: np.ndarray, softmax: bool, safe: bool) -> np.ndarray:
     """The logarithm of each column's sum of exponentials; ``x`` becomes the softmax if asked for."""
-    top = x.max(0)
-    x -= top
+    top = 0.0
+    if not safe:
+        top = x.max(0)
+        x -= top
     np.exp(x, out=x)
     total = x.sum(0)
     if softmax:
@@ -222,7 +281,7 @@ def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, g
     x = q["c"] @ states.T
     x += q["cb"]
     own = x[k, at]
-    out = (own - _log_sums(x, grads is not None)).astype(np.float64)
+    out = (own - _log_sums(x, grads is not None, q["safe"])).astype(np.float64)
     back = None
     if grads is not None:
         x[k, at] -= 1
@@ -236,7 +295,7 @@ def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, g
         x = q["w"][words_] @ s.T
         x += q["wb"][words_]
         own = x[j, at]
-        out[here] += own - _log_sums(x, grads is not None)
+        out[here] += own - _log_sums(x, grads is not None, q["safe"])
         if grads is not None:
             x[j, at] -= 1
             grads["w"][:, words_] += (x @ s).T
@@ -251,7 +310,6 @@ def outputs(q: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray, g
     return logp, unsorted
 
 
-@np.errstate(over="ignore")
 def train_window(p, x: np.ndarray, y: np.ndarray, h: np.ndarray):
     """Gradients of one window (steps x lanes) by backpropagation that stops at its first step; an
     end as input opens a document with an empty state. Returns them, the mean loss and the states."""
@@ -280,11 +338,10 @@ def train_window(p, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         dr *= r * (1 - r)
         wide[t, :, :HIDDEN], wide[t, :, HIDDEN:2 * HIDDEN], wide[t, :, 2 * HIDDEN:] = dr, dz, dn
         dn *= r  # from here the gradient of the states' part
-        g["h"] += before.T @ np.concatenate([dr, dz, dn], 1)
+        gates = np.concatenate([dr, dz, dn], 1)
+        g["h"] += before.T @ gates
         dh *= z
-        dh += dr @ q["hr"].T
-        dh += dz @ q["hz"].T
-        dh += dn @ q["hn"].T
+        dh += gates @ p["h"].T
         dh *= on
     symbols = x.ravel().astype(np.int16, copy=False)
     order = np.argsort(symbols, kind="stable")
@@ -305,6 +362,7 @@ def train(state: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, don
     do not fill all lanes go to a last, shorter lane of their own. ``state`` is that of
     :func:`with_moments` (bare weights start anew); the rate falls evenly over the whole training,
     of which ``done`` lies behind and this call is ``share``."""
+    keep_heap()
     state = {k: a.copy() for k, a in (state if "updates" in state else with_moments(state)).items()}
     p = {k: state[k] for k in state if k != "updates" and "." not in k}
     flat = np.concatenate(docs)
@@ -346,6 +404,7 @@ def train(state: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, don
 def score_docs(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each document's symbols. Documents of like length run side by side,
     ``SCORE_LANES`` at a time, in windows; the states go on from one window to the next."""
+    keep_heap()
     q = split(p)
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     order, out = np.argsort(-sizes, kind="stable"), np.empty(len(docs))
@@ -355,21 +414,21 @@ def score_docs(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@np.errstate(over="ignore")
 def _score_lanes(q: dict[str, np.ndarray], docs: list[np.ndarray], lens: np.ndarray) -> np.ndarray:
     """``docs`` from the longest to the shortest; a lane ends with its document."""
     flat, starts = np.concatenate(docs), np.cumsum(lens) - lens
     alive = np.searchsorted(-lens, -np.arange(int(lens[0]) + 1), side="left")  # documents longer than t
     total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), q["hn"].dtype)
+    lanes, y = np.arange(len(docs)), np.full(len(docs), END, flat.dtype)
     for at in range(0, int(lens[0]), SCORE_WINDOW):
         states, symbols, owner = [], [], []
         for t in range(at, min(at + SCORE_WINDOW, int(lens[0]))):
             n = alive[t]
-            x = flat[starts[:n] + t - 1] if t else np.zeros(n, np.int32)
-            h, _ = step(q, x, h[:n])
+            h, _ = step(q, y[:n], h[:n])
+            y = flat.take(starts[:n] + t)
             states.append(h)
-            symbols.append(flat[starts[:n] + t])
-            owner.append(np.arange(n))
+            symbols.append(y)
+            owner.append(lanes[:n])
         logp, _ = outputs(q, np.concatenate(states), np.concatenate(symbols))
         total += np.bincount(np.concatenate(owner), logp, len(docs))
     return total / LOG10
@@ -385,30 +444,22 @@ def read_texts(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str, train
     scores, and the words beyond it (``tail``). ``draw`` deals rows to shards; ``copy`` counts rows that
     repeat their draw in a batch, so that many equal rows do not meet in one shard (which of them goes
     where follows the batches)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Reader(v))
+    shared, ends = docs.sparkSession.sparkContext.broadcast(Reader(v)), int(v.ends > 0)
     types = (docs.schema[id_col].dataType, T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(),
              T.ArrayType(T.StructType().add("word", "string").add("n", "long")), T.BinaryType())
-    pair = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value
-        for b in batches:
-            copies, n, known, base, lm, tails, out, seen = [], [], [], [], [], [], [], Counter()
-            for draw, text in zip(b.column(1).to_pylist(), b.column(3).cast(pa.binary()), strict=True):
-                symbols, places, beyond = reader.read(text.as_py())
-                head = places[places >= 0] if beyond else places
-                n.append(len(symbols))
-                known.append(len(head) + (v.ends > 0))
-                base.append(reader.base[head].sum() + reader.end - len(beyond) * reader.floor)
-                lm.append(reader.within[head].sum())
-                if beyond:
-                    lm[-1] -= reader.rare_floor[symbols[:-1][places < 0] - SYMBOLS].sum()
-                tails.append([{"word": w.decode(), "n": c} for w, c in Counter(beyond).items()])
-                out.append(symbols.astype(np.int16).tobytes())
-                copies.append(seen[draw])
-                seen[draw] += 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(copies, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                                              pa.array(base, pa.float64()), pa.array(lm, pa.float64()), pa.array(tails, pair), pa.array(out, pa.binary())], names=READ)
+        for whole in batches:
+            seen: Counter = Counter()
+            for b in slices(whole, 3):
+                copies = []
+                for draw in b.column(1).to_pylist():
+                    copies.append(seen[draw])
+                    seen[draw] += 1
+                raw, n, known, base, lm, tails = reader.read(b.column(3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(copies, pa.int64()), pa.array(n, pa.int64()),
+                                                  pa.array(known + ends, pa.int64()), pa.array(base), pa.array(lm), tails, raw], names=READ)
 
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(1 << 60))
     chosen = docs.select(F.col(f"`{id_col}`"), draw, F.coalesce(training, F.lit(False)), F.col(f"`{text_col}`").cast("string"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import docs, none
 from pyspark.sql import functions as F
@@ -195,3 +196,53 @@ def test_rounds_grow_and_more_text_scores_held_out_text_better(spark, monkeypatc
         found.append((len(calls), lm.score(away, (counts, v, weights)).agg(F.sum("score")).first()[0]))
     assert found[0][0] == 2 and found[2][0] > 2
     assert found[0][1] < found[1][1] < found[2][1]
+
+
+def test_texts_are_read_in_columns_as_word_by_word():
+    """Pieces, controls that are no gaps, non-ASCII words, words beyond the head, slices of batches."""
+    from reelsift.llm.common import words
+
+    v = tiny_vocabulary()
+    texts = ["", None, " ", " w0  W1\t", "\x0b\x0c", "w3 É x w3", "a", "ÀÉ zzqq y \x1c\x1d w2 zzqq", "日本語 語", "w9 \x85 \xa0b", "\x00 w1\x00b", "w39 w40 w40 w0"]
+    sizes, found = lm.words_of(pa.array(texts))
+    wanted = [words(t.encode() if t is not None else None) for t in texts]
+    assert sizes.tolist() == list(map(len, wanted)) and [w.encode() for w in found.to_pylist()] == sum(wanted, [])
+    raw, n, known, base, net, tails = lm.Reader(v).read(pa.array(texts))
+    at = {w: i for i, w in enumerate(v.head)}
+    for i, ws in enumerate(wanted):
+        classes = [zlib.crc32(w.decode()[-2:].encode()) % lm.RARE for w in ws if w not in at]
+        others = iter(classes)
+        assert np.frombuffer(raw[i].as_py(), np.int16).tolist() == [at[w] + 1 if w in at else lm.SYMBOLS + next(others) for w in ws] + [lm.END]
+        inside = [w for w in ws if w in at]
+        assert (n[i], known[i]) == (len(ws) + 1, len(inside)) and net[i] == pytest.approx(-sum(v.rare_floor()[k] for k in classes))
+        assert base[i] == pytest.approx(sum(math.log10(v.count[at[w]] + 0.5) for w in inside) + math.log10(v.ends + 0.5) - (len(ws) + 1) * v.base_floor())
+        assert {t["word"].encode(): t["n"] for t in tails[i].as_py()} == Counter(w for w in ws if w not in at)
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * k for k in (5, lm.READ_BYTES, 7, lm.READ_BYTES - 7, 1)] + [None])], names=["t"])
+    assert [s.num_rows for s in lm.slices(b, 0)] == [1, 1, 2, 2]
+
+
+def test_softmax_without_a_shift_is_the_shifted_one():
+    rng = np.random.default_rng(3)
+    p = {k: a.astype(np.float64) for k, a in lm.first_weights(tiny_vocabulary()).items()}
+    for scale, safe in ((1, True), (200, False)):
+        q = lm.split({**p, "c": p["c"] * scale})
+        assert bool(q["safe"]) is safe
+        states, symbols = rng.uniform(-1, 1, (50, lm.HIDDEN)), rng.integers(0, 41, 50)
+        x = states @ p["c"] * scale + p["cb"]
+        w = (states @ p["w"] + p["wb"]).reshape(50, -1, lm.CLASS)
+        k, at = lm.classes_of(symbols), np.arange(50)
+        soft = lambda a: a - a.max(1, keepdims=True) - np.log(np.exp(a - a.max(1, keepdims=True)).sum(1, keepdims=True))
+        assert lm.outputs(q, states, symbols)[0] == pytest.approx(soft(x)[at, k] + soft(w[at, k])[at, symbols % lm.CLASS], rel=1e-6)
+
+
+def test_training_keeps_its_memory_from_window_to_window():
+    """Before, every window took new pages from the system: 45 here, about 1,000 over real texts."""
+    import resource
+
+    p, rng = lm.first_weights(tiny_vocabulary()), np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, 41, 400), lm.END).astype(np.int16) for _ in range(700)]
+    lm.train(p, docs, 0.02)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    lm.train(p, docs, 0.02)
+    faults = resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+    assert faults < 5 * sum(map(len, docs)) / (lm.LANES * lm.WINDOW)

@@ -18,8 +18,8 @@ from reelsift.llm.queries import tokenizer_path
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Texts are long: Arrow batches of 8 MB in place of 64, on both sides of the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Texts are long: Arrow batches of 2 MB in place of 64, on both sides of the Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

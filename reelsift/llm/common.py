@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reelsift.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read_table", "without", "words", "crc_mod",
-           "checked_broadcast", "free", "trimmed", "connected_components"]
+           "checked_broadcast", "free", "give_back", "trimmed", "connected_components"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -61,16 +61,21 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are kept for later tasks, and two of them stand
+    beside each executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(go: Callable) -> Callable:
-    """``go`` for mapInArrow, after which freed memory goes back to the system: workers are kept for later
-    tasks, and two of them stand beside each executor's heap."""
+    """``go`` for mapInArrow, after which a task gives its memory back."""
     def run(batches):
         yield from go(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
     return run
 
 

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import cut_lineage, trimmed
+from reelsift.llm.common import cut_lineage, give_back, trimmed
 
 #: Different hashes that a task counts before it passes them on, and hashes of a bucket on average.
-HELD, BUCKET = 4_000_000, 2_000_000
+HELD, BUCKET = 4_000_000, 500_000
 
 #: Bits of a filter at most (32 MB), and bits for each of its entries below that.
 MAX_BITS, BITS_EACH = 1 << 28, 32
@@ -90,7 +90,10 @@ def frequent_hashes(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple
     def merge(table: pa.Table) -> pa.Table:
         key, n = summed([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()],
                         [np.frombuffer(zlib.decompress(x), np.int64) for x in table["counts"].to_pylist()])
-        return pa.table({"h": pa.array(key[n >= least].view(np.int64))})
+        found = pa.table({"h": pa.array(key[n >= least].view(np.int64))})
+        del key, n
+        give_back()  # buckets are large
+        return found
 
     blocks = df.mapInArrow(trimmed(count), "bucket int, keys binary, counts binary")
     return cut_lineage(blocks.groupBy("bucket").applyInArrow(merge, "h long"), "frequent-hashes")

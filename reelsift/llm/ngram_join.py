@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import checked_broadcast, connected_components, cut_lineage, free, trimmed, words
+from reelsift.llm.common import checked_broadcast, connected_components, cut_lineage, free, give_back, trimmed, words
 from reelsift.llm.filters import broadcast_filter, frequent_hashes
 
 WORD_CACHE = 100_000
@@ -51,6 +51,7 @@ SENT_SIGS = 500_000  # signatures that a task counts at a time
 FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 1024  # elements of more sets than this go to the matrix product, so many at a time
+LARGE = 1 << 20  # bytes of a group, from which on a worker gives memory back after it
 
 _hashes: dict[bytes, int] = {}
 
@@ -178,6 +179,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())],
                                                  names=["k", "family", "band", "n", "elements"])
+        _hashes.clear()
 
     return texts.mapInArrow(trimmed(cut), "k long, family long, band long, n long, elements binary")
 
@@ -231,15 +233,21 @@ def _counted(signed: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield ranges(held)
 
-    def add(t: pa.Table) -> pa.Table:
+    def sums(t: pa.Table) -> pa.Table:
         sig = np.concatenate([_unpacked(c)[0] for c in t["sigs"].chunks])
-        count = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").astype(np.int64)
+        count = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2")
         order = np.argsort(sig, kind="stable")
-        sig = sig[order]
+        sig, count = sig[order], count[order]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        total = np.add.reduceat(count[order], first)
+        total = np.add.reduceat(count, first, dtype=np.int64)
         return pa.table({"sig": pa.array(sig[first][total > 1]), "count": pa.array(total[total > 1])})
 
+    def add(t: pa.Table) -> pa.Table:
+        found = sums(t)
+        if t.nbytes > LARGE:
+            give_back()
+        return found
+
     sent = signed.select("sigs").mapInArrow(trimmed(send), "bucket long, sigs binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(add, "sig long, count long")
 
@@ -271,8 +279,8 @@ def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int,
         twice, frequent = shared.value
         bands = Bands(num, den, k2)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 sig, sizes = _unpacked(b.column(2))
                 own = np.array([bands.length(x) if n else 0 for x, n in zip(b.column(1).to_pylist(), sizes.tolist(), strict=True)], np.int64)
                 spare = np.array([bands.parts(x + i)[3] for x in b.column(1).to_pylist() for i in (0, 1)], np.int64)
@@ -308,30 +316,41 @@ def _verify(centres: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the ``left`` sets with the ``right`` ones. Elements of many
     sets are counted by a matrix product, those of a few sets pair by pair."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+    del order
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     count = np.diff(np.r_[first, len(flat)])
-    run = np.repeat(np.arange(len(first)), count)
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    few = count[run] <= DENSE
+    del flat
+    run = np.repeat(np.arange(len(first), dtype=np.int32), count)
+    few = np.repeat(count <= DENSE, count)
+    out = np.zeros(len(left) * len(right), np.float32)
+    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        i, j = row[a], column[b]
+        here = (i >= 0) & (j >= 0)
+        np.add.at(out, i[here] * len(right) + j[here], np.float32(1))
+
     a_run, a_owner = run[few], owner[few]
+    add(a_owner, a_owner)
     for step in range(1, DENSE):
         same = np.flatnonzero(a_run[step:] == a_run[:-step])
-        np.add.at(both, (a_owner[same], a_owner[same + step]), 1)
-    both += both.T
-    both[np.arange(len(sets)), np.arange(len(sets))] = np.bincount(a_owner, minlength=len(sets))
+        a, b = a_owner[same], a_owner[same + step]
+        add(a, b)
+        add(b, a)
+    del a_run, a_owner
+    run, owner = run[~few], owner[~few]
+    out = out.reshape(len(left), len(right))
     many = np.flatnonzero(count > DENSE)
-    out = both[np.ix_(left, right)]
+    starts = np.searchsorted(run, many)  # elements stand in the order of their runs
     for k in range(0, len(many), COLUMNS):
-        some = many[k:k + COLUMNS]
-        column = np.full(len(first), -1)
-        column[some] = np.arange(len(some))
-        hit = column[run] >= 0
-        m = np.zeros((len(sets), len(some)), np.float32)
-        m[owner[hit], column[run[hit]]] = 1
+        here = slice(starts[k], starts[k + COLUMNS] if k + COLUMNS < len(many) else len(run))
+        m = np.zeros((len(sets), min(COLUMNS, len(many) - k)), np.float32)
+        m[owner[here], np.searchsorted(many[k:k + COLUMNS], run[here])] = 1
         out += m[left] @ m[right].T
     return out
 
@@ -382,18 +401,15 @@ def _compare_families(sets: DataFrame, expected: int, num: int, den: int) -> Dat
              .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
              .select("family", "meet", "low", "high", "block", "band", "k", "n", "elements"))
 
-    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, meet, low, high = (x.as_py() for x in key)
-        t = t.sort_by("k")
-        ks, block, home = t["k"].to_numpy(), t["block"].to_numpy(), t["band"].to_numpy() == meet
-        found = [np.frombuffer(x, np.uint64) for x in t["elements"].to_pylist()]
-        sizes = t["n"].to_numpy()
+    def pairs(meet: int, low: int, high: int, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        order = np.argsort(t["k"].to_numpy(), kind="stable")
+        ks, block, home, sizes = (x[order] for x in (t["k"].to_numpy(), t["block"].to_numpy(), t["band"].to_numpy() == meet, t["n"].to_numpy()))
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        both = overlaps(found, left, right)
-        hit = den * both >= num * (sizes[left][:, None] + sizes[right][None, :] - both)
-        hit &= home[left][:, None] | home[right][None, :]
+        elements = t["elements"]
+        both = overlaps([np.frombuffer(elements[i].as_buffer(), np.uint64) for i in order.tolist()], left, right)
         root = np.arange(len(ks))
 
         def find(i: int) -> int:
@@ -402,14 +418,23 @@ def _compare_families(sets: DataFrame, expected: int, num: int, den: int) -> Dat
                 i = root[i]
             return i
 
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            a, b = find(int(left[i])), find(int(right[j]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
+        for i, common in zip(left, both, strict=True):
+            hit = den * common >= num * (sizes[i] + sizes[right] - common)
+            hit &= home[i] | home[right]
+            for j in np.flatnonzero(hit):
+                a, b = find(int(i)), find(int(right[j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
         top = np.array([find(i) for i in range(len(ks))])
         tied = top != np.arange(len(ks))
         return pa.table({"a": pa.array(ks[top[tied]], pa.int64()), "b": pa.array(ks[tied], pa.int64())})
 
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        found = pairs(*(x.as_py() for x in key[1:]), t)
+        if t.nbytes > LARGE:
+            give_back()
+        return found
+
     edges = cut_lineage(dealt.groupBy("family", "meet", "low", "high").applyInArrow(compare, "a long, b long"), "edges")
     free(reduced, blocks, shuffles=True)
     return edges
@@ -444,6 +469,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keys = np.array(ks, np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(keys), mask=keys == 0), pa.array(own, pa.int64()),
                                                   pa.array(packed, pa.binary())], names=["doc", "n_shingles", "k", "band", "sigs"])
+        _hashes.clear()
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     signed = cut_lineage(source.mapInArrow(trimmed(sign), schema), "signed")

@@ -107,3 +107,23 @@ def test_choices_of_second_level_parts_give_the_same_links(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     links = [sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(df, n=2, num=9, den=10, k2=k).collect()) for k in (0, 1)]
     assert links[0] == links[1] and [c for _, c in links[0]] == [0, 0, 0, 0, 4, 5, 6]
+
+
+def test_overlaps_take_memory_for_the_elements_not_for_all_pairs_of_sets():
+    """Before, all sets of both blocks were compared with each other, 67 MB at the most; 26 now."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(3000) < 0.1][:400], rng.integers(0, 60_000, 200).astype(np.uint64)])) for _ in range(1700)]
+    left, right = np.arange(850), np.arange(850, 1700)
+    tracemalloc.start()
+    got = overlaps(sets, left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for i, j in ((0, 0), (3, 849), (849, 5)):
+        assert got[i, j] == len(np.intersect1d(sets[left[i]], sets[right[j]]))
+    some = np.array([4, 1, 30])
+    whole = overlaps(sets[:40], some, some)
+    assert all(whole[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(some) for j, b in enumerate(some))

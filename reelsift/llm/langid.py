@@ -251,8 +251,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Co
         return None
     spark = docs.sparkSession
     lone = {r.lang for r in sizes} - {r.lang for r in sizes if r.fits}
-    rates = spark.createDataFrame([(r.lang, r.fits, int(min(1.0, sample / r["count"]) * (1 << 20)) + 1) for r in sizes],
-                                  "lang string, fits boolean, below int")
+    below = [int(min(1.0, sample / r["count"]) * (1 << 20)) + 1 for r in sizes]
+    rates = spark.createDataFrame(pa.table({"lang": pa.array([r.lang for r in sizes], pa.string()), "fits": pa.array([r.fits for r in sizes], pa.bool_()),
+                                            "below": pa.array(below, pa.int32())}))  # a list would start workers of another kind, which stay
     drawn = lab.join(F.broadcast(rates), ["lang", "fits"]).filter("draw < below")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,11 +160,21 @@ def _meets(a: bytes, b: bytes, num: int, den: int) -> bool:
     return den * common >= num * (len(both) - common)
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, family, text) of the rows with the ids of the ``wanted`` (k, family, doc) classes."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
+
+
+def _is_class(elements: np.ndarray, k: int) -> bool:
+    """Whether a text's set is the wanted one: an id may stand for several texts."""
+    return len(elements) > 0 and int(_signed(np.array([_class(elements)], np.uint64))[0]) == k
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, k2: int = 0) -> DataFrame:
     """(k, family, band, n, elements) of the ``wanted`` (k, family, doc) classes: their
     texts are read and cut again. Rows that repeat an id and text repeat here."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = rows.join(checked_broadcast(wanted, MAX_BROADCAST_ROWS), rows["doc"].eqNullSafe(wanted["doc"])).select("k", "family", "text")
+    texts = _texts(docs, wanted, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, k2)
@@ -174,7 +184,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 out = []
                 for k, family, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     e = shingle_set(text, n)
-                    if len(e) and int(_signed(np.array([_class(e)], np.uint64))[0]) == k:  # an id may stand for several texts
+                    if _is_class(e, k):
                         out.append((k, family, bands.band(len(e)), len(e), e.tobytes()))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())],
@@ -298,18 +308,23 @@ def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int,
     return signed.mapInArrow(trimmed(test), "sig long, k long")
 
 
-def _verify(centres: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs of a centre and a set of its ``family`` that meet the threshold, as a written
-    table. The sets are shuffled once, to their centre."""
+def _verify(centres: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs of a centre and a class of its ``family`` that meet the threshold, as a written
+    table. The (k, family, text) ``texts`` meet their centre first and are cut and compared at once: a
+    task that cut them in one Python worker and compared them in another would leave both behind."""
     left = centres.select(F.col("k").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("family").alias("a"), F.col("k").alias("b"), F.col("elements").alias("eb"))
+    right = texts.select(F.col("family").alias("a"), F.col("k").alias("b"), "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = [_meets(x.as_py(), y.as_py(), num, den) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            hit = []
+            for k, centre, text in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                e = shingle_set(text.cast(pa.binary()).as_py(), n)
+                hit.append(_is_class(e, k) and _meets(centre.as_py(), e.tobytes(), num, den))
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+        _hashes.clear()
 
-    full = right.join(left, "a").select("a", "b", "ea", "eb")
+    full = right.join(left, "a").select("a", "b", "ea", "text")
     return cut_lineage(full.mapInArrow(trimmed(keep), "a long, b long"), "links")
 
 
@@ -502,7 +517,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = cut_lineage(stars.select(F.col("a").alias("k")).distinct().join(docs_of, "k").select("k", F.col("k").alias("family"), "doc"), "hubs")
         others = cut_lineage(stars.select(F.col("b").alias("k"), F.col("a").alias("family")).join(docs_of, "k").select("k", "family", "doc"), "others")
         hub_sets = cut_lineage(_sets(docs, hubs, id_col, text_col, n, num, den, k2).dropDuplicates(["k"]), "hub-sets")
-        links = _verify(hub_sets, _sets(docs, others, id_col, text_col, n, num, den, k2), num, den)
+        links = _verify(hub_sets, _texts(docs, others, id_col, text_col), n, num, den)
         free(company, stars, docs_of, hubs, others, hub_sets, shuffles=True)
         roots = connected_components(links)
 

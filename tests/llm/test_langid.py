@@ -91,3 +91,17 @@ def test_noise_and_unlearned_languages_are_rejected_where_a_language_has_few_doc
     rng = random.Random(1)
     noise = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60))) for i in range(50)]
     assert all(r.rejected for r in langid.identify(spark.createDataFrame(noise, "doc_id long, text string"), model).collect())
+
+
+def test_learning_starts_no_python_workers_but_those_of_arrow(spark, monkeypatch):
+    """Before, the drawing rates were a list, which Spark sends through workers of another kind: these stayed beside the others."""
+    rows = spark.createDataFrame([(i, ("der hund bellt laut", "the dog barks aloud")[i % 2], ("de", "en")[i % 2]) for i in range(60)],
+                                 "doc_id long, text string, lang string")
+
+    def refuse(*a, **k):
+        raise AssertionError("a list goes through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    model = langid.fit(rows, "doc_id", "text", "lang", F.lit(True))
+    assert model.langs == ["de", "en"]
+    assert {(r.lang, r.lang_pred) for r in langid.identify(rows, model).collect()} == {("de", "de"), ("en", "en")}

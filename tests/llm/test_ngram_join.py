@@ -127,3 +127,22 @@ def test_overlaps_take_memory_for_the_elements_not_for_all_pairs_of_sets():
     some = np.array([4, 1, 30])
     whole = overlaps(sets[:40], some, some)
     assert all(whole[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(some) for j, b in enumerate(some))
+
+
+def test_crowds_are_cut_and_compared_by_one_worker(spark, monkeypatch):
+    """Before, tasks that compared a large group's sets with their centre kept two Python workers each."""
+    from reelsift.llm import ngram_join
+
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in range(90)] + [" ".join(words[::-1]), None]
+    df = spark.createDataFrame([(i % 91, t) for i, t in enumerate(texts)], "doc_id long, text string")  # an id of two texts
+    plans, cut = {}, ngram_join.cut_lineage
+
+    def noted(table, name):
+        plans[name] = table._jdf.queryExecution().executedPlan().toString()
+        return cut(table, name)
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", noted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n=2, num=9, den=10).collect())
+    assert "links" in plans and all(p.count("MapInArrow") <= 1 for p in plans.values())
+    assert got == sorted([(i, 149, 0) for i in range(90)] + [(90, 149, 90), (0, 0, 0)])

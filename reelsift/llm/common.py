@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from reelsift.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read_table", "without", "words", "crc_mod",
-           "checked_broadcast", "free", "give_back", "trimmed", "connected_components"]
+           "checked_broadcast", "free", "give_back", "trimmed", "small_batches", "connected_components"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -79,6 +80,19 @@ def trimmed(go: Callable) -> Callable:
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> Iterator[None]:
+    """Texts are long: tables written inside go to the Python workers in Arrow batches of ``size`` bytes
+    (Spark's own limit is 64 MB, which stands in the executor and in the worker several times)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(v, c): for every vertex of ``edges`` the smallest vertex it reaches.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import cut_lineage, trimmed
+from reelsift.llm.common import cut_lineage, small_batches, trimmed
 
 SEQUENCE = 2048
 END_ID = 1
@@ -182,5 +182,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                    length: int = SEQUENCE, group_pieces: int = 2048) -> DataFrame:
     """Tokenise, cut and pack all ``docs``. A null or empty text is the end id alone; an empty
     table gives no rows; a null id is an id like any other. Other columns are not read."""
-    pieces = cut_lineage(cut_pieces(docs, tokenizer_path, id_col, text_col, length), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = cut_lineage(cut_pieces(docs, tokenizer_path, id_col, text_col, length), "pieces")
     return pack(pieces, length, group_pieces)

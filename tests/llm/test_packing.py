@@ -105,3 +105,18 @@ def test_null_ids_and_repeated_rows_do_not_fill_one_group(spark):
     sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
     assert sum(sizes) == 9000 and len(sizes) == 30 and max(sizes) < 400
     assert got.select(rows.columns).exceptAll(rows).count() == 0 == rows.exceptAll(got.select(rows.columns)).count()
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    """Before, batches of 64 MB stood in the executor and in its workers several times."""
+    key, limits, cut = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.cut_lineage
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "cut_lineage", lambda df, name: limits.append(spark.conf.get(key)) or cut(df, name))
+    spark.conf.set(key, str(64 << 20))
+    try:
+        df = spark.createDataFrame([(i, "a b " * i) for i in range(40)], "doc_id long, text string")
+        got = packing.pack_documents(df, tokenizer_path()).groupBy("doc_id").sum("length").collect()
+        assert limits == [str(2 << 20)] and spark.conf.get(key) == str(64 << 20)
+        assert sorted(tuple(r) for r in got) == [(i, 2 * i + 1) for i in range(40)]
+    finally:
+        spark.conf.set(key, before)

@@ -8,18 +8,21 @@ hashed again into ``n2`` second-level parts, and every choice of ``n2 - k2`` of
 Equal signatures make candidates; candidates are verified on their whole sets.
 
 There are ``spare`` first-level parts more than needed, so similar sets agree in more than ``spare``
-of them. A set with at most ``spare`` parts of frequent signatures (empty parts, passages that many
-documents share) leaves these out: whether a signature is frequent is the same for all sets, so in
-one part that it keeps a similar set still agrees, and keeps it too. Sets with more of them, those of
-large groups of near copies, keep all. And a set that shares no more than ``spare`` signatures of a
-band, less those left out, with any other set has no similar one there.
+of them. All signatures stand in one order: rare ones, then frequent ones (passages that many
+documents share, empty parts last) by how frequent they are. A set leaves out its last ``spare``
+frequent ones: two sets that leave out the first signature they share would have to leave out all
+others they share as well, which are too many. And a set that shares no more than ``spare``
+signatures of a band, less those left out, with any other set has no similar one there.
 
 ``k2 = 0`` gives the fewest signatures (one per first-level part), ``k2 = 1`` or more the choices.
 
 Copies are one class (equal sets). In signatures of many classes each class is first compared with
-the one of most company. Signatures whose classes are not one component by then form families, whose
-sets are compared in blocks by matrix products that give the components and not the pairs. So no link
-between different texts is lost, and groups of near copies never give all their pairs.
+the one of most company. Classes that share a signature and are not one component by then are screened
+by bit sketches: a bit holds the parity of the elements hashed to it, so two sketches differ in no more
+bits than their sets do in elements. What may still be similar forms families, whose sets are compared
+in blocks by matrix products that give the components and not the pairs. So no link between different
+texts is lost, groups of near copies never give all their pairs, and sets that only share some passages
+never meet in one family.
 """
 
 from __future__ import annotations
@@ -45,10 +48,15 @@ SLICE = 250  # documents whose signatures are held at a time
 BLOCK_ROWS, BLOCK_ELEMENTS = 1000, 500_000  # of a group that one task compares
 SIG_BYTES = 6  # of a signature: two that agree by chance cost a comparison
 KEEP = np.uint64((1 << 8 * SIG_BYTES) - 1)
+SKETCH_SALT = np.uint64(0xA0761D6478BD642F)
 EMPTY = np.uint64(1)  # the bit that marks the signatures of empty parts; these count as frequent
 BUCKET_SIGS = 250_000  # signatures of a range, about
 SENT_SIGS = 500_000  # signatures that a task counts at a time
-FREQUENT = 64  # sets with a signature, from which on it is left out where it can be spared
+FREQUENT = (64, 512, 4096, 32768)  # sets with a signature: beyond the first it is frequent, beyond each more so
+SKETCH_BITS = 4096  # of a sketch, at the most
+SCREEN_ROWS = 20_000  # (signature, class) rows that are screened at a time, about
+SCREEN_GROUP = 8_192  # classes of a signature, beyond which they are dealt to blocks
+SCREEN_WORDS = 1 << 20  # of sketches that are held at a time
 BLOCK_BITS = 1 << 15  # of one bitmap_construct_agg bitmap
 DENSE, COLUMNS = 16, 1024  # elements of more sets than this go to the matrix product, so many at a time
 LARGE = 1 << 20  # bytes of a group, from which on a worker gives memory back after it
@@ -117,6 +125,13 @@ class Bands:
         n1, n2, k2, _ = self.parts(band)
         return n1 * comb(n2, k2)
 
+    def sketch(self, elements: np.ndarray, band: int) -> bytes:
+        """Parities of the elements in the cells of a band, three for four elements of its largest sets."""
+        self.parts(band)
+        bits = min(64 * -(-3 * self.uppers[band] // 256), SKETCH_BITS)
+        cell = (_mix(elements ^ SKETCH_SALT) % np.uint64(bits)).astype(np.int64)
+        return np.packbits(np.bincount(cell, minlength=bits) & 1).tobytes()
+
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Hashes of (band, part, choice, its elements): equal for any two sets that agree there."""
         if len(elements) == 0:
@@ -280,9 +295,9 @@ def _hit(held: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int, den: int, k2: int = 0) -> DataFrame:
-    """(sig, k) of the signatures that pass the filter ``twice``, without the frequent ones of the
-    sets that can spare them."""
+def _kept(signed: DataFrame, twice: np.ndarray, frequent: list[np.ndarray], num: int, den: int, k2: int = 0) -> DataFrame:
+    """(sig, k, up) of the signatures that pass the filter ``twice``, without the last ``spare`` frequent
+    ones of each set and band. ``up``: of the band after the set's own."""
     shared = signed.sparkSession.sparkContext.broadcast((twice, frequent))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,16 +311,95 @@ def _kept(signed: DataFrame, twice: np.ndarray, frequent: np.ndarray, num: int,
                 spare = np.array([bands.parts(x + i)[3] for x in b.column(1).to_pylist() for i in (0, 1)], np.int64)
                 half = np.stack([own, sizes - own], 1).ravel()  # a set's parts in its own band, then in the next
                 part = np.repeat(np.arange(len(half)), half)
-                often = _hit(frequent, sig) | (sig & 1 == 1)
-                left_out = np.bincount(part, often, len(half))
-                left_out[left_out > spare] = 0
-                keep = _hit(twice, sig) & (~often | (left_out == 0)[part])
+                rank = np.zeros(len(sig), np.int8)
+                for held in frequent:
+                    rank += _hit(held, sig)
+                rank[sig & 1 == 1] = len(frequent) + 1
+                left_out = np.minimum(np.bincount(part, rank > 0, len(half)).astype(np.int64), spare)
+                order = np.lexsort((sig, rank, part))
+                keep = np.empty(len(sig), bool)
+                keep[order] = np.arange(len(sig)) < (np.cumsum(half) - left_out)[part]  # parts stand together
+                keep &= _hit(twice, sig)
                 # a similar set agrees in more than ``spare`` parts, but for those left out
                 keep &= (np.bincount(part, keep, len(half)) > spare - left_out)[part]
                 k = np.repeat(b.column(0).fill_null(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(k[keep])], names=["sig", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(k[keep]), pa.array((part & 1 == 1)[keep])], names=["sig", "k", "up"])
+
+    return signed.mapInArrow(trimmed(test), "sig long, k long, up boolean")
+
+
+def screened(group: np.ndarray, k: np.ndarray, c: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) edges that join all sets of one ``group``, but for those of one component ``c``, whose
+    sketches (rows of 64-bit words) do not rule out that they are similar."""
+    order = np.argsort(group, kind="stable")
+    group, c, n, bits = group[order], c[order], n[order], bits[order]
+    ks, at = np.unique(k[order], return_inverse=True)
+    root = np.arange(len(ks))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    most = max(1, SCREEN_WORDS // bits.shape[1])
+    left = np.arange(len(group))
+    for step in range(1, len(group)):
+        left = left[left < len(group) - step]
+        left = left[group[left] == group[left + step]]
+        if not len(left):
+            break
+        i, j = left, left + step
+        open_ = (root[at[i]] != root[at[j]]) & (c[i] != c[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+        i, j = i[open_], j[open_]
+        for first in range(0, len(i), most):
+            x, y = i[first:first + most], j[first:first + most]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            hit = (den + num) * apart <= (den - num) * (n[x] + n[y])
+            for a, b in zip(at[x[hit]].tolist(), at[y[hit]].tolist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        if len(i):
+            while (root[root] != root).any():
+                root = root[root]
+    tied = root != np.arange(len(ks))
+    return ks[root[tied]], ks[tied]
+
+
+def _screen(named: DataFrame, split: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) edges, written, that join what may be similar of the (sig, k, up, c) ``named`` classes with
+    one of the (sig, rows) signatures ``split``, but for classes of one component ``c``. Every task takes
+    many signatures; one of more than ``SCREEN_GROUP`` classes is dealt to pairs of blocks."""
+    met = named.join(split, "sig")
+    known = sketches.join(met.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    buckets = 1 + (split.agg(F.sum("rows")).first()[0] or 0) // SCREEN_ROWS
+    blocks = F.ceil(F.col("rows") / SCREEN_GROUP)
+    block = F.pmod(F.xxhash64("k"), blocks)
+    dealt = (met.withColumn("pair", F.explode(F.when(blocks < 2, F.array(F.lit("0"))).otherwise(F.transform(
+                F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.concat_ws("-", F.least(o, block), F.greatest(o, block))))))
+             .select("k", "c", "up", F.xxhash64("sig", "pair").alias("g"))
+             .join(known, "k").select("g", "k", "c", "n", F.when(F.col("up"), F.col("above")).otherwise(F.col("home")).alias("bits"),
+                                      F.pmod("g", F.lit(buckets)).alias("bucket")))
+
+    def screen(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        g, k, c, n = (t[x].to_numpy() for x in ("g", "k", "c", "n"))
+        raw = t["bits"].to_pylist()
+        sizes = np.fromiter((len(x) for x in raw), np.int64, len(raw))
+        a, b = [], []
+        for size in np.unique(sizes).tolist():
+            here = np.flatnonzero(sizes == size)
+            words = np.frombuffer(b"".join(raw[i] for i in here.tolist()), np.uint64).reshape(len(here), -1)
+            x, y = screened(g[here], k[here], c[here], n[here], words, num, den)
+            a.append(x)
+            b.append(y)
+        found = pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+        if t.nbytes > LARGE:
+            give_back()
+        return found
 
-    return signed.mapInArrow(trimmed(test), "sig long, k long")
+    return cut_lineage(dealt.groupBy("bucket").applyInArrow(screen, "a long, b long").distinct(), "apart")
 
 
 def _verify(centres: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -467,34 +561,39 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc", id_type), T.StructField("n_shingles", T.LongType()),
-                           T.StructField("k", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sigs", T.BinaryType())])
+                           T.StructField("k", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sigs", T.BinaryType()),
+                           T.StructField("home", T.BinaryType()), T.StructField("above", T.BinaryType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, k2)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                sizes, ks, own, packed = [], [], [], []
+                sizes, ks, own, packed, home, above = [], [], [], [], [], []
                 for text in b.column(1):
                     e = shingle_set(text.cast(pa.binary()).as_py(), n)
                     sizes.append(len(e))
                     ks.append(_class(e) if len(e) else 0)
                     own.append(bands.band(len(e)) if len(e) else 0)
                     packed.append(_packed(bands.signatures(e)).tobytes())
+                    home.append(bands.sketch(e, own[-1]) if len(e) else None)
+                    above.append(bands.sketch(e, own[-1] + 1) if len(e) else None)
                 keys = np.array(ks, np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(keys), mask=keys == 0), pa.array(own, pa.int64()),
-                                                  pa.array(packed, pa.binary())], names=["doc", "n_shingles", "k", "band", "sigs"])
+                                                  *(pa.array(x, pa.binary()) for x in (packed, home, above))],
+                                                 names=["doc", "n_shingles", "k", "band", "sigs", "home", "above"])
         _hashes.clear()
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     signed = cut_lineage(source.mapInArrow(trimmed(sign), schema), "signed")
     known = cut_lineage(signed.select("doc", "n_shingles", "k", "band"), "classes")
+    sketches = cut_lineage(signed.select("k", F.col("n_shingles").alias("n"), "home", "above").filter("k is not null"), "sketches")
     rows = known.select("doc", "n_shingles", "k")
 
     # signatures of two sets or more; a filter lets few others pass, and they end at one class
     total = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
     counted = cut_lineage(_counted(signed, 1 << max(4, (total // SIG_BYTES // BUCKET_SIGS).bit_length())), "twice")
-    kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), _bits(counted.filter(f"count > {FREQUENT}")), num, den, k2)
+    kept = _kept(signed.select("k", "band", "sigs"), _bits(counted), [_bits(counted.filter(f"count > {x}")) for x in FREQUENT], num, den, k2)
     near = cut_lineage(kept.distinct(), "near")
     free(signed, counted, shuffles=True)
     shared = near.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("sig")
@@ -503,10 +602,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # large groups first: each class is compared with the class of most company (an original has more
     # than its edited copies, so it makes the better centre), so that most of a group is one component
-    crowd = cut_lineage(members.groupBy("sig").count().filter(f"count > {FREQUENT}"), "crowd")
+    crowd = cut_lineage(members.groupBy("sig").count().filter(f"count > {FREQUENT[0]}"), "crowd")
     links, roots = None, None
     if crowd.limit(1).count():
-        inside = cut_lineage(members.join(crowd, "sig"), "inside")
+        inside = cut_lineage(members.drop("up").join(crowd, "sig"), "inside")
         company = cut_lineage(inside.groupBy("k").agg(F.sum("count").alias("company"), F.collect_list("sig").alias("sigs")), "company")  # a set's own
         ranked = company.select(F.explode("sigs").alias("sig"), "k", "company")
         centres = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("company", "k")).alias("centre")), "centres")
@@ -521,15 +620,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         free(company, stars, docs_of, hubs, others, hub_sets, shuffles=True)
         roots = connected_components(links)
 
-    # what shares signatures and is not one component yet is a family
+    # what shares signatures, is not one component yet and passes the screen is a family
     named = members.withColumn("c", F.col("k"))
     if roots is not None:
-        named = cut_lineage(members.join(roots.toDF("k", "c"), "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "named")
+        named = cut_lineage(members.join(roots.toDF("k", "c"), "k", "left").select("sig", "k", "up", F.coalesce("c", "k").alias("c")), "named")
         free(members, roots)
-    split = (named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k").alias("first"))
-             .filter("low < high").select("sig", "first"))
-    apart = cut_lineage(named.join(split, "sig").select(F.col("first").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct(), "apart")
-    free(named, crowd)
+    split = cut_lineage(named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows"))
+                        .filter("low < high").select("sig", "rows"), "split")
+    apart = _screen(named, split, sketches, num, den)
+    free(named, crowd, split, sketches, shuffles=True)
     families = connected_components(apart).toDF("k", "family")
     chosen = cut_lineage(known.join(families, "k").groupBy("k", "family").agg(
         F.min("doc").alias("doc"), F.min("band").alias("band"), F.min("n_shingles").alias("n")), "wanted")

@@ -146,3 +146,70 @@ def test_crowds_are_cut_and_compared_by_one_worker(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n=2, num=9, den=10).collect())
     assert "links" in plans and all(p.count("MapInArrow") <= 1 for p in plans.values())
     assert got == sorted([(i, 149, 0) for i in range(90)] + [(90, 149, 90), (0, 0, 0)])
+
+
+def passages(seed, texts=120, kinds=25):
+    """Texts of some of few passages each, so that many share one and few are similar; some have a near copy."""
+    rng = random.Random(seed)
+    said = [" ".join(f"p{p}w{i}" for i in range(12)) for p in range(kinds)]
+    rows = []
+    for t in range(texts):
+        words = " ".join([*rng.sample(said, 4), *(f"t{t}w{i}" for i in range(rng.choice([0, 12, 12, 12])))]).split()
+        rows.append(" ".join(words))
+        if t % 6 == 0:
+            words[rng.randrange(len(words))] = "x"
+            rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("group", "frequent"), [(8192, (64, 512)), (7, (2, 5, 11))])
+def test_texts_that_only_share_passages_never_form_one_family(spark, monkeypatch, group, frequent):
+    """Before, whatever shared signatures was one family, and its blocks were all compared with each other."""
+    from reelsift.llm import ngram_join
+
+    rows, wanted, cut = passages(3), [], ngram_join.cut_lineage
+
+    def noted(table, name):
+        made = cut(table, name)
+        if name == "wanted":
+            wanted.extend(r["count"] for r in made.groupBy("family").count().collect())
+        return made
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", noted)
+    monkeypatch.setattr(ngram_join, "SCREEN_GROUP", group)
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute(rows, 5, 4, 5)
+    assert got == want and len({c for *_, c in want}) <= len(rows) - 15
+    assert wanted and max(wanted) <= 12
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    from reelsift.llm.ngram_join import screened
+
+    rng, bands = np.random.default_rng(7), Bands(4, 5)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(170, 230)), dtype=np.uint64)
+        sets += [np.unique(np.r_[base[cut:], rng.integers(0, 2**63, cut, dtype=np.uint64)]) for cut in (0, 9, 25, 60)]
+    k = np.arange(len(sets))
+    n = np.array([len(x) for x in sets])
+    bits = np.frombuffer(b"".join(bands.sketch(x, 19) for x in sets), np.uint64).reshape(len(sets), -1)
+    a, b = screened(np.zeros(len(k), np.int64), k, k, n, bits, 4, 5)
+    root = np.arange(len(k))
+    for x, y in zip(a, b, strict=True):
+        root[root == root[y]] = root[x]
+    links = 0
+    for i in k:
+        for j in k[:i]:
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * common >= 4 * (n[i] + n[j] - common):
+                links += 1
+                assert root[i] == root[j]
+            differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert differ <= n[i] + n[j] - 2 * common
+    assert links >= 40 and len(set(root.tolist())) >= 40  # similar sets meet, the others stay apart
+    none, _ = screened(np.zeros(len(k), np.int64), k, np.zeros(len(k), np.int64), n, bits, 4, 5)
+    assert not len(none)  # one component already
+    alone, _ = screened(k, k, k, n, bits, 4, 5)
+    assert not len(alone)

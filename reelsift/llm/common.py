@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsift.session import cut_lineage, ensure_checkpoint_dir
+from reelsift.session import cut_lineage, ensure_checkpoint_dir, free
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read_table", "without", "words", "crc_mod",
            "checked_broadcast", "free", "give_back", "trimmed", "small_batches", "connected_components"]
@@ -41,21 +41,6 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def free(*tables: DataFrame, shuffles: bool = False) -> None:
-    """Delete tables of :func:`cut_lineage` that nothing reads any more (only what stands below the
-    checkpoint folder's tables is deleted). ``shuffles``: let Spark drop the files of finished plans too."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm, home = spark._jvm, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/"
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if path.getParent().equals(jvm.org.apache.hadoop.fs.Path(home)):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if shuffles:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
-
-
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` must be a written table (its count comes from the footers): hint a broadcast up
     to ``max_rows`` rows, and leave the join to Spark's shuffle beyond."""

@@ -28,11 +28,14 @@ from pyspark.sql import functions as F
 
 from reelsift.llm.common import cut_lineage
 from reelsift.llm.filters import broadcast_filter, frequent_hashes
-from reelsift.llm.tokens import Words, grams, mixed, slices, spread
+from reelsift.llm.filters import frequent_phrases as counted
+from reelsift.llm.tokens import Words, grams, mixed, slices, spread, text_keys
 
 #: Longest phrase, tokens that neighbouring chunks share, and how many tokens there are to a trigger.
 LONGEST = 5
 OVERLAP, EVERY = LONGEST - 1, 48
+#: Bytes of chunks for each phrase that a task passes on, about.
+WORD_BYTES = 48
 #: Ends a piece; no word holds it.
 END = "."
 PUNCTUATION = r"[.,;:!?\n\x0B\x0C\r]"
@@ -47,7 +50,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.flatnonzero(size)
         if not len(text):
             continue
-        hashes = grams(w.hashes()[w.codes], OVERLAP)
+        hashes = grams(w.keys()[w.codes], OVERLAP)
         # chunks start with a text or with a trigger that is wholly inside it
         place = spread(w.first[text] + 1, np.maximum(0, size[text] - OVERLAP))
         trigger = place[hashes[place] % np.uint64(EVERY) == 0] if len(place) else place
@@ -77,7 +80,7 @@ class _Chunks:
         self.langs = coded.dictionary
         self.lang_of = coded.indices.to_numpy(zero_copy_only=False)[self.row]
         salt = np.array([zlib.crc32(x.encode()) for x in self.langs.to_pylist()], np.uint64)
-        self.hash = mixed(w.hashes()[w.codes] + mixed(salt + np.uint64(1))[self.lang_of])
+        self.hash = mixed(w.keys()[w.codes] + mixed(salt + np.uint64(1))[self.lang_of])
         self.inner = np.append(self.row[1:] == self.row[:-1], False)[:len(self.row)]
 
     def pairs(self) -> np.ndarray:
@@ -85,23 +88,21 @@ class _Chunks:
         return mixed(self.hash * np.uint64(0x9E3779B97F4A7C15) + np.roll(self.hash, -1))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "content"):
-        c = _Chunks(batch)
+def _word_counts(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    for part in slices([batch], "content"):
+        c = _Chunks(part)
         use = c.owned & c.word
-        key = c.lang_of[use].astype(np.int64) * len(c.w.values) + c.w.codes[use]
-        found, back = np.unique(key, return_inverse=True)
-        n = np.bincount(back, c.times[use], len(found)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([c.langs.take(pa.array(found // len(c.w.values))), c.w.values.take(pa.array(found % len(c.w.values))), pa.array(n)],
-                                         ["lang", "phrase", "n"])
+        n = np.bincount(c.lang_of[use].astype(np.int64) * len(c.w.values) + c.w.codes[use], c.times[use], len(c.langs) * len(c.w.values)).astype(np.int64)
+        found = np.flatnonzero(n)
+        yield pa.table([c.langs.take(pa.array(found // len(c.w.values))), c.w.values.take(pa.array(found % len(c.w.values))), pa.array(n[found])],
+                       ["lang", "phrase", "n"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes by which a filter knows the words of (lang, phrase)."""
     for batch in batches:
         salt = np.array([zlib.crc32(x.encode()) for x in batch["lang"].to_pylist()], np.uint64)
-        raw = batch["phrase"].cast(pa.binary()).to_pylist()
-        h = mixed(mixed(np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw))) + mixed(salt + np.uint64(1)))
+        h = mixed(text_keys(batch["phrase"]) + mixed(salt + np.uint64(1)))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
 
@@ -118,9 +119,9 @@ def _pair_hashes(words):
 
 def _phrases(pairs, longest: int):
     """Phrases of 2 to ``longest`` words all of whose pairs pass, by their words."""
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content"):
-            c = _Chunks(batch)
+    def of(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        for part in slices([batch], "content"):
+            c = _Chunks(part)
             good = c.inner & c.word & np.roll(c.word, -1)
             good[good] = pairs.value.has(c.pairs()[good])
             all_good = good
@@ -128,10 +129,9 @@ def _phrases(pairs, longest: int):
                 at = np.flatnonzero(all_good & c.owned)
                 if len(at):
                     table = pa.table([c.langs.take(pa.array(c.lang_of[at])), c.w.joined(at, np.full(len(at), n)), pa.array(c.times[at])], ["lang", "phrase", "n"])
-                    out = table.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
-                    yield from out.combine_chunks().to_batches()
+                    yield table.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
                 all_good = all_good & np.append(good[n - 1:], np.zeros(min(n - 1, len(good)), bool))
-    return go
+    return of
 
 
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -142,15 +142,15 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     source = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     chunks = source.mapInArrow(_parse, "lang string, tail boolean, content string, times long")
     chunks = cut_lineage(chunks.groupBy("lang", "tail", "content").agg(F.sum("times").alias("times")), "chunks")
-    counts = cut_lineage(chunks.mapInArrow(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("words"))
-    words = cut_lineage(counts.filter(F.col("n") >= least), "frequent-words")
+    size = chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    counts = counted(chunks, _word_counts, least, size // WORD_BYTES, "frequent-words")
+    totals = counts.filter("phrase IS NULL").groupBy("lang").agg(F.sum("words").alias("words"))
+    words = counts.filter("phrase IS NOT NULL")
     known = broadcast_filter(words.mapInArrow(_hashed, "h long"), words.count())
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    tokens = totals.agg(F.sum("words")).first()[0] or 0
     often = frequent_hashes(chunks, _pair_hashes(known), least, tokens)
     pairs = broadcast_filter(often, often.count())
-    found = chunks.mapInArrow(_phrases(pairs, longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    phrases = cut_lineage(found.filter(F.col("n") >= least), "frequent-phrases")
+    phrases = counted(chunks, _phrases(pairs, longest), least, size // WORD_BYTES, "frequent-phrases").filter("phrase IS NOT NULL").select("lang", "phrase", "n")
     return totals, words.select("lang", "phrase", "n").unionByName(phrases)
 
 

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import cut_lineage, give_back, trimmed
+from reelsift.llm.tokens import mixed, text_keys
 
 #: Different hashes that a task counts before it passes them on, and hashes of a bucket on average.
 HELD, BUCKET = 4_000_000, 500_000
 
+#: Different phrases that a task counts before it passes them on.
+HELD_PHRASES = 1_000_000
+
 #: Bits of a filter at most (32 MB), and bits for each of its entries below that.
 MAX_BITS, BITS_EACH = 1 << 28, 32
 
@@ -97,3 +101,64 @@ def frequent_hashes(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple
 
     blocks = df.mapInArrow(trimmed(count), "bucket int, keys binary, counts binary")
     return cut_lineage(blocks.groupBy("bucket").applyInArrow(merge, "h long"), "frequent-hashes")
+
+
+def _phrase_sums(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"])
+    return out.rename_columns(["lang", "phrase", "n"]).combine_chunks()
+
+
+def frequent_phrases(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[pa.Table]], least: int, expected: int, name: str) -> DataFrame:
+    """(lang, phrase, n, words) written: the phrases whose counts in all of ``df`` reach ``least``, and, with a
+    null phrase, sums of all counts of a language as ``words``. ``of`` gives (lang, phrase, n) of a batch, repeats
+    allowed; ``expected``: about how many there are. A task sums its phrases and ships them cut by hash into
+    buckets, as Arrow streams, so the rows themselves stay out of the JVM."""
+    buckets = max(1, -(-expected // BUCKET))
+
+    def emit(tables: list[pa.Table]) -> pa.RecordBatch:
+        t = _phrase_sums(tables)
+        coded = t["lang"].combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        salt = text_keys(coded.dictionary)[codes] if len(t) else np.zeros(0, np.uint64)
+        bucket = (mixed(text_keys(t["phrase"].combine_chunks()) + salt) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.append(np.searchsorted(bucket[order], np.arange(buckets)), len(order))
+        t, some, blobs = t.take(pa.array(order)).combine_chunks(), [], []
+        for b in np.flatnonzero(cut[1:] > cut[:-1]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as to:
+                to.write_table(t.slice(cut[b], cut[b + 1] - cut[b]))
+            some.append(int(b))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tables = 0, []
+        for batch in batches:
+            for t in of(batch):
+                tables.append(t)
+                held += t.num_rows
+                if held > HELD_PHRASES:
+                    tables = [_phrase_sums(tables)]
+                    held = tables[0].num_rows
+                    if held > HELD_PHRASES // 2:
+                        yield emit(tables)
+                        held, tables = 0, []
+        if held:
+            yield emit(tables)
+
+    def merge(t: pa.Table) -> pa.Table:
+        found = _phrase_sums([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["rows"]])
+        sums = found.group_by("lang").aggregate([("n", "sum")])
+        found = found.filter(pa.compute.greater_equal(found["n"], least))
+        none, k = pa.nulls(found.num_rows, pa.int64()), sums.num_rows
+        out = pa.table({"lang": pa.chunked_array([*found["lang"].chunks, *sums["lang"].chunks], pa.string()),
+                        "phrase": pa.chunked_array([*found["phrase"].chunks, pa.nulls(k, pa.string())], pa.string()),
+                        "n": pa.chunked_array([*found["n"].chunks, pa.nulls(k, pa.int64())], pa.int64()),
+                        "words": pa.chunked_array([none, *sums["n_sum"].chunks], pa.int64())})
+        del found, sums
+        give_back()  # buckets are large
+        return out
+
+    blocks = df.mapInArrow(trimmed(count), "bucket int, rows binary")
+    return cut_lineage(blocks.groupBy("bucket").applyInArrow(merge, "lang string, phrase string, n long, words long"), name)

@@ -102,3 +102,43 @@ def test_scores_beyond_64_bits(spark):
     cols = {c: F.lit(v).cast("decimal(18,0)") for c, v in dict(a=big, n=7 * big, l=big + 2, r=big + 5).items()}
     df = spark.range(1).withColumn("upper", (F.lit(1000).cast("decimal(4,0)") * cols["a"]).cast("decimal(25,0)") * cols["n"]).withColumn("lower", cols["l"] * cols["r"])
     assert df.select(F.expr("upper div lower")).first()[0] == 1000 * big * 7 * big // ((big + 2) * (big + 5))
+
+
+def test_phrases_are_summed_in_streams(spark, monkeypatch):
+    """Counts of many small shipments in several buckets; a row with a null phrase has sums of all counts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(filters, "HELD_PHRASES", 40)
+    monkeypatch.setattr(filters, "BUCKET", 100)
+    draw = random.Random(3)
+    rows = [(draw.choice(["en", "de"]), f"{'é' * draw.randrange(1, 4)} {draw.randrange(90)}", draw.randrange(1, 4)) for _ in range(3000)]
+    want, sums = Counter(), Counter()
+    for lang, phrase, n in rows:
+        want[lang, phrase] += n
+        sums[lang] += n
+
+    def of(batch):
+        yield pa.Table.from_batches([batch])
+
+    df = spark.createDataFrame(rows, "lang string, phrase string, n long").repartition(3)
+    got = filters.frequent_phrases(df, of, 30, 300, "test").collect()
+    assert {(r.lang, r.phrase): r.n for r in got if r.phrase} == {k: n for k, n in want.items() if n >= 30}
+    found = Counter()
+    for r in got:
+        if r.phrase is None:
+            assert r.n is None
+            found[r.lang] += r.words
+    assert found == sums
+    assert filters.frequent_phrases(df.limit(0), of, 30, 0, "test").count() == 0
+
+
+def test_text_keys():
+    """A slice has the keys of the whole; different texts differ, empty ones do not fail."""
+    import numpy as np
+    import pyarrow as pa
+    from reelsift.llm.tokens import text_keys
+
+    words = pa.array(["", "a", "b", "ab", "ba", "aa", "é", "\x00", "\x00\x00", "x" * 50_000, ""])
+    keys = text_keys(words)
+    assert len(set(keys.tolist())) == len(words) - 1 and keys[0] == keys[-1]
+    assert np.array_equal(text_keys(words.slice(3, 5)), keys[3:8]) and not len(text_keys(words.slice(0, 0)))

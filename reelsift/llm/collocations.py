@@ -35,7 +35,7 @@ from reelsift.llm.tokens import Words, grams, mixed, slices, spread, text_keys
 LONGEST = 5
 OVERLAP, EVERY = LONGEST - 1, 48
 #: Bytes of chunks for each phrase that a task passes on, about.
-WORD_BYTES = 48
+WORD_BYTES = 24
 #: Ends a piece; no word holds it.
 END = "."
 PUNCTUATION = r"[.,;:!?\n\x0B\x0C\r]"
